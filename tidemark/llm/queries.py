@@ -2,20 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash
+from . import langid, minhash, mixing, packing, pii, quality, tokens
 from .common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels outside the held-out fold."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents by two-word shingles at a similarity of 0.8."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and which have over 2048."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents.where(~langid.is_held_out("doc_id")))
+    found = langid.identify(documents, model)
+    return found.select("doc_id", langid.is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes of each document."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", *pii.span_digest())
+
+
 def queries() -> dict:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op3_minhash_near_dedup,)}
+    own = (op1_best_fit_packing, op2_quality_classifier, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op8_pii)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
