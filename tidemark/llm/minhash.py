@@ -105,6 +105,12 @@ def _alike(x: str, y: str, percent: int, sketch_limit: int) -> Column:
     return (_distance(x, y) <= sketch_limit) & (small * 100 >= large * percent)
 
 
+def _similar(x: str, y: str, percent: int) -> Column:
+    """The sets have at least that Jaccard similarity."""
+    common = F.size(F.array_intersect(x, y))
+    return common * 100 >= (F.size(x) + F.size(y) - common) * percent
+
+
 def near_duplicates(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -115,7 +121,7 @@ def near_duplicates(
     chunks: int = 11,
     chunk: int = 6,
     errors: int = 1,
-    sketch_limit: int = 28,
+    sketch_limit: int = 24,
 ) -> DataFrame:
     """Groups of documents whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`.
 
@@ -125,17 +131,18 @@ def near_duplicates(
     Signatures have chunks * chunk MinHash positions. Each chunk gives one key for every choice of `errors`
     positions left out, so every pair that differs in at most chunks * (errors + 1) - 1 positions shares a key;
     two texts of similarity 0.8 differ in 13 of the 66 positions on average and fail to share a key with a chance
-    of 8e-6. Texts with the same set are one class before keys are made. A bucket (documents of one key) first
-    links its members to its smallest one; after that only buckets whose members are still in several components
-    compare those components' members, so groups of copies are never expanded into all their pairs. Candidate
-    pairs whose sizes or whose 64-position two-bit sketches (limit 28, six standard deviations above the mean at
-    0.8) rule the similarity out are left; the rest are confirmed on their full sets of 64-bit shingle hashes.
+    of 8e-6. Texts with the same set are one class before keys are made. Buckets (documents of one key) are gathered by
+    their hub, the member that meets the most others: first every member of such a group is compared with its hub; after
+    that only groups whose members are still in several components compare members of different components,
+    inside the join, so groups of copies are never expanded into all their pairs. Candidates whose sizes or whose
+    64-position two-bit sketches (limit 24, five standard deviations above the mean at 0.8) rule the similarity
+    out are left; the rest are confirmed on their full sets of 64-bit shingle hashes.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that repeat an id are one vertex
     of the graph: what any of them links to, all do. Rows with a null id link with nothing, have a null
     component_id and are kept. Other columns are ignored. An empty table gives an empty result.
     """
-    percent = round(similarity * 100)
+    percent = round(similarity * 100)  # joins have merge hints where both sides grow with the table
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = materialize(docs.mapInArrow(_sketch(width, chunks * chunk), _BASE), "minhash-base")
     sized = base.where("id is not null and n > 0")
@@ -157,38 +164,43 @@ def near_duplicates(
     # buckets of the same documents count once
     buckets = buckets.where("members > 1 and lo <> hi").groupBy("members", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key"))
     buckets = materialize(buckets, "minhash-buckets")
-    large = buckets.where("members > 2").select("key", "lo")
-    members = materialize(keys.join(large, "key").select("key", "id", "lo"), "minhash-members")
-    pairs = buckets.where("members = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
-    pairs = pairs.union(members.where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b"))).distinct()
-    first = pairs.join(small.alias("x"), F.col("a") == F.col("x.id")).join(small.alias("y"), F.col("b") == F.col("y.id"))
+    large = buckets.where("members > 2").select("key", "members")
+    members = materialize(keys.join(large.hint("merge"), "key"), "minhash-members")
+    # a copied text shares more keys with its copies than they share with each other: each bucket's star is
+    # around its member that meets the most others over all buckets
+    met = members.groupBy("id").agg(F.sum("members").alias("met"))
+    hubs = members.join(met.hint("merge"), "id").groupBy("key").agg(F.max(F.struct("met", "id"))["id"].alias("hub"))
+    groups = members.join(hubs.hint("merge"), "key").select("hub", "id").distinct().join(small.hint("merge"), "id")
+    groups = materialize(groups, "minhash-groups")
+    pairs = groups.where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
+    pairs = pairs.union(buckets.where("members = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b"))).distinct()
+    x, y = (small.alias(k).hint("merge") for k in "xy")
+    first = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
     first = materialize(first.where(_alike("x", "y", percent, sketch_limit)).select("a", "b"), "minhash-pairs")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = materialize(docs.join(ids, "id").select("id", "text").mapInArrow(_sets(width), "id long, hashes array<long>").distinct(), f"{name}-sets")
-        x, y = (sets.toDF("id", "hashes").alias(k) for k in "xy")
-        both = pairs.join(x, F.col("a") == F.col("x.id")).select("a", "b", F.col("hashes").alias("ha")).join(y, F.col("b") == F.col("y.id"))
-        common = F.size(F.array_intersect("ha", "hashes"))
-        both = both.select("a", "b", common.alias("i"), (F.size("ha") + F.size("hashes")).alias("s"))
-        return materialize(both.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b").distinct(), name)
-
-    links = confirmed(first, "minhash-links")
+    x, y = groups.alias("x"), groups.alias("y").hint("merge")
+    near = x.join(y, F.expr("x.hub = y.hub and x.id <> y.id") & _alike("x", "y", percent, sketch_limit), "left_semi")
+    near = materialize(near, "minhash-near")
+    ids = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).union(near.select("id")).distinct()
+    sets = docs.join(ids.hint("merge"), "id").select("id", "text").mapInArrow(_sets(width), "id long, hashes array<long>")
+    sets = materialize(sets.distinct(), "minhash-sets")
+
+    x, y = (sets.alias(k).hint("merge") for k in "xy")
+    links = first.join(x, F.col("a") == F.col("x.id")).select("a", "b", F.col("hashes").alias("ha")).join(y, F.col("b") == F.col("y.id"))
+    links = materialize(links.where(_similar("ha", "hashes", percent)).select("a", "b").distinct(), "minhash-links")
     joined = own.where("id <> rep").select("id", "rep").distinct()
     many = own.groupBy("id").agg(F.min("rep").alias("l"), F.max("rep").alias("h")).where("l <> h").select("id")  # ids with several texts
     links = links.union(joined.join(many, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     found = components(links, "minhash-c1")
 
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("key")
-    placed = placed.join(open_keys, "key").join(small, "id").select("key", "id", "component", "n", "sk1", "sk2")
-    rest = placed.alias("x").join(placed.alias("y"), F.expr("x.key = y.key and x.id > y.id and x.component <> y.component") & _alike("x", "y", percent, sketch_limit))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = materialize(rest, "minhash-rest")
-    if not rest.isEmpty():
-        more = confirmed(rest, "minhash-more")
-        if not more.isEmpty():
-            found = components(links.union(more), "minhash-c2")
+    placed = near.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("hub").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("hub")
+    placed = placed.join(mixed.hint("merge"), "hub").join(sets.hint("merge"), "id")
+    x, y = placed.alias("x"), placed.alias("y").hint("merge")
+    rest = F.expr("x.hub = y.hub and x.id > y.id and x.component <> y.component") & _alike("x", "y", percent, sketch_limit)
+    more = x.join(y, rest & _similar("x.hashes", "y.hashes", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    more = materialize(more, "minhash-more")
+    if not more.isEmpty():
+        found = components(links.union(more), "minhash-c2")
 
     of_class = own.select("set_key", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left")
     of_class = of_class.select("set_key", F.coalesce("component", "rep").alias("component"))
