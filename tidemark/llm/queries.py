@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, minhash, mixing, packing, pii, quality, tokens
+from . import langid, minhash, mixing, packing, pii, quality, secrets, tokens
 from .common import table
 
 
@@ -46,9 +46,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", *pii.span_digest())
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", *secrets.span_digest())
+
+
 def queries() -> dict:
     """Every query of this subpackage by name."""
-    own = (op1_best_fit_packing, op2_quality_classifier, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op8_pii)
+    own = (op1_best_fit_packing, op2_quality_classifier, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op8_pii, op10_secret_scan)
     return {f.__name__: f for f in own}
 
 
