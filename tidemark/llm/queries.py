@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, minhash, mixing, packing, pii, quality, secrets, tokens
+from . import covertree, hnsw, langid, minhash, mixing, packing, pii, quality, secrets, tokens
 from .common import table
 
 
@@ -41,11 +41,21 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of embeddings of one label at a cosine of 0.93."""
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", *pii.span_digest())
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector with all others."""
+    return covertree.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", *secrets.span_digest())
@@ -53,7 +63,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Every query of this subpackage by name."""
-    own = (op1_best_fit_packing, op2_quality_classifier, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op8_pii, op10_secret_scan)
+    own = (op1_best_fit_packing, op2_quality_classifier, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op7_embedding_near_dedup, op8_pii, op9_exact_top_k, op10_secret_scan)
     return {f.__name__: f for f in own}
 
 
