@@ -2,9 +2,86 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from tidemark.llm import langid, minhash, mixing, packing, secrets
+from tidemark.llm.common import materialize, table
+
+#: SQL can express neither naive Bayes nor best-fit packing; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
+#: A text whose likeliest language has less than this posterior probability is rejected.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is known (score at least LEAST_LANGUAGE_SCORE); others have no letter or are a
+    toss-up between languages. The predicted language fills a null lang; a given one stays."""
+    columns = docs.columns
+    model = langid.train(docs.where(~langid.is_held_out("doc_id")))
+    found = langid.identify(docs, model, keep=tuple(c for c in columns if c != "doc_id"))
+    known = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: that of the smallest id.
+
+    Of rows that repeat an id, the one with the smallest text hash stays; rows with a null id all do.
+    """
+    found = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    kept = docs.join(found.hint("merge"), F.col("doc_id") == F.col("id"))
+    once = kept.where("rows = 1").select(docs.columns)
+    of_id = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    repeated = kept.where("rows > 1").withColumn("rank", F.row_number().over(of_id)).where("rank = 1").select(docs.columns)
+    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are replaced by a mark, and n_chars follows."""
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    found = secrets.find_secrets(docs, keep=rest).withColumn("text", secrets.redact("text"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: a whole copy for each time, and a first part for what is left of it.
+
+    Documents that the mix takes no word of go, and so do those without words.
+    """
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    mixed = mixing.mix_sources(docs, keep=rest).where("taken > 0")
+    whole = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    cut = F.when(left < F.col("size"), F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, left), " ")).otherwise(F.col("text"))
+    whole = whole.withColumn("text", cut)
+    if "n_chars" in docs.columns:
+        whole = whole.withColumn("n_chars", F.when(left < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return whole.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of at most 2048 tokens (pack(with_ids=True) adds the ids)."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("secrets", mask_secrets),
+    ("mix", mix),
+    ("pack", pack),
+]
+
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each result written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    name, stage = STAGES[-1]
+    return stage(spark, docs, sf_dir)
