@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from itertools import pairwise
 
 import numpy as np
@@ -16,8 +17,24 @@ from tokenizers import Tokenizer
 #: Characters for which Python's lower() and split() may differ from the library's normalizer: white space that one
 #: of the two doesn't count, dotted capital I, and all beyond Latin Extended-B, where NFC can change texts.
 _UNSURE = re.compile("[\x1c-\x1f\x85\xa0İɐ-\U0010ffff]")
-#: The file's own split pattern on what is left of it for lower-case ASCII.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Lower-case Latin letters, and runs of anything else: where all else is ASCII without apostrophes, words end there.
+_RUNS = re.compile("[a-zß-öø-ɏ]+|[^a-zß-öø-ɏ]+")
+_LETTERS = re.compile("[a-zß-öø-ɏ]+")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """Byte -> its character in byte-level vocabularies: printable ones stand for themselves, the rest follow from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b if b in printable else 256 + rest.index(b)) for b in range(256)}
+
+
+_BYTES = byte_alphabet()
+
+
+def as_bytes(word: str) -> str:
+    """The word with each of its UTF-8 bytes as a character of the vocabulary's alphabet."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
 
 
 class Chunker:
@@ -38,6 +55,13 @@ class Chunker:
             return text.lower().split()
         return [c for c in self.tokenizer.normalizer.normalize_str(text).split(" ") if c]
 
+    def runs(self, chunk: str) -> list[str] | None:
+        """Parts of a chunk that are encoded one by one: runs of letters and of other ASCII; None if it must stay whole."""
+        if "'" in chunk:
+            return None
+        runs = _RUNS.findall(chunk)
+        return runs if all(r.isascii() or _LETTERS.match(r) for r in runs) else None
+
     def parts(self, text: str):
         """Pairs of a special token's id (or None) and the chunks before it."""
         at = 0
@@ -50,19 +74,34 @@ class Chunker:
 class IdTable(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes; forgets all once it holds `bound` chunks."""
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 600_000):
         self.chunker, self.bound = Chunker(path), bound
+        self.bare = Tokenizer(self.chunker.tokenizer.model)  # for words that are one piece of the vocabulary's alphabet
+
+    def _add(self, chunks: list[str], names: list[str], tokenizer: Tokenizer) -> None:
+        for k in range(0, len(chunks), 4096):
+            encoded = tokenizer.encode_batch_fast(names[k : k + 4096], add_special_tokens=False)
+            for c, e in zip(chunks[k : k + 4096], encoded, strict=True):
+                self[c] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without begin, end or other added tokens."""
         if len(self) > self.bound:
             self.clear()
         split = [list(self.chunker.parts(t)) for t in texts]
-        new = list({c for parts in split for chunks, _ in parts for c in chunks if c not in self})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for c, e in zip(some, self.chunker.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[c] = np.asarray(e.ids, "<u4").tobytes()
+        seen: set[str] = set()
+        for parts in split:
+            for chunks, _ in parts:
+                seen.update(chunks)
+        new = {c: self.chunker.runs(c) for c in seen if c not in self}
+        runs = {r for c, own in new.items() for r in own or [c] if r not in self}
+        letters = [r for r in runs if _LETTERS.fullmatch(r)]
+        self._add(letters, list(map(as_bytes, letters)), self.bare)
+        other = [r for r in runs if r not in self]
+        self._add(other, other, self.chunker.tokenizer)
+        for c, own in new.items():
+            if c not in self:
+                self[c] = b"".join(map(self.__getitem__, own))
         out = []
         for parts in split:
             out.append(b"".join(b"".join(map(self.__getitem__, chunks)) + (b"" if i is None else i.to_bytes(4, "little")) for chunks, i in parts))
@@ -100,9 +139,7 @@ class PrefixCounts(dict):
 
     def words(self, chunk: str) -> list[str]:
         """The chunk's words, each byte as one character of the vocabulary's alphabet."""
-        if chunk.isascii() and chunk.isprintable():
-            return [chunk] if chunk.isalpha() else _ASCII_WORDS.findall(chunk)
-        return [w for w, _ in self._split(chunk)]
+        return [as_bytes(chunk)] if _LETTERS.fullmatch(chunk) else [w for w, _ in self._split(chunk)]
 
     def _spine(self, token: str, side: int) -> list[tuple[str, int, int]]:
         """The token, its left (side 0) or right (side 1) part, that part's part, and so on.
@@ -188,13 +225,11 @@ class PrefixCounts(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) > self.bound:
             self.clear()
-        words = self.words(chunk)
-        if len(words) == 1:
-            n = self._count(words[0])
-        elif chunk.isascii() and chunk.isprintable():  # its words may be chunks elsewhere
-            n = sum(map(self.__getitem__, words))
-        else:
-            n = sum(map(self._count, words))
+        runs = self.chunker.runs(chunk)
+        if runs is None or len(runs) == 1:
+            n = sum(map(self._count, self.words(chunk)))
+        else:  # its runs may be chunks elsewhere
+            n = sum(map(self.__getitem__, runs))
         self[chunk] = n
         return n
 
