@@ -16,14 +16,25 @@ ORACLE_SQL = None
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def _carried(docs: DataFrame, *own: str) -> DataFrame:
+    """doc_id, the named columns, and all others in one struct, so that none clashes with what an operator adds."""
+    rest = [c for c in docs.columns if c not in ("doc_id", *own)]
+    return docs.select("doc_id", *own, F.struct(*[F.col(c) for c in rest]).alias("rest"))
+
+
+def _restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents in their order, those in `rest` taken out."""
+    return df.select(*[F.col(c) if c in df.columns else F.col("rest")[c].alias(c) for c in columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is known (score at least LEAST_LANGUAGE_SCORE); others have no letter or are a
     toss-up between languages. The predicted language fills a null lang; a given one stays."""
-    columns = docs.columns
     model = langid.train(docs.where(~langid.is_held_out("doc_id")))
-    found = langid.identify(docs, model, keep=tuple(c for c in columns if c != "doc_id"))
+    found = langid.identify(_carried(docs, "text", "lang"), model, keep=("text", "lang", "rest"))
     known = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(columns)
+    known = known.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "rest")
+    return _restored(known, docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,21 +42,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that repeat an id, the one with the smallest text hash stays; rows with a null id all do.
     """
-    found = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    kept = docs.join(found.hint("merge"), F.col("doc_id") == F.col("id"))
-    once = kept.where("rows = 1").select(docs.columns)
+    found = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = _carried(docs, "text").join(found.hint("merge"), "doc_id")
+    once = kept.where("n = 1")
     of_id = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    repeated = kept.where("rows > 1").withColumn("rank", F.row_number().over(of_id)).where("rank = 1").select(docs.columns)
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    repeated = kept.where("n > 1").withColumn("rank", F.row_number().over(of_id)).where("rank = 1").drop("rank")
+    return _restored(once.unionByName(repeated), docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced by a mark, and n_chars follows."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    found = secrets.find_secrets(docs, keep=rest).withColumn("text", secrets.redact("text"))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(docs.columns)
+    found = secrets.find_secrets(_carried(docs, "text", "n_chars"), keep=("text", "n_chars", "rest"))
+    found = found.withColumn("text", secrets.redact("text"))
+    found = found.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return _restored(found.drop("found"), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +63,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that the mix takes no word of go, and so do those without words.
     """
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    mixed = mixing.mix_sources(docs, keep=rest).where("taken > 0")
+    mixed = mixing.mix_sources(_carried(docs, "text", "source", "n_chars"), keep=("text", "source", "n_chars", "rest")).where("taken > 0")
     whole = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     cut = F.when(left < F.col("size"), F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, left), " ")).otherwise(F.col("text"))
     whole = whole.withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        whole = whole.withColumn("n_chars", F.when(left < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return whole.select(docs.columns)
+    whole = whole.withColumn("n_chars", F.when(left < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return _restored(whole.select("doc_id", "text", "source", "n_chars", "rest"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
