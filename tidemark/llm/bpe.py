@@ -12,7 +12,10 @@ from array import array
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 #: Characters for which Python's lower() and split() may differ from the library's normalizer: white space that one
 #: of the two doesn't count, dotted capital I, and all beyond Latin Extended-B, where NFC can change texts.
@@ -20,6 +23,8 @@ _UNSURE = re.compile("[\x1c-\x1f\x85\xa0İɐ-\U0010ffff]")
 #: Lower-case Latin letters, and runs of anything else: where all else is ASCII without apostrophes, words end there.
 _RUNS = re.compile("[a-zß-öø-ɏ]+|[^a-zß-öø-ɏ]+")
 _LETTERS = re.compile("[a-zß-öø-ɏ]+")
+_ALL_LETTERS = re.compile("[a-zß-öø-ɏ]+").fullmatch
+_IN_RUNS = re.compile("[\x00-&(-\x7fß-öø-ɏ]+").fullmatch
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -48,6 +53,8 @@ class Chunker:
             self.spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        strings = "".join("|" + re.sub(r"(\W)", r"\\\1", s) for s in self.special)
+        self.odd = r"[\x1c-\x1f\x{85}\x{a0}\x{130}\x{250}-\x{10ffff}]" + strings  # _UNSURE and special tokens, for Arrow
         self.tokenizer.encode_special_tokens = True  # chunks hold none: they are split off before
 
     def chunks(self, text: str) -> list[str]:
@@ -57,10 +64,7 @@ class Chunker:
 
     def runs(self, chunk: str) -> list[str] | None:
         """Parts of a chunk that are encoded one by one: runs of letters and of other ASCII; None if it must stay whole."""
-        if "'" in chunk:
-            return None
-        runs = _RUNS.findall(chunk)
-        return runs if all(r.isascii() or _LETTERS.match(r) for r in runs) else None
+        return _RUNS.findall(chunk) if _IN_RUNS(chunk) else None
 
     def parts(self, text: str):
         """Pairs of a special token's id (or None) and the chunks before it."""
@@ -71,40 +75,72 @@ class Chunker:
         yield self.chunks(text[at:] if at else text), None
 
 
-class IdTable(dict):
+class IdTable:
     """Chunk -> its ids as little-endian unsigned 32-bit bytes; forgets all once it holds `bound` chunks."""
 
     def __init__(self, path: str, bound: int = 600_000):
         self.chunker, self.bound = Chunker(path), bound
-        self.bare = Tokenizer(self.chunker.tokenizer.model)  # for words that are one piece of the vocabulary's alphabet
-
-    def _add(self, chunks: list[str], names: list[str], tokenizer: Tokenizer) -> None:
+        self.ids: dict[str, bytes] = {}
+        self.bare = Tokenizer(self.chunker.tokenizer.model)  # for words of letters alone, which aren't split further
+        vocab, suffix = self.chunker.spec["model"]["vocab"], self.chunker.spec["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _add_words(self, words: list[str]) -> None:
+        """Words of letters, thousands in one call; the tokens that end a word tell where."""
+        for k in range(0, len(words), 4096):
+            own = words[k : k + 4096]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+            self.ids.update(zip(own, [raw[a:b] for a, b in pairwise([0, *ends])], strict=True))
+
+    def _add(self, chunks: list[str]) -> None:
         for k in range(0, len(chunks), 4096):
-            encoded = tokenizer.encode_batch_fast(names[k : k + 4096], add_special_tokens=False)
-            for c, e in zip(chunks[k : k + 4096], encoded, strict=True):
-                self[c] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, without begin, end or other added tokens."""
-        if len(self) > self.bound:
-            self.clear()
-        split = [list(self.chunker.parts(t)) for t in texts]
-        seen: set[str] = set()
-        for parts in split:
-            for chunks, _ in parts:
-                seen.update(chunks)
-        new = {c: self.chunker.runs(c) for c in seen if c not in self}
-        runs = {r for c, own in new.items() for r in own or [c] if r not in self}
-        letters = [r for r in runs if _LETTERS.fullmatch(r)]
-        self._add(letters, list(map(as_bytes, letters)), self.bare)
-        other = [r for r in runs if r not in self]
-        self._add(other, other, self.chunker.tokenizer)
-        for c, own in new.items():
-            if c not in self:
-                self[c] = b"".join(map(self.__getitem__, own))
-        out = []
-        for parts in split:
-            out.append(b"".join(b"".join(map(self.__getitem__, chunks)) + (b"" if i is None else i.to_bytes(4, "little")) for chunks, i in parts))
+            own = chunks[k : k + 4096]
+            for c, e in zip(own, self.chunker.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
+                self.ids[c] = array("I", e.ids).tobytes()
+
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of these distinct chunks."""
+        if len(self.ids) > self.bound:
+            self.ids.clear()
+        ids = self.ids
+        ids[""] = b""
+        new = {c for c in chunks if c not in ids}
+        words = set(filter(_ALL_LETTERS, new))
+        mixed = {c: self.chunker.runs(c) or [c] for c in new - words}
+        runs = {r for own in mixed.values() for r in own}.difference(ids, words)
+        inside = set(filter(_ALL_LETTERS, runs))
+        self._add_words([*words, *inside])
+        self._add([*(runs - inside)])
+        for c, own in mixed.items():
+            if c not in ids:
+                ids[c] = b"".join(map(ids.__getitem__, own))
+        return list(map(ids.__getitem__, chunks))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, without begin, end or other added tokens; a null text has none.
+
+        Arrow splits the texts and numbers their distinct chunks; Python sees each of those once.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.chunker.odd).to_numpy(zero_copy_only=False)
+        words = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pa.array(~odd))))
+        coded = words.flatten().dictionary_encode()
+        found = pa.array(self.lookup(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy())])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        data = b"".join([found.buffers()[2] or b""]) if len(found) else b""
+        out, k = [], 0
+        for text, strange in zip(texts, odd, strict=True):
+            if strange:
+                own = list(self.chunker.parts(text.as_py()))
+                distinct = list({c for chunks, _ in own for c in chunks})
+                at = dict(zip(distinct, self.lookup(distinct), strict=True))
+                out.append(b"".join(b"".join(map(at.__getitem__, chunks)) + (b"" if i is None else i.to_bytes(4, "little")) for chunks, i in own))
+            else:
+                out.append(data[ends[k] : ends[k + 1]])
+                k += 1
         return out
 
 

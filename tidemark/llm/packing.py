@@ -34,8 +34,8 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
         table, row = _table(path), TaskContext.get().partitionId() << 36
         for batch in batches:
             out = {k: [] for k in ("at", "piece", "start", "length", "crc", "place", "ids")}
-            for base in range(0, batch.num_rows, 256):
-                ids = table.encode([x.as_py() or "" for x in batch.column(1)[base : base + 256]])
+            for base in range(0, batch.num_rows, 1024):
+                ids = table.encode(batch.column(1)[base : base + 1024])
                 for i, raw in enumerate(ids):
                     raw += closing
                     for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
