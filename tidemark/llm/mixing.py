@@ -109,11 +109,13 @@ def mix_sources(
 
     drawn = F.xxhash64("id", "size", F.lit(seed))
     placed = docs.join(targets.withColumnRenamed("source", "s"), F.expr("source <=> s")).withColumn("shard", F.pmod(F.xxhash64(drawn, F.lit(1)), "shards"))
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("seats"))
-    schema = "source string, shard long, shard_size long, seats long, quota long"
-    shards = shards.groupBy("source").applyInPandas(_quotas("shard_size", "seats"), schema).select(F.col("source").alias("s"), F.col("shard").alias("h"), "shard_size", F.col("quota").alias("blocks"))
-    placed = placed.drop("s", "quota").join(shards, F.expr("source <=> s and shard = h"))
-    line = W.partitionBy("source", "shard").orderBy(drawn, "id", "size").rowsBetween(W.unboundedPreceding, 0)
+    # never null, so that the join by it and the window after it need one shuffle
+    placed = placed.withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    shards = placed.groupBy("of", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("seats"))
+    schema = "of string, shard long, shard_size long, seats long, quota long"
+    shards = shards.groupBy("of").applyInPandas(_quotas("shard_size", "seats"), schema).select("of", "shard", "shard_size", F.col("quota").alias("blocks"))
+    placed = placed.drop("s", "quota").join(shards, ["of", "shard"])
+    line = W.partitionBy("of", "shard").orderBy(drawn, "id", "size").rowsBetween(W.unboundedPreceding, 0)
     words = F.least(F.col("blocks") * F.lit(block), (F.col("shard_size") * F.lit(float(most))).cast("long"))
     rounds = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(F.lit(0))
     placed = placed.withColumns({"end": F.sum("size").over(line), "rounds": rounds}).withColumn("rest", words - F.col("rounds") * F.col("shard_size"))
