@@ -46,9 +46,9 @@ _REGIME = _DISP + ", l AS (SELECT date, stddev_samp(r) AS level, max(close) - mi
 _LAG = lambda c, k: f"{c} - lag({c}, {k}) OVER (ORDER BY date)"
 add(
     "c9_regime",
-    f"WITH {_REGIME}, dm AS (SELECT date, dispersion, {_DMEAN} AS dispersion_mean FROM d) SELECT date, {r6('level', 'level')}, {r6(_LAG('level', 5), 'level_5')}, {r6(_LAG('level', 21), 'level_21')}, {r6('spread', 'spread')}, "
+    f"WITH {_REGIME}, dm AS (SELECT date, dispersion, {_DMEAN} AS dispersion_mean FROM d) SELECT date, {r6('level', 'level')}, {r6(_LAG('level', 5), 'level_5')}, {r6(_LAG('level', 21), 'level_21')}, {r6('spread', 'spread', 3)}, "
     f"{r6('spread / nullif(lag(spread, 21) OVER (ORDER BY date), 0) - 1', 'spread_21', 3)}, {r6('dispersion', 'dispersion')}, {r6('dispersion_mean', 'dispersion_mean')} FROM l LEFT JOIN dm USING (date)",
-    lambda s, sf: x.regime(returns(s, sf)).withColumn("spread_21", F.round("spread_21", 3)),
+    lambda s, sf: x.regime(returns(s, sf)).withColumns({c: F.round(c, 3) for c in ("spread", "spread_21")}),
 )
 add("c10_equal_weight", f"WITH {RETURNS} SELECT date, {r6('avg(r)', 'bench_return')} FROM rets GROUP BY 1", lambda s, sf: x.equal_weight(returns(s, sf), "r"))
 
