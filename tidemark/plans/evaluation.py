@@ -32,7 +32,12 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 
 add("a9_hit_rate", f"WITH {_HIT} SELECT {r6('avg(CAST(sign(a) = sign(r) AS INT))', 'hit')} FROM h WHERE a <> 0 AND r <> 0", lambda s, sf: hits(s, sf).where("a <> 0 and r <> 0").agg(F.avg((F.signum("a") == F.signum("r")).cast("int")).alias("hit")))
 add("a10_hit_rate_with_zeros", f"WITH {_HIT} SELECT {r6('avg(CAST((a > 0) = (r > 0) AS INT))', 'hit')} FROM h WHERE r IS NOT NULL", lambda s, sf: hits(s, sf).where("r is not null").agg(F.avg(((F.col("a") > 0) == (F.col("r") > 0)).cast("int")).alias("hit")))
-_NET = f"{BACKTEST}, nt AS (SELECT date, year(date) AS year, coalesce(gross, 0) - turnover * 6 / 1e4 AS net FROM bt)"
+_NET = f"{BACKTEST}, nt AS (SELECT date, year(date) AS year, round(coalesce(gross, 0) - turnover * 6 / 1e4, 12) AS net FROM bt)"
+
+
+def daily_net(spark: SparkSession, sf: str) -> DataFrame:
+    """The backtest without what the order of a sum adds: a day without gain is 0 in every run."""
+    return backtest(spark, sf).withColumn("net", F.round("net", 12))
 
 
 def _sheet(keys: str) -> str:
@@ -43,8 +48,8 @@ def _sheet(keys: str) -> str:
     return f"WITH {_NET}, eq AS (SELECT *, exp(sum(ln(1 + {clipped})) OVER {over}) AS equity FROM nt), dd AS (SELECT *, equity / max(equity) OVER {over} - 1 AS drawdown FROM eq) SELECT {keys + ', ' if keys else ''}{cols} FROM dd {'GROUP BY ' + keys if keys else ''}"
 
 
-add("a14_tearsheet", _sheet(""), lambda s, sf: e.tearsheet(backtest(s, sf)))
-add("a15_yearly_table", _sheet("year"), lambda s, sf: e.tearsheet(backtest(s, sf).withColumn("year", F.year("date").cast("long")), "net", "year"))
+add("a14_tearsheet", _sheet(""), lambda s, sf: e.tearsheet(daily_net(s, sf)))
+add("a15_yearly_table", _sheet("year"), lambda s, sf: e.tearsheet(daily_net(s, sf).withColumn("year", F.year("date").cast("long")), "net", "year"))
 _QUART = "qt AS (SELECT quantile_cont(c, 0.25) AS a, quantile_cont(c, 0.5) AS b, quantile_cont(c, 0.75) AS d FROM lv), nm AS (SELECT lv.*, CASE WHEN c <= a THEN 'q1' WHEN c <= b THEN 'q2' WHEN c <= d THEN 'q3' WHEN c IS NOT NULL THEN 'q4' END AS bucket FROM lv, qt)"
 add("a17_quartile_buckets", f"WITH {PANEL}, lv AS (SELECT date, sum(volume) AS c FROM panel GROUP BY 1), {_QUART} SELECT date, bucket FROM nm", lambda s, sf: e.quartile_names(price_panel(s, sf).groupBy("date").agg(F.sum("volume").alias("c")), "c").select("date", "bucket"))
 add("a16_regime_breakdown", f"WITH {RETURNS}, lv AS (SELECT date, sum(volume) AS c, avg(r) AS m FROM rets GROUP BY 1), {_QUART} SELECT bucket, count(*) AS n, {r6('avg(m)', 'mean')}, {r6('stddev_samp(m)', 'std')}, {r6('avg(CAST(m > 0 AS INT))', 'hit')} FROM nm GROUP BY 1", lambda s, sf: e.quartile_names(scores(s, sf).groupBy("date").agg(F.sum("score").alias("c"), F.avg("r").alias("m")), "c").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"), F.avg((F.col("m") > 0).cast("int")).alias("hit")))
