@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and columns with clashing names."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -174,6 +176,31 @@ def test_parts_of_one_credential(spark):
     assert kinds == {0: ["identifier", "weak_secret"], 1: [], 2: [], 3: ["endpoint", "weak_secret"]}
 
 
+def test_parts_far_apart_by_their_starts(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("ghijkmnpqr"), n))
+    part = [lambda n: "user=" + word(n), lambda n: "key=" + word(n + 3), lambda n: "https://" + word(n + 1), lambda n: "token=" + word(n + 3)]
+    texts = ["." * 230 + " user=" + "b" * 14 + " " * 236 + "key=abcdef123", "key=" + "z" * 900 + " user=bob99", "https://" + "z" * 700 + " " * 241 + "key=abcdef123"]
+    for _ in range(300):
+        pieces = ["-" * int(rng.integers(0, 300))]
+        for _ in range(int(rng.integers(2, 6))):
+            pieces += [part[rng.integers(0, 4)](int(rng.choice([5, 40, 200, 500, 1200]))), " " * int(rng.choice([1, 100, 239, 240, 241, 400]))]
+        texts.append(" ".join(pieces))
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.found] for r in rows}
+    patterns = {"assign": secrets._ASSIGN, "access": secrets._ACCESS, "hex": secrets._HEX, "identifier": secrets._IDENTIFIER, "weak_secret": secrets._WEAK, "endpoint": secrets._ENDPOINT}
+    long = 0
+    for i, text in enumerate(texts):
+        all_ = [(m.start(), k, m.end()) for k, p in patterns.items() for m in re.finditer(p, text)]
+        role = lambda s: secrets._ROLE[s[1]]
+        near = lambda a, b: b[0] - a[2] <= 240 and a[0] - b[2] <= 240
+        linked = [a for a in all_ if a[1] in secrets.EXTRA and any(role(a) != role(b) and "secret" in (role(a), role(b)) and near(a, b) for b in all_)]
+        want = [a for a in all_ if a[1] in secrets.BASE] + linked
+        assert sorted(got[i]) == sorted(want), (i, text)
+        long += any(a[2] - a[0] > 480 for a in linked)
+    assert long > 20 and [k for _, k, _ in got[0]] == ["identifier", "weak_secret"] and len(got[1]) == 2 and not got[2]
+
+
 def test_checksums():
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")

@@ -67,8 +67,9 @@ def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     Base spans (assignments, access keys, long hexadecimal runs) stand for themselves. Further parts of credentials
     (a user or client name, a weakly named secret, an endpoint's address) are candidates only: an interval join of
     all parts of one text reports those whose window of `scope` code points, before or after, holds a part of
-    another role, where one of the two is a secret. Parts are joined by the text's key and the cell of `scope` code
-    points that they start in, so a text with many parts isn't expanded into all pairs, only those in neighbouring cells.
+    another role, where one of the two is a secret. Parts are joined by the text's key and cells of `scope` code points:
+    one side by the cells that a part covers, the other by those that its window does, so a part of any length meets
+    all within its window, and a text with many parts isn't expanded into all pairs, only those with a cell in common.
 
     Places are in code points, end exclusive. A null text counts as empty and has an empty array. Rows that repeat both
     id and text get the same spans; null ids are rows of their own. Other columns are ignored.
@@ -82,12 +83,13 @@ def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     role = F.create_map(*[F.lit(x) for pair in _ROLE.items() for x in pair])
     parts = rows.where(F.size("weak") > 0).select("id", "h", F.explode(F.concat("base", "weak")).alias("s")).distinct()
-    parts = parts.select("id", "h", "s", role[F.col("s.kind")].alias("role"), F.floor(F.col("s.start") / scope).alias("cell"))
-    near = parts.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    parts = parts.select("id", "h", "s", role[F.col("s.kind")].alias("role"))
+    cells = lambda reach: F.explode(F.sequence(F.floor((F.col("s.start") - reach) / scope), F.floor((F.col("s.end") + reach) / scope)))
     complement = F.expr("x.id <=> y.id and x.h = y.h and x.cell = y.cell and x.role <> y.role and 'secret' in (x.role, y.role)")
     window = (F.col("y.s.start") - F.col("x.s.end") <= scope) & (F.col("x.s.start") - F.col("y.s.end") <= scope)
-    linked = parts.where(F.col("s.kind").isin(*EXTRA)).alias("x").join(near.alias("y"), complement & window, "left_semi")
-    linked = linked.groupBy("id", "h").agg(F.collect_list("s").alias("linked"))
+    weak = parts.where(F.col("s.kind").isin(*EXTRA)).withColumn("cell", cells(0))
+    linked = weak.alias("x").join(parts.withColumn("cell", cells(scope)).alias("y"), complement & window, "left_semi")
+    linked = linked.groupBy("id", "h").agg(F.collect_set("s").alias("linked"))  # a part is linked in each of its cells
     out = rows.alias("r").join(linked.alias("l"), F.expr("r.id <=> l.id and r.h = l.h"), "left")
     found = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(_SPANS))))
     return out.select(F.col("r.id").alias(id_col), found.alias("found"), *[F.col(f"keep_{c}").alias(c) for c in keep])
