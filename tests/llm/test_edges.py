@@ -163,6 +163,25 @@ def test_small_world_finds_neighbours():
     assert np.mean([len(set(a[:10].tolist()) & set(b.tolist())) / 10 for a, b in zip(ids, truth)]) > 0.9
 
 
+def test_small_world_keeps_its_entry():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2, 40, 8))
+    for n in range(1, 40):
+        graph_ = hnsw.SmallWorld(x[0, :n] / np.linalg.norm(x[0, :n], axis=1, keepdims=True))
+        assert hnsw.SmallWorld.load(graph_.x, graph_.dump()).entry == graph_.entry
+
+
+def test_rare_links_over_many_shards(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 24))
+    x[3960:] = x[:40] + 0.2 * rng.normal(size=(40, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    rows = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in hnsw.near_vectors(rows, shard_rows=1000, query_rows=500, degree=2, beam=4).collect()}
+    assert close.sum() > 60 and sum(got.values()) >= 0.98 * close.sum() and all(n <= close[i].sum() for i, n in got.items())
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (None, 3), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in graph.components(edges).collect()}

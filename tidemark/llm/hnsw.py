@@ -147,7 +147,7 @@ class SmallWorld:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, *self.links)
+        np.savez(out, *self.links, entry=self.entry)
         return out.getvalue()
 
     @classmethod
@@ -155,41 +155,79 @@ class SmallWorld:
         self = cls.__new__(cls)
         self.x = np.ascontiguousarray(x, np.float32)
         with np.load(io.BytesIO(raw)) as f:
-            self.links = [f[f"arr_{i}"] for i in range(len(f.files))]
-        on_top = np.flatnonzero((self.links[-1] >= 0).any(axis=1))
-        self.entry = int(on_top[0]) if len(on_top) else 0
+            self.links = [f[f"arr_{i}"] for i in range(len(f.files) - 1)]
+            self.entry = int(f["entry"])
         return self
 
 
+def _close(x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each query, the vectors with a cosine of at least `least`, by comparison with every vector."""
+    return [np.flatnonzero(row) for k in range(0, len(q), 256) for row in q[k : k + 256] @ x.T >= least]
+
+
+def _within(graph: SmallWorld, x: np.ndarray, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
+    """What a search finds of each query's matches; the beam is doubled for queries whose beam is more than half matches."""
+    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
+    width, todo = min(beam, len(x)), np.arange(len(q))
+    while len(todo):
+        if width >= len(x):
+            for i, row in zip(todo, _close(x, q[todo], least), strict=True):
+                found[i] = row
+            break
+        ids, sims = graph.search(q[todo], width)
+        full = (sims >= least).sum(axis=1) * 2 > width
+        near = sims >= least - 1e-3  # single precision; confirmed below
+        for i, row, ok in zip(todo, ids, near, strict=True):
+            own = row[ok & (row >= 0)]
+            found[i] = np.sort(own[x[own] @ q[i] >= least])
+        todo, width = todo[full], min(2 * width, len(x))
+    return found
+
+
+def _spread(n: int, most: int) -> np.ndarray:
+    """Up to `most` of the first n places, evenly spread."""
+    return np.unique(np.linspace(0, n - 1, min(most, n)).astype(int))
+
+
+def _passes(found: list[np.ndarray], truth: list[np.ndarray], recall: float) -> bool:
+    got = sum(len(np.intersect1d(f, t, assume_unique=True)) for f, t in zip(found, truth, strict=True))
+    return got >= recall * sum(map(len, truth))
+
+
+def audited_beam(graph: SmallWorld, x: np.ndarray, least: float, *, beam: int = 48, recall: float = 0.999, audit: int = 1024) -> int:
+    """The beam, doubled until a search finds `recall` of what up to `audit` queries match that surely match something.
+
+    The queries are members of the index, evenly spread, each turned in a random direction to a cosine between `least` and 1.
+    """
+    own, rng = x[_spread(len(x), audit)], np.random.default_rng(len(x))
+    off = rng.normal(size=own.shape)
+    off -= (off * own).sum(axis=1, keepdims=True) * own
+    off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
+    cosine = np.clip(rng.uniform(least, 1, (len(own), 1)), -1, 1)
+    q = cosine * own + np.sqrt(1 - cosine**2) * off
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    truth = _close(x, q, least)
+    while beam < len(x) and not _passes(_within(graph, x, q, least, beam), truth, recall):
+        beam *= 2
+    return beam
+
+
 def matches(graph: SmallWorld, x: np.ndarray, q: np.ndarray, least: float, *, beam: int = 48, recall: float = 0.999, audit: int = 64) -> list[np.ndarray]:
     """For each unit query, the indexed unit vectors with a cosine of at least `least`, confirmed in double precision.
 
-    The beam is doubled for the queries whose beam is more than half matches, and for all of them until an audit
-    passes: up to `audit` queries, evenly spread, are compared with every vector, and the search must have found
-    `recall` of what they match. A beam as wide as the index is a comparison with every vector.
+    The beam (see audited_beam, which has evidence for any index) is doubled for the queries whose beam is more than half
+    matches, and for all of them until an audit passes: up to `audit` queries, evenly spread, and as many of those
+    that found something are compared with every vector, and the search must have found `recall` of what they
+    match. A beam as wide as the index is a comparison with every vector.
     """
-    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-    checked = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
-    truth = x @ q[checked].T >= least
+    checked, truth = np.empty(0, int), None
     while True:
-        width, todo = min(beam, len(x)), np.arange(len(q))
-        while len(todo):
-            if width >= len(x):
-                for k in range(0, len(todo), 256):
-                    some = todo[k : k + 256]
-                    close = q[some] @ x.T >= least
-                    for i, row in zip(some, close, strict=True):
-                        found[i] = np.flatnonzero(row)
-                break
-            ids, sims = graph.search(q[todo], width)
-            full = (sims >= least).sum(axis=1) * 2 > width
-            near = sims >= least - 1e-3  # single precision; confirmed below
-            for i, row, ok in zip(todo, ids, near, strict=True):
-                own = row[ok & (row >= 0)]
-                found[i] = np.sort(own[x[own] @ q[i] >= least])
-            todo, width = todo[full], min(2 * width, len(x))
-        got = sum(int(truth[found[i], j].sum()) for j, i in enumerate(checked))
-        if beam >= len(x) or got >= recall * truth.sum():
+        found = _within(graph, x, q, least, beam)
+        if truth is None:
+            linked = np.flatnonzero([len(f) > 0 for f in found])
+            checked = np.union1d(_spread(len(q), audit), linked[_spread(len(linked), audit)] if len(linked) else checked)
+            truth = _close(x, q[checked], least)
+        if beam >= len(x) or _passes([found[i] for i in checked], truth, recall):
             return found
         beam *= 2
 
@@ -230,8 +268,9 @@ def near_vectors(
     reachable by links), kept (id = component_id).
 
     Equal vectors of a label are one class with a count. Each label's classes are dealt by a hash to shards of about
-    shard_rows, each shard gets one small-world graph, and blocks of about query_rows of the label's classes search
-    every shard (see matches: beams widen until the audit passes). A task counts its queries' links and
+    shard_rows, each shard gets one small-world graph and the beam that finds 0.999 of the matches of perturbed members (see
+    audited_beam), and blocks of about query_rows of the label's classes search every shard (see matches: beams
+    widen further until an audit of the block's queries passes). A task counts its queries' links and
     returns a spanning forest of them, so dense groups are never expanded into all their pairs; components are then
     joined over all tasks.
 
@@ -259,9 +298,9 @@ def near_vectors(
         data = data.sort_values("rep", kind="stable")
         x = np.stack(data["x"])
         graph = SmallWorld(x, degree, beam)
-        return pd.DataFrame({"label": key[0], "dim": key[1], "shard": key[2], "parts": data["parts"].iloc[:1], "rep": [data["rep"].to_numpy()], "weight": [data["weight"].to_numpy()], "flat": [x.ravel()], "graph": [graph.dump()]})
+        return pd.DataFrame({"label": key[0], "dim": key[1], "shard": key[2], "parts": data["parts"].iloc[:1], "rep": [data["rep"].to_numpy()], "weight": [data["weight"].to_numpy()], "flat": [x.ravel()], "graph": [graph.dump()], "beam": audited_beam(graph, x, cosine, beam=beam)})
 
-    schema = f"label {kind}, dim int, shard long, parts long, rep array<long>, weight array<long>, flat array<double>, graph binary"
+    schema = f"label {kind}, dim int, shard long, parts long, rep array<long>, weight array<long>, flat array<double>, graph binary, beam int"
     graphs = materialize(classes.select("label", "dim", "shard", "parts", "rep", "weight", "x").groupBy("label", "dim", "shard").applyInPandas(build, schema), "graphs")
     graphs = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     asked = classes.select("label", "dim", "part", "rep", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
@@ -272,7 +311,7 @@ def near_vectors(
             g = graph.iloc[0]
             x, rep, weight = g["flat"].reshape(len(g["rep"]), -1), g["rep"], g["weight"]
             own = queries["rep"].to_numpy()
-            found = matches(SmallWorld.load(x, g["graph"]), x, np.stack(queries["x"]), cosine, beam=beam)
+            found = matches(SmallWorld.load(x, g["graph"]), x, np.stack(queries["x"]), cosine, beam=int(g["beam"]))
             a = np.repeat(own, [len(f) for f in found])
             b = np.concatenate(found)
             keep = rep[b] != a
