@@ -4,10 +4,11 @@ import datetime as dt
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import labels, portfolio, timeaxis, xsection
+from tidemark.operators import evaluation, labels, portfolio, timeaxis, xsection
 from tidemark.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -79,3 +80,16 @@ def test_books_are_neutral(spark, toy):
     assert all(abs(r.net) < 1e-12 and abs(r.gross - 1) < 1e-12 for r in book.collect())
     ranks = toy.select("date", xsection.centred_rank("close").alias("k")).where("date > '2020-01-01'").groupBy("date").agg(F.min("k").alias("a"), F.max("k").alias("b"))
     assert all((r.a, r.b) == (-0.5, 0.5) for r in ranks.collect())
+
+
+@pytest.mark.parametrize("method, block, length", [("block", None, 8), ("block", 20, 20), ("iid", None, 1)])
+def test_bootstrap_as_numpy(spark, method, block, length):
+    r = np.random.default_rng(6).normal(0.001, 0.01, 70)
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), x) for i, x in enumerate(r.tolist())] + [(dt.date(2019, 1, 1), None)]
+    got = evaluation.bootstrap_sharpe(spark.createDataFrame(rows, "date date, net double"), block=block, method=method).first()
+    starts = spark.range(1000).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(-(-70 // length) - 1))))
+    among = 70 if method == "iid" else 70 - length
+    at = np.array([h % among for _, _, h in sorted(starts.select("id", "k", F.xxhash64("id", "k", F.lit(7))).collect())]).reshape(1000, -1)
+    drawn = r[(at[:, :, None] + np.arange(length)).reshape(1000, -1)[:, :70]]
+    s = drawn.mean(axis=1) / drawn.std(axis=1, ddof=1) * 252**0.5
+    assert np.allclose([got.low, got.mid, got.high], np.percentile(s, [2.5, 50, 97.5]))

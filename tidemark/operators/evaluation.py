@@ -81,17 +81,24 @@ def cross_sectional_slopes(df: DataFrame, x: str, y: str, ridge: float = 1e-4, l
     return both.groupBy("date").agg(F.when(F.count(F.lit(1)) >= least, slope).alias("slope")).where("slope is not null")
 
 
-def bootstrap_sharpe(daily: DataFrame, r: str = "net", draws: int = 200, block: int = 20, seed: int = 7) -> DataFrame:
-    """low, mid, high: 2.5, 50 and 97.5 percentiles of the Sharpe ratio over moving-block resamples.
+def bootstrap_sharpe(daily: DataFrame, r: str = "net", draws: int = 1000, block: int | None = None, seed: int = 7, method: str = "block") -> DataFrame:
+    """low, mid, high: 2.5, 50 and 97.5 percentiles of the Sharpe ratio over resamples of n of the n rows with r.
 
-    The start of each block is a hash of (draw, block, seed), so results repeat; blocks join rows by their number.
+    method: "block" for moving blocks of `block` rows (by default the root of n, 2 at least), the last cut so that n
+    remain, or "iid" for single rows. The start of each block is a hash of (draw, block, seed), so results repeat;
+    blocks join rows by their number. NULL under 30 rows.
     """
-    rows = daily.withColumn("_i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("date")) - 1).select("_i", r)
+    if method not in ("block", "iid"):
+        raise ValueError(f"unknown bootstrap method: {method!r}")
+    rows = daily.where(F.col(r).isNotNull()).withColumn("_i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("date")) - 1).select("_i", r)
     n = rows.count()
     if n < 30:
         return daily.sparkSession.createDataFrame([(None, None, None)], "low double, mid double, high double")
+    length, among = (1, n) if method == "iid" else (max(2, block or int(n**0.5)), None)
+    among = among or max(1, n - length)
     spark = daily.sparkSession
-    starts = spark.range(draws).withColumnRenamed("id", "draw").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(-(-n // block) - 1))))
-    starts = starts.withColumn("_i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda j: (F.pmod(F.xxhash64("draw", "k", F.lit(seed)), F.lit(max(1, n - block))) + j).cast("int"))))
+    starts = spark.range(draws).withColumnRenamed("id", "draw").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(-(-n // length) - 1))))
+    places = F.filter(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: F.col("k") * length + j < n)
+    starts = starts.withColumn("_i", F.explode(F.transform(places, lambda j: (F.pmod(F.xxhash64("draw", "k", F.lit(seed)), F.lit(among)) + j).cast("int"))))
     drawn = starts.join(rows, "_i").groupBy("draw").agg(sharpe(r).alias("s"))
     return drawn.agg(*[F.percentile("s", q).alias(name) for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])
