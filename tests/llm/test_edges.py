@@ -225,3 +225,15 @@ def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     found = pii.extra_spans("iban GB82 WEST 1234 5698 7654 32 and ssn 123-45-6789")
     assert [k for _, k, _ in found] == [4, 5]
+
+
+def test_words_after_account_numbers():
+    spanish, british = "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32"
+    for before in ("", "iban ", "AB12 ", "REF1 "):
+        for after in ("", " EUR", " 250", " USD 12", " BANK", " BANK 1234 5678", ".", " eur", f" {spanish}", f" {british}"):
+            for code in (spanish, spanish.replace(" ", ""), british, "NO93 8601 1117 947"):
+                text = before + code + after
+                found = [text[s:e] for s, k, e in pii.extra_spans(text) if k == 4]
+                assert found == [code] + [after.strip()] * (len(after) > 20), text
+    assert pii.extra_spans("ES91 2100 0418 4502 0005 1333 EUR") == [] and pii.redact(spanish + " EUR") == "[IBAN] EUR"
+    assert len(pii.extra_spans(f"{spanish} " * 2000)) == 2000 and pii.extra_spans("AB12 " * 20000) == []

@@ -59,6 +59,18 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers that pass mod-97: what the pattern proposes, or as much of it up to a space, the longest first."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        end = m.end()
+        while end > m.start() and not mod97(text[m.start() : end]):
+            end = text.rfind(" ", m.start(), end)
+        if end > m.start():
+            yield m.start(), end
+        at = end if end > m.start() else m.start() + 1
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -80,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def extra_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of the further kinds that their checks confirm, in the same form."""
-    out = [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m.group())]
+    out = [(s, 4, e) for s, e in _accounts(text)]
     out += [(m.start(), 5, m.end()) for m in _SSN.finditer(text)]
     return sorted(out)
 
