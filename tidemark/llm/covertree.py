@@ -1,4 +1,4 @@
-"""Exact top-k inner products by dual-tree search over one cover tree of queries and data."""
+"""Exact top-k inner products: groups of queries from a tree search the data of the same tree with bounds."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ class CoverTree:
     """A cover tree of points: every node has a centre, one of its points, and the radius that covers them all.
 
     Children cover a node's points with balls of less than half of its radius whose centres are at least that far
-    apart; nodes of at most `leaf` points or of radius 0 aren't split. Arrays by node: centre, radius, first, last (its
+    apart, unless these balls hold few points each (usual in many dimensions): then the children are the cells of the
+    nearest of some of the centres, without a cover tree's separation or halved radius, so that only the radius that each
+    node carries is sure. Nodes of at most `leaf` points or of radius 0 aren't split. Arrays by node: centre, radius, first, last (its
     points are order[first:last]), children as lists.
     """
 
@@ -67,8 +69,9 @@ class CoverTree:
 def dual_tree_top_k(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, leaf: int = 64) -> pd.DataFrame:
     """The k highest integer inner products of each query with the data of other ids, ties to the smaller id.
 
-    Queries and data share one cover tree; each node knows how many of either it holds. Node pairs are visited from
-    the root down, the most promising first; a pair is left when the bound on any product between its query and its
+    Queries and data share one tree (see CoverTree); each node knows how many of either it holds. The leaves' query
+    groups are taken one by one, and each goes down the data side from the root, the most promising node first; inner
+    nodes of queries are never bounded. A node is left when the bound on any product between the group's queries and its
     data points, <q, p> + rq |p| + rp |q| + rq rp of centres and radii, is below the worst k-th score in the query group.
     """
     both = np.concatenate([queries, data]).astype(np.float64)
