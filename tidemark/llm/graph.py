@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     before, k = _state(now), 0
     while before[0]:
         k += 1
-        now = materialize(_small_star(_large_star(now)), f"{name}-{k}")
+        last, now = now, materialize(_small_star(_large_star(now)), f"{name}-{k}")
+        discard(last)
         after = _state(now)
         if after == before:
             break
