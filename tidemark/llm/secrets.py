@@ -30,6 +30,8 @@ _RULES = {
     "weak_secret": (_WEAK, ("=", ":"), 0, 0),
     "endpoint": (_ENDPOINT, ("://",), 0, 0),
 }
+#: Lengths that are added up together.
+_BLOCK = 256
 _SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
 
@@ -48,13 +50,20 @@ def _matches(text: Column, kind: str) -> list[Column]:
 def _spans(kind: str) -> Column:
     """Array of (start, ord, kind, end) of all matches of a kind, in code points.
 
-    What the pattern splits off and what it matches alternate, so their lengths add up to the places.
+    What the pattern splits off and what it matches alternate, so their lengths add up to the places. The sums are
+    taken by blocks, so a text with very many matches takes little more than their number.
     """
     pattern, _, group, least = _RULES[kind]
     found, between, order = F.col(f"{kind}_found"), F.col(f"{kind}_between"), (BASE + EXTRA).index(kind)
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    start = lambda i: total(F.slice(between, 1, i + 1)) + total(F.transform(F.slice(found, 1, i), F.length))
-    spans = F.transform(found, lambda m, i: F.struct(start(i).alias("start"), m.alias("match")))
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  (computed once)
+    steps = F.zip_with(between, F.transform(found, F.length), lambda a, b: a + F.coalesce(b, F.lit(0)))
+    blocks = lambda s: F.transform(F.sequence(F.lit(0), F.floor(F.size(s) / _BLOCK).cast("int")), lambda b: total(F.slice(s, b * _BLOCK + 1, _BLOCK)))
+    sums = lambda s: let(blocks(s), lambda t: F.transform(t, lambda _, b: total(F.slice(t, 1, b))))
+    place = lambda s, t, i: F.get(t, F.floor(i / _BLOCK).cast("int")) + total(F.slice(s, i - i % _BLOCK + 1, i % _BLOCK))
+    starts = let(steps, lambda s: let(sums(s), lambda t: F.transform(s, lambda _, i: place(s, t, i))))
+    spans = F.zip_with(F.zip_with(starts, between, lambda a, b: a + b), found, lambda a, m: F.struct(a.alias("start"), m.alias("match")))
+    spans = F.filter(spans, lambda s: s["match"].isNotNull())  # what follows the last match has none
     if group:
         spans = F.filter(spans, lambda s: F.length(F.regexp_extract(s["match"], pattern, group)) >= least)
     spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), (s["start"] + F.length(s["match"])).alias("end")))
@@ -72,7 +81,8 @@ def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     all within its window, and a text with many parts isn't expanded into all pairs, only those with a cell in common.
 
     Places are in code points, end exclusive. A null text counts as empty and has an empty array. Rows that repeat both
-    id and text get the same spans; null ids are rows of their own. Other columns are ignored.
+    id and text get the same spans; null ids are rows of their own. Other columns are ignored. Spans of one start are ordered
+    by kind. Texts are read whole whatever their length. An empty table gives an empty result.
     """
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     kept = [F.col(f"keep_{c}") for c in keep]
