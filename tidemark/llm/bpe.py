@@ -27,6 +27,10 @@ _ALL_LETTERS = re.compile("[a-zß-öø-ɏ]+").fullmatch
 _IN_RUNS = re.compile("[\x00-&(-\x7fß-öø-ɏ]+").fullmatch
 
 
+#: Chunks of more characters than this are rare and aren't kept.
+_LONG = 256
+
+
 def byte_alphabet() -> dict[int, str]:
     """Byte -> its character in byte-level vocabularies: printable ones stand for themselves, the rest follow from 256 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -35,6 +39,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 _BYTES = byte_alphabet()
+_UNBYTES = {ord(c): chr(b) for b, c in _BYTES.items()}
 
 
 def as_bytes(word: str) -> str:
@@ -42,6 +47,11 @@ def as_bytes(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
 
 
+def _as_text(word: str) -> str:
+    """The word whose bytes are the characters of the vocabulary's alphabet."""
+    return word if word.isascii() else word.translate(_UNBYTES).encode("latin-1").decode("utf-8", "replace")
+
+
 class Chunker:
     """Splits texts into normalised chunks; special tokens' strings are found before normalisation, as by default."""
 
@@ -76,7 +86,7 @@ class Chunker:
 
 
 class IdTable:
-    """Chunk -> its ids as little-endian unsigned 32-bit bytes; forgets all once it holds `bound` chunks."""
+    """Chunk -> its ids as little-endian unsigned 32-bit bytes; forgets all once it holds `bound` chunks, long ones at once."""
 
     def __init__(self, path: str, bound: int = 600_000):
         self.chunker, self.bound = Chunker(path), bound
@@ -117,7 +127,11 @@ class IdTable:
         for c, own in mixed.items():
             if c not in ids:
                 ids[c] = b"".join(map(ids.__getitem__, own))
-        return list(map(ids.__getitem__, chunks))
+        out = list(map(ids.__getitem__, chunks))
+        for c in [*new, *runs]:
+            if len(c) > _LONG:
+                del ids[c]
+        return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, without begin, end or other added tokens; a null text has none.
@@ -151,9 +165,12 @@ class PrefixCounts(dict):
     that ends there, is its own encoding, and stands next to the last token of what is before it without a merge
     across the border; a word's end is the same choice among tokens with the end suffix. Each choice needs only
     tokens already chosen for shorter prefixes, so one pass gives the exact count at every prefix. Words that begin
-    alike share their prefixes' choices.
+    alike share the choices of their first `shared` prefixes; beyond, a word's choices are two arrays by place, so a word takes
+    memory in proportion to its length.
     """
 
+    shared = 24
+
     def __init__(self, path: str, bound: int = 500_000):
         self.chunker, self.bound = Chunker(path), bound
         model = self.chunker.spec["model"]
@@ -170,7 +187,7 @@ class PrefixCounts(dict):
         self.longest = max(map(len, [*self.inner, *self.final]), default=1)
         self.spines: tuple[dict, dict] = {}, {}
         self.whole: dict[str, bool] = {}
-        self.state: dict[str, tuple[str, int]] = {"": ("", 0)}
+        self.state: dict[str, tuple[str, int]] = {}
         self._split = self.chunker.tokenizer.pre_tokenizer.pre_tokenize_str
 
     def words(self, chunk: str) -> list[str]:
@@ -228,35 +245,65 @@ class PrefixCounts(dict):
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts[0] == token
 
-    def _last(self, word: str, i: int, tokens: dict[str, str]) -> tuple[str, int]:
-        state, own = self.state, self.whole
+    def _last(self, word: str, i: int, tokens: dict[str, str], last: list[str], count: array) -> tuple[str, int]:
+        """The last token and the number of tokens of the first i characters, from those of shorter prefixes."""
+        own = self.whole
         for k in range(max(0, i - self.longest), i):
             token = tokens.get(word[k:i])
-            if token is not None and (own.get(token) or self._own(token)):
-                before, n = state[word[:k]]
-                if not k or self._meet(before, token):
-                    return token, n + 1
-        raise ValueError(f"no token ends at {i} in {word!r}")
+            if token is not None and (own.get(token) or self._own(token)) and (not k or self._meet(last[k], token)):
+                return token, count[k] + 1
+        raise ValueError(f"no token ends at {i} in {word[:100]!r}")
+
+    def _states(self, word: str, stop: int) -> tuple[list[str], array]:
+        """The last token and the number of tokens by place below stop, while the word goes on."""
+        last, count, state = [""], array("q", [0]), self.state
+        if len(state) > 300_000:
+            state.clear()
+        for i in range(1, stop):
+            if i > self.shared:
+                token, n = self._last(word, i, self.inner, last, count)
+            else:
+                known = state.get(head := word[:i])
+                if known is None:
+                    known = state[head] = self._last(word, i, self.inner, last, count)
+                token, n = known
+            last.append(token)
+            count.append(n)
+        return last, count
 
     def prefixes(self, word: str) -> list[int]:
         """The number of tokens of each prefix of the word, from one character on, as if the text ended there."""
-        return [self._count(word[:i]) for i in range(1, len(word) + 1)]
+        last, count = self._states(word, len(word) + (not self.suffix))
+        if not self.suffix:
+            return count.tolist()[1:]
+        return [self._last(word, i, self.final, last, count)[1] for i in range(1, len(word) + 1)]
 
     def _count(self, word: str) -> int:
-        if not self.suffix:
-            self._grow(word, len(word) + 1)
-            return self.state[word][1]
-        self._grow(word, len(word))
-        return self._last(word, len(word), self.final)[1]
-
-    def _grow(self, word: str, stop: int) -> None:
-        if len(self.state) > 300_000:
-            self.state = {"": ("", 0)}
-        known = stop - 1
-        while word[:known] not in self.state:
-            known -= 1
-        for i in range(known + 1, stop):
-            self.state[word[:i]] = self._last(word, i, self.inner)
+        last, count = self._states(word, len(word) + (not self.suffix))
+        return self._last(word, len(word), self.final, last, count)[1] if self.suffix else count[-1]
+
+    def fitting(self, chunk: str, left: int) -> int:
+        """How many of the chunk's first characters have at most `left` tokens.
+
+        Runs and words that fit are passed whole; inside the first that doesn't, the longest prefix that fits is found
+        in its prefix counts.
+        """
+        at = 0
+        for run in self.chunker.runs(chunk) or [chunk]:
+            if (n := self[run]) > left:
+                chunk = run
+                break
+            left, at = left - n, at + len(run)
+        else:
+            return at
+        for word in self.words(chunk):
+            if (n := self._count(word)) <= left:
+                left, at = left - n, at + len(_as_text(word))
+                continue
+            raw = word.translate(_UNBYTES).encode("latin-1") if not word.isascii() else word.encode()
+            fits = [i for i, n in enumerate(self.prefixes(word), 1) if n <= left and (i == len(raw) or raw[i] & 0xC0 != 0x80)]
+            return at + (len(raw[: fits[-1]].decode()) if fits else 0)
+        return at
 
     def __missing__(self, chunk: str) -> int:
         if len(self) > self.bound:
@@ -266,7 +313,8 @@ class PrefixCounts(dict):
             n = sum(map(self._count, self.words(chunk)))
         else:  # its runs may be chunks elsewhere
             n = sum(map(self.__getitem__, runs))
-        self[chunk] = n
+        if len(chunk) <= _LONG:
+            self[chunk] = n
         return n
 
     def count(self, text: str) -> int:

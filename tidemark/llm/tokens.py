@@ -30,7 +30,8 @@ def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     which a budget or a truncation is answered without encoding again.
 
     A null text counts as empty (0 bytes, 0 tokens, an empty array). Null and repeated ids give a row each. Other
-    columns are ignored. tokenizer: path of a word BPE file on the executors; by default word_bpe_49k.json.
+    columns are ignored. Texts and words of any length are counted whole, in memory in proportion to their length. An
+    empty table gives an empty result. tokenizer: path of a word BPE file on the executors; by default word_bpe_49k.json.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
@@ -59,7 +60,8 @@ def truncate(documents: DataFrame, budget: int, text_col: str = "text", *, token
     """documents with a column `truncated`: the longest run of whole chunks from the start of the normalised text
     that has at most `budget` tokens, continued inside the next chunk while it still fits.
 
-    The cut is found in the prefix counts; nothing is encoded. A null text stays null, an empty one empty, and a
+    The cut is found in the prefix counts; nothing is encoded. Texts and words of any length take memory in proportion to
+    their length. An empty table gives an empty result. A null text stays null, an empty one empty, and a
     budget below 1 gives empty texts. A column named `truncated` in documents is replaced.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
@@ -75,9 +77,8 @@ def truncate(documents: DataFrame, budget: int, text_col: str = "text", *, token
             k = int(np.searchsorted(ends, budget, "right"))
             kept, left = chunks[:k], budget - (int(ends[k - 1]) if k else 0)
             if k < len(chunks) and left > 0 and chunks[k] not in table.chunker.special:
-                chunk = chunks[k]
-                fit = next((i for i in range(len(chunk) - 1, 0, -1) if table[chunk[:i]] <= left), 0)
-                kept = [*kept, chunk[:fit]] if fit else kept
+                fit = table.fitting(chunks[k], left)
+                kept = [*kept, chunks[k][:fit]] if fit else kept
             return " ".join(kept)
 
         return texts.map(one, na_action=None)
