@@ -114,19 +114,22 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate:
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [list(map(float, statistics(x.as_py() or ""))) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "label", "x"])
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, rows: int = 20_000, **options) -> Trees:
     """Trees that tell label 1 from label 0, from at most `rows` labelled documents (the bound; drawn by a hash of the id).
 
     Labels other than 0 and 1 and null ids are left out; of several labels of one id, the smallest counts. Only
-    the statistics of the bounded sample reach the driver: rows x 30 doubles.
+    the statistics of the bounded sample reach the driver: rows x 30 doubles. Of documents that repeat a labelled id, the
+    one with the smallest statistics counts.
     """
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     own = F.broadcast(own.orderBy(F.xxhash64("id"), "id").limit(rows))  # bounded by rows
-    sample = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(own, "id").select("label", "text")
-    got = sample.mapInArrow(_stats, "label int, x array<double>").toArrow()
+    sample = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(own, "id").select("id", "text", "label")
+    kind = dict(sample.dtypes)["id"]
+    sample = sample.mapInArrow(_stats, f"id {kind}, label int, x array<double>").groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x"))
+    got = sample.select("label", "x").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
     y = got.column("label").to_numpy().astype(float)
     order = np.lexsort([*x.T, y])  # the same trees whatever order the rows come in
