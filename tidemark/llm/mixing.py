@@ -20,8 +20,9 @@ def word_count(text: Column) -> Column:
 def sainte_lague(claims: np.ndarray, seats: int) -> np.ndarray:
     """Seats by highest quotients claim / (2 * own seats + 1), ties to the earlier claim.
 
-    The divisor whose rounded shares come nearest below the number of seats is found by bisection, the few seats
-    left go one by one to the highest quotients: the same result as handing out all seats one by one.
+    The divisor whose rounded shares come nearest below the number of seats is found by bisection. Of the seats left, as
+    many as have quotients above any that a claim could have next go at once, by one sort: the same result as handing
+    out all seats one by one.
     """
     given = np.zeros(len(claims), np.int64)
     if not seats or not len(claims) or claims.max() <= 0:
@@ -34,8 +35,10 @@ def sainte_lague(claims: np.ndarray, seats: int) -> np.ndarray:
             low, given = mid, some
         else:
             high = mid
-    for _ in range(int(seats - given.sum())):
-        given[np.argmax(claims / (2 * given + 1))] += 1
+    while left := int(seats - given.sum()):
+        quotient = claims / (2 * given + 1)
+        sure = int((quotient > (claims / (2 * given + 3)).max()).sum())
+        given[np.argsort(-quotient, kind="stable")[: min(left, max(1, sure))]] += 1
     return given
 
 
@@ -95,7 +98,7 @@ def mix_sources(
 
     The same rows and seed give the same result, whatever the partitions. A null or blank text has size 0 and
     takes nothing; a null source is a source; null and repeated ids are rows of their own. If no text has a word, all
-    targets are 0. Other columns are ignored. An empty table gives an empty result.
+    targets are 0. Other columns are ignored. A text of any length counts whole. An empty table gives an empty result.
     """
     docs = documents.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     docs = materialize(docs, "sizes")
