@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -13,9 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import IdTable
-from .common import materialize
+from .common import discard, materialize
 from .shingles import mix
 
+_LOG = logging.getLogger(__name__)
 _TABLES: dict[str, IdTable] = {}
 _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, place long"
 _PACKED = "place long, length long, unit long, sequence_id long, offset long, full boolean"
@@ -115,6 +117,17 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, opened
 
 
+def _table_bound(pieces: DataFrame, capacity: int) -> int:
+    """The lower bound of a table of pieces, from how many there are of each length: a row for each up to the capacity."""
+    sizes = np.array([tuple(r) for r in pieces.groupBy("length").count().collect()], np.int64).reshape(-1, 2)
+    return lower_bound(sizes[:, 0], capacity, sizes[:, 1])
+
+
+def certificate(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
+    """The sequences that a packing uses, and the number that no packing of its pieces can do with less than."""
+    return packed.select("sequence_id").distinct().count(), _table_bound(packed, capacity)
+
+
 def _pack(capacity: int, round_: int):
     """Best-fit decreasing over one group of pieces; keeps the bins that it was given unless fewer do."""
 
@@ -141,7 +154,8 @@ def pack(
     tokenizer: str | None = None,
     end: int = 0,
     pieces_per_unit: int = 8192,
-    rounds: int = 3,
+    most_units: int = 64,
+    rounds: int = 8,
     with_ids: bool = False,
 ) -> DataFrame:
     """Packs all documents into as few sequences of at most `capacity` tokens as best-fit decreasing finds.
@@ -152,13 +166,15 @@ def pack(
 
     Pieces are dealt by a hash to units of about pieces_per_unit pieces, so no id, source or text that is frequent
     makes a task large. Each unit is packed by itself. The table's lower bound (see lower_bound, from the number
-    of pieces of each length) certifies the total; until it is met, for at most `rounds` rounds, the bins with gaps
-    give their pieces back, groups of units (four, then sixteen, ...) exchange them and pack them anew unless their
-    own lower bound certifies what they have, and the new bins replace the old ones where they are fewer. Full
-    bins stay.
+    of pieces of each length) certifies the total; until it is met, while rounds still save bins (and for at most `rounds`
+    rounds), the bins with gaps give their pieces back, groups of units (four, then sixteen, up to the pieces of
+    most_units units, which bounds a task) exchange them and pack them anew unless their own lower bound certifies what
+    they have, and the new bins replace the old ones where they are fewer. Full bins stay. The bins and the bound are logged;
+    certificate() gives them for any result.
 
     A null text counts as empty (the end token alone). Null and repeated ids give pieces per row. Other columns are
-    ignored. An empty table gives an empty result. Pieces of one row may lie in different sequences.
+    ignored. An empty table gives an empty result. Texts of any length are encoded whole. Pieces of equal length go in the order
+    of a hash of their place. Pieces of one row may lie in different sequences.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -167,16 +183,22 @@ def pack(
     units = max(1, -(-pieces.count() // pieces_per_unit))
     items = pieces.select("place", "length", F.pmod("place", F.lit(units)).alias("unit"))
     items = items.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "full": F.lit(False)})
-    sizes = np.array([tuple(r) for r in pieces.groupBy("length").count().collect()], np.int64).reshape(-1, 2)  # one row for each length up to capacity
-    least = lower_bound(sizes[:, 0], capacity, sizes[:, 1])
+    least = _table_bound(pieces, capacity)
     packed = materialize(items.groupBy("unit").applyInPandas(_pack(capacity, 0), _PACKED), "packed-0")
+    bins = packed.select("sequence_id").distinct().count()
     for k in range(1, rounds + 1):
-        if units == 1 or packed.select("sequence_id").distinct().count() == least:
+        if units == 1 or bins == least:
             break
-        units = -(-units // 4)
-        again = packed.where("not full").withColumn("unit", F.pmod(F.col("unit"), F.lit(units)))
+        groups = max(-(-units // 4**k), -(-units // most_units))
+        # pieces of one bin stay together, so a bin that isn't bettered can stay
+        again = packed.where("not full").withColumn("unit", F.pmod(F.xxhash64("sequence_id", F.lit(k)), F.lit(groups)))
         again = again.groupBy("unit").applyInPandas(_pack(capacity, k), _PACKED)
-        packed = materialize(packed.where("full").unionByName(again), f"packed-{k}")
+        last, packed = packed, materialize(packed.where("full").unionByName(again), f"packed-{k}")
+        discard(last)
+        before, bins = bins, packed.select("sequence_id").distinct().count()
+        if bins == before and groups == -(-units // most_units):
+            break
+    _LOG.info("%d sequences of %d tokens; none can do with fewer than %d", bins, capacity, least)
     out = pieces.join(packed.select("place", "sequence_id", "offset"), "place")
     columns = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     return out.select(F.col("doc_id").alias(id_col), *columns)
