@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .graph import components
 from .shingles import WordHashes, mix, shingle_set
 
@@ -122,6 +122,7 @@ def near_duplicates(
     chunk: int = 6,
     errors: int = 1,
     sketch_limit: int = 24,
+    group_rows: int = 1024,
 ) -> DataFrame:
     """Groups of documents whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`.
 
@@ -131,16 +132,18 @@ def near_duplicates(
     Signatures have chunks * chunk MinHash positions. Each chunk gives one key for every choice of `errors`
     positions left out, so every pair that differs in at most chunks * (errors + 1) - 1 positions shares a key;
     two texts of similarity 0.8 differ in 13 of the 66 positions on average and fail to share a key with a chance
-    of 8e-6. Texts with the same set are one class before keys are made. Buckets (documents of one key) are gathered by
+    of 8e-6; the sketch rules out a further 2.4e-6 of such pairs. Both chances fall fast as the similarity rises. Texts with the same set are one class before keys are made. Buckets (documents of one key) are gathered by
     their hub, the member that meets the most others: first every member of such a group is compared with its hub; after
     that only groups whose members are still in several components compare members of different components,
     inside the join, so groups of copies are never expanded into all their pairs. Candidates whose sizes or whose
     64-position two-bit sketches (limit 24, five standard deviations above the mean at 0.8) rule the similarity
-    out are left; the rest are confirmed on their full sets of 64-bit shingle hashes.
+    out are left; the rest are confirmed on their full sets of 64-bit shingle hashes. Groups of over group_rows members are
+    split: each part of a group meets a copy of the whole, so no task compares all of a large group.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that repeat an id are one vertex
     of the graph: what any of them links to, all do. Rows with a null id link with nothing, have a null
-    component_id and are kept. Other columns are ignored. An empty table gives an empty result.
+    component_id and are kept. Other columns are ignored. Texts of any length are read whole. An empty table gives an empty
+    result.
     """
     percent = round(similarity * 100)  # joins have merge hints where both sides grow with the table
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -177,8 +180,12 @@ def near_duplicates(
     x, y = (small.alias(k).hint("merge") for k in "xy")
     first = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
     first = materialize(first.where(_alike("x", "y", percent, sketch_limit)).select("a", "b"), "minhash-pairs")
-    x, y = groups.alias("x"), groups.alias("y").hint("merge")
-    near = x.join(y, F.expr("x.hub = y.hub and x.id <> y.id") & _alike("x", "y", percent, sketch_limit), "left_semi")
+    parts = groups.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts")).where("parts > 1")
+    split = groups.join(parts, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    copied = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = salted(split).alias("x"), copied(split).alias("y").hint("merge")
+    near = x.join(y, F.expr("x.hub = y.hub and x.salt = y.salt and x.id <> y.id") & _alike("x", "y", percent, sketch_limit), "left_semi")
     near = materialize(near, "minhash-near")
     ids = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).union(near.select("id")).distinct()
     sets = docs.join(ids.hint("merge"), "id").select("id", "text").mapInArrow(_sets(width), "id long, hashes array<long>")
@@ -195,12 +202,13 @@ def near_duplicates(
     placed = near.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("hub").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("hub")
     placed = placed.join(mixed.hint("merge"), "hub").join(sets.hint("merge"), "id")
-    x, y = placed.alias("x"), placed.alias("y").hint("merge")
-    rest = F.expr("x.hub = y.hub and x.id > y.id and x.component <> y.component") & _alike("x", "y", percent, sketch_limit)
+    x, y = salted(placed).alias("x"), copied(placed.drop("salt")).alias("y").hint("merge")
+    rest = F.expr("x.hub = y.hub and x.salt = y.salt and x.id > y.id and x.component <> y.component") & _alike("x", "y", percent, sketch_limit)
     more = x.join(y, rest & _similar("x.hashes", "y.hashes", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = materialize(more, "minhash-more")
     if not more.isEmpty():
         found = components(links.union(more), "minhash-c2")
+    discard(classes, buckets, members, groups, first, near, sets, more)
 
     of_class = own.select("set_key", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left")
     of_class = of_class.select("set_key", F.coalesce("component", "rep").alias("component"))
