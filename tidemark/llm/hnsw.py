@@ -166,11 +166,14 @@ def _close(x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
 
 
 def _within(graph: SmallWorld, x: np.ndarray, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-    """What a search finds of each query's matches; the beam is doubled for queries whose beam is more than half matches."""
+    """What a search finds of each query's matches; the beam is doubled for queries whose beam is more than half matches.
+
+    Queries that would need more than eight times the beam are in a dense group: they are compared with every vector.
+    """
     found: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
     width, todo = min(beam, len(x)), np.arange(len(q))
     while len(todo):
-        if width >= len(x):
+        if width >= len(x) or width > 8 * beam:
             for i, row in zip(todo, _close(x, q[todo], least), strict=True):
                 found[i] = row
             break
@@ -232,22 +235,20 @@ def matches(graph: SmallWorld, x: np.ndarray, q: np.ndarray, least: float, *, be
         beam *= 2
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the edges (a, b) make a spanning forest."""
-    parent: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while (p := parent.setdefault(v, v)) != v:
-            parent[v] = v = parent[p]
-        return v
-
-    used = np.zeros(len(a), bool)
-    for k, (u, v) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        u, v = root(u), root(v)
-        if u != v:
-            parent[max(u, v)] = min(u, v)
-            used[k] = True
-    return used
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node of the edges (a, b) to the smallest that it is connected to: labels hook to the smaller and jump."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(u):
+        x, y = label[u], label[v]
+        apart = x != y
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
 
 
 def near_vectors(
@@ -258,7 +259,7 @@ def near_vectors(
     *,
     cosine: float = 0.93,
     shard_rows: int = 8192,
-    query_rows: int = 2048,
+    query_rows: int = 16_384,
     degree: int = 16,
     beam: int = 48,
 ) -> DataFrame:
@@ -277,7 +278,7 @@ def near_vectors(
     Vectors that are null, empty, zero or hold null or non-finite components, and null labels, link with nothing; so do
     vectors of different lengths with each other. Rows with a null id link with nothing, have a null
     component_id and are kept. Rows that repeat an id are one vertex, and each counts as a link. Other columns are
-    ignored. An empty table gives an empty result.
+    ignored. Equal cosines need no order: every link counts. An empty table gives an empty result.
     """
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("x", lambda c: c != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
@@ -315,9 +316,9 @@ def near_vectors(
             a = np.repeat(own, [len(f) for f in found])
             b = np.concatenate(found)
             keep = rep[b] != a
-            edge = _forest(a[keep], rep[b][keep])
+            u, v = _forest(a[keep], rep[b][keep])
             out.append(pd.DataFrame({"u": own, "v": own, "n": [int(weight[f[rep[f] != o]].sum()) for f, o in zip(found, own, strict=True)]}))
-            out.append(pd.DataFrame({"u": a[keep][edge], "v": rep[b][keep][edge], "n": 0}))
+            out.append(pd.DataFrame({"u": u, "v": v, "n": 0}))
         return pd.concat(out)
 
     keys = ("label", "dim", "shard", "part")
