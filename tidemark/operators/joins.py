@@ -54,14 +54,42 @@ def event_panel(events: DataFrame, calendar: DataFrame, key: str, windows: tuple
     return dense.select("date", key, "n", *[F.sum("n").over(w.rowsBetween(1 - d, 0)).alias(f"n_{d}") for d in windows])
 
 
-def membership(events: DataFrame, key: str) -> DataFrame:
-    """Intervals from add and remove events (key, date, kind 1 or -1), by gaps and islands.
+def membership(events: DataFrame, key: str, current: DataFrame | None = None) -> DataFrame:
+    """Intervals (key, start_date, end_date) from add and remove events (key, date, kind 1 or -1), by gaps and islands.
 
-    An add opens an interval unless one is open, a remove closes it; a remove without an add has an open start if it is the
-    key's first event and is left out otherwise; an add never closed has an open end.
+    On one day adds come before removes. An add opens an interval unless one is open, a remove closes it; a remove without
+    an open one gives an interval with an open start; an add never closed has an open end. current: keys that are members
+    now. Of those, one whose last event is a remove came back on that day, and one without events always was.
     """
-    w = W.partitionBy(key).orderBy("date", "kind")
-    marked = events.withColumn("_b", F.lag("kind").over(w)).where("_b is null or _b <> kind")
-    marked = marked.withColumns({"_next": F.lead("date").over(w), "_first": F.row_number().over(w) == 1})
-    opened = marked.where("kind = 1").select(key, F.col("date").alias("start_date"), F.col("_next").alias("end_date"))
-    return opened.unionByName(marked.where("kind = -1 and _first").select(key, F.lit(None).cast("date").alias("start_date"), F.col("date").alias("end_date")))
+    w = W.partitionBy(key).orderBy("date", F.desc("kind"))
+    marked = events.select(key, "date", "kind", F.lag("kind").over(w).alias("_b"), F.lead("kind").over(w).isNull().alias("_end"))
+    opens = F.when((F.col("kind") == 1) & ~F.col("_b").eqNullSafe(F.lit(1)), F.col("date"))
+    marked = marked.withColumn("_open", F.last(opens, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    no_date = F.lit(None).cast("date")
+    removed = F.struct(F.when(F.col("_b") == 1, F.col("_open")).alias("start_date"), F.col("date").alias("end_date"))
+    still = F.struct(F.col("_open").alias("start_date"), no_date.alias("end_date"))
+    again = F.struct(F.col("date").alias("start_date"), no_date.alias("end_date"))
+    if current is None:
+        marked = marked.withColumn("_now", F.lit(False))
+    else:
+        marked = marked.join(current.select(key).distinct().withColumn("_now", F.lit(True)), key, "full").withColumn("_now", F.coalesce("_now", F.lit(False)))
+    none = F.array().cast("array<struct<start_date:date,end_date:date>>")
+    found = F.when(F.col("kind").isNull(), F.array(F.struct(no_date.alias("start_date"), no_date.alias("end_date"))))
+    found = found.when(F.col("kind") == 1, F.when(F.col("_end"), F.array(still)).otherwise(none))
+    found = found.otherwise(F.when(F.col("_end") & F.col("_now"), F.array(removed, again)).otherwise(F.array(removed)))
+    return marked.select(key, F.inline(found))
+
+
+def event_days(events: DataFrame, key: str, stamp: str = "ts") -> DataFrame:
+    """date, key, n: events by day."""
+    return events.groupBy(F.to_date(stamp).alias("date"), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def aligned(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """Both tables' rows by `on`, with NULLs where one has none."""
+    return a.join(b, on, "full")
+
+
+def first_of(df: DataFrame, keys: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Every row of keys with the least value of its key in df; NULL without one."""
+    return keys.join(df.groupBy(key).agg(F.min(value).alias(out)), key, "left")

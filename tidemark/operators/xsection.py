@@ -77,3 +77,48 @@ def regime(panel: DataFrame, r: str = "r") -> DataFrame:
 def equal_weight(panel: DataFrame, r: str) -> DataFrame:
     """date, bench_return: the mean of r."""
     return panel.groupBy("date").agg(F.avg(r).alias("bench_return"))
+
+
+
+def _ranges(df: DataFrame, x: str, parts: int) -> Column:
+    """Which of about `parts` ranges of x a row is in, by cuts at its approximate quantiles; NULLs are after all."""
+    cuts = df.agg(F.percentile_approx(x, [(i + 1) / parts for i in range(parts - 1)], 100 * parts)).first()[0] or []
+    cuts = sorted(set(cuts))  # fewer than parts
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(x))) if cuts else F.lit(0)
+    return F.when(F.col(x).isNull(), parts).otherwise(below)
+
+
+def places(df: DataFrame, x: str, *ties: str, descending: bool = False, out: str = "place", parts: int = 200) -> DataFrame:
+    """df with each row's place by x over the whole table, from 1; NULLs last, ties by the further columns, ascending.
+
+    Rows are numbered within ranges of x; each range's size, one row a range, gives where the next one starts. So no
+    task numbers the whole table; the rows that share one value are in one range.
+    """
+    at = _ranges(df, x, parts)
+    at = F.when(F.col(x).isNotNull(), -at).otherwise(at) if descending else at
+    ranged = df.withColumn("_range", at)
+    order = [F.desc_nulls_last(x) if descending else F.asc_nulls_last(x), *ties]
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_range").orderBy(*order))).join(F.broadcast(starts), "_range")  # a row for each range
+    return placed.select(*df.columns, (F.col("_start") + F.col("_k")).cast("long").alias(out))
+
+
+def median_of(df: DataFrame, x: str, parts: int = 200) -> DataFrame:
+    """One row `m`: the exact median of x, from counts by value and their running sums within ranges; NULL without values."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_range", _ranges(counts, "_v", parts))
+    sums = counts.groupBy("_range").agg(F.sum("_c").alias("_n"))
+    whole = W.partitionBy(F.lit(0)).orderBy("_range")  # one row for each range
+    starts = sums.select("_range", (F.sum("_n").over(whole) - F.col("_n")).alias("_start"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("_all"))
+    end = F.sum("_c").over(W.partitionBy("_range").orderBy("_v")) + F.col("_start")
+    run = counts.join(F.broadcast(starts), "_range").withColumn("_end", end)
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    inside = lambda place: (F.col("_end") >= place) & (F.col("_end") - F.col("_c") < place)
+    return run.agg(((F.max(F.when(inside(low), F.col("_v"))) + F.max(F.when(inside(high), F.col("_v")))) / 2).alias("m"))
+
+
+def filled_with_median(df: DataFrame, x: str) -> DataFrame:
+    """df with the median of x where x is NULL."""
+    return df.join(F.broadcast(median_of(df, x)), F.lit(True)).withColumn(x, F.coalesce(x, "m")).drop("m")  # one row

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import clip, finite, starting, tidy
 from ..operators import timeaxis as t, xsection as x
+from ..operators.serving import faceted
 from ..sources.panel import market, price_panel, table
 from .registry import query
 from .sql import PANEL, RETURNS, T, r6
@@ -106,7 +107,7 @@ add("f10_clip", f"WITH {RETURNS} SELECT date, ticker, {r6('CASE WHEN r IS NULL T
 add("f11_floor_to_null", f"WITH {RETURNS} SELECT date, ticker, {r6('CASE WHEN r > 0.01 THEN r END', 'r')}, nullif(volume, 50) AS volume FROM rets", lambda s, sf: returns(s, sf).select("date", "ticker", F.when(F.col("r") > 0.01, F.col("r")).alias("r"), F.nullif("volume", F.lit(50.0)).alias("volume")))
 add("f12_finite", f"WITH {RETURNS} SELECT date, ticker, {r6('r', 'r')} FROM rets", lambda s, sf: returns(s, sf).select("date", "ticker", finite(F.col("r")).alias("r")))
 add("f13_valid_ticker", r"SELECT c_custkey, upper(trim(c_name)) AS ticker, regexp_full_match(upper(trim(c_name)), '\^?[A-Z][A-Z0-9.\-=]{0,15}') AS valid FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS c_name FROM customer)", lambda s, sf: table(s, sf, "customer").select("c_custkey", F.upper(F.trim(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.col("c_mktsegment")))).alias("ticker")).withColumn("valid", F.col("ticker").rlike(r"^\^?[A-Z][A-Z0-9.\-=]{0,15}$")))
-add("f14_faceted_search", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#2' AND (contains(lower(p_name), 'ring') OR contains(lower(p_type), 'eco'))", lambda s, sf: table(s, sf, "part").where("p_brand = 'Brand#2' and (contains(lower(p_name), 'ring') or contains(lower(p_type), 'eco'))").select("p_partkey", "p_name"))
+add("f14_faceted_search", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#2' AND (contains(lower(p_name), 'eco') OR contains(lower(p_type), 'eco'))", lambda s, sf: faceted(table(s, sf, "part"), "eco", ("p_name", "p_type"), p_brand="Brand#2").select("p_partkey", "p_name"))
 add("f15_history_filter", "SELECT o_orderkey FROM orders WHERE CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'failed' ELSE 'other' END = 'failed' AND contains(lower(CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority), '5-l')", lambda s, sf: table(s, sf, "orders").where("case o_orderstatus when 'O' then 'ok' when 'F' then 'failed' else 'other' end = 'failed' and contains(lower(concat(o_orderkey, ' ', o_orderpriority)), '5-l')").select("o_orderkey"))
 
 
@@ -131,6 +132,7 @@ def _register_books() -> None:
     from ..operators import portfolio as p
 
     add("k1_top_bottom_k", f"WITH {BOOK} SELECT date, ticker, CAST(CASE WHEN k > n - 5 THEN 0.5 / 5 ELSE -0.5 / 5 END AS DOUBLE) AS weight FROM o WHERE n >= 10 AND (k <= 5 OR k > n - 5)", lambda s, sf: p.top_bottom(scores(s, sf), 5))
+    add("k1_top_bottom_share", f"WITH {BOOK}, m AS (SELECT *, greatest(1, CAST(floor(n * 0.15) AS BIGINT)) AS m FROM o) SELECT date, ticker, {r6('CASE WHEN k > n - m THEN 0.5 / m ELSE -0.5 / m END', 'weight')} FROM m WHERE n >= 2 * m AND (k <= m OR k > n - m)", lambda s, sf: p.top_bottom(scores(s, sf), 0.15))
     add(
         "k2_inverse_vol_book",
         f"WITH {RETURNS}, v AS (SELECT date, ticker, volume AS score, CASE WHEN count(r) OVER w >= 21 THEN stddev_samp(r) OVER w END AS vol FROM rets WINDOW w AS ({T} ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)), "
@@ -152,8 +154,8 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("trial")).agg(F.when(F.count(F.lit(1)) > 60, F.round(F.avg("value"), 6)).alias("sharpe"))
 
 
-add("k6_sorted_trials", f"WITH {_TRIALS} SELECT *, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, trial) AS place FROM tr", lambda s, sf: trials(s, sf).withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last("sharpe"), "trial")).cast("long")))
-add("k7_table_sort", f"WITH {_TRIALS} SELECT *, row_number() OVER (ORDER BY sharpe ASC NULLS LAST, trial) AS place FROM tr", lambda s, sf: trials(s, sf).withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last("sharpe"), "trial")).cast("long")))
+add("k6_sorted_trials", f"WITH {_TRIALS} SELECT *, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, trial) AS place FROM tr", lambda s, sf: x.places(trials(s, sf), "sharpe", "trial", descending=True))
+add("k7_table_sort", f"WITH {_TRIALS} SELECT *, row_number() OVER (ORDER BY sharpe ASC NULLS LAST, trial) AS place FROM tr", lambda s, sf: x.places(trials(s, sf), "sharpe", "trial"))
 
 
 def merged_jobs(live: DataFrame, stored: DataFrame, key: str, order: str, most: int) -> DataFrame:
@@ -161,7 +163,7 @@ def merged_jobs(live: DataFrame, stored: DataFrame, key: str, order: str, most:
     return live.unionByName(stored.join(live, key, "left_anti")).orderBy(F.desc(order), key).limit(most)
 
 
-add("k8_merged_jobs", "WITH a AS (SELECT o_orderkey, o_orderdate, 'live' AS origin FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT o_orderkey, o_orderdate, 'stored' AS origin FROM orders WHERE o_orderkey % 3 = 0) SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)) ORDER BY o_orderdate DESC, o_orderkey LIMIT 50", lambda s, sf: (lambda o: merged_jobs(o.where("o_orderstatus = 'O'").select("o_orderkey", "o_orderdate", F.lit("live").alias("origin")), o.where("o_orderkey % 3 = 0").select("o_orderkey", "o_orderdate", F.lit("stored").alias("origin")), "o_orderkey", "o_orderdate", 50))(table(s, sf, "orders")))
+add("k8_merged_jobs", "WITH a AS (SELECT o_orderkey, o_orderdate, 'live' AS origin FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT o_orderkey, o_orderdate, 'stored' AS origin FROM orders) SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)) ORDER BY o_orderdate DESC, o_orderkey LIMIT 50", lambda s, sf: (lambda o: merged_jobs(o.where("o_orderstatus = 'O'").select("o_orderkey", "o_orderdate", F.lit("live").alias("origin")), o.select("o_orderkey", "o_orderdate", F.lit("stored").alias("origin")), "o_orderkey", "o_orderdate", 50))(table(s, sf, "orders")))
 
 # set operations
 _A, _B = "(SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')", "(SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O')"

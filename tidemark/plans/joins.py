@@ -31,11 +31,11 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 _FW = f"lb AS (SELECT * FROM (SELECT date, ticker, ln(lead(close, 6) OVER ({T})) - ln(lead(close, 1) OVER ({T})) AS fwd FROM panel) WHERE fwd IS NOT NULL)"
 add("j1_features_labels", f"WITH {RETURNS}, {_FW} SELECT date, ticker, {r6('r', 'r')}, {r6('fwd', 'fwd')} FROM rets JOIN lb USING (date, ticker)", lambda s, sf: returns(s, sf).select("date", "ticker", "r").join(labelled(s, sf), ["date", "ticker"]))
 add("j2_left_features", f"WITH {RETURNS}, {_FW} SELECT date, ticker, {r6('r', 'r')}, {r6('coalesce(fwd, 0)', 'fwd')} FROM rets LEFT JOIN lb USING (date, ticker)", lambda s, sf: returns(s, sf).select("date", "ticker", "r").join(labelled(s, sf), ["date", "ticker"], "left").na.fill(0.0, ["fwd"]))
-add("j3_full_outer", "SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS accounts FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) a FULL JOIN (SELECT c_custkey AS k, 1 AS n FROM customer WHERE c_acctbal > 5000) b ON a.k = b.k", lambda s, sf: table(s, sf, "orders").where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders")).join(table(s, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k"), F.lit(1).alias("accounts")), "k", "full"))
+add("j3_full_outer", "SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS accounts FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) a FULL JOIN (SELECT c_custkey AS k, 1 AS n FROM customer WHERE c_acctbal > 5000) b ON a.k = b.k", lambda s, sf: table(s, sf, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders")).join(table(s, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k"), F.lit(1).alias("accounts")), "k", "full"))
 add("j4_asof_forward", f"WITH {_FWD} SELECT * FROM td WHERE trading_day IS NOT NULL", lambda s, sf: j.asof_forward(daily(s, sf), calendar(s, sf)))
-add("j5_asof_backward", f"WITH {PANEL}, v AS (SELECT date, avg(close) AS bench FROM panel WHERE day(date) % 3 = 0 GROUP BY 1) SELECT p.date, p.ticker, {r6('v.bench', 'bench')} FROM panel p ASOF LEFT JOIN v ON p.date >= v.date", lambda s, sf: j.asof_backward(price_panel(s, sf).select("date", "ticker"), market(price_panel(s, sf).where(F.day("date") % 3 == 0)), columns=("bench",)))
+add("j5_asof_backward", f"WITH {PANEL}, v AS (SELECT date, avg(close) AS bench FROM panel WHERE isodow(date) = 1 GROUP BY 1) SELECT p.date, p.ticker, {r6('v.bench', 'bench')} FROM panel p ASOF LEFT JOIN v ON p.date >= v.date", lambda s, sf: j.asof_backward(price_panel(s, sf).select("date", "ticker"), market(price_panel(s, sf).where(F.dayofweek("date") == 2)), columns=("bench",)))
 add("j6_point_in_time", f"WITH {_SPANS}, {_DAILY} SELECT dc.* FROM dc JOIN iv USING (user_id) WHERE (start_date IS NULL OR start_date <= date) AND (end_date IS NULL OR end_date > date)", lambda s, sf: j.within(daily(s, sf), spans(s, sf), "user_id"))
-add("j7_map_join", "SELECT c_custkey, coalesce(r_name, 'none') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 4 <> 0 LEFT JOIN region ON n_regionkey = r_regionkey", lambda s, sf: table(s, sf, "customer").join(table(s, sf, "nation").where("n_nationkey % 4 <> 0"), F.expr("c_nationkey = n_nationkey"), "left").join(table(s, sf, "region"), F.expr("n_regionkey = r_regionkey"), "left").select("c_custkey", F.coalesce("r_name", F.lit("none")).alias("region")))
+add("j7_map_join", "SELECT c_custkey, coalesce(r_name, 'none') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'", lambda s, sf: table(s, sf, "customer").join(table(s, sf, "nation"), F.expr("c_nationkey = n_nationkey"), "left").join(table(s, sf, "region"), F.expr("n_regionkey = r_regionkey and r_name <> 'ASIA'"), "left").select("c_custkey", F.coalesce("r_name", F.lit("none")).alias("region")))
 add("j8_mirror", "SELECT s_suppkey, c.n_nationkey, n FROM supplier JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON s_nationkey = c.n_nationkey", lambda s, sf: table(s, sf, "supplier").join(table(s, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n")), F.expr("s_nationkey = n_nationkey")).select("s_suppkey", "n_nationkey", "n"))
 add("j9_latest_per_group", f"WITH {PANEL} SELECT ticker, max(date) AS date, arg_max(close, date) AS close, arg_max(sector, date) AS sector FROM panel GROUP BY 1", lambda s, sf: j.latest(price_panel(s, sf), "ticker", "date", "close", "sector"), None)
 add("j10_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')", lambda s, sf: table(s, sf, "customer").join(table(s, sf, "orders").where("o_orderstatus = 'P'"), F.expr("c_custkey = o_custkey"), "left_semi").select("c_custkey"))
@@ -59,5 +59,3 @@ add(
     "SELECT *, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY date ROWS 4 PRECEDING) AS BIGINT) AS n_5, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY date ROWS 20 PRECEDING) AS BIGINT) AS n_21 FROM dn",
     lambda s, sf: j.event_panel(table(s, sf, "events"), calendar(s, sf), "user_id"),
 )
-_MEMBER = "e AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date, CASE event_type WHEN 'signup' THEN 1 ELSE -1 END AS kind FROM events WHERE event_type IN ('signup', 'error')), m AS (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY date, kind) AS b FROM e), k AS (SELECT *, lead(date) OVER (PARTITION BY user_id ORDER BY date, kind) AS nxt, row_number() OVER (PARTITION BY user_id ORDER BY date, kind) AS rn FROM m WHERE b IS NULL OR b <> kind)"
-add("p15_membership", f"WITH {_MEMBER} SELECT user_id, date AS start_date, nxt AS end_date FROM k WHERE kind = 1 UNION ALL SELECT user_id, NULL, date FROM k WHERE kind = -1 AND rn = 1", lambda s, sf: j.membership(table(s, sf, "events").where("event_type in ('signup', 'error')").select("user_id", F.to_date("ts").alias("date"), F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("kind")).distinct(), "user_id"))
