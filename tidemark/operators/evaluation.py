@@ -11,10 +11,10 @@ from .timeaxis import with_drawdown
 from .xsection import average_rank
 
 
-def information_coefficient(df: DataFrame, score: str = "score", r: str = "r", least: int = 5) -> DataFrame:
-    """date, ic: Spearman correlation of the date's rows that have both; NULL under `least` rows or for a constant side."""
-    both = df.where(F.col(score).isNotNull() & F.col(r).isNotNull()).withColumns({"_a": average_rank(score, "date"), "_b": average_rank(r, "date")})
-    return both.groupBy("date").agg(F.when(F.count(F.lit(1)) >= least, finite(F.corr("_a", "_b"))).alias("ic"))
+def information_coefficient(df: DataFrame, score: str = "score", r: str = "r", least: int = 5, keys: tuple[str, ...] = ("date",)) -> DataFrame:
+    """keys, ic: Spearman correlation of the keys' rows that have both; NULL under `least` rows or for a constant side."""
+    both = df.where(F.col(score).isNotNull() & F.col(r).isNotNull()).withColumns({"_a": average_rank(score, *keys), "_b": average_rank(r, *keys)})
+    return both.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= least, finite(F.corr("_a", "_b"))).alias("ic"))
 
 
 def ic_summary(ics: DataFrame) -> DataFrame:

@@ -15,8 +15,15 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.withColumns({"_k": F.row_number().over(own.orderBy("score", "ticker")), "_n": F.count(F.lit(1)).over(own)})
 
 
-def top_bottom(df: DataFrame, k: int, gross: float = 1.0) -> DataFrame:
-    """date, ticker, weight: the k highest scores share gross / 2, the k lowest -gross / 2; dates with fewer than 2 k go."""
+def top_bottom(df: DataFrame, k: int | float, gross: float = 1.0) -> DataFrame:
+    """date, ticker, weight: the k highest scores share gross / 2, the k lowest -gross / 2; dates with fewer than 2 k go.
+
+    A k between 0 and a half is a share of the date's scores, rounded down, one at least.
+    """
+    if 0 < k < 0.5:
+        placed = _placed(df.where(F.col("score").isNotNull())).withColumn("_m", F.greatest(F.lit(1), F.floor(F.col("_n") * k))).where("_n >= 2 * _m and (_k <= _m or _k > _n - _m)")
+        side = F.when(F.col("_k") > F.col("_n") - F.col("_m"), gross / 2).otherwise(-gross / 2)
+        return placed.select("date", "ticker", (side / F.col("_m")).alias("weight"))
     placed = _placed(df.where(F.col("score").isNotNull())).where(f"_n >= {2 * k} and (_k <= {k} or _k > _n - {k})")
     return placed.select("date", "ticker", F.when(F.col("_k") > F.col("_n") - k, gross / 2 / k).otherwise(-gross / 2 / k).alias("weight"))
 
@@ -90,6 +97,60 @@ def on_cadence(df: DataFrame, days: int, x: str = "weight") -> DataFrame:
     return df.join(dates, "date").withColumn(x, F.coalesce(F.last(F.when(F.col("_due"), F.col(x)), ignorenulls=True).over(so_far), F.lit(0.0))).drop("_due")
 
 
+def on_calendar(weights: DataFrame, returns: DataFrame) -> DataFrame:
+    """date, ticker, weight, r on every date of returns for every ticker of either: weights carried forward from their last
+    date (0 before it), r NULL where a ticker has none. Weights on dates outside the calendar take effect on the next one.
+
+    Each ticker gets the calendar: tickers x dates rows, which is what the backtest is defined on.
+    """
+    days = returns.agg(F.sort_array(F.collect_set("date")).alias("_days"))  # one row, one entry a day
+    names = returns.select("ticker").union(weights.select("ticker")).distinct()
+    grid = names.join(F.broadcast(days), F.lit(True)).select("ticker", F.explode("_days").alias("date"))
+    both = grid.join(returns.select("date", "ticker", "r"), ["date", "ticker"], "left").withColumn("_day", F.lit(True))
+    both = both.join(weights.select("date", "ticker", "weight"), ["date", "ticker"], "full")
+    carried = F.coalesce(F.last("weight", ignorenulls=True).over(by_ticker().rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
+    return both.withColumn("weight", carried).where("_day").select("date", "ticker", "weight", "r")
+
+
+def backtest(weights: DataFrame, returns: DataFrame, lag: int = 1, bps: float = 6.0) -> DataFrame:
+    """date, gross, turnover, cost, net of holding weights (date, ticker, weight) on the calendar of returns (date, ticker, r)."""
+    return held_returns(on_calendar(weights, returns), lag, bps)
+
+
+def ic_weights(ics: DataFrame, periods: int = 252) -> DataFrame:
+    """horizon, share: each horizon's information ratio over its ICs (horizon, ic), negative ones 0, adding up to 1; equal
+    shares where none is above 0."""
+    ratio_ = F.coalesce(ratio(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0))) * periods**0.5, F.lit(0.0))
+    own = ics.groupBy("horizon").agg(F.greatest(ratio_, F.lit(0.0)).alias("_w"))
+    total, n = F.sum("_w").over(W.partitionBy()), F.count(F.lit(1)).over(W.partitionBy())  # one row for each horizon
+    return own.select("horizon", F.when(total > 0, F.col("_w") / total).otherwise(1 / n).alias("share"))
+
+
+def ic_ensemble(scores: DataFrame, shares: DataFrame) -> DataFrame:
+    """date, ticker, score: z-scores of (date, horizon) by the horizons' shares; a horizon without one adds 0."""
+    z = scores.withColumn("_z", z_score("pred", "date", "horizon")).join(F.broadcast(shares), "horizon", "left")  # a row for each horizon
+    return z.groupBy("date", "ticker").agg(F.sum(F.col("_z") * F.coalesce("share", F.lit(0.0))).alias("score"))
+
+
+def composed(scores: DataFrame, side: DataFrame, *, k: int | float = 5, cap: float = 0.25, least: float = 0.0, days: int = 5) -> DataFrame:
+    """date, ticker, weight: scores (date, ticker, score) to a book: top and bottom, sector cap, beta neutral, on a cadence, with
+    a least trade. side: date, ticker, sector, beta of every row that the book may hold."""
+    book = side.join(top_bottom(scores, k), ["date", "ticker"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    book = on_cadence(beta_neutral(capped(book, cap)), days).select("date", "ticker", "weight")
+    return with_threshold(book, least).select("date", "ticker", F.col("held").alias("weight")) if least else book
+
+
+def covariance(df: DataFrame, r: str = "r", least: int = 5) -> DataFrame:
+    """a, b, cov: sample covariance of r of two tickers over the dates that both have (a <= b), 0 under `least` dates.
+
+    A self-join by date: tickers^2 / 2 rows, what the matrix has; sums combine before their shuffle.
+    """
+    rows = df.where(F.col(r).isNotNull())
+    x, y = rows.select("date", F.col("ticker").alias("a"), F.col(r).alias("_x")), rows.select("date", F.col("ticker").alias("b"), F.col(r).alias("_y"))
+    pairs = x.join(y, "date").where("a <= b").groupBy("a", "b").agg(F.when(F.count(F.lit(1)) >= least, F.covar_samp("_x", "_y")).otherwise(0.0).alias("cov"))
+    return pairs
+
+
 def held_returns(df: DataFrame, lag: int = 1, bps: float = 6.0) -> DataFrame:
     """date, gross, turnover, cost, net: weights held `lag` rows later earn the clipped return r; changes cost bps a side.
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import evaluation as e
+from ..operators.xsection import filled_with_median
 from ..sources.panel import price_panel, table
 from .cross import _TRIALS, add, scores, trials
 from .portfolio import BACKTEST, backtest
@@ -53,7 +54,7 @@ add("a15_yearly_table", _sheet("year"), lambda s, sf: e.tearsheet(daily_net(s, s
 _QUART = "qt AS (SELECT quantile_cont(c, 0.25) AS a, quantile_cont(c, 0.5) AS b, quantile_cont(c, 0.75) AS d FROM lv), nm AS (SELECT lv.*, CASE WHEN c <= a THEN 'q1' WHEN c <= b THEN 'q2' WHEN c <= d THEN 'q3' WHEN c IS NOT NULL THEN 'q4' END AS bucket FROM lv, qt)"
 add("a17_quartile_buckets", f"WITH {PANEL}, lv AS (SELECT date, sum(volume) AS c FROM panel GROUP BY 1), {_QUART} SELECT date, bucket FROM nm", lambda s, sf: e.quartile_names(price_panel(s, sf).groupBy("date").agg(F.sum("volume").alias("c")), "c").select("date", "bucket"))
 add("a16_regime_breakdown", f"WITH {RETURNS}, lv AS (SELECT date, sum(volume) AS c, avg(r) AS m FROM rets GROUP BY 1), {_QUART} SELECT bucket, count(*) AS n, {r6('avg(m)', 'mean')}, {r6('stddev_samp(m)', 'std')}, {r6('avg(CAST(m > 0 AS INT))', 'hit')} FROM nm GROUP BY 1", lambda s, sf: e.quartile_names(scores(s, sf).groupBy("date").agg(F.sum("score").alias("c"), F.avg("r").alias("m")), "c").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"), F.avg((F.col("m") > 0).cast("int")).alias("hit")))
-add("a20_median_fill", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END, (SELECT median(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END) FROM orders)) AS price FROM orders", lambda s, sf: (lambda o: o.join(F.broadcast(o.agg(F.median("p").alias("m"))), F.lit(True)).select("o_orderkey", F.coalesce("p", "m").alias("price")))(table(s, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("p"))), None)
+add("a20_median_fill", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END, (SELECT median(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END) FROM orders)) AS price FROM orders", lambda s, sf: filled_with_median(table(s, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price")), "price"), None)
 add("a22_pending_guard", "SELECT count(*) AS pending, count(*) >= 5 AS full FROM orders WHERE o_orderstatus = 'P'", lambda s, sf: table(s, sf, "orders").where("o_orderstatus = 'P'").agg(F.count(F.lit(1)).alias("pending"), (F.count(F.lit(1)) >= 5).alias("full")))
 add("a23_best_trial", f"WITH {_TRIALS} SELECT trial, sharpe FROM tr WHERE sharpe > -10 ORDER BY sharpe DESC, trial LIMIT 1", lambda s, sf: trials(s, sf).where("sharpe > -10").orderBy(F.desc("sharpe"), "trial").limit(1))
 add("a24_interval_tally", f"WITH {_TRIALS} SELECT count(CASE WHEN sharpe - 20 > 0 THEN 1 END) AS above, count(CASE WHEN sharpe - 20 <= 0 AND sharpe + 1 >= 20 THEN 1 END) AS straddling FROM tr", lambda s, sf: trials(s, sf).agg(F.count_if(F.col("sharpe") - 20 > 0).alias("above"), F.count_if((F.col("sharpe") - 20 <= 0) & (F.col("sharpe") + 1 >= 20)).alias("straddling")))

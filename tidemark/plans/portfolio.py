@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import portfolio as p, timeaxis as t
+from ..operators.evaluation import information_coefficient
 from .cross import BOOK, add, scores
 from .sql import RETURNS, T, r6
 
@@ -43,7 +44,30 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("p4_equal_ensemble", f"WITH {_PREDS} SELECT date, ticker, {r6('sum(z * 0.5)', 'score')} FROM zz GROUP BY 1, 2", lambda s, sf: p.ensemble(predictions(s, sf), {1: 1.0, 5: 1.0}))
-add("p5_weighted_ensemble", f"WITH {_PREDS} SELECT date, ticker, {r6('sum(z * CASE horizon WHEN 1 THEN 0.75 ELSE 0.25 END)', 'score')} FROM zz GROUP BY 1, 2", lambda s, sf: p.ensemble(predictions(s, sf), {1: 1.5, 5: 0.5}))
+_SHARES = (
+    f"fw AS (SELECT date, ticker, r FROM rets WHERE r IS NOT NULL), jn AS (SELECT pr.date, horizon, pred, r FROM pr JOIN fw ON pr.date = fw.date AND pr.ticker = fw.ticker), rk AS (SELECT date, horizon, rank() OVER (PARTITION BY date, horizon ORDER BY pred) + (count(*) OVER (PARTITION BY date, horizon, pred) - 1) / 2.0 AS a, rank() OVER (PARTITION BY date, horizon ORDER BY r) + (count(*) OVER (PARTITION BY date, horizon, r) - 1) / 2.0 AS b FROM jn), "
+    "ic AS (SELECT date, horizon, CASE WHEN count(*) >= 5 AND isfinite(corr(a, b)) THEN corr(a, b) END AS ic FROM rk GROUP BY 1, 2), ir AS (SELECT horizon, greatest(0, coalesce(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(252), 0)) AS w FROM ic GROUP BY 1), sh AS (SELECT horizon, CASE WHEN sum(w) OVER () > 0 THEN w / sum(w) OVER () ELSE 1.0 / count(*) OVER () END AS share FROM ir)"
+)
+
+
+def horizon_ics(spark: SparkSession, sf: str) -> DataFrame:
+    """date, horizon, ic of the predictions with the day's returns."""
+    r = scores(spark, sf).select("date", "ticker", "r")
+    scored = predictions(spark, sf).join(r, ["date", "ticker"]).withColumnRenamed("pred", "score")
+    return information_coefficient(scored, keys=("date", "horizon"))
+
+
+add("p5_ic_weighted_ensemble", f"WITH {_PREDS}, {_SHARES} SELECT date, ticker, {r6('sum(z * share)', 'score', 5)} FROM zz JOIN sh USING (horizon) GROUP BY 1, 2", lambda s, sf: p.ic_ensemble(predictions(s, sf), p.ic_weights(horizon_ics(s, sf))), 5)
+add("p5_ic_shares", f"WITH {_PREDS}, {_SHARES} SELECT horizon, {r6('share', 'share')} FROM sh", lambda s, sf: p.ic_weights(horizon_ics(s, sf)))
+add("a21_covariance", f"WITH {RETURNS} SELECT x.ticker AS a, y.ticker AS b, {r6('CASE WHEN count(*) >= 5 THEN covar_samp(x.r, y.r) ELSE 0 END', 'cov')} FROM rets x JOIN rets y ON x.date = y.date AND x.ticker <= y.ticker WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2", lambda s, sf: p.covariance(scores(s, sf)))
+add(
+    "p17_composed_weights",
+    f"WITH {BOOKED}, cp AS (SELECT *, weight * least(1.0, coalesce(0.25 / nullif(sum(abs(weight)) OVER (PARTITION BY date, sector), 0), 1.0)) AS w0, CASE WHEN rn % 7 <> 0 THEN 0.5 + (rn % 5) / 4.0 END AS beta FROM bk), ls AS (SELECT *, sum(CASE WHEN w0 > 0 THEN w0 * coalesce(beta, 1) ELSE 0 END) OVER (PARTITION BY date) AS l, sum(CASE WHEN w0 < 0 THEN w0 * coalesce(beta, 1) ELSE 0 END) OVER (PARTITION BY date) AS s FROM cp), "
+    "aa AS (SELECT *, CASE WHEN abs(l + s) < 1e-6 OR abs(s - l) < 1e-9 THEN NULL ELSE -(l + s) / (s - l) END AS a0 FROM ls), nb AS (SELECT date, ticker, w0 * CASE WHEN w0 > 0 THEN 1 - a ELSE 1 + a END AS weight FROM (SELECT *, CASE WHEN abs(a0) <= 0.5 THEN a0 ELSE 0 END AS a FROM aa)), "
+    "dt AS (SELECT date, max(CAST(weight <> 0 AS INT)) AS anyw, row_number() OVER (ORDER BY date) AS i FROM nb GROUP BY 1), du AS (SELECT date, i >= (SELECT min(i) FROM dt WHERE anyw = 1) AND (i - (SELECT min(i) FROM dt WHERE anyw = 1)) % 5 = 0 AS due FROM dt) "
+    f"SELECT nb.date, nb.ticker, {r6('coalesce(last_value(CASE WHEN due THEN weight END IGNORE NULLS) OVER (PARTITION BY nb.ticker ORDER BY nb.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)', 'weight')} FROM nb JOIN du ON nb.date = du.date",
+    lambda s, sf: (lambda b: p.composed(b.select("date", "ticker", "score"), b.select("date", "ticker", "sector", "beta")))(with_beta(s, sf)),
+)
 add(
     "p8_smoothed_weights",
     f"WITH RECURSIVE {BOOKED}, h AS (SELECT ticker, rn, date, weight AS y FROM bk WHERE rn = 1 UNION ALL SELECT bk.ticker, bk.rn, bk.date, 0.7 * y + 0.3 * weight FROM h JOIN bk ON bk.ticker = h.ticker AND bk.rn = h.rn + 1) SELECT date, ticker, {r6('y', 'smoothed')} FROM h",
@@ -52,12 +76,15 @@ add(
 _DUE = "dt AS (SELECT date, max(CAST(weight <> 0 AS INT)) AS anyw, row_number() OVER (ORDER BY date) AS i FROM bk GROUP BY 1), du AS (SELECT date, i >= (SELECT min(i) FROM dt WHERE anyw = 1) AND (i - (SELECT min(i) FROM dt WHERE anyw = 1)) % 5 = 0 AS due FROM dt)"
 _CADENCE = f"cd AS (SELECT bk.date, bk.ticker, bk.r, coalesce(last_value(CASE WHEN due THEN weight END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY bk.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS weight FROM bk JOIN du ON bk.date = du.date)"
 add("p9_cadence", f"WITH {BOOKED}, {_DUE}, {_CADENCE} SELECT date, ticker, {r6('weight', 'weight')} FROM cd", lambda s, sf: p.on_cadence(book(s, sf), 5).select("date", "ticker", "weight"))
-_HELD = f"hd AS (SELECT *, coalesce(lag(weight) OVER ({T}), 0) AS h FROM cd), dl AS (SELECT *, abs(h - coalesce(lag(h) OVER ({T}), 0)) AS d FROM hd), bt AS (SELECT date, sum(h * coalesce(least(greatest(r, -0.5), 0.5), 0) * CAST(r IS NOT NULL AS INT)) AS gross, sum(d) AS turnover FROM dl GROUP BY 1)"
-BACKTEST = f"{BOOKED}, {_DUE}, {_CADENCE}, {_HELD}"
+_GRID = "gr AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM bk) t CROSS JOIN (SELECT DISTINCT date FROM bk) d), gw AS (SELECT gr.date, gr.ticker, cd.r, coalesce(last_value(cd.weight IGNORE NULLS) OVER (PARTITION BY gr.ticker ORDER BY gr.date ROWS UNBOUNDED PRECEDING), 0) AS weight FROM gr LEFT JOIN cd ON cd.date = gr.date AND cd.ticker = gr.ticker)"
+_HELD = f"hd AS (SELECT *, coalesce(lag(weight) OVER ({T}), 0) AS h FROM gw), dl AS (SELECT *, abs(h - coalesce(lag(h) OVER ({T}), 0)) AS d FROM hd), bt AS (SELECT date, sum(h * coalesce(least(greatest(r, -0.5), 0.5), 0) * CAST(r IS NOT NULL AS INT)) AS gross, sum(d) AS turnover FROM dl GROUP BY 1)"
+BACKTEST = f"{BOOKED}, {_DUE}, {_CADENCE}, {_GRID}, {_HELD}"
 
 
 def backtest(spark: SparkSession, sf: str) -> DataFrame:
-    return p.held_returns(p.on_cadence(book(spark, sf), 5))
+    """The book on a five-day cadence, held on every date of the panel."""
+    held = p.on_cadence(book(spark, sf), 5)
+    return p.backtest(held, held)
 
 
 add("p10_backtest", f"WITH {BACKTEST} SELECT date, {r6('coalesce(gross, 0)', 'gross')}, {r6('turnover', 'turnover')}, {r6('turnover * 6 / 1e4', 'cost')}, {r6('coalesce(gross, 0) - turnover * 6 / 1e4', 'net')} FROM bt", backtest)
