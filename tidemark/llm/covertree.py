@@ -14,6 +14,10 @@ from .common import materialize
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
+#: Queries are few, and a group that lies wide bounds nothing: their trees have smaller leaves.
+_QUERY_TREE = {"leaf": 4, "least": 2}
+
+
 @dataclass
 class Counts:
     """Node pairs that a search met, how many of them its bounds cut off, and the products that it computed."""
@@ -186,11 +190,12 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def dual_tree_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray, best: Best, *, step: int = 2048) -> None:
     """Brings `best` up to date with the data tree's points.
 
-    First each query leaf meets the data leaf whose centre has the highest product with its own. Then pairs of a query
+    First each query leaf meets the data leaves whose centres have the highest products with its own, until they hold some
+    points. Then pairs of a query
     node and a data node go down from the two roots: a pair whose bound (see upper_bound) is below the worst kth score
     among the query node's queries is cut off with all that lies under it; of others, the node of the larger radius
     gives way to its children. Pairs of leaves that are left are compared for each query leaf from the highest bound on,
-    about `step` points at once, and those that meanwhile fell below the worst kth score are cut off too.
+    few points at first and up to about `step` at once later, and those that meanwhile fell below the worst kth score are cut off too.
     """
     if not len(queries.points) or not len(data.points):
         return
@@ -213,10 +218,12 @@ def dual_tree_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray,
             for i in range(0, len(own), 512):
                 best.meet(own[i : i + 512], queries.points[own[i : i + 512]], data.points[part], data_ids[part])
 
-    seed = {}
+    seed, d_sizes = {}, (data.last - data.first)[d_leaves]
     for leaf in q_leaves.tolist():
-        seed[leaf] = int(d_leaves[np.argmax(dc[d_leaves] @ qc[leaf])])
-        compare(leaf, np.array([seed[leaf]]))
+        near = np.argsort(-(dc[d_leaves] @ qc[leaf]), kind="stable")
+        enough = 1 + int(np.searchsorted(np.cumsum(d_sizes[near]), 4 * best.k))
+        seed[leaf] = d_leaves[near[:enough]]
+        compare(leaf, seed[leaf])
     worst = queries.least_of(best.worst())
     a, b, left_a, left_b, left_top = np.array([0]), np.array([0]), [], [], []
     while len(a):
@@ -238,19 +245,19 @@ def dual_tree_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray,
     a, b, top = a[by], b[by], top[by]
     for leaf, at, end in zip(*(x.tolist() for x in _groups(a)), strict=True):
         nodes, tops = b[at:end], top[at:end]
-        other = nodes != seed[leaf]
+        other = ~np.isin(nodes, seed[leaf])
         nodes, tops = nodes[other], tops[other]
         own = queries.order[queries.first[leaf] : queries.last[leaf]]
         sizes = data.last[nodes] - data.first[nodes]
-        k = 0
+        k, some = 0, step // 8
         while k < len(nodes):
             alive = int(np.searchsorted(-tops, -float(best.worst()[own].min()), side="right"))  # bounds fall, so a prefix is alive
             if alive <= k:
                 counts.pruned += len(nodes) - k
                 break
-            n = k + 1 + int(np.searchsorted(np.cumsum(sizes[k:alive])[:-1], step))
+            n = k + 1 + int(np.searchsorted(np.cumsum(sizes[k:alive])[:-1], some))
             compare(leaf, nodes[k:n])
-            k = n
+            k, some = n, min(2 * some, step)
 
 
 def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,7 +269,7 @@ def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def dual_tree_top_k(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, **tree) -> tuple[pd.DataFrame, Counts]:
     """query_id, score, vec_id: the k highest inner products of each query with the data of other ids, ties to the smaller id."""
     best = Best.of(np.asarray(query_ids), k)
-    dual_tree_search(CoverTree(queries, **tree), CoverTree(data, **tree), np.asarray(data_ids), best)
+    dual_tree_search(CoverTree(queries, **tree | _QUERY_TREE), CoverTree(data, **tree), np.asarray(data_ids), best)
     return pd.DataFrame(dict(zip(("query_id", "score", "vec_id"), best.rows(), strict=True))), best.counts
 
 
@@ -285,7 +292,8 @@ def _build(k: int):
     def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["id", "h"], kind="stable")
         q, d = own[own["q"]], own[~own["q"]]
-        trees = [CoverTree(np.stack(f["x"]) if len(f) else np.empty((0, int(key[0])), np.int64)) for f in (q, d)]
+        points = [np.stack(f["x"]) if len(f) else np.empty((0, int(key[0])), np.int64) for f in (q, d)]
+        trees = [CoverTree(points[0], **_QUERY_TREE), CoverTree(points[1])]
         best = Best.of(q["id"].to_numpy(), k)
         dual_tree_search(*trees, d["id"].to_numpy(), best)
         out = {"dim": key[0], "block": ".".join(map(str, key)), "queries": len(q), "rows": len(d)}
