@@ -32,7 +32,7 @@ def triple_barrier(df: DataFrame, horizon: int = 5, up: float = 2.0, down: float
     """date, ticker, tb_label, tb_barrier, tb_offset, tb_return.
 
     Entry is the next row; of the following `horizon` rows, the first whose log return from entry reaches up or -down
-    times the lagged daily deviation decides: 1 and upper, -1 and lower, or 0 and vertical at the last row. tb_offset counts
+    times the lagged daily deviation decides: 1 and up, -1 and down, or 0 and vert at the last row. tb_offset counts
     from entry, tb_return is the return there. Rows without a price go first; rows without a deviation or without
     horizon + 1 rows ahead have NULL labels.
     """
@@ -46,6 +46,6 @@ def triple_barrier(df: DataFrame, horizon: int = 5, up: float = 2.0, down: float
     df = df.withColumns({"_up": first(hit(lambda g: g >= F.col("_vol") * up)), "_down": first(hit(lambda g: g <= F.col("_vol") * -down))})
     offset = F.least("_up", "_down", F.lit(horizon))
     label = F.when(F.least("_up", "_down") > horizon, 0.0).when(F.col("_up") < F.col("_down"), 1.0).otherwise(-1.0)
-    name = F.when(F.least("_up", "_down") > horizon, "vertical").when(F.col("_up") < F.col("_down"), "upper").otherwise("lower")
+    name = F.when(F.least("_up", "_down") > horizon, "vert").when(F.col("_up") < F.col("_down"), "up").otherwise("down")
     seen = F.col("_gain").isNotNull()
     return df.select("date", "ticker", F.when(seen, label).alias("tb_label"), F.when(seen, name).alias("tb_barrier"), F.when(seen, offset.cast("double")).alias("tb_offset"), F.when(seen, F.element_at("_gain", offset.cast("int"))).alias("tb_return"))

@@ -144,7 +144,7 @@ def _dir(spark, sf):
     "p AS (SELECT e.ticker, e.rn, c.rn - e.rn - 1 AS k, ln(c.close) - entry AS g, e.vol FROM e JOIN v c ON c.ticker = e.ticker AND c.rn > e.rn + 1 AND c.rn <= e.rn + 6), "
     "h AS (SELECT ticker, rn, count(*) AS n, coalesce(min(CASE WHEN g >= 2 * vol THEN k END), 6) AS u, coalesce(min(CASE WHEN g <= -2 * vol THEN k END), 6) AS d FROM p WHERE vol IS NOT NULL GROUP BY 1, 2), "
     "f AS (SELECT *, least(u, d, 5) AS o FROM h WHERE n = 5) "
-    "SELECT e.date, e.ticker, CAST(CASE WHEN f.o IS NULL THEN NULL WHEN least(u, d) > 5 THEN 0 WHEN u < d THEN 1 ELSE -1 END AS DOUBLE) AS tb_label, CASE WHEN f.o IS NULL THEN NULL WHEN least(u, d) > 5 THEN 'vertical' WHEN u < d THEN 'upper' ELSE 'lower' END AS tb_barrier, "
+    "SELECT e.date, e.ticker, CAST(CASE WHEN f.o IS NULL THEN NULL WHEN least(u, d) > 5 THEN 0 WHEN u < d THEN 1 ELSE -1 END AS DOUBLE) AS tb_label, CASE WHEN f.o IS NULL THEN NULL WHEN least(u, d) > 5 THEN 'vert' WHEN u < d THEN 'up' ELSE 'down' END AS tb_barrier, "
     f"CAST(f.o AS DOUBLE) AS tb_offset, {r6('p.g', 'tb_return')} FROM e LEFT JOIN f ON f.ticker = e.ticker AND f.rn = e.rn LEFT JOIN p ON p.ticker = f.ticker AND p.rn = f.rn AND p.k = f.o",
 )
 def _barrier(spark, sf):
