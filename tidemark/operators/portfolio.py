@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import clip, ratio
-from .timeaxis import by_ticker, fold
+from .timeaxis import by_ticker, fold, scanned
 from .xsection import z_score
 
 
@@ -51,15 +50,8 @@ def capped(df: DataFrame, cap: float) -> DataFrame:
 
 def with_threshold(df: DataFrame, least: float, x: str = "weight", out: str = "held") -> DataFrame:
     """x as it changes by at least `least`; smaller changes keep the last output (from 0)."""
-
-    def run(g) -> dict:
-        kept, last = [], 0.0
-        for v in g[x].to_numpy(float):
-            last = v if abs(v - last) >= least else last
-            kept.append(last)
-        return {out: np.array(kept)}
-
-    return fold(df, run, {out: "double"})
+    kept = lambda held, v: F.when(F.abs(v - held) >= least, v).otherwise(held)
+    return fold(df, {out: lambda get: scanned(get(x), F.lit(0.0), kept)})
 
 
 def beta_neutral(df: DataFrame, target: float = 0.0) -> DataFrame:

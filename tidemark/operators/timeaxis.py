@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from ..functions.columns import guarded, nonzero, ratio, sample_kurtosis, sample_skew
@@ -115,62 +115,56 @@ def slope(r: str, b: str, days: int = 60) -> Column:
     return guarded(ratio(F.covar_samp(r, b).over(w), nonzero(F.var_samp(F.when(both == 1, F.col(b))).over(w))), both, w, days)
 
 
-def fold(df: DataFrame, run, columns: dict[str, str], key: str = "ticker", order: str = "date") -> DataFrame:
-    """df with columns that run(sorted rows of one key) -> {name: array} computes: recursions that windows can't express.
+def fold(df: DataFrame, made: dict[str, Callable[[Callable[[str], Column]], Column]], key: str = "ticker", order: str = "date") -> DataFrame:
+    """df with columns that recursions over one key's rows make, which windows can't express.
 
-    One key's rows are one task's group, so this is for series, whose length is bounded by the calendar.
+    made: name -> function of `get`, where get(c) is the array of column c in date order, or of one made before it. One
+    key's rows are one array, so this is for series, whose length is bounded by the calendar.
     """
-    kinds = ", ".join(f"`{c}` {t}" for c, t in {**dict(df.dtypes), **columns}.items())
+    others = [c for c in df.columns if c not in (key, order)]
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias("_rows"))
+    for i, (name, make) in enumerate(made.items()):
+        before = list(made)[:i]
+        rows = rows.withColumn(name, make(lambda c, b=before: F.col(c) if c in b else F.col("_rows")[c]))
+    return rows.select(key, F.inline(F.arrays_zip("_rows", *made))).select(key, "_rows.*", *made).select(*df.columns, *made)
 
-    def apply(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        return group.assign(**run(group))
 
-    return df.groupBy(key).applyInPandas(apply, kinds)
+def scanned(x: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The states after each element of array x: step(state before, element), from start."""
+    none = F.slice(F.array(start), 1, 0)
+    return F.aggregate(x, none, lambda seen, v: F.concat(seen, F.array(step(F.coalesce(F.try_element_at(seen, F.lit(-1)), start), v))))
 
 
-def smooth(x: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
-    """y = (1 - alpha) y before + alpha x from the first x on; NaN until `least` observations; a gap keeps y."""
-    out, y, seen = np.full(len(x), np.nan), np.nan, 0
-    for i, v in enumerate(x):
-        if v == v:
-            y, seen = (v if seen == 0 else (1 - alpha) * y + alpha * v), seen + 1
-        if seen >= least:
-            out[i] = y
-    return out
+def smooth(x: Column, alpha: float, least: int = 1) -> Column:
+    """Of array x: y = (1 - alpha) y before + alpha x from the first x on; NULL until `least` observations; a gap keeps y."""
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("n"))
 
+    def step(s: Column, v: Column) -> Column:
+        y = F.when(v.isNull(), s["y"]).when(s["n"] == 0, v).otherwise((1 - alpha) * s["y"] + alpha * v)
+        return F.struct(y.alias("y"), (s["n"] + v.isNotNull().cast("int")).alias("n"))
 
-def _nulls(x: np.ndarray) -> pd.Series:
-    return pd.Series(x).astype("object").where(~np.isnan(x), None).to_numpy()
+    return F.transform(scanned(x, start, step), lambda s: F.when(s["n"] >= least, s["y"]))
 
 
 def with_ewm(df: DataFrame, x: str, alpha: float, least: int, out: str) -> DataFrame:
     """Exponential smoothing of x (see smooth)."""
-    return fold(df, lambda g: {out: _nulls(smooth(g[x].to_numpy(float), alpha, least))}, {out: "double"})
+    return fold(df, {out: lambda get: smooth(get(x), alpha, least)})
 
 
 def with_rsi(df: DataFrame, price: str = "close", days: int = 14, out: str = "rsi") -> DataFrame:
     """Wilder's relative strength in [0, 1]; NULL without losses or before `days` changes."""
-
-    def run(g: pd.DataFrame) -> dict:
-        change = np.diff(g[price].to_numpy(float), prepend=np.nan)
-        up, down = (smooth(np.where(np.isnan(change), np.nan, np.maximum(s * change, 0)), 1 / days, days) for s in (1, -1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return {out: _nulls(1 - 1 / (1 + up / np.where(down == 0, np.nan, down)))}
-
-    return fold(df, run, {out: "double"})
+    c = F.col(price) - F.lag(price).over(by_ticker())
+    df = df.withColumns({"_up": F.when(c.isNotNull(), F.greatest(c, F.lit(0.0))), "_down": F.when(c.isNotNull(), F.greatest(-c, F.lit(0.0)))})
+    df = fold(df, {"_gain": lambda get: smooth(get("_up"), 1 / days, days), "_loss": lambda get: smooth(get("_down"), 1 / days, days)})
+    return df.withColumn(out, 1 - 1 / (1 + ratio(F.col("_gain"), F.col("_loss")))).drop("_up", "_down", "_gain", "_loss")
 
 
 def with_macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd, macd_signal and macd_hist as parts of the price."""
-
-    def run(g: pd.DataFrame) -> dict:
-        p = g[price].to_numpy(float)
-        line = smooth(p, 2 / (fast + 1), fast) - smooth(p, 2 / (slow + 1), slow)
-        mean = smooth(line, 2 / (signal + 1), signal)
-        return {"macd": _nulls(line / p), "macd_signal": _nulls(mean / p), "macd_hist": _nulls((line - mean) / p)}
-
-    return fold(df, run, {"macd": "double", "macd_signal": "double", "macd_hist": "double"})
+    line = lambda get: F.zip_with(smooth(get(price), 2 / (fast + 1), fast), smooth(get(price), 2 / (slow + 1), slow), lambda a, b: a - b)
+    df = fold(df, {"_line": line, "_mean": lambda get: smooth(get("_line"), 2 / (signal + 1), signal)})
+    parts = {"macd": F.col("_line"), "macd_signal": F.col("_mean"), "macd_hist": F.col("_line") - F.col("_mean")}
+    return df.withColumns({k: ratio(v, F.col(price)) for k, v in parts.items()}).drop("_line", "_mean")
 
 
 def filled_forward(x: str) -> Column:
