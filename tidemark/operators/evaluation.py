@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import clip, finite, nonzero, ratio
 from .timeaxis import with_drawdown
@@ -81,6 +83,30 @@ def cross_sectional_slopes(df: DataFrame, x: str, y: str, ridge: float = 1e-4, l
     return both.groupBy("date").agg(F.when(F.count(F.lit(1)) >= least, slope).alias("slope")).where("slope is not null")
 
 
+def regime_breakdown(df: DataFrame, r: str, by: str, periods: int = 252) -> DataFrame:
+    """by, n, mean, std, sharpe, hit, ann_return of the rows that have both."""
+    known = df.where(F.col(r).isNotNull() & F.col(by).isNotNull())
+    figures = [F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), (ratio(F.avg(r), nonzero(F.stddev_samp(r))) * periods**0.5).alias("sharpe")]
+    return known.groupBy(by).agg(*figures, F.avg((F.col(r) > 0).cast("int")).alias("hit"), (F.avg(r) * periods).alias("ann_return"))
+
+
+def parameter_grid(spark: SparkSession, params: dict[str, list], run: Callable[..., DataFrame]) -> DataFrame:
+    """The parameters of every combination beside the one row that run(**combination) gives, and error: NULL, or its message
+    where it raised (its figures are NULL then). Combinations are a driver loop: dozens, each its own Spark jobs.
+    """
+    rows = []
+    for values in itertools.product(*params.values()):
+        own = dict(zip(params, values, strict=True))
+        try:
+            rows.append({**run(**own).first().asDict(), **own, "error": None})
+        except Exception as failed:  # what a combination raises is its result
+            rows.append({**own, "error": str(failed).strip().splitlines()[0] if str(failed).strip() else type(failed).__name__})
+    names = [*params, *[c for c in dict.fromkeys(k for r in rows for k in r) if c not in (*params, "error")], "error"]
+    frame = [tuple(r.get(c) for c in names) for r in rows]
+    kinds = [next((k for k in (type(v) for v in column) if k is not type(None)), str) for column in zip(*frame, strict=True)]
+    return spark.createDataFrame(frame, ", ".join(f"`{c}` {({int: 'long', float: 'double', bool: 'boolean'}).get(k, 'string')}" for c, k in zip(names, kinds, strict=True)))
+
+
 def bootstrap_sharpe(daily: DataFrame, r: str = "net", draws: int = 1000, block: int | None = None, seed: int = 7, method: str = "block") -> DataFrame:
     """low, mid, high: 2.5, 50 and 97.5 percentiles of the Sharpe ratio over resamples of n of the n rows with r.
 

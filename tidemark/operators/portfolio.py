@@ -9,7 +9,8 @@ from .timeaxis import by_ticker, fold, scanned
 from .xsection import z_score
 
 
-def _placed(df: DataFrame) -> DataFrame:
+def placed(df: DataFrame) -> DataFrame:
+    """df with _k, the place by score (ties by ticker) among its date's rows, and _n, how many they are."""
     own = W.partitionBy("date")
     return df.withColumns({"_k": F.row_number().over(own.orderBy("score", "ticker")), "_n": F.count(F.lit(1)).over(own)})
 
@@ -20,20 +21,20 @@ def top_bottom(df: DataFrame, k: int | float, gross: float = 1.0) -> DataFrame:
     A k between 0 and a half is a share of the date's scores, rounded down, one at least.
     """
     if 0 < k < 0.5:
-        placed = _placed(df.where(F.col("score").isNotNull())).withColumn("_m", F.greatest(F.lit(1), F.floor(F.col("_n") * k))).where("_n >= 2 * _m and (_k <= _m or _k > _n - _m)")
+        ranked = placed(df.where(F.col("score").isNotNull())).withColumn("_m", F.greatest(F.lit(1), F.floor(F.col("_n") * k))).where("_n >= 2 * _m and (_k <= _m or _k > _n - _m)")
         side = F.when(F.col("_k") > F.col("_n") - F.col("_m"), gross / 2).otherwise(-gross / 2)
-        return placed.select("date", "ticker", (side / F.col("_m")).alias("weight"))
-    placed = _placed(df.where(F.col("score").isNotNull())).where(f"_n >= {2 * k} and (_k <= {k} or _k > _n - {k})")
-    return placed.select("date", "ticker", F.when(F.col("_k") > F.col("_n") - k, gross / 2 / k).otherwise(-gross / 2 / k).alias("weight"))
+        return ranked.select("date", "ticker", (side / F.col("_m")).alias("weight"))
+    ranked = placed(df.where(F.col("score").isNotNull())).where(f"_n >= {2 * k} and (_k <= {k} or _k > _n - {k})")
+    return ranked.select("date", "ticker", F.when(F.col("_k") > F.col("_n") - k, gross / 2 / k).otherwise(-gross / 2 / k).alias("weight"))
 
 
 def inverse_vol(df: DataFrame, share: float = 0.2, least: int = 10, gross: float = 1.0) -> DataFrame:
     """date, ticker, weight: the top and bottom share by score, each side weighted by 1 / vol to gross / 2."""
-    placed = _placed(df.where("vol > 1e-6")).where(F.col("_n") >= least)
-    placed = placed.withColumn("_m", F.least(F.greatest(F.lit(1), F.floor(F.col("_n") * share)), F.floor(F.col("_n") / 2))).where("_k <= _m or _k > _n - _m")
-    placed = placed.withColumn("_side", F.when(F.col("_k") > F.col("_n") - F.col("_m"), 1).otherwise(-1))
+    ranked = placed(df.where("vol > 1e-6")).where(F.col("_n") >= least)
+    ranked = ranked.withColumn("_m", F.least(F.greatest(F.lit(1), F.floor(F.col("_n") * share)), F.floor(F.col("_n") / 2))).where("_k <= _m or _k > _n - _m")
+    ranked = ranked.withColumn("_side", F.when(F.col("_k") > F.col("_n") - F.col("_m"), 1).otherwise(-1))
     part = 1 / F.col("vol") / F.sum(1 / F.col("vol")).over(W.partitionBy("date", "_side"))
-    return placed.select("date", "ticker", (F.col("_side") * part * (gross / 2)).alias("weight"))
+    return ranked.select("date", "ticker", (F.col("_side") * part * (gross / 2)).alias("weight"))
 
 
 def quartiles(df: DataFrame, x: str, share: float = 0.25, key: str = "ticker") -> DataFrame:

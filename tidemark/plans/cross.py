@@ -102,6 +102,18 @@ def overlapping(df: DataFrame, low: str, high: str) -> DataFrame:
 add("f6_members_on", f"WITH {_SPANS} SELECT * FROM iv WHERE (start_date IS NULL OR start_date <= DATE '2024-01-15') AND (end_date IS NULL OR end_date > DATE '2024-01-15')", lambda s, sf: members_on(spans(s, sf), "2024-01-15"))
 add("f7_interval_overlap", f"WITH {_SPANS} SELECT * FROM iv WHERE (start_date IS NULL OR start_date <= DATE '2024-01-10') AND (end_date IS NULL OR end_date >= DATE '2024-01-29')", lambda s, sf: overlapping(spans(s, sf), "2024-01-29", "2024-01-10"))
 add("f8_random_universe", "SELECT DISTINCT n_name AS ticker FROM nation ORDER BY sha256('7|' || n_name) LIMIT 10", lambda s, sf: table(s, sf, "nation").select(F.col("n_name").alias("ticker")).distinct().orderBy(F.sha2(F.concat(F.lit("7|"), "ticker"), 256)).limit(10))
+
+
+def universe(intervals: DataFrame, mode: str, n: int, key: str = "user_id", seed: str = "7") -> DataFrame:
+    """The keys of a universe of n: current (open intervals, by key), first (any, by key) or random (by a seeded hash)."""
+    if mode not in ("current", "first", "random"):
+        raise ValueError(f"unknown universe: {mode!r}")
+    keys = (intervals.where("end_date is null") if mode == "current" else intervals).select(key).distinct()
+    return keys.orderBy(*([F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)] if mode == "random" else []), key).limit(n)
+
+
+add("f8_current_universe", f"WITH {_SPANS} SELECT user_id FROM iv WHERE end_date IS NULL ORDER BY user_id LIMIT 20", lambda s, sf: universe(spans(s, sf), "current", 20))
+add("f8_first_universe", f"WITH {_SPANS} SELECT DISTINCT user_id FROM iv ORDER BY user_id LIMIT 20", lambda s, sf: universe(spans(s, sf), "first", 20))
 add("f9_drop_nulls", f"WITH {RETURNS} SELECT date, ticker, {r6('r', 'r')} FROM rets WHERE r IS NOT NULL", lambda s, sf: returns(s, sf).select("date", "ticker", "r").na.drop(subset=["r"]))
 add("f10_clip", f"WITH {RETURNS} SELECT date, ticker, {r6('CASE WHEN r IS NULL THEN NULL ELSE least(greatest(r, -0.5), 0.5) END', 'r')} FROM rets", lambda s, sf: returns(s, sf).select("date", "ticker", clip(F.col("r"), -0.5, 0.5).alias("r")))
 add("f11_floor_to_null", f"WITH {RETURNS} SELECT date, ticker, {r6('CASE WHEN r > 0.01 THEN r END', 'r')}, nullif(volume, 50) AS volume FROM rets", lambda s, sf: returns(s, sf).select("date", "ticker", F.when(F.col("r") > 0.01, F.col("r")).alias("r"), F.nullif("volume", F.lit(50.0)).alias("volume")))

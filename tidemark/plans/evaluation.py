@@ -12,7 +12,7 @@ from ..sources.panel import price_panel, table
 from .cross import _TRIALS, add, scores, trials
 from .portfolio import BACKTEST, backtest
 from .registry import query
-from .sql import PANEL, RETURNS, r6
+from .sql import PANEL, RETURNS, folds, r6
 
 _RK = lambda c: f"rank() OVER (PARTITION BY date ORDER BY {c}) + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2.0"
 _IC = RETURNS + f", bo AS (SELECT date, {_RK('volume')} AS a, {_RK('r')} AS b FROM rets WHERE r IS NOT NULL), ic AS (SELECT date, CASE WHEN count(*) >= 5 AND isfinite(corr(a, b)) THEN corr(a, b) END AS ic FROM bo GROUP BY 1)"
@@ -54,6 +54,7 @@ add("a15_yearly_table", _sheet("year"), lambda s, sf: e.tearsheet(daily_net(s, s
 _QUART = "qt AS (SELECT quantile_cont(c, 0.25) AS a, quantile_cont(c, 0.5) AS b, quantile_cont(c, 0.75) AS d FROM lv), nm AS (SELECT lv.*, CASE WHEN c <= a THEN 'q1' WHEN c <= b THEN 'q2' WHEN c <= d THEN 'q3' WHEN c IS NOT NULL THEN 'q4' END AS bucket FROM lv, qt)"
 add("a17_quartile_buckets", f"WITH {PANEL}, lv AS (SELECT date, sum(volume) AS c FROM panel GROUP BY 1), {_QUART} SELECT date, bucket FROM nm", lambda s, sf: e.quartile_names(price_panel(s, sf).groupBy("date").agg(F.sum("volume").alias("c")), "c").select("date", "bucket"))
 add("a16_regime_breakdown", f"WITH {RETURNS}, lv AS (SELECT date, sum(volume) AS c, avg(r) AS m FROM rets GROUP BY 1), {_QUART} SELECT bucket, count(*) AS n, {r6('avg(m)', 'mean')}, {r6('stddev_samp(m)', 'std')}, {r6('avg(CAST(m > 0 AS INT))', 'hit')} FROM nm GROUP BY 1", lambda s, sf: e.quartile_names(scores(s, sf).groupBy("date").agg(F.sum("score").alias("c"), F.avg("r").alias("m")), "c").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"), F.avg((F.col("m") > 0).cast("int")).alias("hit")))
+add("a16_regime_sheet", f"WITH {RETURNS}, lv AS (SELECT date, sum(volume) AS c, avg(r) AS m FROM rets GROUP BY 1), {_QUART} SELECT bucket, count(*) AS n, {r6('avg(m)', 'mean')}, {r6('stddev_samp(m)', 'std')}, {r6('avg(m) / nullif(stddev_samp(m), 0) * sqrt(252)', 'sharpe')}, {r6('avg(CAST(m > 0 AS INT))', 'hit')}, {r6('avg(m) * 252', 'ann_return')} FROM nm WHERE m IS NOT NULL AND bucket IS NOT NULL GROUP BY 1", lambda s, sf: e.regime_breakdown(e.quartile_names(scores(s, sf).groupBy("date").agg(F.sum("score").alias("c"), F.avg("r").alias("m")), "c"), "m", "bucket"))
 add("a20_median_fill", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END, (SELECT median(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END) FROM orders)) AS price FROM orders", lambda s, sf: filled_with_median(table(s, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price")), "price"), None)
 add("a22_pending_guard", "SELECT count(*) AS pending, count(*) >= 5 AS full FROM orders WHERE o_orderstatus = 'P'", lambda s, sf: table(s, sf, "orders").where("o_orderstatus = 'P'").agg(F.count(F.lit(1)).alias("pending"), (F.count(F.lit(1)) >= 5).alias("full")))
 add("a23_best_trial", f"WITH {_TRIALS} SELECT trial, sharpe FROM tr WHERE sharpe > -10 ORDER BY sharpe DESC, trial LIMIT 1", lambda s, sf: trials(s, sf).where("sharpe > -10").orderBy(F.desc("sharpe"), "trial").limit(1))
@@ -69,12 +70,12 @@ def _bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return e.bootstrap_sharpe(backtest(spark, sf))
 
 
-@query("m1_walk_forward")
+@query("m1_walk_forward", f"WITH RECURSIVE {PANEL}, {folds('te + INTERVAL 180 DAY', '1998-12-31')} SELECT fold, date, ticker, train_end FROM panel JOIN fo ON date BETWEEN test_start AND test_end")
 def _folds(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the panel by fold; the folds (at most a few dozen) are computed from the distinct dates and join by range."""
     panel = price_panel(spark, sf)
     dates = [r.date for r in panel.select("date").distinct().orderBy("date").collect()]  # bounded by the calendar
-    folds = e.walk_forward(dates, dt.date(1998, 12, 31), 180, 5, 500)
-    table_ = spark.createDataFrame(folds, "fold int, train_end date, test_start date, test_end date")
+    found = e.walk_forward(dates, dt.date(1998, 12, 31), 180, 5, 500)
+    table_ = spark.createDataFrame(found, "fold int, train_end date, test_start date, test_end date")
     tested = panel.join(F.broadcast(table_), F.expr("date between test_start and test_end"))
     return tested.select("fold", "date", "ticker", "train_end")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("time", "cross", "joins", "portfolio", "evaluation", "serving", "sources")
+_MODULES = ("time", "cross", "joins", "portfolio", "evaluation", "serving", "sources", "models")
 
 
 def query(name: str, sql: str | None = None):

@@ -37,3 +37,11 @@ def ewm(name: str, source: str, x: str, alpha: float, least: int) -> str:
  {name}_y AS (SELECT ticker, rn, k, x AS y FROM {name}_s WHERE k = 1 UNION ALL
   SELECT s.ticker, s.rn, s.k, (1 - {alpha!r}) * p.y + {alpha!r} * s.x FROM {name}_y p JOIN {name}_s s ON s.ticker = p.ticker AND s.k = p.k + 1),
  {name} AS (SELECT ticker, rn, CASE WHEN k >= {least} THEN y END AS y FROM {name}_y)"""
+
+
+def folds(end: str, first: str, embargo: int = 5, least: int = 500) -> str:
+    """Recursive tables up to fo (fold, train_end, test_start, test_end, n_train): tests from the day after te to `end`."""
+    return f"""cal AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM panel)), hi AS (SELECT max(date) AS hi FROM cal),
+ st AS (SELECT DATE '{first}' AS te, NULL::DATE AS ts UNION ALL SELECT least(CAST({end} AS DATE), hi), CAST(te + INTERVAL 1 DAY AS DATE) FROM st, hi WHERE te < hi),
+ tr AS (SELECT ts AS test_start, te AS test_end, greatest(0, (SELECT count(*) FROM cal WHERE date < ts) - {embargo}) AS n_train FROM st WHERE ts IS NOT NULL),
+ fo AS (SELECT CAST(row_number() OVER (ORDER BY test_start) - 1 AS INT) AS fold, date AS train_end, test_start, test_end, n_train FROM tr JOIN cal ON k = n_train WHERE n_train >= {least})"""
