@@ -7,39 +7,42 @@ from pyspark.sql import DataFrame
 from . import timeaxis as t
 
 
-def technical(panel: DataFrame) -> DataFrame:
-    """date, ticker and the price and volume features of a panel (date, ticker, close, volume)."""
-    df = t.with_macd(t.with_rsi(panel.select("date", "ticker", "close", "volume"), out="rsi_14"))
-    df = t.with_daily_return(df)
+TECHNICAL = [f"ret_{d}d" for d in (1, 5, 21, 63, 252)] + [f"vol_{d}d" for d in (5, 21, 63)] + "rsi_14 macd macd_signal macd_hist bb_z_20 dist_high_252 dist_low_252 adv_proxy_21 skew_21 kurt_63".split()
+SECOND = "mom_12_1 st_reversal_5 max_ret_21 amihud_21".split()
+OF_MARKET = ["beta_60", "idio_vol_60"]
+
+
+def with_technical(df: DataFrame) -> DataFrame:
+    """df (date, ticker, close, volume) with TECHNICAL, price and volume features."""
+    df = t.with_daily_return(t.with_macd(t.with_rsi(df, out="rsi_14")), out="_r")
     high, low = t.range_distance()
-    return df.select(
-        "date", "ticker", *[t.log_return(d).alias(f"ret_{d}d") for d in (1, 5, 21, 63, 252)], *[t.realised_vol("r", d).alias(f"vol_{d}d") for d in (5, 21, 63)],
-        "rsi_14", "macd", "macd_signal", "macd_hist", t.bollinger().alias("bb_z_20"), high.alias("dist_high_252"), low.alias("dist_low_252"),
-        t.dollar_volume().alias("adv_proxy_21"), t.skew("r").alias("skew_21"), t.kurtosis("r").alias("kurt_63"),
-    )
+    own = {**{f"ret_{d}d": t.log_return(d) for d in (1, 5, 21, 63, 252)}, **{f"vol_{d}d": t.realised_vol("_r", d) for d in (5, 21, 63)}}
+    own |= {"bb_z_20": t.bollinger(), "dist_high_252": high, "dist_low_252": low, "adv_proxy_21": t.dollar_volume(), "skew_21": t.skew("_r"), "kurt_63": t.kurtosis("_r")}
+    return df.withColumns(own).drop("_r")
 
 
-def second_tier(panel: DataFrame, market: DataFrame | None = None) -> DataFrame:
-    """date, ticker, momentum, reversal, highest return and illiquidity, and with the market's returns (date, b) beta and
-    the deviation of what it leaves."""
-    df = t.with_daily_return(panel)
-    own = ["mom_12_1", "st_reversal_5", "max_ret_21", "amihud_21"]
-    df = df.withColumns({"mom_12_1": t.momentum(), "st_reversal_5": t.reversal(), "max_ret_21": t.highest("r"), "amihud_21": t.illiquidity("r")})
+def with_second_tier(df: DataFrame, market: DataFrame | None = None) -> DataFrame:
+    """df with SECOND, momentum, reversal, highest return and illiquidity, and with the market's returns (date, b) OF_MARKET,
+    beta and the deviation of what it leaves."""
+    df = t.with_daily_return(df, out="_r")
+    df = df.withColumns({"mom_12_1": t.momentum(), "st_reversal_5": t.reversal(), "max_ret_21": t.highest("_r"), "amihud_21": t.illiquidity("_r")})
     if market is not None:
-        df = t.with_rolling_beta(df.join(market, "date", "left"), "r", "b", out="beta_60")
-        df = t.with_idiosyncratic_vol(df, "r", "b", "beta_60", out="idio_vol_60")
-        own += ["beta_60", "idio_vol_60"]
-    return df.select("date", "ticker", *own)
+        df = t.with_rolling_beta(df.join(market.withColumnRenamed("b", "_b"), "date", "left"), "_r", "_b", out="beta_60")
+        df = t.with_idiosyncratic_vol(df, "_r", "_b", "beta_60", out="idio_vol_60").drop("_b")
+    return df.drop("_r")
 
 
-def composed(*families: DataFrame) -> DataFrame:
-    """All families side by side on the first one's rows (date, ticker)."""
-    first, *rest = families
-    for f in rest:
-        first = first.join(f, ["date", "ticker"], "left")
-    return first
+def technical(panel: DataFrame) -> DataFrame:
+    """date, ticker and TECHNICAL."""
+    return with_technical(panel.select("date", "ticker", "close", "volume")).select("date", "ticker", *TECHNICAL)
+
+
+def second_tier(panel: DataFrame, market: DataFrame | None = None) -> DataFrame:
+    """date, ticker and SECOND, with a market OF_MARKET too."""
+    return with_second_tier(panel, market).select("date", "ticker", *SECOND, *(OF_MARKET if market is not None else []))
 
 
 def full(panel: DataFrame, market: DataFrame | None = None) -> DataFrame:
-    """Both families."""
-    return composed(technical(panel), second_tier(panel, market))
+    """Both families on one read of the panel."""
+    df = with_second_tier(with_technical(panel.select("date", "ticker", "close", "volume")), market)
+    return df.select("date", "ticker", *TECHNICAL, *SECOND, *(OF_MARKET if market is not None else []))

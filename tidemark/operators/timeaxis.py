@@ -129,10 +129,20 @@ def fold(df: DataFrame, made: dict[str, Callable[[Callable[[str], Column]], Colu
     return rows.select(key, F.inline(F.arrays_zip("_rows", *made))).select(key, "_rows.*", *made).select(*df.columns, *made)
 
 
-def scanned(x: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """The states after each element of array x: step(state before, element), from start."""
+def scanned(x: Column, start: Column, step: Callable[[Column, Column], Column], run: int = 64) -> Column:
+    """The states after each element of array x: step(state before, element), from start.
+
+    Runs of `run` elements are folded one after the other, so a state is copied with its run and not with the series.
+    """
     none = F.slice(F.array(start), 1, 0)
-    return F.aggregate(x, none, lambda seen, v: F.concat(seen, F.array(step(F.coalesce(F.try_element_at(seen, F.lit(-1)), start), v))))
+    last = lambda seen, before: F.coalesce(F.try_element_at(seen, F.lit(-1)), before)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(run)), lambda at: F.slice(x, at + 1, run))
+
+    def one(done: Column, part: Column) -> Column:
+        before = F.coalesce(F.try_element_at(F.try_element_at(done, F.lit(-1)), F.lit(-1)), start)
+        return F.concat(done, F.array(F.aggregate(part, none, lambda seen, v: F.concat(seen, F.array(step(last(seen, before), v))))))
+
+    return F.flatten(F.aggregate(runs, F.slice(F.array(none), 1, 0), one))
 
 
 def smooth(x: Column, alpha: float, least: int = 1) -> Column:
