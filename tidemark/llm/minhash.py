@@ -123,6 +123,7 @@ def near_duplicates(
     errors: int = 1,
     sketch_limit: int = 24,
     group_rows: int = 1024,
+    copy_parts: int = 64,
 ) -> DataFrame:
     """Groups of documents whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`.
 
@@ -138,7 +139,8 @@ def near_duplicates(
     inside the join, so groups of copies are never expanded into all their pairs. Candidates whose sizes or whose
     64-position two-bit sketches (limit 24, five standard deviations above the mean at 0.8) rule the similarity
     out are left; the rest are confirmed on their full sets of 64-bit shingle hashes. Groups of over group_rows members are
-    split: each part of a group meets a copy of the whole, so no task compares all of a large group.
+    split: each part of a group meets a copy of the whole, so no task compares all of a large group. Copies of one set are
+    joined in copy_parts parts.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that repeat an id are one vertex
     of the graph: what any of them links to, all do. Rows with a null id link with nothing, have a null
@@ -148,11 +150,14 @@ def near_duplicates(
     percent = round(similarity * 100)  # joins have merge hints where both sides grow with the table
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = materialize(docs.mapInArrow(_sketch(width, chunks * chunk), _BASE), "minhash-base")
-    sized = base.where("id is not null and n > 0")
-    reps = sized.groupBy("set_key").agg(F.min("id").alias("rep"))
-    own = sized.join(reps, "set_key").select("id", "rep", "set_key")
-    reps = reps.withColumnRenamed("rep", "id")
-    classes = sized.join(reps, ["set_key", "id"]).dropDuplicates(["set_key"])
+    # rows of one set meet its smallest id by parts; each set has a row for every part that it fills, so one text's copies spread
+    parted = base.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(copy_parts)).cast("int"))
+    sized = parted.where("id is not null and n > 0")
+    reps = sized.groupBy("set_key").agg(F.min("id").alias("rep"), F.collect_set("part").alias("held"))
+    reps = materialize(reps, "minhash-reps")
+    by_part = reps.select("set_key", "rep", F.explode("held").alias("part"))
+    own = sized.join(by_part, ["set_key", "part"]).select("id", "rep")
+    classes = sized.join(reps.select("set_key", F.col("rep").alias("id")), ["set_key", "id"]).dropDuplicates(["set_key", "id"])
     classes = materialize(classes.select("id", "n", "sig", "sk1", "sk2"), "minhash-classes")
     small = classes.select("id", "n", "sk1", "sk2")
     keys = classes.select("id", "sig").mapInArrow(_keys(chunk, errors), "key long, id long")
@@ -210,8 +215,8 @@ def near_duplicates(
         found = components(links.union(more), "minhash-c2")
     discard(classes, buckets, members, groups, first, near, sets, more)
 
-    of_class = own.select("set_key", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left")
-    of_class = of_class.select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = base.select("id", "n", "set_key").join(of_class, "set_key", "left")
+    of_class = reps.join(found, F.col("rep") == F.col("node"), "left")
+    of_class = of_class.select("set_key", F.coalesce("component", "rep").alias("component"), F.explode("held").alias("part"))
+    out = parted.select("id", "n", "set_key", "part").join(of_class, ["set_key", "part"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
