@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins, portfolio, serving, xsection
-from tidemark.sources import tables, text
+from tidemark.sources import html, tables, text
 
 
 def day(n):
@@ -71,3 +71,31 @@ def test_text_forms(spark):
     assert [r[0] for r in names.select(text.canonical_name(F.col("n"))).collect()] == [None, None, None, None]
     with pytest.raises(Exception, match="too short"):
         text.checked_companies(spark.createDataFrame([("A", "0000000001")], "ticker string, cik string")).collect()
+
+
+def test_html_tables_of_odd_pages(spark):
+    spans = "<table><tr><th rowspan=2>Day<th colspan=2>Both</tr><tr><th>L<th>R</tr><tr><td rowspan=2>x</td><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>"
+    pages = [(1, None), (2, ""), (3, "<p>none</p>"), (4, spans), (4, "<table><tr><td>a<table><tr><td>b</table>c</table>"), (None, "<table><tr><td rowspan=x>&lt;</table>")]
+    rows = html.html_tables(spark.createDataFrame(pages, "k int, page string"), "k", "page").collect()
+    got = sorted((r.k or 0, r.table, r.line, r.header, tuple(r.cells)) for r in rows)
+    assert got == [
+        (0, 0, 0, False, ("<",)),
+        (4, 0, 0, False, ("ac",)),
+        (4, 0, 0, True, ("Day", "Both", "Both")),
+        (4, 0, 1, True, ("Day", "L", "R")),
+        (4, 0, 2, False, ("x", "1", "2")),
+        (4, 0, 3, False, ("x", "3")),
+        (4, 1, 0, False, ("b",)),
+    ]
+
+
+def test_day_cache_marks_empty_days_once(spark):
+    day = lambda *ds: spark.createDataFrame([(d,) for d in ds], "date string")
+    schema = "date string, k int"
+    cached = spark.createDataFrame([("d1", 1), ("d2", None)], schema)
+    fetched = spark.createDataFrame([("d1", 9), ("d2", 9), ("d3", 3), ("d3", 4)], schema)
+    once = tables.day_cache(day("d1", "d2", "d3", "d4"), cached, fetched)
+    expected = [("d1", 1), ("d2", None), ("d3", 3), ("d3", 4), ("d4", None)]
+    assert sorted((tuple(r) for r in once.collect()), key=str) == expected
+    assert sorted((tuple(r) for r in tables.day_cache(day("d4"), once, fetched).collect()), key=str) == expected
+    assert sorted(r.k for r in tables.held_rows(once, "k").collect()) == [1, 3, 4]

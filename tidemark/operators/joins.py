@@ -54,6 +54,21 @@ def event_panel(events: DataFrame, calendar: DataFrame, key: str, windows: tuple
     return dense.select("date", key, "n", *[F.sum("n").over(w.rowsBetween(1 - d, 0)).alias(f"n_{d}") for d in windows])
 
 
+def measure_panel(daily: DataFrame, calendar: DataFrame, key: str, counts: tuple[str, ...], means: tuple[str, ...] = (), windows: tuple[int, ...] = (5, 21)) -> DataFrame:
+    """date, key, each count (0 without rows) with its sums over the last rows, each mean with its means over them.
+
+    daily: date, key and the measures. They fall on the trading day on or after their date and stand on every calendar day
+    for every key, like event_panel's: keys x calendar days come out. A mean is NULL on a day, or over rows, without one.
+    """
+    some = [F.sum(c).alias(c) for c in counts] + [F.avg(c).alias(c) for c in means]
+    moved = asof_forward(daily, calendar).groupBy(F.col("trading_day").alias("date"), key).agg(*some)
+    dense = daily.select(key).distinct().join(calendar.select(F.collect_list("date").alias("_days")), F.lit(True)).select(key, F.explode("_days").alias("date"))
+    dense = dense.join(moved, ["date", key], "left").na.fill(0, list(counts))
+    w = W.partitionBy(key).orderBy("date")
+    rolled = [f(c).over(w.rowsBetween(1 - d, 0)).alias(f"{c}_{d}") for f, cs in ((F.sum, counts), (F.avg, means)) for c in cs for d in windows]
+    return dense.select("date", key, *counts, *means, *rolled)
+
+
 def membership(events: DataFrame, key: str, current: DataFrame | None = None) -> DataFrame:
     """Intervals (key, start_date, end_date) from add and remove events (key, date, kind 1 or -1), by gaps and islands.
 

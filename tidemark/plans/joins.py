@@ -59,3 +59,21 @@ add(
     "SELECT *, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY date ROWS 4 PRECEDING) AS BIGINT) AS n_5, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY date ROWS 20 PRECEDING) AS BIGINT) AS n_21 FROM dn",
     lambda s, sf: j.event_panel(table(s, sf, "events"), calendar(s, sf), "user_id"),
 )
+
+
+def family_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of two families by day and user, and their mean value as a tone."""
+    family = lambda *kinds: F.count_if(F.col("event_type").isin(*kinds))
+    rows = table(spark, sf, "events").groupBy(F.to_date("ts").alias("date"), "user_id")
+    return rows.agg(family("signup", "purchase").alias("trade"), family("error").alias("trouble"), F.avg("value").alias("tone"))
+
+
+_ROLL = lambda f, c, d: f"{f}({c}) OVER (PARTITION BY user_id ORDER BY date ROWS {d - 1} PRECEDING)"
+add(
+    "m18_family_panel",
+    f"WITH {_FWD}, fd AS (SELECT CAST(ts AS DATE) AS day, user_id, count_if(event_type IN ('signup', 'purchase')) AS trade, count_if(event_type = 'error') AS trouble, avg(value) AS tone FROM events GROUP BY 1, 2), "
+    "mv AS (SELECT td.trading_day AS date, fd.user_id, sum(trade) AS trade, sum(trouble) AS trouble, avg(tone) AS tone FROM fd JOIN (SELECT DISTINCT date AS day, trading_day FROM td) td USING (day) WHERE trading_day IS NOT NULL GROUP BY 1, 2), "
+    "dn AS (SELECT date, user_id, CAST(coalesce(trade, 0) AS BIGINT) AS trade, CAST(coalesce(trouble, 0) AS BIGINT) AS trouble, tone FROM cal CROSS JOIN (SELECT DISTINCT user_id FROM events) LEFT JOIN mv USING (date, user_id)) "
+    f"SELECT date, user_id, trade, trouble, {r6('tone', 'tone')}, " + ", ".join(f"CAST({_ROLL('sum', c, d)} AS BIGINT) AS {c}_{d}" for c in ("trade", "trouble") for d in (5, 21)) + ", " + ", ".join(r6(_ROLL("avg", "tone", d), f"tone_{d}") for d in (5, 21)) + " FROM dn",
+    lambda s, sf: j.measure_panel(family_days(s, sf), calendar(s, sf), "user_id", ("trade", "trouble"), ("tone",)),
+)

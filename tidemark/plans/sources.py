@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import joins as j
-from ..sources import tables as tb, text as tx
+from ..sources import html as ht, tables as tb, text as tx
 from ..sources.panel import price_panel, table
 from .cross import add
 from .sql import PANEL, r6
@@ -118,3 +118,37 @@ add(
         events(s, sf).where("event_type = 'purchase' and value > 50").select("user_id").distinct(),
     ),
 )
+
+
+def change_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page for each user: a table of members, and one of changes under two lines of headers with spans."""
+    spelled = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "MMMM d, yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    who = F.concat(F.lit("E."), "event_id")
+    line = lambda *cells: F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td>"), c, F.lit("</td>"))], F.lit("</tr>"))
+    named = lambda kind: F.when(F.col("event_type") == kind, who).otherwise("")
+    changed = F.when(F.col("event_type").isin("signup", "error"), line(spelled, named("signup"), F.lit("a &amp; b"), named("error"), F.lit("-")))
+    rows = events(spark, sf).select("user_id", line(F.col("event_type"), who).alias("member"), changed.alias("changed"))
+    pages = rows.groupBy("user_id").agg(F.concat_ws("", F.collect_list("member")).alias("m"), F.concat_ws("", F.collect_list("changed")).alias("c"))
+    first, second = "<p>x<table><tr><th>Kind<th>Symbol</tr>", '</table><table><tr><th rowspan="2">Date</th><th colspan="2">Added</th><th colspan="2">Removed</th></tr><tr><th>Ticker</th><th>Security</th><th>Ticker</th><th>Security</th></tr>'
+    return pages.select("user_id", F.concat(F.lit(first), "m", F.lit(second), "c", F.lit("<tr><td>no date</td></tr></table>")).alias("html"))
+
+
+add("s7_index_changes", "SELECT user_id, CAST(ts AS DATE) AS date, CASE WHEN event_type = 'signup' THEN 'E-' || event_id END AS added, CASE WHEN event_type = 'error' THEN 'E-' || event_id END AS removed FROM events WHERE event_type IN ('signup', 'error')", lambda s, sf: ht.index_changes(ht.html_tables(change_pages(s, sf), "user_id", "html"), "user_id"))
+add("s7_current_members", "SELECT DISTINCT user_id, 'E-' || event_id AS ticker FROM events", lambda s, sf: ht.current_members(ht.html_tables(change_pages(s, sf), "user_id", "html"), "user_id"))
+
+
+def day_rows(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
+    return events(spark, sf).where(F.col("event_type").isin(*kinds)).groupBy(F.to_date("ts").alias("date"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DAYS = "SELECT CAST(ts AS DATE) AS date, user_id, count(*) AS n FROM events WHERE event_type = '{}' AND {} GROUP BY 1, 2"
+add(
+    "s19_day_cache",
+    f"WITH w AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders UNION SELECT CAST(ts AS DATE) FROM events), c AS ({_DAYS.format('error', 'value > 50')}), f AS ({_DAYS.format('signup', 'true')}) "
+    "SELECT * FROM c UNION ALL SELECT w.date, f.user_id, f.n FROM (SELECT date FROM w WHERE date NOT IN (SELECT date FROM c)) w LEFT JOIN f ON f.date = w.date",
+    lambda s, sf: tb.day_cache(
+        table(s, sf, "orders").select(F.to_date("o_orderdate").alias("date")).union(events(s, sf).select(F.to_date("ts"))),
+        events(s, sf).where("event_type = 'error' and value > 50").groupBy(F.to_date("ts").alias("date"), "user_id").agg(F.count(F.lit(1)).alias("n")),
+        day_rows(s, sf, "signup"),
+    ),
+)

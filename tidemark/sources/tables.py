@@ -85,3 +85,15 @@ def synthetic_prices(spark: SparkSession, tickers: int, days: int, *, seed: int
     level = F.exp(F.sum("step").over(W.partitionBy("k").orderBy("i").rowsBetween(W.unboundedPreceding, 0))) * 100
     walk = cells.withColumn("step", step).select(date.alias("date"), F.format_string("T%05d", "k").alias("ticker"), level.alias("close"), (unit(3) * 4.9e7 + 1e6).alias("volume"))
     return walk.select("date", "ticker", F.col("close").alias("open"), (F.col("close") * 1.005).alias("high"), (F.col("close") * 0.995).alias("low"), "close", F.col("close").alias("adj_close"), "volume")
+
+
+def day_cache(wanted: DataFrame, cached: DataFrame, fetched: DataFrame, on: str = "date") -> DataFrame:
+    """cached, and the fetched rows of wanted days that it doesn't hold. A wanted day without rows leaves a marker, its date
+    and NULLs, so that it counts as held from then on."""
+    new = wanted.select(on).distinct().join(cached.select(on).distinct(), on, "left_anti")
+    return cached.unionByName(new.join(fetched, on, "left"))
+
+
+def held_rows(cache: DataFrame, key: str) -> DataFrame:
+    """The rows of a day cache without its markers."""
+    return cache.where(F.col(key).isNotNull())
