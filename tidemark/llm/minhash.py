@@ -185,8 +185,12 @@ def near_duplicates(
     x, y = (small.alias(k).hint("merge") for k in "xy")
     first = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
     first = materialize(first.where(_alike("x", "y", percent, sketch_limit)).select("a", "b"), "minhash-pairs")
-    parts = groups.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts")).where("parts > 1")
-    split = groups.join(parts, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # a large group meets what is known of its hub by the same parts
+    in_part = lambda df: df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(copy_parts)).cast("int"))
+    held = F.collect_set("part").alias("held")
+    parts = in_part(groups).groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"), held).where("parts > 1")
+    parts = parts.select("hub", "parts", F.explode("held").alias("part"))
+    split = in_part(groups).join(parts, ["hub", "part"], "left").drop("part").withColumn("parts", F.coalesce("parts", F.lit(1)))
     salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     copied = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     x, y = salted(split).alias("x"), copied(split).alias("y").hint("merge")
@@ -205,8 +209,10 @@ def near_duplicates(
     found = components(links, "minhash-c1")
 
     placed = near.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("hub").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("hub")
-    placed = placed.join(mixed.hint("merge"), "hub").join(sets.hint("merge"), "id")
+    placed = in_part(placed)
+    mixed = placed.groupBy("hub").agg(F.min("component").alias("l"), F.max("component").alias("h"), held).where("l <> h")
+    mixed = mixed.select("hub", F.explode("held").alias("part"))
+    placed = placed.join(mixed.hint("merge"), ["hub", "part"]).drop("part").join(sets.hint("merge"), "id")
     x, y = salted(placed).alias("x"), copied(placed.drop("salt")).alias("y").hint("merge")
     rest = F.expr("x.hub = y.hub and x.salt = y.salt and x.id > y.id and x.component <> y.component") & _alike("x", "y", percent, sketch_limit)
     more = x.join(y, rest & _similar("x.hashes", "y.hashes", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
