@@ -42,6 +42,12 @@ def discard(*tables: DataFrame) -> None:
         files.delete(where, True)
 
 
+def delete(spark: SparkSession, path: str, *, on_exit: bool = False) -> None:
+    """Delete a folder with all that is in it, now or when the application ends; one that isn't there may be named."""
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where) if on_exit else files.delete(where, True)
+
+
 def _file_system(spark: SparkSession, path: str) -> tuple:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where

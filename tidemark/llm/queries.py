@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import covertree, hnsw, langid, minhash, mixing, packing, pii, quality, secrets, tokens
+from . import covertree, exponion, hnsw, langid, minhash, mixing, packing, partcodes, pii, quality, secrets, tokens, warc
 from .common import table
 
 
@@ -61,9 +61,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", *secrets.span_digest())
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes of eight parts by codebooks of 16 entries."""
+    return partcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings by the nearest of 40 centroids."""
+    return exponion.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives, normalised and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     """Every query of this subpackage by name."""
-    own = (op1_best_fit_packing, op2_quality_classifier, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op7_embedding_near_dedup, op8_pii, op9_exact_top_k, op10_secret_scan)
+    own = (op1_best_fit_packing, op2_quality_classifier, op3_minhash_near_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op7_embedding_near_dedup, op8_pii, op9_exact_top_k, op10_secret_scan, op11_vector_codes, op12_centroid_clustering, op13_warc)
     return {f.__name__: f for f in own}
 
 
