@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation, hierarchy, models
+from tidemark.operators import evaluation, hierarchy, models, xsection
 
 DAY = dt.date(2020, 1, 1)
 
@@ -26,11 +26,40 @@ def panel(spark):
     return spark.createDataFrame(rows, "date date, ticker string, sector string, x1 double, x2 double, x3 double, y double, score double").cache()
 
 
-def test_folds_by_hand():
+def test_folds_by_hand(spark):
     dates = [DAY + dt.timedelta(days=i) for i in range(100)]
-    got = models.expanding_folds(dates, DAY + dt.timedelta(days=30), months=1, embargo=5, least=20)
-    assert got == [(0, dates[0], dates[25], dates[31], dates[59], 26, 29), (1, dates[0], dates[54], dates[60], dates[90], 55, 31), (2, dates[0], dates[85], dates[91], dates[99], 86, 9)]
-    assert models.expanding_folds(dates, dates[-1]) == [] and models.expanding_folds(dates, DAY, 1, 5, 1000) == []
+    df = spark.createDataFrame([(d, t) for d in dates for t in "ab"], "date date, ticker string")
+    got = lambda *a, **k: sorted(map(tuple, models.folds_table(df, *a, **k).collect()))
+    assert got(DAY + dt.timedelta(days=30), months=1, embargo=5, least=20) == [(0, dates[0], dates[25], dates[31], dates[59], 26, 29), (1, dates[0], dates[54], dates[60], dates[90], 55, 31), (2, dates[0], dates[85], dates[91], dates[99], 86, 9)]
+    assert got(dates[-1]) == [] and got(DAY, 1, 5, 1000) == [] and models.folds_table(df.limit(0), DAY).collect() == []
+    assert [r[3:] for r in got(dates[49], days=20, embargo=3, least=1)] == [(dates[50], dates[69], 47, 20), (dates[70], dates[89], 67, 20), (dates[90], dates[99], 87, 10)]
+    gaps = df.where((F.col("date") < F.lit(dates[40])) | (F.col("date") > F.lit(dates[75])))  # a test without dates is no fold
+    assert [(r.fold, r.test_start, r.n_test) for r in models.folds_table(gaps, dates[39], days=15, embargo=0, least=1).collect()] == [(0, dates[70], 9), (1, dates[85], 15)]
+
+
+@pytest.mark.parametrize("parts", [2, 7, 200])
+def test_medians_up_to_each_end(spark, panel, parts):
+    ends = spark.createDataFrame([(DAY + dt.timedelta(days=i),) for i in (-1, 0, 17, 17, 40, 59, 99)], "end date")
+    df = panel.withColumns({"flat": F.when(F.col("x1") > -2, 3.0), "few": F.round("x1", 1), "x3": F.lit(None).cast("double")})
+    got = {r.end: r for r in xsection.medians_so_far(df, ["x1", "x2", "flat", "few", "x3"], ends, parts).collect()}
+    pdf = df.toPandas()
+    assert len(got) == 6
+    for end, r in got.items():
+        own = pdf[pdf["date"] <= end]
+        for c in ("x1", "x2", "flat", "few", "x3"):
+            want = own[c].astype(float).median()
+            assert (getattr(r, c) is None) if want != want else abs(getattr(r, c) - want) < 1e-12
+
+
+def test_premia_of_all_folds_are_one_plan(panel):
+    folds = models.folds_table(panel, DAY + dt.timedelta(days=20), 1, 3, 10).cache()
+    xs = ["x1", "x2", "x3"]
+    got = {(r.fold, r.date, r.ticker): r.score for r in models.premia_folds(panel, folds, xs, "y").collect()}
+    want = {}
+    for f in folds.collect():
+        train, test = panel.where(F.col("date") <= F.lit(f.train_end)), panel.where(F.col("date").between(f.test_start, f.test_end))
+        want |= {(f.fold, r.date, r.ticker): r.score for r in models.fama_macbeth(train, test, xs, "y").collect()}
+    assert got.keys() == want.keys() and len(got) > 500 and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
 def test_split_covers_tests_once_and_never_trains_on_them(panel):
@@ -124,16 +153,32 @@ def test_shrinkage_by_its_definition():
     assert np.allclose(hierarchy.shrunk_covariance(x), (1 - share) * s + share * target)
 
 
-def test_cluster_order_by_merging_one_pair_at_a_time():
-    rng = np.random.default_rng(8)
-    for n in (2, 3, 9, 20):
-        d = rng.random((n, n))
-        d = (d + d.T) / 2
-        groups = {i: [i] for i in range(n)}
-        for at in range(n, 2 * n - 1):
-            a, b = min(((a, b) for a in groups for b in groups if a < b), key=lambda p: min(d[i, j] for i in groups[p[0]] for j in groups[p[1]]))
-            groups[at] = groups.pop(a) + groups.pop(b)
-        assert hierarchy.cluster_order(d) == groups[2 * n - 2]
+def all_pairs_order(distance):
+    """Clusters merge along all pairs in the order of their distance, then their places."""
+    n = len(distance)
+    members, cluster = {i: [i] for i in range(n)}, list(range(n))
+    pairs = sorted(((distance[a, b] if distance[a, b] == distance[a, b] else np.inf), a, b) for a in range(n) for b in range(a + 1, n))
+    for _, a, b in pairs:
+        old, new = sorted((cluster[a], cluster[b]))
+        if old != new:
+            at = max(members) + 1
+            members[at] = members.pop(old) + members.pop(new)
+            for name in members[at]:
+                cluster[name] = at
+    return members[max(members)]
+
+
+@pytest.mark.parametrize("values", [2, 4, 50, 0])
+def test_cluster_order_as_over_all_pairs(values):
+    rng = np.random.default_rng(8 + values)
+    for n in (1, 2, 3, 9, 20, 41):
+        for _ in range(6):
+            d = rng.integers(0, values, (n, n)) / 8.0 if values else rng.random((n, n))
+            d = np.triu(d, 1) + np.triu(d, 1).T
+            if values == 4:
+                d[rng.random((n, n)) < 0.1] = np.nan
+                d = np.triu(d, 1) + np.triu(d, 1).T
+            assert hierarchy.cluster_order(d) == all_pairs_order(d)
 
 
 def test_parity_weights():

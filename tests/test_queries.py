@@ -71,12 +71,12 @@ def test_labels_ignore_the_past(toy):
 
 def test_constant_growth_earns_its_rate(toy):
     book = timeaxis.with_daily_return(toy).select("date", "ticker", (F.exp("r") - 1).alias("r"), F.when(F.col("ticker") == "A", 1.0).otherwise(0.0).alias("weight"))
-    rows = portfolio.held_returns(book, bps=10).orderBy("date").collect()
+    rows = portfolio.backtest(book, book, bps=10).orderBy("date").collect()
     assert all(abs(r.gross - 0.01) < 1e-12 for r in rows[1:]) and abs(rows[1].net - (0.01 - 1e-3)) < 1e-12 and rows[2].turnover == 0
 
 
 def test_books_are_neutral(spark, toy):
-    book = portfolio.top_bottom(toy.withColumn("score", F.col("close")), 1).groupBy("date").agg(F.sum("weight").alias("net"), F.sum(F.abs("weight")).alias("gross"))
+    book = portfolio.top_bottom(toy.withColumn("score", F.col("close")), 1, 0.5).groupBy("date").agg(F.sum("weight").alias("net"), F.sum(F.abs("weight")).alias("gross"))
     assert all(abs(r.net) < 1e-12 and abs(r.gross - 1) < 1e-12 for r in book.collect())
     ranks = toy.select("date", xsection.centred_rank("close").alias("k")).where("date > '2020-01-01'").groupBy("date").agg(F.min("k").alias("a"), F.max("k").alias("b"))
     assert all((r.a, r.b) == (-0.5, 0.5) for r in ranks.collect())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import itertools
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.columns import clip, finite, nonzero, ratio
 from .timeaxis import with_drawdown
-from .xsection import average_rank
+from .xsection import average_rank, median_of, quantiles_of
 
 
 def information_coefficient(df: DataFrame, score: str = "score", r: str = "r", least: int = 5, keys: tuple[str, ...] = ("date",)) -> DataFrame:
@@ -54,26 +53,14 @@ def tearsheet(daily: DataFrame, r: str = "net", *keys: str) -> DataFrame:
 
 def quartile_names(df: DataFrame, x: str, out: str = "bucket") -> DataFrame:
     """df with q1..q4 by the exact quartiles of x, right-closed; NULL for NULL. The quartiles are one row, joined back."""
-    cuts = df.agg(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("_q"))
+    cuts = quantiles_of(df, x, (0.25, 0.5, 0.75)).withColumnRenamed("q", "_q")
     name = F.when(F.col(x) <= F.col("_q")[0], "q1").when(F.col(x) <= F.col("_q")[1], "q2").when(F.col(x) <= F.col("_q")[2], "q3").when(F.col(x).isNotNull(), "q4")
     return df.join(F.broadcast(cuts), F.lit(True)).withColumn(out, name).drop("_q")
 
 
-def walk_forward(dates: list[dt.date], first: dt.date, test_days: int, embargo: int, least: int) -> list[tuple[int, dt.date, dt.date, dt.date]]:
-    """(fold, last training date, first and last test date) of expanding folds over sorted dates.
-
-    Tests follow each other every test_days days from `first`; training ends `embargo` rows before its test, and a fold
-    counts only with at least `least` training dates. dates: the calendar, a few thousand rows.
-    """
-    out, start = [], first + dt.timedelta(days=1)
-    while start <= dates[-1]:
-        end = min(start + dt.timedelta(days=test_days - 1), dates[-1])
-        at = sum(d < start for d in dates)
-        train = max(0, at - embargo)
-        if train >= least:
-            out.append((len(out), dates[train - 1], start, end))
-        start = end + dt.timedelta(days=1)
-    return out
+def sweep_summary(df: DataFrame, x: str) -> DataFrame:
+    """One row: best, worst and mid (the median) of x."""
+    return df.agg(F.max(x).alias("best"), F.min(x).alias("worst")).join(F.broadcast(median_of(df, x).withColumnRenamed("m", "mid")), F.lit(True))  # one row each
 
 
 def cross_sectional_slopes(df: DataFrame, x: str, y: str, ridge: float = 1e-4, least: int = 10) -> DataFrame:
@@ -107,24 +94,36 @@ def parameter_grid(spark: SparkSession, params: dict[str, list], run: Callable[.
     return spark.createDataFrame(frame, ", ".join(f"`{c}` {({int: 'long', float: 'double', bool: 'boolean'}).get(k, 'string')}" for c, k in zip(names, kinds, strict=True)))
 
 
-def bootstrap_sharpe(daily: DataFrame, r: str = "net", draws: int = 1000, block: int | None = None, seed: int = 7, method: str = "block") -> DataFrame:
-    """low, mid, high: 2.5, 50 and 97.5 percentiles of the Sharpe ratio over resamples of n of the n rows with r.
+def bootstrap_sharpe(daily: DataFrame, r: str = "net", draws: int = 1000, block: int | None = None, seed: int = 7, method: str = "block", periods: int = 252) -> DataFrame:
+    """One row: low, mid, high (2.5, 50 and 97.5 percentiles of the Sharpe ratio over resamples of n of the n rows with r), sharpe
+    (of the rows themselves), method, block (its length).
 
     method: "block" for moving blocks of `block` rows (by default the root of n, 2 at least), the last cut so that n
-    remain, or "iid" for single rows. The start of each block is a hash of (draw, block, seed), so results repeat;
-    blocks join rows by their number. NULL under 30 rows.
+    remain, or "iid" for single rows. The start of each block is a hash of (draw, block, seed), so results repeat. A block's
+    sums are differences of running sums of r and r squared, one row with two arrays over the calendar, so there are draws x
+    blocks rows. Percentiles leave out resamples without deviation. Figures are NULL under 30 rows.
     """
     if method not in ("block", "iid"):
         raise ValueError(f"unknown bootstrap method: {method!r}")
-    rows = daily.where(F.col(r).isNotNull()).withColumn("_i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("date")) - 1).select("_i", r)
-    n = rows.count()
-    if n < 30:
-        return daily.sparkSession.createDataFrame([(None, None, None)], "low double, mid double, high double")
-    length, among = (1, n) if method == "iid" else (max(2, block or int(n**0.5)), None)
-    among = among or max(1, n - length)
-    spark = daily.sparkSession
-    starts = spark.range(draws).withColumnRenamed("id", "draw").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(-(-n // length) - 1))))
-    places = F.filter(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: F.col("k") * length + j < n)
-    starts = starts.withColumn("_i", F.explode(F.transform(places, lambda j: (F.pmod(F.xxhash64("draw", "k", F.lit(seed)), F.lit(among)) + j).cast("int"))))
-    drawn = starts.join(rows, "_i").groupBy("draw").agg(sharpe(r).alias("s"))
-    return drawn.agg(*[F.percentile("s", q).alias(name) for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])
+    rows = daily.where(F.col(r).isNotNull())
+    dev = rows.agg(F.avg(r).alias("mean"), F.stddev_samp(r).alias("deviation"), F.count(F.lit(1)).cast("int").alias("n"))  # sums of deviations from the mean lose fewer digits
+    length = F.lit(1) if method == "iid" else F.greatest(F.lit(2), F.lit(block or 0).cast("int") if block else F.floor(F.sqrt("n")).cast("int"))
+    moved = rows.join(F.broadcast(dev), F.lit(True)).select("date", (F.col(r) - F.col("mean")).alias("_d"))
+    so_far = W.partitionBy(F.lit(0)).orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row a date
+    sums = moved.select(F.row_number().over(so_far).alias("i"), F.sum("_d").over(so_far).alias("s"), F.sum(F.col("_d") * F.col("_d")).over(so_far).alias("ss"))
+    line = sums.agg(F.array_sort(F.collect_list(F.struct("i", "s", "ss"))).alias("_sums"))
+    zero = F.array(F.lit(0.0))
+    facts = dev.join(line, F.lit(True)).withColumns({"block": length, "_s": F.concat(zero, F.col("_sums")["s"]), "_ss": F.concat(zero, F.col("_sums")["ss"])}).drop("_sums")
+    starts = daily.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(facts.where("n >= 30")), F.lit(True))  # one row
+    starts = starts.withColumn("k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / F.col("block")) - 1).cast("int"))))
+    among = F.col("n") if method == "iid" else F.greatest(F.lit(1), F.col("n") - F.col("block"))
+    begin = F.pmod(F.xxhash64("draw", "k", F.lit(seed)), among).cast("int")
+    size = F.least(F.col("block"), F.col("n") - F.col("k") * F.col("block"))
+    part = lambda c: F.element_at(c, F.col("_b") + F.col("_l") + 1) - F.element_at(c, F.col("_b") + 1)
+    drawn = starts.withColumns({"_b": begin, "_l": size.cast("int")}).select("draw", "n", "mean", part("_s").alias("s"), part("_ss").alias("ss"))
+    drawn = drawn.groupBy("draw", "n", "mean").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    deviation = F.sqrt(F.greatest((F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0)))
+    ratios = drawn.select((ratio(F.col("s") / F.col("n") + F.col("mean"), nonzero(deviation)) * periods**0.5).alias("s"))
+    ends = ratios.agg(*[F.percentile("s", q).alias(name) for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])  # `draws` rows
+    own = F.when(F.col("n") >= 30, ratio(F.col("mean"), nonzero(F.col("deviation"))) * periods**0.5)
+    return ends.join(facts, F.lit(True)).select("low", "mid", "high", own.alias("sharpe"), F.lit(method).alias("method"), F.when(F.col("n") >= 30, F.col("block")).alias("block"))

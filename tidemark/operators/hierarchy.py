@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .portfolio import placed
-from .timeaxis import by_ticker
 
 
 def shrunk_covariance(x: np.ndarray) -> np.ndarray:
@@ -22,19 +21,53 @@ def shrunk_covariance(x: np.ndarray) -> np.ndarray:
     return (1 - share) * s + share * mean * np.eye(p)
 
 
+def spanning_tree(distance: np.ndarray) -> np.ndarray:
+    """The n - 1 edges (a < b) of the least spanning tree, nearest first, ties by a and then b.
+
+    Prim's way over rows of the matrix: each vertex outside keeps its best edge into the tree, compared by the same order, in
+    which no two edges are equal; so the tree is that of sorting all pairs.
+    """
+    n = len(distance)
+    d = np.where(np.isnan(distance), np.inf, distance)
+    names = np.arange(n)
+    best, low, high = np.full(n, np.inf), np.full(n, n), np.full(n, n)
+    out, edges, v = np.ones(n, bool), [], 0
+    for _ in range(n - 1):
+        out[v] = False
+        near, a, b = d[v], np.minimum(names, v), np.maximum(names, v)
+        closer = out & ((near < best) | ((near == best) & ((a < low) | ((a == low) & (b < high)))))
+        best[closer], low[closer], high[closer] = near[closer], a[closer], b[closer]
+        ties = np.flatnonzero(out & (best == best[out].min()))
+        v = ties[np.lexsort((high[ties], low[ties]))[0]]
+        edges.append((best[v], low[v], high[v]))
+    edges.sort()
+    return np.array([(a, b) for _, a, b in edges], int).reshape(-1, 2)
+
+
 def cluster_order(distance: np.ndarray) -> list[int]:
-    """Names in the order of their single-linkage tree's leaves: the nearest clusters merge, the older one's names first."""
+    """Names in the order of their single-linkage tree's leaves: the nearest clusters merge, the older one's names first.
+
+    The clusters merge along the least spanning tree, n - 1 edges; each merge joins two linked lists of names.
+    """
     n = len(distance)
-    a, b = np.triu_indices(n, 1)
-    members, cluster = {i: [i] for i in range(n)}, list(range(n))
-    for i in np.argsort(distance[a, b], kind="stable"):
-        old, new = sorted((cluster[a[i]], cluster[b[i]]))
-        if old != new:
-            at = max(members) + 1
-            members[at] = members.pop(old) + members.pop(new)
-            for name in members[at]:
-                cluster[name] = at
-    return members[max(members)]
+    above, age = list(range(n)), list(range(n))  # union-find; a cluster's age is when it was made
+    after, last = [-1] * n, list(range(n))  # the name that follows in the order; a cluster's last name
+    first = list(range(n))
+
+    def root(v: int) -> int:
+        while above[v] != v:
+            above[v] = v = above[above[v]]
+        return v
+
+    for made, (a, b) in enumerate(spanning_tree(distance), n):
+        old, new = sorted((root(a), root(b)), key=lambda r: age[r])
+        after[last[old]] = first[new]
+        above[new], last[old], age[old] = old, last[new], made
+    order, v = [], first[root(0)]
+    while v >= 0:
+        order.append(v)
+        v = after[v]
+    return order
 
 
 def parity_weights(cov: np.ndarray) -> np.ndarray:
@@ -87,24 +120,27 @@ def side_weights(past: np.ndarray, least: int = 3) -> np.ndarray:
     return out
 
 
-def parity_book(scores: DataFrame, returns: DataFrame, share: float = 0.15, days: int = 60, least: int = 3, gross: float = 1.0) -> DataFrame:
-    """date, ticker, weight: the top and bottom share by score, each side at +-gross by parity over the `days` calendar dates
+def parity_book(scores: DataFrame, returns: DataFrame, share: float = 0.15, days: int = 60, least: int = 3, leverage: float = 1.0) -> DataFrame:
+    """date, ticker, weight: the top and bottom share by score, each side at the leverage by parity over the `days` calendar dates
     before the date.
 
     Dates with fewer than 2 * least scores have no rows, nor have names without a weight. returns (date, ticker, r) sets
-    the calendar. A group is one side of a date: as many rows as it has names, each with `days` returns.
+    the calendar. A ticker's returns are one array over the calendar, from which only its chosen dates take their past. A
+    group is one side of a date: as many rows as it has names, each with `days` returns.
     """
     chosen = placed(scores.where(F.col("score").isNotNull())).where(F.col("_n") >= 2 * least)
     chosen = chosen.withColumn("_m", F.greatest(F.lit(1), F.least(F.floor(F.col("_n") * share), F.floor(F.col("_n") / 2)))).where("_k <= _m or _k > _n - _m")
     chosen = chosen.select("date", "ticker", F.when(F.col("_k") > F.col("_n") - F.col("_m"), 1.0).otherwise(-1.0).alias("side"))
     calendar = returns.agg(F.sort_array(F.collect_set("date")).alias("_days"))  # one row, one entry a day
-    grid = returns.select("ticker").distinct().join(F.broadcast(calendar), F.lit(True)).select("ticker", F.explode("_days").alias("date"))
-    grid = grid.join(returns.select("date", "ticker", "r"), ["date", "ticker"], "left")
-    past = F.collect_list(F.coalesce("r", F.lit(float("nan")))).over(by_ticker().rowsBetween(-days, -1))
-    sides = chosen.join(grid.select("date", "ticker", past.alias("past")), ["date", "ticker"]).where(F.size("past") > 0)
+    series = returns.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("date", "r"))).alias("_r"))
+    series = series.join(F.broadcast(calendar), F.lit(True)).select("ticker", "_days", F.transform("_days", lambda d: F.coalesce(F.try_element_at("_r", d), F.lit(float("nan")))).alias("_r"))
+    asked = chosen.groupBy("ticker").agg(F.collect_list(F.struct("date", "side")).alias("_asked")).join(series, "ticker")
+    at = lambda c: F.array_position("_days", c["date"]).cast("int")
+    past = lambda c: F.slice("_r", F.greatest(at(c) - days, F.lit(1)), F.least(at(c) - 1, F.lit(days)))
+    sides = asked.select("ticker", F.explode(F.transform(F.filter("_asked", lambda c: at(c) > 1), lambda c: F.struct(c["date"].alias("date"), c["side"].alias("side"), past(c).alias("past")))).alias("_c"))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ticker")
-        return rows[["date", "ticker"]].assign(weight=rows["side"] * gross * side_weights(np.stack(rows["past"].tolist()), least)).dropna()
+        return rows[["date", "ticker"]].assign(weight=rows["side"] * leverage * side_weights(np.stack(rows["past"].tolist()), least)).dropna()
 
-    return sides.groupBy("date", "side").applyInPandas(solve, "date date, ticker string, weight double")
+    return sides.select("ticker", "_c.*").groupBy("date", "side").applyInPandas(solve, "date date, ticker string, weight double")

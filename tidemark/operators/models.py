@@ -17,34 +17,35 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .portfolio import confident, gated
-from .xsection import median_of
+from .xsection import medians_so_far
 
 Fit = Callable[[DataFrame, DataFrame, list[str], str], DataFrame]
 FORBIDDEN = ("primary", "realised", "future")
 
 
-def expanding_folds(dates: list[dt.date], first: dt.date, months: int = 6, embargo: int = 5, least: int = 500) -> list[tuple]:
-    """(fold, train_start, train_end, test_start, test_end, n_train, n_test) over sorted dates, a few thousand at most.
+def folds_table(df: DataFrame, first: dt.date, months: int = 6, embargo: int = 5, least: int = 500, *, days: int | None = None) -> DataFrame:
+    """fold, train_start, train_end, test_start, test_end, n_train, n_test over df's distinct dates, one row a fold.
 
-    A test starts a day after the end of the one before (first, for the first one) and lasts `months`; training has all
-    dates up to `embargo` dates before it and a fold counts with at least `least` of them.
+    A test starts a day after the end of the one before (first, for the first one) and lasts `months`, or `days`; training
+    has all dates up to `embargo` dates before it. A fold counts with at least `least` of them and a date to test. Tests follow
+    each other in a recursive table; the dates are one row, an array over the calendar.
     """
-    out, end = [], first
-    while end < dates[-1]:
-        start = end + dt.timedelta(days=1)
-        end = min((pd.Timestamp(start) + pd.DateOffset(months=months)).date() - dt.timedelta(days=1), dates[-1])
-        before = sum(d < start for d in dates)
-        train = max(0, before - embargo)
-        if train >= least:
-            out.append((len(out), dates[0], dates[train - 1], start, end, train, sum(start <= d <= end for d in dates)))
-    return out
-
-
-def folds_table(df: DataFrame, first: dt.date, months: int = 6, embargo: int = 5, least: int = 500) -> DataFrame:
-    """The folds over df's distinct dates as a table of one row a fold."""
-    dates = [r.date for r in df.select("date").distinct().orderBy("date").collect()]  # bounded by the calendar
-    kinds = "fold int, train_start date, train_end date, test_start date, test_end date, n_train long, n_test long"
-    return df.sparkSession.createDataFrame(expanding_folds(dates, first, months, embargo, least) if dates else [], kinds)
+    spark = df.sparkSession
+    line = df.agg(F.sort_array(F.collect_set("date")).alias("dates"))
+    length = f"date_add(test_end, {int(days)})" if days else f"date_sub(add_months(date_add(test_end, 1), {int(months)}), 1)"
+    tests = spark.sql(
+        f"""WITH RECURSIVE tests (test_start, test_end, hi) MAX RECURSION LEVEL 100000 AS (
+         SELECT CAST(NULL AS DATE), DATE '{first}', array_max(dates) FROM {{line}}
+         UNION ALL SELECT date_add(test_end, 1), least({length}, hi), hi FROM tests WHERE test_end < hi)
+         SELECT test_start, test_end FROM tests WHERE test_start IS NOT NULL""",
+        line=line,
+    )
+    both = tests.join(F.broadcast(line), F.lit(True))  # one row
+    before = F.size(F.filter("dates", lambda d: d < F.col("test_start")))
+    tested = F.size(F.filter("dates", lambda d: d.between(F.col("test_start"), F.col("test_end"))))
+    sized = both.withColumns({"n_train": F.greatest(before - embargo, F.lit(0)).cast("long"), "n_test": tested.cast("long")}).where(f"n_train >= {max(least, 1)} and n_test > 0")
+    fold = (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("test_start")) - 1).alias("fold")  # one row a fold
+    return sized.select(fold, F.col("dates")[0].alias("train_start"), F.element_at("dates", F.col("n_train").cast("int")).alias("train_end"), "test_start", "test_end", "n_train", "n_test")
 
 
 def split_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
@@ -84,12 +85,30 @@ def fama_macbeth(train: DataFrame, test: DataFrame, xs: list[str], y: str, shrin
 
     Missing x of test take train's median (0 without one). Without a usable training date every score is 0.
     """
-    mean = premia_by_date(train, xs, y).agg(*[F.coalesce(F.avg(x) * (1 - shrinkage), F.lit(0.0)).alias(f"_b_{x}") for x in xs])
-    both = test.join(F.broadcast(mean), F.lit(True))  # one row, as each median
-    for x in xs:
-        both = both.join(F.broadcast(median_of(train, x).withColumnRenamed("m", f"_m_{x}")), F.lit(True))
-    score = reduce(lambda a, b: a + b, [F.coalesce(F.col(x), F.col(f"_m_{x}"), F.lit(0.0)) * F.col(f"_b_{x}") for x in xs])
-    return both.select("date", "ticker", score.alias("score"))
+    end = train.agg(F.max("date").alias("end"))
+    mean = premia_by_date(train, xs, y).agg(*[F.avg(x).alias(f"_b_{x}") for x in xs])
+    both = test.join(F.broadcast(mean), F.lit(True)).join(F.broadcast(medians_so_far(train, xs, end).toDF("_end", *[f"_m_{x}" for x in xs])), F.lit(True), "left")  # one row each
+    return both.select("date", "ticker", _premium_score(xs, shrinkage).alias("score"))
+
+
+def _premium_score(xs: list[str], shrinkage: float) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(F.col(x), F.col(f"_m_{x}"), F.lit(0.0)) * F.coalesce(F.col(f"_b_{x}") * (1 - shrinkage), F.lit(0.0)) for x in xs])
+
+
+def premia_folds(df: DataFrame, folds: DataFrame, xs: list[str], y: str, shrinkage: float = 0.0) -> DataFrame:
+    """fold, date, ticker, score: fama_macbeth of every fold in one plan, however many folds and columns there are.
+
+    Daily slopes are computed once; their running means by date are read at each fold's training end, and so are the medians
+    (see medians_so_far). Test rows of each fold join both, one row a fold.
+    """
+    slopes = premia_by_date(df, xs, y).select("date", F.lit(None).cast("int").alias("fold"), *xs)
+    marks = folds.select(F.col("train_end").alias("date"), "fold", *[F.lit(None).cast("double").alias(x) for x in xs])
+    so_far = W.partitionBy(F.lit(0)).orderBy("date").rangeBetween(W.unboundedPreceding, 0)  # one row a date, and one a fold
+    premia = slopes.unionByName(marks).select("fold", *[F.avg(x).over(so_far).alias(f"_b_{x}") for x in xs]).where("fold is not null")
+    medians = medians_so_far(df, xs, folds.select(F.col("train_end").alias("end"))).toDF("train_end", *[f"_m_{x}" for x in xs])
+    known = folds.select("fold", "train_end", "test_start", "test_end").join(premia, "fold").join(medians, "train_end", "left")
+    tested = df.join(F.broadcast(known), F.col("date").between(F.col("test_start"), F.col("test_end")))  # a row for each fold
+    return tested.select("fold", "date", "ticker", _premium_score(xs, shrinkage).alias("score"))
 
 
 def _assembled(train: DataFrame, test: DataFrame, xs: list[str]) -> tuple[DataFrame, DataFrame] | None:
@@ -148,10 +167,12 @@ MODELS: dict[str, Fit] = {"logistic": logistic, "fama_macbeth": fama_macbeth, "b
 def walk_forward_scores(df: DataFrame, folds: DataFrame, xs: list[str], y: str, model: str = "fama_macbeth") -> DataFrame:
     """fold, date, ticker, score out of sample: the model fitted on each fold's training rows scores its test rows.
 
-    Folds are at most a few dozen, fitted one after the other; what fails raises.
+    Premia are one plan for all folds. Other models are fitted one fold after the other, a few dozen at most; what fails raises.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model: {model!r}")
+    if model == "fama_macbeth":
+        return premia_folds(df, folds, xs, y)
     out = []
     for f in folds.orderBy("fold").collect():
         train, test = df.where(F.col("date") <= F.lit(f.train_end)), df.where(F.col("date").between(f.test_start, f.test_end))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import clip, ratio
-from .timeaxis import by_ticker, fold, scanned
-from .xsection import z_score
+from .timeaxis import fold, scanned
+from .xsection import places, z_score
 
 
 def placed(df: DataFrame) -> DataFrame:
@@ -15,32 +15,32 @@ def placed(df: DataFrame) -> DataFrame:
     return df.withColumns({"_k": F.row_number().over(own.orderBy("score", "ticker")), "_n": F.count(F.lit(1)).over(own)})
 
 
-def top_bottom(df: DataFrame, k: int | float, gross: float = 1.0) -> DataFrame:
-    """date, ticker, weight: the k highest scores share gross / 2, the k lowest -gross / 2; dates with fewer than 2 k go.
+def top_bottom(df: DataFrame, k: int | float, leverage: float = 1.0) -> DataFrame:
+    """date, ticker, weight: the k highest scores share the leverage, the k lowest minus that; dates with fewer than 2 k go.
 
     A k between 0 and a half is a share of the date's scores, rounded down, one at least.
     """
     if 0 < k < 0.5:
         ranked = placed(df.where(F.col("score").isNotNull())).withColumn("_m", F.greatest(F.lit(1), F.floor(F.col("_n") * k))).where("_n >= 2 * _m and (_k <= _m or _k > _n - _m)")
-        side = F.when(F.col("_k") > F.col("_n") - F.col("_m"), gross / 2).otherwise(-gross / 2)
+        side = F.when(F.col("_k") > F.col("_n") - F.col("_m"), leverage).otherwise(-leverage)
         return ranked.select("date", "ticker", (side / F.col("_m")).alias("weight"))
     ranked = placed(df.where(F.col("score").isNotNull())).where(f"_n >= {2 * k} and (_k <= {k} or _k > _n - {k})")
-    return ranked.select("date", "ticker", F.when(F.col("_k") > F.col("_n") - k, gross / 2 / k).otherwise(-gross / 2 / k).alias("weight"))
+    return ranked.select("date", "ticker", F.when(F.col("_k") > F.col("_n") - k, leverage / k).otherwise(-leverage / k).alias("weight"))
 
 
-def inverse_vol(df: DataFrame, share: float = 0.2, least: int = 10, gross: float = 1.0) -> DataFrame:
-    """date, ticker, weight: the top and bottom share by score, each side weighted by 1 / vol to gross / 2."""
+def inverse_vol(df: DataFrame, share: float = 0.2, least: int = 10, leverage: float = 1.0) -> DataFrame:
+    """date, ticker, weight: the top and bottom share by score, each side weighted by 1 / vol to the leverage."""
     ranked = placed(df.where("vol > 1e-6")).where(F.col("_n") >= least)
     ranked = ranked.withColumn("_m", F.least(F.greatest(F.lit(1), F.floor(F.col("_n") * share)), F.floor(F.col("_n") / 2))).where("_k <= _m or _k > _n - _m")
     ranked = ranked.withColumn("_side", F.when(F.col("_k") > F.col("_n") - F.col("_m"), 1).otherwise(-1))
     part = 1 / F.col("vol") / F.sum(1 / F.col("vol")).over(W.partitionBy("date", "_side"))
-    return ranked.select("date", "ticker", (F.col("_side") * part * (gross / 2)).alias("weight"))
+    return ranked.select("date", "ticker", (F.col("_side") * part * leverage).alias("weight"))
 
 
 def quartiles(df: DataFrame, x: str, share: float = 0.25, key: str = "ticker") -> DataFrame:
-    """key, side: the bottom and top round(n * share) keys by x; one row per key, so one small sort."""
-    df = df.withColumns({"_k": F.row_number().over(W.orderBy(x, key)), "_n": F.count(F.lit(1)).over(W.partitionBy())}).withColumn("_m", F.round(F.col("_n") * share))
-    return df.where("_k <= _m or _k > _n - _m").select(key, F.when(F.col("_k") <= F.col("_m"), "bottom").otherwise("top").alias("side"))
+    """key, side: the bottom and top round(n * share) keys by x, ties by key; places come from ranges, so no task sorts all keys."""
+    sized = places(df.select(key, x), x, key, out="_k").join(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))), F.lit(True)).withColumn("_m", F.round(F.col("_n") * share))  # one row
+    return sized.where("_k <= _m or _k > _n - _m").select(key, F.when(F.col("_k") <= F.col("_m"), "bottom").otherwise("top").alias("side"))
 
 
 def capped(df: DataFrame, cap: float) -> DataFrame:
@@ -50,9 +50,9 @@ def capped(df: DataFrame, cap: float) -> DataFrame:
 
 
 def with_threshold(df: DataFrame, least: float, x: str = "weight", out: str = "held") -> DataFrame:
-    """x as it changes by at least `least`; smaller changes keep the last output (from 0)."""
-    kept = lambda held, v: F.when(F.abs(v - held) >= least, v).otherwise(held)
-    return fold(df, {out: lambda get: scanned(get(x), F.lit(0.0), kept)})
+    """x as it changes by at least `least`, from the first row's; smaller changes keep the last output."""
+    kept = lambda held, v: F.when(held.isNull() | (F.abs(v - held) >= least), v).otherwise(held)
+    return fold(df, {out: lambda get: scanned(get(x), F.lit(None).cast("double"), kept)})
 
 
 def beta_neutral(df: DataFrame, target: float = 0.0) -> DataFrame:
@@ -79,35 +79,55 @@ def ensemble(scores: DataFrame, weights: dict[int, float]) -> DataFrame:
     return z.groupBy("date", "ticker").agg(F.sum(F.col("_z") * F.coalesce(w, F.lit(0.0))).alias("score"))
 
 
-def on_cadence(df: DataFrame, days: int, x: str = "weight") -> DataFrame:
-    """Every `days`-th date's weights from the first date with one, carried forward between."""
-    dates = df.groupBy("date").agg(F.max(F.when(F.col(x) != 0, 1).otherwise(0)).alias("_any"))
-    w = W.partitionBy(F.lit(0)).orderBy("date")  # one row per date
-    dates = dates.withColumn("_i", F.row_number().over(w))
-    dates = dates.withColumn("_first", F.min(F.when(F.col("_any") == 1, F.col("_i"))).over(W.partitionBy(F.lit(0))))
-    dates = dates.select("date", ((F.col("_i") >= F.col("_first")) & ((F.col("_i") - F.col("_first")) % days == 0)).alias("_due"))
-    so_far = by_ticker().rowsBetween(W.unboundedPreceding, 0)
-    return df.join(dates, "date").withColumn(x, F.coalesce(F.last(F.when(F.col("_due"), F.col(x)), ignorenulls=True).over(so_far), F.lit(0.0))).drop("_due")
+def book_of_date(weights: DataFrame, calendar: DataFrame, every: int = 1) -> DataFrame:
+    """date, book, _i: for each date of the calendar (date), numbered from 1, the date of the book that it targets, NULL before the first.
 
+    weights (date, ticker, weight): a date that it has is a whole book, in which names without a row have weight 0. A date without a
+    book keeps the one before; books on other dates don't count. With every > 1 only each `every`-th date takes a
+    new book, counted from the first one with a weight other than 0; there is none before that one.
+    """
+    own = weights.groupBy("date").agg(F.max((F.col("weight") != 0).cast("int")).alias("_any"))
+    dates = calendar.select("date").distinct().join(own, "date", "left")  # one row a date from here on
+    in_order = W.partitionBy(F.lit(0)).orderBy("date")
+    so_far = in_order.rowsBetween(W.unboundedPreceding, 0)
+    dates = dates.withColumns({"_i": F.row_number().over(in_order), "book": F.last(F.when(F.col("_any").isNotNull(), F.col("date")), ignorenulls=True).over(so_far)})
+    if every > 1:
+        since = F.col("_i") - F.min(F.when(F.col("_any") == 1, F.col("_i"))).over(W.partitionBy(F.lit(0)))
+        dates = dates.withColumn("_since", since)
+        dates = dates.withColumn("book", F.last(F.when((F.col("_since") >= 0) & (F.col("_since") % every == 0), F.col("book")), ignorenulls=True).over(so_far))
+    return dates.select("date", "book", "_i")
 
-def on_calendar(weights: DataFrame, returns: DataFrame) -> DataFrame:
-    """date, ticker, weight, r on every date of returns for every ticker of either: weights carried forward from their last
-    date (0 before it), r NULL where a ticker has none. Weights on dates outside the calendar take effect on the next one.
 
-    Each ticker gets the calendar: tickers x dates rows, which is what the backtest is defined on.
-    """
-    days = returns.agg(F.sort_array(F.collect_set("date")).alias("_days"))  # one row, one entry a day
-    names = returns.select("ticker").union(weights.select("ticker")).distinct()
-    grid = names.join(F.broadcast(days), F.lit(True)).select("ticker", F.explode("_days").alias("date"))
-    both = grid.join(returns.select("date", "ticker", "r"), ["date", "ticker"], "left").withColumn("_day", F.lit(True))
-    both = both.join(weights.select("date", "ticker", "weight"), ["date", "ticker"], "full")
-    carried = F.coalesce(F.last("weight", ignorenulls=True).over(by_ticker().rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
-    return both.withColumn("weight", carried).where("_day").select("date", "ticker", "weight", "r")
+def on_calendar(weights: DataFrame, calendar: DataFrame, every: int = 1) -> DataFrame:
+    """date, ticker, weight of every date of the calendar, by book_of_date; weights of 0 have no row."""
+    books = weights.where("weight <> 0").select(F.col("date").alias("book"), "ticker", "weight")
+    return book_of_date(weights, calendar, every).join(books, "book").select("date", "ticker", "weight")
+
 
+def backtest(weights: DataFrame, returns: DataFrame, lag: int = 1, bps: float = 6.0, every: int = 1) -> DataFrame:
+    """date, gross, turnover, cost, net of books (date, ticker, weight) on the calendar of returns (date, ticker, r), one row a date.
 
-def backtest(weights: DataFrame, returns: DataFrame, lag: int = 1, bps: float = 6.0) -> DataFrame:
-    """date, gross, turnover, cost, net of holding weights (date, ticker, weight) on the calendar of returns (date, ticker, r)."""
-    return held_returns(on_calendar(weights, returns), lag, bps)
+    A date holds the book that was targeted `lag` dates before (see book_of_date); its weights earn the date's r, held to
+    [-0.5, 0.5] and 0 where there is none. Turnover is the sum of all changes of held weights, and costs bps a unit. Names
+    without returns are left out. gross and net are NULL on the first `lag` dates, when nothing can be held.
+
+    Only names with a weight have rows: dates x names of a book, and changes only where the book changes.
+    """
+    known = returns.select("ticker").distinct().withColumn("_known", F.lit(True))
+    books = weights.join(known, "ticker", "left").select("date", "ticker", F.when(F.col("_known"), F.coalesce("weight", F.lit(0.0))).otherwise(0.0).alias("weight"))
+    in_order = W.partitionBy(F.lit(0)).orderBy("date")  # one row a date
+    plan = book_of_date(books, returns, every).withColumn("_held", F.lag("book", lag).over(in_order))
+    plan = plan.withColumn("_before", F.lag("_held").over(in_order))
+    held = books.where("weight <> 0").select(F.col("date").alias("_held"), "ticker", "weight")
+    earned = plan.select("date", "_held").join(held, "_held").join(returns.select("date", "ticker", "r"), ["date", "ticker"])
+    earned = earned.groupBy("date").agg(F.sum(F.col("weight") * clip(F.col("r"), -0.5, 0.5)).alias("_earned"))
+    sides = F.explode(F.array(F.struct(F.col("_held").alias("book"), F.lit(1.0).alias("sign")), F.struct(F.col("_before").alias("book"), F.lit(-1.0).alias("sign"))))
+    moved = plan.where(~F.col("_held").eqNullSafe(F.col("_before"))).select("date", sides.alias("_s")).select("date", F.col("_s.book").alias("_held"), "_s.sign")
+    moved = moved.join(held, "_held").groupBy("date", "ticker").agg(F.abs(F.sum(F.col("sign") * F.col("weight"))).alias("_d")).groupBy("date").agg(F.sum("_d").alias("_turnover"))
+    turnover = F.coalesce("_turnover", F.lit(0.0))
+    gross = F.when(F.col("_i") > lag, F.coalesce("_earned", F.lit(0.0)))
+    daily = plan.join(earned, "date", "left").join(moved, "date", "left")
+    return daily.select("date", gross.alias("gross"), turnover.alias("turnover"), (turnover * (bps / 1e4)).alias("cost"), (gross - turnover * (bps / 1e4)).alias("net"))
 
 
 def ic_weights(ics: DataFrame, periods: int = 252) -> DataFrame:
@@ -125,35 +145,52 @@ def ic_ensemble(scores: DataFrame, shares: DataFrame) -> DataFrame:
     return z.groupBy("date", "ticker").agg(F.sum(F.col("_z") * F.coalesce("share", F.lit(0.0))).alias("score"))
 
 
-def composed(scores: DataFrame, side: DataFrame, *, k: int | float = 5, cap: float = 0.25, least: float = 0.0, days: int = 5) -> DataFrame:
-    """date, ticker, weight: scores (date, ticker, score) to a book: top and bottom, sector cap, beta neutral, on a cadence, with
-    a least trade. side: date, ticker, sector, beta of every row that the book may hold."""
-    book = side.join(top_bottom(scores, k), ["date", "ticker"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    book = on_cadence(beta_neutral(capped(book, cap)), days).select("date", "ticker", "weight")
-    return with_threshold(book, least).select("date", "ticker", F.col("held").alias("weight")) if least else book
-
-
-def covariance(df: DataFrame, r: str = "r", least: int = 5) -> DataFrame:
-    """a, b, cov: sample covariance of r of two tickers over the dates that both have (a <= b), 0 under `least` dates.
-
-    A self-join by date: tickers^2 / 2 rows, what the matrix has; sums combine before their shuffle.
-    """
-    rows = df.where(F.col(r).isNotNull())
-    x, y = rows.select("date", F.col("ticker").alias("a"), F.col(r).alias("_x")), rows.select("date", F.col("ticker").alias("b"), F.col(r).alias("_y"))
-    pairs = x.join(y, "date").where("a <= b").groupBy("a", "b").agg(F.when(F.count(F.lit(1)) >= least, F.covar_samp("_x", "_y")).otherwise(0.0).alias("cov"))
-    return pairs
-
-
-def held_returns(df: DataFrame, lag: int = 1, bps: float = 6.0) -> DataFrame:
-    """date, gross, turnover, cost, net: weights held `lag` rows later earn the clipped return r; changes cost bps a side.
-
-    df has date, ticker, weight and r for every ticker of every date that it trades.
+def dense(weights: DataFrame) -> DataFrame:
+    """date, ticker, weight for every name of any book on every date of a book, 0 where a book lacks it: dates x names rows."""
+    grid = weights.select("ticker").distinct().join(weights.agg(F.sort_array(F.collect_set("date")).alias("_days")), F.lit(True))  # one row, one entry a date
+    cells = grid.select("ticker", F.explode("_days").alias("date")).join(weights.select("date", "ticker", "weight"), ["date", "ticker"], "left")
+    return cells.select("date", "ticker", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+def composed(
+    scores: DataFrame,
+    *,
+    sizing: str = "top_bottom",
+    k: int = 5,
+    share: float = 0.2,
+    leverage: float = 1.0,
+    vol: DataFrame | None = None,
+    returns: DataFrame | None = None,
+    sectors: DataFrame | None = None,
+    cap: float | None = None,
+    least: float = 0.0,
+    betas: DataFrame | None = None,
+) -> DataFrame:
+    """date, ticker, weight of scores (date, ticker, score), from an ensemble or precomputed: sized, then capped by sector, then held
+    to a least trade, then made beta neutral. The cadence is the backtest's.
+
+    sizing: "top_bottom" (k names a side), "inverse_vol" (a share a side by vol: date, ticker, vol) or "parity" (a share a side by
+    returns: date, ticker, r). Each side has the leverage. cap needs sectors (ticker, sector); names without one are one
+    sector. Beta neutrality needs betas (date, ticker, beta). What a step lacks the input for is left out.
     """
-    held = df.withColumn("_h", F.coalesce(F.lag("weight", lag).over(by_ticker()), F.lit(0.0)))
-    held = held.withColumn("_d", F.abs(F.col("_h") - F.coalesce(F.lag("_h").over(by_ticker()), F.lit(0.0))))
-    daily = held.groupBy("date").agg(F.sum(F.col("_h") * F.coalesce(clip(F.col("r"), -0.5, 0.5), F.lit(0.0))).alias("gross"), F.sum("_d").alias("turnover"))
-    cost = F.col("turnover") * (bps / 1e4)
-    return daily.select("date", "gross", "turnover", cost.alias("cost"), (F.col("gross") - cost).alias("net"))
+    if sizing == "top_bottom":
+        book = top_bottom(scores, k, leverage)
+    elif sizing == "inverse_vol":
+        book = inverse_vol(scores.where(F.col("score").isNotNull()).join(vol, ["date", "ticker"]), share, leverage=leverage)
+    elif sizing == "parity":
+        from .hierarchy import parity_book  # which sizes books by this module's places
+
+        book = parity_book(scores, returns, share, leverage=leverage)
+    else:
+        raise ValueError(f"unknown sizing: {sizing!r}")
+    if cap is not None and sectors is not None:
+        named = book.join(sectors.select("ticker", "sector"), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("__OTHER__")))
+        book = capped(named, cap).select("date", "ticker", "weight")
+    if least > 0:
+        book = with_threshold(dense(book), least).select("date", "ticker", F.col("held").alias("weight"))
+    if betas is not None:
+        book = beta_neutral(book.join(betas.select("date", "ticker", "beta"), ["date", "ticker"], "left")).select("date", "ticker", "weight")
+    return book
 
 
 def shrink_factors(df: DataFrame, alpha: float, least: int = 30) -> DataFrame:

@@ -79,46 +79,102 @@ def equal_weight(panel: DataFrame, r: str) -> DataFrame:
     return panel.groupBy("date").agg(F.avg(r).alias("bench_return"))
 
 
+def _key(x: str, ties: tuple[str, ...] = (), descending: bool = False) -> Column:
+    """What rows are ordered by: NULLs after all values, x, then the further columns."""
+    return F.struct(F.col(x).isNull().alias("none"), (-F.col(x) if descending else F.col(x)).alias("x"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)])
 
-def _ranges(df: DataFrame, x: str, parts: int) -> Column:
-    """Which of about `parts` ranges of x a row is in, by cuts at its approximate quantiles; NULLs are after all."""
-    cuts = df.agg(F.percentile_approx(x, [(i + 1) / parts for i in range(parts - 1)], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))  # fewer than parts
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(x))) if cuts else F.lit(0)
-    return F.when(F.col(x).isNull(), parts).otherwise(below)
+
+def _ranged(df: DataFrame, key: Column, *groups: str, parts: int = 200, drawn: int = 20) -> DataFrame:
+    """df with _key and _range, which of at most `parts` ranges of the key's order (within the groups) a row is in.
+
+    Cuts are taken from the parts * drawn keys whose hashes are smallest, in each group, so that they are the same whenever the
+    plan runs; as the key holds the ties, rows that share a value are in many ranges. A row finds its range by bisection.
+    """
+    keyed = df.withColumn("_key", key)
+    few = W.partitionBy(*(groups or (F.lit(0),))).orderBy("_h")
+    sample = keyed.select(*groups, "_key").withColumn("_h", F.xxhash64("_key"))
+    if groups:
+        sample = sample.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= parts * drawn)  # kept in each task before its shuffle
+    else:
+        sample = sample.orderBy("_h").limit(parts * drawn)
+    cuts = sample.groupBy(*groups).agg(F.sort_array(F.collect_set("_key")).alias("_s"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.floor(i * F.size("_s") / parts).cast("int"))
+    cuts = cuts.select(*groups, F.transform(F.array_distinct(F.filter(places, lambda i: i > 0)), lambda i: F.element_at("_s", i)).alias("_cuts"))
+    both = keyed.join(F.broadcast(cuts), list(groups)) if groups else keyed.join(F.broadcast(cuts), F.lit(True))  # `parts` keys for each group
+    steps = [1 << b for b in reversed(range(parts.bit_length()))]
+    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when((low + step <= F.size("_cuts")) & (F.try_element_at("_cuts", low + step) < F.col("_key")), low + step).otherwise(low))
+    return both.withColumn("_range", at).drop("_cuts")
 
 
 def places(df: DataFrame, x: str, *ties: str, descending: bool = False, out: str = "place", parts: int = 200) -> DataFrame:
-    """df with each row's place by x over the whole table, from 1; NULLs last, ties by the further columns, ascending.
+    """df with each row's place by x (a number) over the whole table, from 1; NULLs last, ties by the further columns, ascending.
 
-    Rows are numbered within ranges of x; each range's size, one row a range, gives where the next one starts. So no
-    task numbers the whole table; the rows that share one value are in one range.
+    Rows are numbered within ranges of (x, ties); each range's size, one row a range, gives where the next one starts. So no
+    task numbers the whole table, nor all rows that share a value: only rows equal in all of these columns are together.
     """
-    at = _ranges(df, x, parts)
-    at = F.when(F.col(x).isNotNull(), -at).otherwise(at) if descending else at
-    ranged = df.withColumn("_range", at)
-    order = [F.desc_nulls_last(x) if descending else F.asc_nulls_last(x), *ties]
+    ranged = _ranged(df, _key(x, ties, descending), parts=parts)
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_range").orderBy(*order))).join(F.broadcast(starts), "_range")  # a row for each range
+    placed = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_range").orderBy("_key"))).join(F.broadcast(starts), "_range")  # a row for each range
     return placed.select(*df.columns, (F.col("_start") + F.col("_k")).cast("long").alias(out))
 
 
-def median_of(df: DataFrame, x: str, parts: int = 200) -> DataFrame:
-    """One row `m`: the exact median of x, from counts by value and their running sums within ranges; NULL without values."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_range", _ranges(counts, "_v", parts))
-    sums = counts.groupBy("_range").agg(F.sum("_c").alias("_n"))
-    whole = W.partitionBy(F.lit(0)).orderBy("_range")  # one row for each range
-    starts = sums.select("_range", (F.sum("_n").over(whole) - F.col("_n")).alias("_start"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("_all"))
-    end = F.sum("_c").over(W.partitionBy("_range").orderBy("_v")) + F.col("_start")
-    run = counts.join(F.broadcast(starts), "_range").withColumn("_end", end)
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+def _running(counts: DataFrame, *groups: str, parts: int = 200) -> DataFrame:
+    """counts (groups, _v, _c) with _end, how many rows have a value up to _v, and _all, by ranges of the value."""
+    ranged = _ranged(counts, _key("_v"), *groups, parts=parts)
+    sums = ranged.groupBy(*groups, "_range").agg(F.sum("_c").alias("_n"))
+    whole = W.partitionBy(*(groups or (F.lit(0),)))  # one row for each range
+    starts = sums.select(*groups, "_range", (F.sum("_n").over(whole.orderBy("_range")) - F.col("_n")).alias("_start"), F.sum("_n").over(whole).alias("_all"))
+    end = F.sum("_c").over(W.partitionBy(*groups, "_range").orderBy("_v")) + F.col("_start")
+    return ranged.join(F.broadcast(starts), [*groups, "_range"]).withColumn("_end", end)
+
+
+def quantiles_of(df: DataFrame, x: str, shares: tuple[float, ...] = (0.5,), *groups: str, parts: int = 200) -> DataFrame:
+    """The groups and q, the exact quantiles of x, interpolated linearly: one row, or one for each group that has values.
+
+    From counts by value and their running sums within ranges of the value; without groups and values q holds NULLs.
+    """
+    run = _running(df.where(F.col(x).isNotNull()).groupBy(*groups, F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c")), *groups, parts=parts)
     inside = lambda place: (F.col("_end") >= place) & (F.col("_end") - F.col("_c") < place)
-    return run.agg(((F.max(F.when(inside(low), F.col("_v"))) + F.max(F.when(inside(high), F.col("_v")))) / 2).alias("m"))
+
+    def quantile(share: float) -> Column:
+        at = (F.col("_all") - 1) * share
+        low, high = (F.max(F.when(inside(f(at) + 1), F.col("_v"))) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        return low * (1 - part) + high * part
+
+    return run.groupBy(*groups).agg(F.array(*map(quantile, shares)).alias("q"))
+
+
+def median_of(df: DataFrame, x: str, parts: int = 200) -> DataFrame:
+    """One row `m`: the exact median of x; NULL without values."""
+    return quantiles_of(df, x, (0.5,), parts=parts).select(F.col("q")[0].alias("m"))
 
 
 def filled_with_median(df: DataFrame, x: str) -> DataFrame:
     """df with the median of x where x is NULL."""
     return df.join(F.broadcast(median_of(df, x)), F.lit(True)).withColumn(x, F.coalesce(x, "m")).drop("m")  # one row
+
+
+def medians_so_far(df: DataFrame, xs: list[str], ends: DataFrame, parts: int = 200) -> DataFrame:
+    """end, and for each of xs its median over the rows up to that date (NULL without values); ends (end) are a few dozen dates.
+
+    One read of df: values are counted by column, value and the first end at or after their date. Running sums by range say in
+    which range each end's median lies, and only that range's counts are looked at for that end.
+    """
+    ends = ends.select("end").distinct()
+    line = ends.agg(F.sort_array(F.collect_set("end")).alias("_ends"))  # one row
+    first = F.filter("_ends", lambda e: e >= F.col("date"))
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).cast("double").alias("_v")) for i, x in enumerate(xs)]))
+    long = df.join(F.broadcast(line), F.lit(True)).select(F.try_element_at(first, F.lit(1)).alias("_from"), values.alias("_x")).select("_from", "_x.*").where("_from is not null and _v is not null")
+    ranged = _ranged(long.groupBy("i", "_v", "_from").agg(F.count(F.lit(1)).alias("_c")), _key("_v"), "i", parts=parts)
+    sizes = ranged.groupBy("i", "_range", "_from").agg(F.sum("_c").alias("_n"))
+    sizes = sizes.join(F.broadcast(ends), F.col("_from") <= F.col("end")).groupBy("i", "end", "_range").agg(F.sum("_n").alias("_n"))  # ranges x ends rows
+    own = W.partitionBy("i", "end")
+    sizes = sizes.withColumns({"_upto": F.sum("_n").over(own.orderBy("_range")), "_all": F.sum("_n").over(own)})
+    places_ = F.explode(F.array_distinct(F.array(F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2))))
+    wanted = sizes.withColumn("_at", places_).where("_upto >= _at and _upto - _n < _at").select("i", "end", "_range", (F.col("_at") - F.col("_upto") + F.col("_n")).alias("_at"))
+    inside = ranged.join(F.broadcast(wanted), ["i", "_range"]).where(F.col("_from") <= F.col("end")).groupBy("i", "end", "_range", "_at", "_v").agg(F.sum("_c").alias("_c"))
+    inside = inside.withColumn("_end", F.sum("_c").over(W.partitionBy("i", "end", "_range", "_at").orderBy("_v"))).where("_end >= _at and _end - _c < _at")
+    return ends.join(inside, "end", "left").groupBy("end").agg(*[F.avg(F.when(F.col("i") == i, F.col("_v"))).alias(x) for i, x in enumerate(xs)])

@@ -143,15 +143,15 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 def _register_books() -> None:
     from ..operators import portfolio as p
 
-    add("k1_top_bottom_k", f"WITH {BOOK} SELECT date, ticker, CAST(CASE WHEN k > n - 5 THEN 0.5 / 5 ELSE -0.5 / 5 END AS DOUBLE) AS weight FROM o WHERE n >= 10 AND (k <= 5 OR k > n - 5)", lambda s, sf: p.top_bottom(scores(s, sf), 5))
-    add("k1_top_bottom_share", f"WITH {BOOK}, m AS (SELECT *, greatest(1, CAST(floor(n * 0.15) AS BIGINT)) AS m FROM o) SELECT date, ticker, {r6('CASE WHEN k > n - m THEN 0.5 / m ELSE -0.5 / m END', 'weight')} FROM m WHERE n >= 2 * m AND (k <= m OR k > n - m)", lambda s, sf: p.top_bottom(scores(s, sf), 0.15))
+    add("k1_top_bottom_k", f"WITH {BOOK} SELECT date, ticker, CAST(CASE WHEN k > n - 5 THEN 0.5 / 5 ELSE -0.5 / 5 END AS DOUBLE) AS weight FROM o WHERE n >= 10 AND (k <= 5 OR k > n - 5)", lambda s, sf: p.top_bottom(scores(s, sf), 5, 0.5))
+    add("k1_top_bottom_share", f"WITH {BOOK}, m AS (SELECT *, greatest(1, CAST(floor(n * 0.15) AS BIGINT)) AS m FROM o) SELECT date, ticker, {r6('CASE WHEN k > n - m THEN 0.5 / m ELSE -0.5 / m END', 'weight')} FROM m WHERE n >= 2 * m AND (k <= m OR k > n - m)", lambda s, sf: p.top_bottom(scores(s, sf), 0.15, 0.5))
     add(
         "k2_inverse_vol_book",
         f"WITH {RETURNS}, v AS (SELECT date, ticker, volume AS score, CASE WHEN count(r) OVER w >= 21 THEN stddev_samp(r) OVER w END AS vol FROM rets WINDOW w AS ({T} ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)), "
         "g AS (SELECT * FROM v WHERE vol > 1e-6), o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score, ticker) AS k, count(*) OVER (PARTITION BY date) AS n FROM g), "
         "s AS (SELECT *, least(greatest(1, CAST(floor(n * 0.2) AS BIGINT)), n // 2) AS m FROM o WHERE n >= 10), b AS (SELECT *, CASE WHEN k > n - m THEN 1 ELSE -1 END AS side FROM s WHERE k <= m OR k > n - m) "
         f"SELECT date, ticker, {r6('0.5 * side / vol / sum(1 / vol) OVER (PARTITION BY date, side)', 'weight')} FROM b",
-        lambda s, sf: p.inverse_vol(scores(s, sf)),
+        lambda s, sf: p.inverse_vol(scores(s, sf), leverage=0.5),
     )
     add("k5_quartile_features", f"WITH {PANEL}, f AS (SELECT ticker, sum(volume) AS v FROM panel GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY v, ticker) AS k, count(*) OVER () AS n FROM f) SELECT ticker, CASE WHEN k <= round(n * 0.25) THEN 'bottom' ELSE 'top' END AS side FROM o WHERE k <= round(n * 0.25) OR k > n - round(n * 0.25)", lambda s, sf: p.quartiles(price_panel(s, sf).groupBy("ticker").agg(F.sum("volume").alias("v")), "v"))
 
@@ -216,6 +216,6 @@ def momentum_book(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import portfolio as p
 
     df = returns(spark, sf).select("date", "ticker", small_return().alias("s"), F.round(t.log_return(5), 9).alias("score"))
-    book = p.top_bottom(df.where(F.col("score").isNotNull()), 3)
+    book = p.top_bottom(df.where(F.col("score").isNotNull()), 3, 0.5)
     held = df.join(book, ["date", "ticker"], "left").withColumn("held", F.lag(F.coalesce("weight", F.lit(0.0))).over(t.by_ticker()))
     return tidy(held.groupBy("date").agg(F.sum(F.col("held") * F.col("s")).alias("pnl"), F.count_if(F.col("held") != 0).alias("names")))

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import evaluation as e
+from ..operators import evaluation as e, models as m
 from ..operators.xsection import filled_with_median
 from ..sources.panel import price_panel, table
 from .cross import _TRIALS, add, scores, trials
@@ -33,12 +33,12 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 
 add("a9_hit_rate", f"WITH {_HIT} SELECT {r6('avg(CAST(sign(a) = sign(r) AS INT))', 'hit')} FROM h WHERE a <> 0 AND r <> 0", lambda s, sf: hits(s, sf).where("a <> 0 and r <> 0").agg(F.avg((F.signum("a") == F.signum("r")).cast("int")).alias("hit")))
 add("a10_hit_rate_with_zeros", f"WITH {_HIT} SELECT {r6('avg(CAST((a > 0) = (r > 0) AS INT))', 'hit')} FROM h WHERE r IS NOT NULL", lambda s, sf: hits(s, sf).where("r is not null").agg(F.avg(((F.col("a") > 0) == (F.col("r") > 0)).cast("int")).alias("hit")))
-_NET = f"{BACKTEST}, nt AS (SELECT date, year(date) AS year, round(coalesce(gross, 0) - turnover * 6 / 1e4, 12) AS net FROM bt)"
+_NET = f"{BACKTEST}, nt AS (SELECT date, year(date) AS year, round(gross - turnover * 6 / 1e4, 12) AS net FROM bt WHERE gross IS NOT NULL)"
 
 
 def daily_net(spark: SparkSession, sf: str) -> DataFrame:
-    """The backtest without what the order of a sum adds: a day without gain is 0 in every run."""
-    return backtest(spark, sf).withColumn("net", F.round("net", 12))
+    """The backtest from its first held date on, without what the order of a sum adds: a day without gain is 0 in every run."""
+    return backtest(spark, sf).where("net is not null").withColumn("net", F.round("net", 12))
 
 
 def _sheet(keys: str) -> str:
@@ -59,7 +59,7 @@ add("a20_median_fill", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 7 <>
 add("a22_pending_guard", "SELECT count(*) AS pending, count(*) >= 5 AS full FROM orders WHERE o_orderstatus = 'P'", lambda s, sf: table(s, sf, "orders").where("o_orderstatus = 'P'").agg(F.count(F.lit(1)).alias("pending"), (F.count(F.lit(1)) >= 5).alias("full")))
 add("a23_best_trial", f"WITH {_TRIALS} SELECT trial, sharpe FROM tr WHERE sharpe > -10 ORDER BY sharpe DESC, trial LIMIT 1", lambda s, sf: trials(s, sf).where("sharpe > -10").orderBy(F.desc("sharpe"), "trial").limit(1))
 add("a24_interval_tally", f"WITH {_TRIALS} SELECT count(CASE WHEN sharpe - 20 > 0 THEN 1 END) AS above, count(CASE WHEN sharpe - 20 <= 0 AND sharpe + 1 >= 20 THEN 1 END) AS straddling FROM tr", lambda s, sf: trials(s, sf).agg(F.count_if(F.col("sharpe") - 20 > 0).alias("above"), F.count_if((F.col("sharpe") - 20 <= 0) & (F.col("sharpe") + 1 >= 20)).alias("straddling")))
-add("a25_sweep_summary", f"WITH {_TRIALS} SELECT max(sharpe) AS best, min(sharpe) AS worst, {r6('median(sharpe)', 'mid')} FROM tr", lambda s, sf: trials(s, sf).agg(F.max("sharpe").alias("best"), F.min("sharpe").alias("worst"), F.median("sharpe").alias("mid")))
+add("a25_sweep_summary", f"WITH {_TRIALS} SELECT max(sharpe) AS best, min(sharpe) AS worst, {r6('median(sharpe)', 'mid')} FROM tr", lambda s, sf: e.sweep_summary(trials(s, sf), "sharpe"))
 add("m3_holdout_split", f"WITH {PANEL} SELECT date, ticker, date >= (SELECT max(date) - INTERVAL 24 MONTH FROM panel) AS holdout FROM panel", lambda s, sf: (lambda p: p.join(F.broadcast(p.agg(F.add_months(F.max("date"), -24).alias("cut"))), F.lit(True)).select("date", "ticker", (F.col("date") >= F.col("cut")).alias("holdout")))(price_panel(s, sf)))
 add("m7_fama_macbeth", f"WITH {RETURNS} SELECT date, {r6('sum(volume / 100 * r) / (sum(volume / 100 * volume / 100) + 1e-4)', 'slope')} FROM rets WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 10", lambda s, sf: e.cross_sectional_slopes(scores(s, sf).withColumn("x", F.col("score") / 100), "x", "r"))
 add("m13_parameter_grid", "SELECT n_nationkey, r_regionkey, (n_nationkey + r_regionkey) % 3 = 0 AS failed FROM nation CROSS JOIN region", lambda s, sf: table(s, sf, "nation").select("n_nationkey").join(F.broadcast(table(s, sf, "region").select("r_regionkey")), F.lit(True)).withColumn("failed", (F.col("n_nationkey") + F.col("r_regionkey")) % 3 == 0))
@@ -72,10 +72,7 @@ def _bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m1_walk_forward", f"WITH RECURSIVE {PANEL}, {folds('te + INTERVAL 180 DAY', '1998-12-31')} SELECT fold, date, ticker, train_end FROM panel JOIN fo ON date BETWEEN test_start AND test_end")
 def _folds(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of the panel by fold; the folds (at most a few dozen) are computed from the distinct dates and join by range."""
+    """Rows of the panel by the fold that tests them."""
     panel = price_panel(spark, sf)
-    dates = [r.date for r in panel.select("date").distinct().orderBy("date").collect()]  # bounded by the calendar
-    found = e.walk_forward(dates, dt.date(1998, 12, 31), 180, 5, 500)
-    table_ = spark.createDataFrame(found, "fold int, train_end date, test_start date, test_end date")
-    tested = panel.join(F.broadcast(table_), F.expr("date between test_start and test_end"))
-    return tested.select("fold", "date", "ticker", "train_end")
+    found = m.folds_table(panel, dt.date(1998, 12, 31), days=180)
+    return panel.join(F.broadcast(found), F.expr("date between test_start and test_end")).select("fold", "date", "ticker", "train_end")  # a row for each fold

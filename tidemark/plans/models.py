@@ -100,7 +100,7 @@ def sized_book(spark: SparkSession, sf: str, k: int, gross: float) -> DataFrame:
     """n, held: rows and gross weight of the books of the k best and worst; no k under 1."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    return p.top_bottom(scores(spark, sf), k, gross).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("weight")), 6).alias("held"))
+    return p.top_bottom(scores(spark, sf), k, gross / 2).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("weight")), 6).alias("held"))
 
 
 _BOOKS = "pm AS (SELECT * FROM (VALUES (0), (3), (8)) a(k), (VALUES (1.0), (2.0)) b(gross)), ct AS (SELECT date, count(*) AS n FROM panel GROUP BY 1)"

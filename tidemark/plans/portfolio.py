@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import portfolio as p, timeaxis as t
+from ..functions.columns import tidy
+from ..operators import covariance as cov, portfolio as p, timeaxis as t
 from ..operators.evaluation import information_coefficient
 from .cross import BOOK, add, scores
-from .sql import RETURNS, T, r6
+from .registry import query
+from .sql import RETURNS, T, full, r6
 
 _W = "CASE WHEN k > n - 5 THEN 0.1 WHEN k <= 5 THEN -0.1 ELSE 0 END"
 _FULL = f"bk AS (SELECT o.date, o.ticker, rets.sector, rets.r, rets.rn, CAST(CASE WHEN n >= 10 THEN {_W} ELSE 0 END AS DOUBLE) AS weight FROM o JOIN rets ON o.date = rets.date AND o.ticker = rets.ticker)"
@@ -17,13 +19,13 @@ BOOKED = f"{BOOK}, {_FULL}"
 def book(spark: SparkSession, sf: str) -> DataFrame:
     """date, ticker, sector, r, weight of the top and bottom five by volume, 0 for the rest."""
     s = scores(spark, sf)
-    return s.join(p.top_bottom(s, 5).withColumnRenamed("weight", "_w"), ["date", "ticker"], "left").select("date", "ticker", "sector", "r", "score", F.coalesce("_w", F.lit(0.0)).alias("weight"))
+    return s.join(p.top_bottom(s, 5, 0.5).withColumnRenamed("weight", "_w"), ["date", "ticker"], "left").select("date", "ticker", "sector", "r", "score", F.coalesce("_w", F.lit(0.0)).alias("weight"))
 
 
 add("p1_sector_cap", f"WITH {BOOKED} SELECT date, ticker, {r6('weight * least(1.0, coalesce(0.25 / nullif(sum(abs(weight)) OVER (PARTITION BY date, sector), 0), 1.0))', 'weight')} FROM bk", lambda s, sf: p.capped(book(s, sf), 0.25).select("date", "ticker", "weight"))
 add(
     "p2_min_trade",
-    f"WITH RECURSIVE {BOOKED}, h AS (SELECT ticker, rn, date, CASE WHEN abs(weight) >= 0.1 THEN weight ELSE 0.0 END AS held FROM bk WHERE rn = 1 UNION ALL SELECT bk.ticker, bk.rn, bk.date, CASE WHEN abs(weight - held) >= 0.1 THEN weight ELSE held END FROM h JOIN bk ON bk.ticker = h.ticker AND bk.rn = h.rn + 1) SELECT date, ticker, {r6('held', 'held')} FROM h",
+    f"WITH RECURSIVE {BOOKED}, h AS (SELECT ticker, rn, date, weight AS held FROM bk WHERE rn = 1 UNION ALL SELECT bk.ticker, bk.rn, bk.date, CASE WHEN abs(weight - held) >= 0.1 THEN weight ELSE held END FROM h JOIN bk ON bk.ticker = h.ticker AND bk.rn = h.rn + 1) SELECT date, ticker, {r6('held', 'held')} FROM h",
     lambda s, sf: p.with_threshold(book(s, sf).select("date", "ticker", "weight"), 0.1).select("date", "ticker", "held"),
 )
 _BETA = "bb AS (SELECT *, CASE WHEN rn % 7 <> 0 THEN 0.5 + (rn % 5) / 4.0 END AS beta FROM bk), ls AS (SELECT *, sum(CASE WHEN weight > 0 THEN weight * coalesce(beta, 1) ELSE 0 END) OVER (PARTITION BY date) AS l, sum(CASE WHEN weight < 0 THEN weight * coalesce(beta, 1) ELSE 0 END) OVER (PARTITION BY date) AS s FROM bb), aa AS (SELECT *, CASE WHEN abs(l + s) < 1e-6 OR abs(s - l) < 1e-9 THEN NULL ELSE -(l + s) / (s - l) END AS a0 FROM ls), ab AS (SELECT *, CASE WHEN abs(a0) <= 0.5 THEN a0 ELSE 0 END AS a FROM aa)"
@@ -60,35 +62,89 @@ def horizon_ics(spark: SparkSession, sf: str) -> DataFrame:
 
 add("p5_ic_weighted_ensemble", f"WITH {_PREDS}, {_SHARES} SELECT date, ticker, {r6('sum(z * share)', 'score', 5)} FROM zz JOIN sh USING (horizon) GROUP BY 1, 2", lambda s, sf: p.ic_ensemble(predictions(s, sf), p.ic_weights(horizon_ics(s, sf))), 5)
 add("p5_ic_shares", f"WITH {_PREDS}, {_SHARES} SELECT horizon, {r6('share', 'share')} FROM sh", lambda s, sf: p.ic_weights(horizon_ics(s, sf)))
-add("a21_covariance", f"WITH {RETURNS} SELECT x.ticker AS a, y.ticker AS b, {r6('CASE WHEN count(*) >= 5 THEN covar_samp(x.r, y.r) ELSE 0 END', 'cov')} FROM rets x JOIN rets y ON x.date = y.date AND x.ticker <= y.ticker WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2", lambda s, sf: p.covariance(scores(s, sf)))
+add("a21_covariance", f"WITH {RETURNS} SELECT x.ticker AS a, y.ticker AS b, {r6('CASE WHEN count(*) >= 5 THEN covar_samp(x.r, y.r) ELSE 0 END', 'cov')} FROM rets x JOIN rets y ON x.date = y.date AND x.ticker <= y.ticker WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2", lambda s, sf: cov.covariance(scores(s, sf), block=8))
+_SHRUNK = (
+    "dn AS (SELECT count(DISTINCT date) AS n FROM rets), gx AS (SELECT t.ticker, d.date, coalesce(r, 0.0) AS v FROM (SELECT DISTINCT ticker FROM rets) t CROSS JOIN (SELECT DISTINCT date FROM rets) d LEFT JOIN rets ON rets.ticker = t.ticker AND rets.date = d.date), gc AS (SELECT ticker, date, v - avg(v) OVER (PARTITION BY ticker) AS v FROM gx), "
+    "ss AS (SELECT x.ticker AS a, y.ticker AS b, sum(x.v * y.v) / count(*) AS s, sum(x.v * x.v * y.v * y.v) / count(*) AS q FROM gc x JOIN gc y ON x.date = y.date AND x.ticker <= y.ticker GROUP BY 1, 2), mm AS (SELECT avg(s) AS m, count(*) AS p FROM ss WHERE a = b), "
+    "nr AS (SELECT m, sum(CASE WHEN a = b THEN (s - m) * (s - m) ELSE 2 * s * s END) / p AS away, sum(CASE WHEN a = b THEN 1 ELSE 2 END * (q - s * s)) / (n * p) AS noise FROM ss, mm, dn GROUP BY m, p, n), sh AS (SELECT m, CASE WHEN away > 0 THEN least(noise, away) / away ELSE 0 END AS share FROM nr)"
+)
+add("a21_shrunk_covariance", f"WITH {RETURNS}, {_SHRUNK} SELECT a, b, {r6('(1 - share) * s + CASE WHEN a = b THEN share * m ELSE 0 END', 'cov', 9)} FROM ss, sh", lambda s, sf: cov.shrunk_covariance(scores(s, sf), block=8), 9)
+#: SQL of weights (sz: date, ticker, weight) on every date and name of a book, held to a least trade from each name's first row, then beta neutral.
+_COMPOSED = (
+    "cp AS (SELECT sz.date, sz.ticker, weight * least(1.0, coalesce(0.25 / nullif(sum(abs(weight)) OVER (PARTITION BY sz.date, coalesce(sector, '')), 0), 1.0)) AS w FROM sz LEFT JOIN (SELECT DISTINCT ticker, sector FROM rets WHERE sector <> 'ASIA') USING (ticker)), "
+    "gc AS (SELECT t.ticker, d.date, coalesce(w, 0.0) AS w, row_number() OVER (PARTITION BY t.ticker ORDER BY d.date) AS i FROM (SELECT DISTINCT ticker FROM cp) t CROSS JOIN (SELECT DISTINCT date FROM cp) d LEFT JOIN cp ON cp.ticker = t.ticker AND cp.date = d.date), "
+    "th AS (SELECT ticker, i, date, w AS weight FROM gc WHERE i = 1 UNION ALL SELECT gc.ticker, gc.i, gc.date, CASE WHEN abs(gc.w - th.weight) >= 0.02 THEN gc.w ELSE th.weight END FROM th JOIN gc ON gc.ticker = th.ticker AND gc.i = th.i + 1), "
+    "be AS (SELECT th.date, th.ticker, weight, coalesce(CASE WHEN rn % 7 <> 0 THEN 0.5 + (rn % 5) / 4.0 END, 1) AS beta FROM th LEFT JOIN rets ON rets.date = th.date AND rets.ticker = th.ticker), "
+    "ls AS (SELECT *, sum(CASE WHEN weight > 0 THEN weight * beta ELSE 0 END) OVER (PARTITION BY date) AS l, sum(CASE WHEN weight < 0 THEN weight * beta ELSE 0 END) OVER (PARTITION BY date) AS s FROM be), "
+    "al AS (SELECT *, CASE WHEN abs(l + s) >= 1e-6 AND abs(s - l) >= 1e-9 AND abs((l + s) / (s - l)) <= 0.5 THEN -(l + s) / (s - l) ELSE 0 END AS a FROM ls) "
+    f"SELECT date, ticker, {r6('weight * CASE WHEN weight > 0 THEN 1 - a ELSE 1 + a END', 'weight')} FROM al"
+)
+
+
+def composed(spark: SparkSession, sf: str, **how) -> DataFrame:
+    """Books of the volume, in the steps of the weight builder; names of one sector have none."""
+    b = with_beta(spark, sf)
+    sectors = b.where("sector <> 'ASIA'").select("ticker", "sector").distinct()
+    return p.composed(b.select("date", "ticker", "score"), sectors=sectors, cap=0.25, least=0.02, betas=b.select("date", "ticker", "beta"), leverage=0.5, **how)
+
+
+add("p17_composed_weights", f"WITH RECURSIVE {BOOK}, sz AS (SELECT date, ticker, CAST(CASE WHEN k > n - 4 THEN 0.125 ELSE -0.125 END AS DOUBLE) AS weight FROM o WHERE n >= 8 AND (k <= 4 OR k > n - 4)), {_COMPOSED}", lambda s, sf: composed(s, sf, k=4))
+_VOL = f"vl AS (SELECT date, ticker, volume AS score, r, {full('stddev_samp(r)', 'r', 21)} AS v0 FROM rets), vv AS (SELECT date, ticker, score, v0 AS vol FROM vl)"
+
+
+def trailing_vol(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(spark, sf).select("date", "ticker", t.realised_vol("r", 21).alias("vol"))
+
+
 add(
-    "p17_composed_weights",
-    f"WITH {BOOKED}, cp AS (SELECT *, weight * least(1.0, coalesce(0.25 / nullif(sum(abs(weight)) OVER (PARTITION BY date, sector), 0), 1.0)) AS w0, CASE WHEN rn % 7 <> 0 THEN 0.5 + (rn % 5) / 4.0 END AS beta FROM bk), ls AS (SELECT *, sum(CASE WHEN w0 > 0 THEN w0 * coalesce(beta, 1) ELSE 0 END) OVER (PARTITION BY date) AS l, sum(CASE WHEN w0 < 0 THEN w0 * coalesce(beta, 1) ELSE 0 END) OVER (PARTITION BY date) AS s FROM cp), "
-    "aa AS (SELECT *, CASE WHEN abs(l + s) < 1e-6 OR abs(s - l) < 1e-9 THEN NULL ELSE -(l + s) / (s - l) END AS a0 FROM ls), nb AS (SELECT date, ticker, w0 * CASE WHEN w0 > 0 THEN 1 - a ELSE 1 + a END AS weight FROM (SELECT *, CASE WHEN abs(a0) <= 0.5 THEN a0 ELSE 0 END AS a FROM aa)), "
-    "dt AS (SELECT date, max(CAST(weight <> 0 AS INT)) AS anyw, row_number() OVER (ORDER BY date) AS i FROM nb GROUP BY 1), du AS (SELECT date, i >= (SELECT min(i) FROM dt WHERE anyw = 1) AND (i - (SELECT min(i) FROM dt WHERE anyw = 1)) % 5 = 0 AS due FROM dt) "
-    f"SELECT nb.date, nb.ticker, {r6('coalesce(last_value(CASE WHEN due THEN weight END IGNORE NULLS) OVER (PARTITION BY nb.ticker ORDER BY nb.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)', 'weight')} FROM nb JOIN du ON nb.date = du.date",
-    lambda s, sf: (lambda b: p.composed(b.select("date", "ticker", "score"), b.select("date", "ticker", "sector", "beta")))(with_beta(s, sf)),
+    "p17_inverse_vol_weights",
+    f"WITH RECURSIVE {RETURNS}, {_VOL}, vk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score, ticker) AS k, count(*) OVER (PARTITION BY date) AS n FROM vv WHERE vol > 1e-6), vm AS (SELECT *, least(greatest(1, floor(n * 0.2)), n // 2) AS m FROM vk WHERE n >= 10), "
+    f"vs AS (SELECT *, CASE WHEN k > n - m THEN 1 ELSE -1 END AS side FROM vm WHERE k <= m OR k > n - m), sz AS (SELECT date, ticker, side * 0.5 * (1 / vol) / sum(1 / vol) OVER (PARTITION BY date, side) AS weight FROM vs), {_COMPOSED}",
+    lambda s, sf: composed(s, sf, sizing="inverse_vol", vol=trailing_vol(s, sf)),
 )
+
+
+@query("p17_parity_weights")
+def _parity_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Sized by parity; SQL can't cluster, so the tests compare the steps after the sizing and the sizing itself."""
+    return tidy(composed(spark, sf, sizing="parity", returns=scores(spark, sf).select("date", "ticker", "r")))
+
+
 add(
     "p8_smoothed_weights",
     f"WITH RECURSIVE {BOOKED}, h AS (SELECT ticker, rn, date, weight AS y FROM bk WHERE rn = 1 UNION ALL SELECT bk.ticker, bk.rn, bk.date, 0.7 * y + 0.3 * weight FROM h JOIN bk ON bk.ticker = h.ticker AND bk.rn = h.rn + 1) SELECT date, ticker, {r6('y', 'smoothed')} FROM h",
     lambda s, sf: t.with_ewm(book(s, sf).select("date", "ticker", "weight"), "weight", 0.3, 1, "smoothed").drop("weight"),
 )
-_DUE = "dt AS (SELECT date, max(CAST(weight <> 0 AS INT)) AS anyw, row_number() OVER (ORDER BY date) AS i FROM bk GROUP BY 1), du AS (SELECT date, i >= (SELECT min(i) FROM dt WHERE anyw = 1) AND (i - (SELECT min(i) FROM dt WHERE anyw = 1)) % 5 = 0 AS due FROM dt)"
-_CADENCE = f"cd AS (SELECT bk.date, bk.ticker, bk.r, coalesce(last_value(CASE WHEN due THEN weight END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY bk.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS weight FROM bk JOIN du ON bk.date = du.date)"
-add("p9_cadence", f"WITH {BOOKED}, {_DUE}, {_CADENCE} SELECT date, ticker, {r6('weight', 'weight')} FROM cd", lambda s, sf: p.on_cadence(book(s, sf), 5).select("date", "ticker", "weight"))
-_GRID = "gr AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM bk) t CROSS JOIN (SELECT DISTINCT date FROM bk) d), gw AS (SELECT gr.date, gr.ticker, cd.r, coalesce(last_value(cd.weight IGNORE NULLS) OVER (PARTITION BY gr.ticker ORDER BY gr.date ROWS UNBOUNDED PRECEDING), 0) AS weight FROM gr LEFT JOIN cd ON cd.date = gr.date AND cd.ticker = gr.ticker)"
-_HELD = f"hd AS (SELECT *, coalesce(lag(weight) OVER ({T}), 0) AS h FROM gw), dl AS (SELECT *, abs(h - coalesce(lag(h) OVER ({T}), 0)) AS d FROM hd), bt AS (SELECT date, sum(h * coalesce(least(greatest(r, -0.5), 0.5), 0) * CAST(r IS NOT NULL AS INT)) AS gross, sum(d) AS turnover FROM dl GROUP BY 1)"
-BACKTEST = f"{BOOKED}, {_DUE}, {_CADENCE}, {_GRID}, {_HELD}"
+#: SQL of a wide book: bw (date, ticker, w) on every date of the calendar, 0 for names that a book lacks, carried over dates without a book.
+_WIDE = (
+    "cl AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM rets)), gr AS (SELECT cl.date, i, t.ticker FROM cl CROSS JOIN (SELECT DISTINCT ticker FROM bk JOIN rets USING (ticker)) t), "
+    "g0 AS (SELECT gr.*, CASE WHEN gr.date IN (SELECT date FROM bk) THEN coalesce(bk.weight, 0.0) END AS w0 FROM gr LEFT JOIN bk ON bk.date = gr.date AND bk.ticker = gr.ticker), "
+    "bw AS (SELECT date, i, ticker, coalesce(last_value(w0 IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), 0.0) AS w FROM g0)"
+)
+_EVERY = "an AS (SELECT min(i) AS i0 FROM bw WHERE w <> 0), cd AS (SELECT date, i, ticker, coalesce(last_value(CASE WHEN i >= i0 AND (i - i0) % 5 = 0 THEN w END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), 0.0) AS w FROM bw, an)"
+
+
+def held_sql(book: str, lag: int) -> str:
+    """bt (date, gross, turnover): what the wide book `book` earns and trades, held `lag` dates later."""
+    return (
+        f"hd AS (SELECT *, lag(w, {lag}) OVER ({T}) AS h FROM {book}), dl AS (SELECT hd.*, r, abs(coalesce(h, 0) - coalesce(lag(h) OVER (PARTITION BY hd.ticker ORDER BY hd.date), 0)) AS d FROM hd LEFT JOIN rets ON rets.date = hd.date AND rets.ticker = hd.ticker), "
+        f"bt AS (SELECT date, CASE WHEN min(i) > {lag} THEN sum(coalesce(h * CASE WHEN r IS NOT NULL THEN least(greatest(r, -0.5), 0.5) END, 0)) END AS gross, sum(d) AS turnover FROM dl GROUP BY 1)"
+    )
+
+
+_DAILY = f"SELECT date, {r6('gross', 'gross')}, {r6('turnover', 'turnover')}, {r6('turnover * 6 / 1e4', 'cost')}, {r6('gross - turnover * 6 / 1e4', 'net')} FROM bt"
+BACKTEST = f"{BOOKED}, {_WIDE}, {_EVERY}, {held_sql('cd', 1)}"
+add("p9_cadence", f"WITH {BOOKED}, {_WIDE}, {_EVERY} SELECT date, ticker, {r6('w', 'weight')} FROM cd WHERE w <> 0", lambda s, sf: (lambda b: p.on_calendar(b, b, 5))(book(s, sf)))
 
 
 def backtest(spark: SparkSession, sf: str) -> DataFrame:
     """The book on a five-day cadence, held on every date of the panel."""
-    held = p.on_cadence(book(spark, sf), 5)
-    return p.backtest(held, held)
+    b = book(spark, sf)
+    return p.backtest(b, b, every=5)
 
 
-add("p10_backtest", f"WITH {BACKTEST} SELECT date, {r6('coalesce(gross, 0)', 'gross')}, {r6('turnover', 'turnover')}, {r6('turnover * 6 / 1e4', 'cost')}, {r6('coalesce(gross, 0) - turnover * 6 / 1e4', 'net')} FROM bt", backtest)
+add("p10_backtest", f"WITH {BACKTEST} {_DAILY}", backtest)
+add("p10_books_on_some_dates", f"WITH {BOOK}, bk AS (SELECT date, ticker, CAST(CASE WHEN k > n - 5 THEN 0.1 ELSE -0.1 END AS DOUBLE) AS weight FROM o WHERE n >= 10 AND (k <= 5 OR k > n - 5) AND dayofweek(date) IN (1, 4)), {_WIDE}, {held_sql('bw', 2)} {_DAILY}", lambda s, sf: (lambda f: p.backtest(p.top_bottom(f, 5, 0.5).where(F.dayofweek("date").isin(2, 5)), f.select("date", "ticker", "r"), lag=2))(scores(s, sf)))
 add("a26_turnover", f"WITH {BACKTEST} SELECT date, {r6('turnover', 'turnover')} FROM bt", lambda s, sf: backtest(s, sf).select("date", "turnover"))
 _SIGN = RETURNS + f", sg AS (SELECT ticker, date, volume - lag(volume) OVER ({T}) AS score, r FROM rets), pc AS (SELECT ticker, count(*) AS n, avg(CAST(sign(score) = sign(r) AS INT)) AS p FROM sg WHERE score IS NOT NULL AND r IS NOT NULL GROUP BY 1), fa AS (SELECT ticker, CASE WHEN n >= 30 THEN p END AS precision, greatest(0, least(1, (coalesce(CASE WHEN n >= 30 THEN p END, 0.5) - 0.5) / 0.5)) * 0.8 AS factor FROM pc)"
 

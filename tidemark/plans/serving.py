@@ -105,6 +105,6 @@ add(
     "v18_snapshot",
     f"WITH {RETURNS}, {_HORIZONS}, {_BOOK5}, w AS (SELECT *, CAST(CASE WHEN n < 10 THEN 0 WHEN k > n - 5 THEN 0.1 WHEN k <= 5 THEN -0.1 ELSE 0 END AS DOUBLE) AS weight FROM o) "
     "SELECT w.date, w.ticker, score, weight, place, CASE WHEN weight > 0 THEN 'long' WHEN weight < 0 THEN 'short' ELSE 'flat' END AS side, h1, h5 FROM w LEFT JOIN (SELECT date, ticker, max(CASE WHEN horizon = 1 THEN pred END) AS h1, max(CASE WHEN horizon = 5 THEN pred END) AS h5 FROM pr GROUP BY 1, 2) m ON m.date = w.date AND m.ticker = w.ticker",
-    lambda s, sf: (lambda sc: v.snapshot(sc.select("date", "ticker", "score"), p.top_bottom(sc, 5), predictions(s, sf)).select("date", "ticker", "score", "weight", "place", "side", F.try_element_at("per_horizon", F.lit("1")).alias("h1"), F.try_element_at("per_horizon", F.lit("5")).alias("h5")))(scores(s, sf)),
+    lambda s, sf: (lambda sc: v.snapshot(sc.select("date", "ticker", "score"), p.top_bottom(sc, 5, 0.5), predictions(s, sf)).select("date", "ticker", "score", "weight", "place", "side", F.try_element_at("per_horizon", F.lit("1")).alias("h1"), F.try_element_at("per_horizon", F.lit("5")).alias("h5")))(scores(s, sf)),
 )
 add("v19_additive_columns", "SELECT o_custkey AS k, o_totalprice AS value, NULL AS note FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'O'", lambda s, sf: v.migrated(versions(s, sf, "F").select("k", "value"), table(s, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("value"), F.col("o_orderpriority").alias("note"))))

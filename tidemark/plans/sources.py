@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import joins as j
-from ..sources import html as ht, tables as tb, text as tx
+from ..sources import html as ht, tables as tb, text as tx, tone as tn
+from ..sources.files import archives, shared_folder
+from ..sources.ingest import cached_files, ingest_files, named
 from ..sources.panel import price_panel, table
 from .cross import add
 from .sql import PANEL, r6
@@ -93,8 +95,72 @@ add(
     "s17_tone_mentions",
     f"WITH nm AS (SELECT 'P' || p_partkey AS ticker, {_NAME} AS name FROM part WHERE length({_NAME}) >= 4), e AS (SELECT event_id, CAST(ts AS DATE) AS date, CAST(json_extract(props, '$.k') AS INT) AS k, value, upper(p_name) AS name FROM events JOIN part ON p_partkey = user_id + 1) "
     f"SELECT date, ticker, count(*) AS mention_count, CAST(sum(k) AS BIGINT) AS article_count, {r6('avg(value)', 'tone_mean')}, {r6('stddev_pop(value)', 'tone_std')} FROM e JOIN nm USING (name) GROUP BY 1, 2",
-    lambda s, sf: tx.tone_mentions(tone_lines(s, sf).unionByName(s.createDataFrame([("too\tshort",)], "value string")), tx.names_to_tickers(titles(s, sf))),
+    lambda s, sf: tn.mentions(tn.mention_rows(tn.split_lines(tone_lines(s, sf).unionByName(s.createDataFrame([("too\tshort",)], "value string")))), tx.names_to_tickers(titles(s, sf))),
 )
+
+
+def tone_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as the lines of three files a day (file, header, place, value): without a header and with times in their dates; with one of
+    its own order; and, on Mondays, with one that lacks a field.
+
+    Organizations have offsets, are named twice, and some by another name too; counts are missing or no numbers, some tones are no numbers.
+    """
+    org = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name")
+    e = events(spark, sf).withColumn("k", F.col("user_id") + 1).join(org, "k")
+    part, place = F.col("event_id") % 3, F.col("event_id")
+    date = F.when(place % 2 == 0, F.date_format("ts", "yyyyMMddHHmmss")).otherwise(F.date_format("ts", "yyyyMMdd"))
+    count = F.when(place % 5 == 0, "").when(place % 7 == 1, "x").otherwise(F.get_json_object("props", "$.k"))
+    tone = F.when(place % 11 == 3, "bad").otherwise(F.concat(F.col("value").cast("string"), F.lit(",1,2,3")))
+    orgs = F.concat_ws(";", F.concat(F.lower("p_name"), F.lit(",17")), F.lit("Nobody Ltd,4"), F.concat(F.lit(" "), "p_name"), F.when(F.col("k") % 50 == 0, F.concat(F.lit("alias "), "k", F.lit(",9"))))
+    fixed = F.concat_ws("\t", date, count, F.lit("c"), F.lit("t"), F.lit("l"), F.lit("p"), orgs, tone)
+    own = F.concat_ws("\t", tone, F.lit('"two\twords"'), date, orgs, count)
+    header = F.when(part == 1, "TONE\tTHEMES\tDATE\tORGANIZATIONS\tNUMARTS").when((part == 2) & (F.dayofweek("ts") == 2), "DATE\tNUMARTS\tTHEMES")
+    file = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("."), part, F.lit(".csv.zip"))
+    return e.select(file.alias("file"), header.alias("header"), place.alias("place"), F.when(part == 1, own).otherwise(fixed).alias("value"))
+
+
+def company_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of all parts, every fiftieth by a second one too."""
+    more = table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("ticker"), F.concat(F.lit("Alias "), "p_partkey", F.lit(" Co")).alias("title"))
+    return tx.names_to_tickers(titles(spark, sf).select("ticker", "title").union(more))
+
+
+def tone_folder(spark: SparkSession, rows: DataFrame, folder: str) -> str:
+    """The folder, with the rows' archives in it."""
+    tn.write_archives(rows, folder).agg(F.count(F.lit(1))).first()
+    return folder
+
+
+def archived_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    lines = tn.archived_lines(archives(spark, tone_folder(spark, tone_files(spark, sf), shared_folder(spark, "tone"))))
+    return tn.mentions(tn.mention_rows(lines), company_names(spark, sf))
+
+
+_MENTIONS = (
+    f"nm AS (SELECT 'P' || p_partkey AS ticker, {_NAME} AS name FROM part WHERE length({_NAME}) >= 4 UNION ALL SELECT 'P' || p_partkey, 'ALIAS ' || p_partkey FROM part WHERE p_partkey % 50 = 0), "
+    "e AS (SELECT event_id, CAST(ts AS DATE) AS date, strftime(ts, '%Y%m%d') || '.' || (event_id % 3) || '.csv.zip' AS file, event_id % 3 = 2 AND dayofweek(ts) = 1 AS unknown, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 1 THEN 1 ELSE CAST(json_extract(props, '$.k') AS INT) END AS k, CASE WHEN event_id % 11 <> 3 THEN value END AS value, "
+    "unnest([upper(p_name), CASE WHEN p_partkey % 50 = 0 THEN 'ALIAS ' || p_partkey END]) AS name FROM events JOIN part ON p_partkey = user_id + 1), "
+    "ln AS (SELECT DISTINCT event_id, date, file, k, value, ticker FROM e JOIN nm USING (name) WHERE NOT unknown AND value IS NOT NULL)"
+)
+_STATS = f"count(*) AS mention_count, CAST(sum(k) AS BIGINT) AS article_count, {r6('avg(value)', 'tone_mean')}, {r6('stddev_pop(value)', 'tone_std')}"
+add("s17_tone_archives", f"WITH {_MENTIONS} SELECT date, ticker, {_STATS} FROM ln GROUP BY 1, 2", archived_mentions)
+_TONE = "file string, date date, ticker string, mention_count long, article_count long, tone_mean double, tone_std double"
+
+
+def ingested_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Files up to the 20th of a month, then all of them, ingested into one cache: markers included, and how many batches hold a file."""
+    folder, cache, progress = (shared_folder(spark, name) for name in ("arrivals", "cache", "progress"))
+    rows, names = tone_files(spark, sf), company_names(spark, sf)
+    parse = lambda files: tn.mentions(tn.mention_rows(named(tn.archived_lines(files)), "file"), names, "file")
+    early = F.substring("file", 7, 2).cast("int") <= 20
+    for arrived in (early, ~early):
+        ingest_files(spark, tone_folder(spark, rows.where(arrived), folder), cache, progress, parse, _TONE)
+    held = cached_files(spark, cache, _TONE)
+    return held.join(held.groupBy("file").agg(F.count_distinct("batch").alias("batches")), "file").drop("batch")
+
+
+add("s20_resumable_ingest", f"WITH {_MENTIONS}, f AS (SELECT DISTINCT file FROM e) SELECT f.file, date, ticker, CASE WHEN ticker IS NOT NULL THEN mention_count END AS mention_count, article_count, tone_mean, tone_std, 1 AS batches FROM f LEFT JOIN (SELECT file, date, ticker, {_STATS} FROM ln GROUP BY 1, 2, 3) g ON f.file = g.file", ingested_mentions)
+add("s20_merged_mentions", f"WITH {_MENTIONS} SELECT date, ticker, {_STATS} FROM ln GROUP BY 1, 2", lambda s, sf: tn.merged(ingested_mentions(s, sf).where("ticker is not null").drop("batches")))
 add("s18_canonical_names", f"SELECT p_partkey, CASE WHEN length({_NAME}) >= 4 THEN {_NAME} END AS name FROM part", lambda s, sf: titles(s, sf).select("p_partkey", tx.canonical_name(F.col("title")).alias("name")))
 
 

@@ -87,11 +87,20 @@ def synthetic_prices(spark: SparkSession, tickers: int, days: int, *, seed: int
     return walk.select("date", "ticker", F.col("close").alias("open"), (F.col("close") * 1.005).alias("high"), (F.col("close") * 0.995).alias("low"), "close", F.col("close").alias("adj_close"), "volume")
 
 
+def unheld(wanted: DataFrame, cached: DataFrame, on: str = "date") -> DataFrame:
+    """The wanted days that a day cache holds no row of."""
+    return wanted.select(on).distinct().join(cached.select(on).distinct(), on, "left_anti")
+
+
+def filled(days: DataFrame, fetched: DataFrame, on: str = "date") -> DataFrame:
+    """The fetched rows of the days; a day without any leaves a marker, its date and NULLs."""
+    return days.join(fetched, on, "left").select(*fetched.columns)
+
+
 def day_cache(wanted: DataFrame, cached: DataFrame, fetched: DataFrame, on: str = "date") -> DataFrame:
-    """cached, and the fetched rows of wanted days that it doesn't hold. A wanted day without rows leaves a marker, its date
-    and NULLs, so that it counts as held from then on."""
-    new = wanted.select(on).distinct().join(cached.select(on).distinct(), on, "left_anti")
-    return cached.unionByName(new.join(fetched, on, "left"))
+    """cached, and the fetched rows of wanted days that it doesn't hold. A wanted day without rows leaves a marker, so that it
+    counts as held from then on."""
+    return cached.unionByName(filled(unheld(wanted, cached, on), fetched, on))
 
 
 def held_rows(cache: DataFrame, key: str) -> DataFrame:

@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Endings of company names that say nothing about the company.
 SUFFIXES = ("INC.", "INC", "CORPORATION", "CORP.", "CORP", "COMPANY", "CO.", "CO", "LTD.", "LTD", "LIMITED", "LP", "PLC", "HOLDINGS", "HOLDING", "GROUP", "THE")
-# The columns of a tone file without a header, in order.
-TONE_FIELDS = ("date", "numarts", "counts", "themes", "locations", "persons", "organizations", "tone")
 
 
 def canonical_name(name: Column, least: int = 4) -> Column:
@@ -86,25 +84,6 @@ def filings(df: DataFrame, id_col: str, json_col: str, forms: tuple[str, ...] =
     return rows.where(F.col("form").isin(*forms)).select(id_col, F.try_to_timestamp("filed", F.lit("yyyy-MM-dd")).cast("date").alias("filing_date"), "items")
 
 
-def tone_mentions(lines: DataFrame, names: DataFrame, line: str = "value") -> DataFrame:
-    """date, ticker, mention_count, article_count, tone_mean, tone_std from tab-separated tone lines (see TONE_FIELDS).
-
-    names: name, tickers (see names_to_tickers). An organization that a line names twice counts once, lines with too few
-    fields or a malformed date or tone are left out, and a name of several tickers counts for each.
-    """
-    field = lambda n: F.get(F.split(line, "\t"), F.lit(TONE_FIELDS.index(n)))
-    rows = lines.where(F.size(F.split(line, "\t")) >= len(TONE_FIELDS)).select(
-        F.try_to_timestamp(field("date"), F.lit("yyyyMMdd")).cast("date").alias("date"),
-        field("numarts").try_cast("int").alias("articles"),
-        F.get(F.split(field("tone"), ","), F.lit(0)).try_cast("double").alias("tone"),
-        F.explode(F.array_distinct(F.transform(F.split(field("organizations"), ";"), lambda o: F.upper(F.trim(o))))).alias("name"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    rows = rows.where("date is not null and tone is not null").join(names, "name").select("date", "row", "articles", "tone", F.explode("tickers").alias("ticker"))
-    once = rows.groupBy("date", "row", "ticker").agg(F.max("articles").alias("articles"), F.max("tone").alias("tone"))
-    return once.groupBy("date", "ticker").agg(F.count(F.lit(1)).alias("mention_count"), F.sum("articles").alias("article_count"), F.avg("tone").alias("tone_mean"), F.stddev_pop("tone").alias("tone_std"))
-
-
 def news_items(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """id_col, title, publisher, link, published of news items in either of the two JSON layouts, flat or under "content".
 
