@@ -16,18 +16,19 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# Further kinds, and words whose presence nearby makes a span of a kind likelier.
+# Further kinds, and words (whole, of any case) whose presence nearby makes a span of a kind likelier.
 EXTRA = ("iban", "ssn")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _CONTEXT = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile"),
     "iban": ("iban", "bank", "account", "transfer"),
     "ssn": ("ssn", "social security", "taxpayer"),
 }
+_NEARBY = {kind: re.compile(rf"(?<![^\W_])(?:{'|'.join(words)})(?![^\W_])", re.I) for kind, words in _CONTEXT.items()}
 _PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
 
@@ -99,10 +100,12 @@ def extra_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def score(text: str, kind: str, start: int, end: int, window: int = 48) -> float:
-    """How likely the span is of its kind: the kind's prior, raised half way to 1 by a context word nearby."""
-    near = text[max(0, start - window) : end + window].lower()
-    prior = _PRIOR[kind]
-    return prior + (1 - prior) / 2 if any(w in near for w in _CONTEXT[kind]) else prior
+    """How likely the span is of its kind: the kind's prior, raised towards 1 by the nearest whole context word within `window`
+    code points before or after the span: by half of what is missing right beside it, down to a quarter at the window's end."""
+    prior, words = _PRIOR[kind], _NEARBY[kind]
+    gaps = [start - m.end() for m in words.finditer(text, max(0, start - window), start + 1) if m.end() <= start]
+    gaps += [m.start() - end for m in words.finditer(text, end, end + window + 1) if m.end() <= end + window]
+    return prior + (1 - prior) / 2 * (1 - min(gaps) / (2 * window)) if gaps else prior
 
 
 def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_score: float = 0.5) -> DataFrame:
@@ -110,7 +113,7 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Spans are in code points, end exclusive, by start and then kind as listed in BASE + EXTRA. Base spans stay
     whatever their score; spans of further kinds (account numbers that pass mod-97, social security numbers)
-    are reported from least_score on, so a bare social security number needs a context word.
+    are reported from least_score on, so a bare social security number needs a context word. See score() for what words do.
 
     A null or empty text has an empty array. Null and repeated ids give a row each; other columns are ignored. Spans of one
     start are ordered by kind. Work grows in proportion to a text's length, whatever it holds. An empty table gives an
