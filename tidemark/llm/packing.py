@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -29,6 +30,17 @@ def _table(path: str) -> IdTable:
     return _TABLES[path]
 
 
+def _portions(texts: pa.Array, rows: int = 1024, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first, count) of runs of at most `rows` texts and `size` bytes; a longer text is a run of its own."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield at, end - at
+        at = end
+
+
 def _cut(path: str, capacity: int, end: int, with_ids: bool):
     closing = end.to_bytes(4, "little")
 
@@ -36,8 +48,8 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
         table, row = _table(path), TaskContext.get().partitionId() << 36
         for batch in batches:
             out = {k: [] for k in ("at", "piece", "start", "length", "crc", "place", "ids")}
-            for base in range(0, batch.num_rows, 1024):
-                ids = table.encode(batch.column(1)[base : base + 1024])
+            for base, count in _portions(batch.column(1)):
+                ids = table.encode(batch.column(1)[base : base + count])
                 for i, raw in enumerate(ids):
                     raw += closing
                     for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
