@@ -93,12 +93,13 @@ def grams(texts: list[str], longest: int, buckets: int, most: int = 1 << 18) ->
         at = end
 
 
-def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", *, longest: int = 3, buckets: int = 1 << 15) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", *, longest: int = 3, buckets: int = 1 << 15, most: int = 1000) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and the matrix of log probabilities (language x bucket), add-one smoothed.
 
     Learns from every row with a non-null lang; a null text counts as empty, repeated rows count again, and an empty table
     gives no language. Texts of any length are read whole, in portions (see grams). Each task adds up its rows' n-grams by language, so what is
-    shuffled and what reaches the driver is at most languages x buckets counts for each task, whatever the table.
+    shuffled is at most languages x buckets counts for each task, whatever the table. What reaches the driver, and the model, have
+    at most `most` languages x buckets numbers; more languages are an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,10 @@ def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang",
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
     counts = documents.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = counts.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = counts.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = counts.limit(most * (buckets + 1) + 1).toPandas()
+    if counts["lang"].nunique() > most or len(counts) > most * (buckets + 1):
+        raise ValueError(f"more than {most} languages")
     langs = sorted(counts["lang"].unique())
     table = np.zeros((len(langs), buckets + 1))
     table[np.searchsorted(langs, counts["lang"]) if langs else [], counts["bucket"]] = counts["n"]
