@@ -5,14 +5,16 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, covertree, hnsw, langid, minhash, mixing, packing, pii, quality, secrets
+from tidemark.llm import bpe, common, covertree, hnsw, langid, minhash, mixing, packing, pii, quality, secrets
 from test_operators import find, pii_spans
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -243,3 +245,133 @@ def test_pipeline_with_any_columns(spark, sf, more):
     for i, (c, t) in enumerate(names):
         assert docs.where(~F.col(c).eqNullSafe(F.when(F.col("doc_id") > 2, F.col("doc_id") * 10 + i).cast(t))).count() == 0
     assert docs.limit(0).count() == 0 and [r[0] for r in docs.select(F.count_if(F.col("text").isNull())).collect()] == [0]
+
+
+def test_op6_takes_as_a_plain_mix(spark, sf):
+    """Seats one by one, then the blocks of each shard along its line of documents."""
+    weights, share, most, block, per_shard = (3.0, 1.0, 2.0), 1.5, 2.0, 16, 50
+    h = lambda *c: F.xxhash64(*c)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("size", mixing.word_count(F.col("text")))
+    drawn = h("doc_id", "size", F.lit(0))
+    plain = docs.select("doc_id", "source", "size", drawn.alias("drawn"), h(drawn, F.lit(1)).alias("of")).collect()
+    rows = mixing.mix_sources(docs, docs_per_shard=per_shard).collect()
+    got, targets = {r.doc_id: r.taken for r in rows}, {}
+    for r in rows:
+        targets[next(p.source for p in plain if p.doc_id == r.doc_id)] = r.target
+
+    def seats(claims, n):
+        given = [0] * len(claims)
+        for _ in range(n):
+            given[max(range(len(claims)), key=lambda k: (claims[k] / (2 * given[k] + 1), -k))] += 1
+        return given
+
+    names = sorted(targets, key=lambda s: (s is None, s))
+    quota = dict(zip(names, seats([targets[s] for s in names], round(sum(p.size for p in plain) * share / block)), strict=True))
+    for s in names:
+        own = [p for p in plain if p.source == s]
+        shards = -(-len(own) // per_shard)
+        held = sorted({p.of % shards for p in own})
+        sizes = [sum(p.size for p in own if p.of % shards == k) for k in held]
+        for k, size, n in zip(held, sizes, seats(sizes, quota[s]), strict=True):
+            words = min(n * block, int(size * most))
+            taken = dict.fromkeys((p.doc_id for p in own if p.of % shards == k), 0)
+            while words > 0:
+                for p in sorted((p for p in own if p.of % shards == k), key=lambda p: (p.drawn, p.doc_id)):
+                    part = min(p.size, words)
+                    taken[p.doc_id] += part
+                    words -= part
+            assert {i: got[i] for i in taken} == taken
+    assert len(names) > 2 and sum(got.values()) > 0
+
+
+def test_mix_of_rows_without_ids_in_any_order(spark):
+    rows = [(None, f"w{k:02} " * 40, "a", k) for k in range(20)] + [(None, "w99 " * 40, "b", 1), (7, "x y z " * 3, "a", 2), (7, "x z y " * 3, "a", 2)]
+    shape = "doc_id long, text string, source string, n int"
+    results = []
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        mixed = mixing.mix_sources(spark.createDataFrame(order, shape).repartition(5), share=0.4, keep=("text", "n"))
+        results.append(sorted(map(str, mixed.collect())))
+    assert results[0] == results[1] == results[2] and len(results[0]) == len(rows)
+
+
+def test_op8_scores_by_the_nearest_whole_word(spark, sf):
+    """Against a version that reads all words of the text, over the whole table."""
+    rows = {r.doc_id: r for r in pii.find_pii(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    raised = total = 0
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = d.text or ""
+        words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+        words += [(f"{a[0]} {b[0]}", a[1], b[2]) for a, b in zip(words, words[1:]) if text[a[2] : b[1]] == " "]
+        found = rows[d.doc_id].found
+        for s in found:
+            gaps = [s.start - e for w, _, e in words if w in pii._CONTEXT[s.kind] and _ >= max(0, s.start - 48) and e <= s.start]
+            gaps += [b - s.end for w, b, e in words if w in pii._CONTEXT[s.kind] and b >= s.end and e <= s.end + 48]
+            prior = pii._PRIOR[s.kind]
+            want = prior + (1 - prior) / 2 * (1 - min(gaps) / 96) if gaps else prior
+            assert abs(s.score - want) < 1e-12, (d.doc_id, s)
+            raised, total = raised + bool(gaps), total + 1
+    assert total > 50
+    at = lambda text, kind, part: pii.score(text, kind, text.index(part), text.index(part) + len(part))
+    assert at("we ship goods 1.2.3.4 to a ghost", "ip", "1.2.3.4") == at("goods 1.2.3.4", "ip", "1.2.3.4") == 0.6
+    assert at("hotel recall +49 170 1234567", "phone", "+49 170 1234567") == 0.7
+    assert abs(at("IP: 1.2.3.4", "ip", "1.2.3.4") - (0.6 + 0.2 * (1 - 2 / 96))) < 1e-12
+    assert at("server " + "x" * 30 + " 1.2.3.4 host", "ip", "1.2.3.4") == 0.6 + 0.2 * (1 - 1 / 96)
+    assert at("tel" + " " * 50 + "+49 170 1234567", "phone", "+49 170 1234567") == 0.7 and at("+49 170 1234567 mobiles", "phone", "+49 170 1234567") == 0.7
+
+
+def test_op10_linked_spans_over_the_table(spark, sf):
+    patterns = {"assign": secrets._ASSIGN, "access": secrets._ACCESS, "hex": secrets._HEX, "identifier": secrets._IDENTIFIER, "weak_secret": secrets._WEAK, "endpoint": secrets._ENDPOINT}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: sorted((s.start, s.kind, s.end) for s in r.found) for r in secrets.find_secrets(docs).collect()}
+    role = lambda s: secrets._ROLE[s[1]]
+    near = lambda a, b: b[0] - a[2] <= 240 and a[0] - b[2] <= 240
+    spans = 0
+    for d in docs.collect():
+        all_ = [(m.start(), k, m.end()) for k, p in patterns.items() for m in re.finditer(p, d.text or "") if k != "assign" or len(m[1]) >= 6]
+        linked = [a for a in all_ if a[1] in secrets.EXTRA and any(role(a) != role(b) and "secret" in (role(a), role(b)) and near(a, b) for b in all_)]
+        want = sorted([a for a in all_ if a[1] in secrets.BASE] + linked)
+        assert got[d.doc_id] == want
+        spans += len(want)
+    assert spans > 20
+
+
+def test_portions_of_texts():
+    texts = pa.array(["a" * 10, None, "b" * 100, "", "c" * 60, "d" * 30] + ["e"] * 7)
+    got = list(packing._portions(texts, rows=4, size=100))
+    assert [a for a, _ in got] == [sum(n for _, n in got[:k]) for k in range(len(got))] and sum(n for _, n in got) == len(texts)
+    sizes = [sum(len(x.as_py() or "") for x in texts[a : a + n]) for a, n in got]
+    assert all(n <= 4 and (s <= 100 or n == 1) for (_, n), s in zip(got, sizes)) and list(packing._portions(pa.array([], pa.string()))) == []
+
+
+def test_more_languages_than_the_bound(spark):
+    docs = spark.createDataFrame([(k, "some words", f"l{k}") for k in range(5)], "doc_id long, text string, lang string")
+    assert len(langid.train(docs, most=5)[0]) == 5
+    with pytest.raises(ValueError):
+        langid.train(docs, most=4)
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    df = spark.range(3)
+    outside = common.materialize(df, "outside")
+    with common.scratch():
+        inside, kept = common.materialize(df, "inside"), common.materialize(df, "kept", keep=True)
+        with common.scratch():
+            deeper = common.materialize(df, "deeper")
+    exists = lambda t: (lambda f, p: f.exists(p))(*common._file_system(spark, t.written_to))
+    assert [exists(t) for t in (outside, inside, kept, deeper)] == [True, False, True, False]
+    common.discard(outside, kept)
+
+
+def test_recall_over_several_full_shards(spark):
+    """One label of two shards of 8192 vectors each at production parameters, clustered: links found, out of all by brute force."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(400, 64))
+    x = centres[rng.integers(0, 400, 16_384)] + rng.normal(size=(16_384, 64)) * rng.uniform(0.05, 0.6, (16_384, 1))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x.astype(float)), "label": 1}))
+    got = {r.vec_id: r.n_links for r in hnsw.near_vectors(df, shard_rows=8192).collect()}
+    exact = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.array([((exact[k : k + 1024] @ exact.T) >= 0.93).sum(axis=1) - 1 for k in range(0, len(x), 1024)]).ravel()
+    found = np.array([got[k] for k in range(len(x))])
+    print("links found", found.sum(), "of", want.sum())
+    assert (found <= want).all() and found.sum() >= 0.999 * want.sum() and want.sum() > 100_000

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,16 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are materialized inside, and not kept, are deleted at its end: for callers that have written a lazy result."""
+    own: list[tuple[SparkSession, str]] = []
+    _OPEN.append(own)
+    try:
+        yield
+    finally:
+        _OPEN.remove(own)
+        for spark, path in own:
+            delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, and survives lost executors.
 
-    The files go when the application ends, or before with discard().
+    The files go when the application ends, or before with discard() or, unless kept, at the end of scratch().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     files, where = _file_system(spark, path)
     files.deleteOnExit(where)
+    if _OPEN and not keep:
+        _OPEN[-1].append((spark, path))
     written = spark.read.schema(df.schema).parquet(path)
     written.written_to = path
     return written

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -393,11 +393,13 @@ def top_k(
                     cell[at] = np.argmax(p @ s.T - (s**2).sum(axis=1) / 2, axis=1)
             yield batch.assign(cell=cell)
 
-    rows = materialize(rows.mapInPandas(place, "id long, x array<long>, q boolean, dim int, h long, cell long"), "cells")
+    whole, rows = rows, materialize(rows.mapInPandas(place, "id long, x array<long>, q boolean, dim int, h long, cell long"), "cells")
+    discard(whole)
     parts = rows.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) * F.first("dim") / block_values).alias("parts"))
-    rows = rows.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    placed, rows = rows, rows.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
     trees = rows.select("dim", "cell", "part", "id", "x", "q", "h").groupBy("dim", "cell", "part").applyInPandas(_build(k), _TREES)
     trees = materialize(trees, "cover-trees")
+    discard(placed)
     home = trees.select(F.explode(F.arrays_zip("query_id", "score", "vec_id")).alias("r")).select("r.query_id", "r.score", "r.vec_id")
 
     asked = trees.where("queries > 0").select("dim", F.col("block").alias("q_block"), "q_centre", "q_radius", "least", "queries")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .graph import components
 from .shingles import mix
 
@@ -302,7 +302,7 @@ def near_vectors(
         return pd.DataFrame({"label": key[0], "dim": key[1], "shard": key[2], "parts": data["parts"].iloc[:1], "rep": [data["rep"].to_numpy()], "weight": [data["weight"].to_numpy()], "flat": [x.ravel()], "graph": [graph.dump()], "beam": audited_beam(graph, x, cosine, beam=beam)})
 
     schema = f"label {kind}, dim int, shard long, parts long, rep array<long>, weight array<long>, flat array<double>, graph binary, beam int"
-    graphs = materialize(classes.select("label", "dim", "shard", "parts", "rep", "weight", "x").groupBy("label", "dim", "shard").applyInPandas(build, schema), "graphs")
+    graphs = built = materialize(classes.select("label", "dim", "shard", "parts", "rep", "weight", "x").groupBy("label", "dim", "shard").applyInPandas(build, schema), "graphs")
     graphs = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     asked = classes.select("label", "dim", "part", "rep", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
 
@@ -324,6 +324,7 @@ def near_vectors(
     keys = ("label", "dim", "shard", "part")
     found = graphs.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "u long, v long, n long")
     found = materialize(found, "vector-links")
+    discard(built)
     counts = found.where("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     members = rows.where("x is not null").join(classes.select(*group, "rep", "weight"), group).select("id", "rep", "h", "label", "weight")
     placed = components(found.where("u <> v").select("u", "v").union(members.where("id <> rep").select("id", "rep").distinct()), "vectors")

@@ -122,7 +122,8 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     Labels other than 0 and 1 and null ids are left out; of several labels of one id, the smallest counts. Only
     the statistics of the bounded sample reach the driver: rows x 30 doubles. Of documents that repeat a labelled id, the
-    one with the smallest statistics counts.
+    one with the smallest statistics counts. Statistics are taken of whole texts, however long; labels that tie in the hash's
+    order go by id. No labelled row gives trees that score every text alike.
     """
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     own = F.broadcast(own.orderBy(F.xxhash64("id"), "id").limit(rows))  # bounded by rows
@@ -139,7 +140,8 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def score(documents: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and the probability of label 1 (`score`) of every whole text; a null text counts as empty.
 
-    Null and repeated ids give a row each; other columns are ignored; an empty table gives an empty result.
+    Null and repeated ids give a row each; other columns are ignored; an empty table gives an empty result. Texts of any length
+    are read whole, one at a time; equal texts have equal scores.
     """
     shared = documents.sparkSession.sparkContext.broadcast(trees)
 
@@ -159,7 +161,8 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """id_col, held_out, score, predicted (score >= threshold) for every document.
 
     The held-out fold (crc32 of the id as text leaves no remainder by folds) is never learnt from; without labels
-    of both classes every score is the smoothed share of label 1.
+    of both classes every score is the smoothed share of label 1. Very long and null texts, ties and repeated rows are as in train
+    and score; a score of exactly the threshold is predicted 1.
     """
     trees = train(documents, labels.where(~is_held_out(id_col, folds)), id_col, text_col, **options)
     scored = score(documents, trees, id_col, text_col)
