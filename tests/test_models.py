@@ -139,7 +139,7 @@ def test_parameter_grid_keeps_failures(spark):
             raise ValueError("no two")
         return spark.createDataFrame([(a * b,)], "c double")
 
-    got = evaluation.parameter_grid(spark, {"a": [1, 2], "b": [0.5, 1.5]}, run).orderBy("a", "b").collect()
+    got = evaluation.parameter_grid({"a": [1, 2], "b": [0.5, 1.5]}, run).orderBy("a", "b").collect()
     assert [tuple(r) for r in got] == [(1, 0.5, 0.5, None), (1, 1.5, 1.5, None), (2, 0.5, None, "no two"), (2, 1.5, None, "no two")]
 
 
@@ -214,3 +214,72 @@ def test_parity_book_as_a_loop(spark):
     sides = pd.Series(got).groupby([pd.Series(got).index.get_level_values(0), np.sign(pd.Series(got))]).sum()
     assert np.allclose(sides.abs(), 1.0)
     assert hierarchy.parity_book(df.limit(0), df.select("date", "ticker", "r")).count() == 0
+
+
+def test_noise_stops_the_trees_early(spark):
+    rng = np.random.default_rng(4)
+    noise = [(DAY + dt.timedelta(days=i), f"T{j}", float(rng.normal()), float(rng.integers(0, 2))) for i in range(60) for j in range(10)]
+    signal = [(d, t, x, float(x > 0)) for d, t, x, _ in noise]
+    kind = "date date, ticker string, x double, up double"
+    kept = {}
+    for name, rows in (("noise", noise), ("signal", signal)):
+        df = spark.createDataFrame(rows, kind)
+        test = df.where(F.col("date") >= F.lit(DAY + dt.timedelta(days=55)))
+        got = models.boosted(df, test, ["x"], "up", trees=30).collect()
+        assert len(got) == 50 and len({r.trees for r in got}) == 1 and all(0 <= r.score <= 1 for r in got)
+        kept[name] = got[0].trees
+        assert models.boosted(df, test, ["x"], "up", trees=5, tail=0).first().trees == models.boosted(df.limit(150), test, ["x"], "up", trees=5).first().trees == 5
+    assert kept["noise"] < 15 < kept["signal"], kept
+
+
+def test_gate_with_more_slices_than_dates(spark, panel):
+    df = panel.where(F.col("date") < F.lit(DAY + dt.timedelta(days=20))).select("date", "ticker", "score", F.col("y").alias("realised"), "x1")
+    n = df.count()
+    rows = models.meta_gate(df, ["x1"], slices=12, threshold=0.0, model="logistic").collect()
+    was = {(r.date, r.ticker): r.score for r in df.collect()}
+    assert len(rows) == n and all(was[r.date, r.ticker] == r.score for r in rows)  # a threshold of 0 keeps everything
+    assert sum(r.gate is not None for r in rows) > n / 3
+
+
+def ic_ir(pdf, score, r):
+    ics = pdf.dropna(subset=[score, r]).groupby("date").apply(lambda g: g[score].rank().corr(g[r].rank()) if len(g) >= 5 else np.nan, include_groups=False).dropna()
+    return ics.mean() / ics.std() * 252**0.5
+
+
+def test_feature_audits_as_pandas(spark, panel):
+    df = panel.withColumn("y2", F.col("y") * 0.5 + F.col("x1") * F.col("x1"))
+    pdf = df.toPandas().sort_values(["ticker", "date"])
+    got = {(r.feature, r.horizon): r for r in models.feature_audits(df, ["x1", "x2"], ["y", "y2"]).collect()}
+    assert len(got) == 4
+    for (x, y), r in got.items():
+        pdf["old"] = pdf.groupby("ticker")[x].shift(1)
+        a, b = ic_ir(pdf, x, y), ic_ir(pdf, "old", y)
+        assert abs(r.as_is - a) < 1e-9 and abs(r.shifted - b) < 1e-9 and abs(r.delta - (b - a)) < 1e-9
+        assert r.pct_drop is None if abs(a) < 0.05 else abs(r.pct_drop + (b - a) / abs(a) * 100) < 1e-6
+    assert got["x1", "y"].verdict == "SUSPECT"
+
+
+def test_retrained_audits_as_single_runs(spark, panel):
+    folds = models.folds_table(panel, DAY + dt.timedelta(days=20), 1, 3, 10).cache()
+    got = {r.feature: r for r in models.retrained_audits(panel, folds, ["x1", "x2"], "y").collect()}
+    truth = panel.select("date", "ticker", "y").toPandas()
+    run = lambda df: ic_ir(models.walk_forward_scores(df, folds, ["x1", "x2"], "y").toPandas().merge(truth, on=["date", "ticker"]), "score", "y")
+    base = run(panel)
+    for x in ("x1", "x2"):
+        pdf = panel.select("date", "ticker", "x1", "x2", "y").toPandas().sort_values(["ticker", "date"])
+        pdf[x] = pdf.groupby("ticker")[x].shift(1)
+        pdf = pdf.dropna(subset=[x]).astype(object).where(lambda d: d.notna(), None)
+        again = run(spark.createDataFrame(pdf, "date date, ticker string, x1 double, x2 double, y double"))
+        assert abs(got[x].as_is - base) < 1e-9 and abs(got[x].shifted - again) < 1e-9
+    assert got["x1"].pct_drop > 50
+
+
+def test_grid_with_base_arguments_is_one_plan(spark):
+    seen = []
+
+    def run(scale, a):
+        seen.append(a)
+        return spark.range(a).agg((F.count(F.lit(1)) * scale).alias("n"))
+
+    df = evaluation.parameter_grid({"a": [3, 5]}, run, {"scale": 10})
+    assert [tuple(r) for r in df.orderBy("a").collect()] == [(3, 30, None), (5, 50, None)] and seen == [3, 5]

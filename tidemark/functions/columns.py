@@ -64,3 +64,33 @@ def tidy(df: DataFrame, digits: int | None = 6) -> DataFrame:
     if digits is None:
         return df
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+# Forms in which files and pages write dates, the month before the day where both are numbers.
+DATE_FORMS = ("yyyy-M-d", "yyyyMMdd", "yyyy/M/d", "M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy-M-d HH:mm:ss", "yyyy-M-d'T'HH:mm:ss")
+
+
+def any_date(text: Column) -> Column:
+    """The date that a text is in one of DATE_FORMS; NULL for any other."""
+    text = F.trim(text)
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(form)) for form in DATE_FORMS]).cast("date")
+
+
+def bucket_of(text: Column, digits: int = 2) -> Column:
+    """The first hexadecimal digits of a text's SHA-256 as a number: an even spread over 16^digits buckets."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, digits), 16, 10).cast("int")
+
+
+# Names of columns that hold what a model is asked for, or the signal that it judges.
+FORBIDDEN = ("primary", "primary_pred", "primary_score", "realised", "realised_return", "fwd_return", "fwd_vs", "label", "future")
+_LABELS = ("fwd_", "tb_")
+
+
+def without_leaks(columns: list[str], *known: str, drop_labels: bool = False) -> list[str]:
+    """The columns, if none would leak: a forbidden name in either case is an error, and so is one that begins like a label, unless
+    labels are to be dropped. Columns named in `known` may have any name."""
+    labels = [c for c in columns if c not in known and c.lower().startswith(_LABELS) and c.lower() not in FORBIDDEN]
+    bad = [c for c in columns if c not in known and c.lower() in FORBIDDEN] + ([] if drop_labels else labels)
+    if bad:
+        raise ValueError(f"columns {sorted(bad)} would leak")
+    return [c for c in columns if c not in labels]

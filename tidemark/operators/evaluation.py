@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable
 
@@ -20,7 +21,12 @@ def information_coefficient(df: DataFrame, score: str = "score", r: str = "r", l
 
 def ic_summary(ics: DataFrame) -> DataFrame:
     """One row: mean, sample deviation and their ratio by the year."""
-    return ics.agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), (ratio(F.avg("ic"), nonzero(F.stddev_samp("ic"))) * 252**0.5).alias("ic_ir"))
+    return ic_by(ics)
+
+
+def ic_by(ics: DataFrame, *keys: str) -> DataFrame:
+    """keys, ic_mean, ic_std, ic_ir over their dates; one row without keys."""
+    return ics.groupBy(*keys).agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), (ratio(F.avg("ic"), nonzero(F.stddev_samp("ic"))) * 252**0.5).alias("ic_ir"))
 
 
 def annual_return(r: str) -> Column:
@@ -77,21 +83,28 @@ def regime_breakdown(df: DataFrame, r: str, by: str, periods: int = 252) -> Data
     return known.groupBy(by).agg(*figures, F.avg((F.col(r) > 0).cast("int")).alias("hit"), (F.avg(r) * periods).alias("ann_return"))
 
 
-def parameter_grid(spark: SparkSession, params: dict[str, list], run: Callable[..., DataFrame]) -> DataFrame:
-    """The parameters of every combination beside the one row that run(**combination) gives, and error: NULL, or its message
-    where it raised (its figures are NULL then). Combinations are a driver loop: dozens, each its own Spark jobs.
+def parameter_grid(params: dict[str, list], run: Callable[..., DataFrame], base: dict | None = None) -> DataFrame:
+    """The parameters of every combination beside the one row that run(**base, **combination) gives, and error: NULL, or the message with
+    which run raised (its figures are NULL then).
+
+    run describes what to compute, and all combinations are one plan, a branch for each: dozens. What can't be described is an
+    error row; what fails later fails the job.
     """
-    rows = []
+    named = lambda own: [F.lit(v).cast("long" if isinstance(v, int) and not isinstance(v, bool) else _KINDS.get(type(v), "string")).alias(k) for k, v in own.items()]
+    frames, failed = [], []
     for values in itertools.product(*params.values()):
         own = dict(zip(params, values, strict=True))
         try:
-            rows.append({**run(**own).first().asDict(), **own, "error": None})
-        except Exception as failed:  # what a combination raises is its result
-            rows.append({**own, "error": str(failed).strip().splitlines()[0] if str(failed).strip() else type(failed).__name__})
-    names = [*params, *[c for c in dict.fromkeys(k for r in rows for k in r) if c not in (*params, "error")], "error"]
-    frame = [tuple(r.get(c) for c in names) for r in rows]
-    kinds = [next((k for k in (type(v) for v in column) if k is not type(None)), str) for column in zip(*frame, strict=True)]
-    return spark.createDataFrame(frame, ", ".join(f"`{c}` {({int: 'long', float: 'double', bool: 'boolean'}).get(k, 'string')}" for c, k in zip(names, kinds, strict=True)))
+            frames.append(run(**{**(base or {}), **own}).limit(1).select(*named(own), "*", F.lit(None).cast("string").alias("error")))
+        except Exception as raised:  # what a combination raises is its result
+            failed.append((own, str(raised).strip().splitlines()[0] if str(raised).strip() else type(raised).__name__))
+    one = SparkSession.getActiveSession().range(1)
+    frames += [one.select(*named(own), F.lit(message).alias("error")) for own, message in failed]
+    out = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return out.select(*[c for c in out.columns if c != "error"], "error")
+
+
+_KINDS = {float: "double", bool: "boolean"}
 
 
 def bootstrap_sharpe(daily: DataFrame, r: str = "net", draws: int = 1000, block: int | None = None, seed: int = 7, method: str = "block", periods: int = 252) -> DataFrame:

@@ -16,11 +16,13 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.columns import without_leaks
+from .evaluation import ic_by, information_coefficient
 from .portfolio import confident, gated
+from .timeaxis import shifted
 from .xsection import medians_so_far
 
 Fit = Callable[[DataFrame, DataFrame, list[str], str], DataFrame]
-FORBIDDEN = ("primary", "realised", "future")
 
 
 def folds_table(df: DataFrame, first: dt.date, months: int = 6, embargo: int = 5, least: int = 500, *, days: int | None = None) -> DataFrame:
@@ -150,22 +152,33 @@ def logistic(train: DataFrame, test: DataFrame, xs: list[str], y: str) -> DataFr
     return fitted.transform(scaler.transform(sides[1])).select("date", "ticker", vector_to_array("_p")[1].alias("score"))
 
 
-def boosted(train: DataFrame, test: DataFrame, xs: list[str], y: str, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
-    """date, ticker, score: probability of y = 1 by gradient-boosted trees; NULL where logistic gives NULL."""
+def boosted(train: DataFrame, test: DataFrame, xs: list[str], y: str, trees: int = 20, depth: int = 4, seed: int = 7, tail: float = 0.1, least: int = 200, patience: float = 0.01) -> DataFrame:
+    """date, ticker, score, trees: probability of y = 1 by gradient-boosted trees, and how many trees were kept; NULL where logistic gives NULL.
+
+    The last share `tail` of the training dates isn't trained on: trees are added until its error falls by less than
+    `patience` of itself, at most `trees`. With fewer than `least` training rows, or no tail, all rows train and all trees stay.
+    """
     train = train.where(F.col(y).isNotNull())
-    sides = _assembled(train, test, xs) if _classes(train, y)[1] == 2 else None
+    n, classes = _classes(train, y)
+    sides = _assembled(train, test, xs) if classes == 2 else None
     if sides is None:
-        return _unscored(test)
+        return _unscored(test).withColumn("trees", F.lit(None).cast("int"))
     model = GBTClassifier(featuresCol="_v", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
-    fitted = model.fit(sides[0].withColumn(y, F.col(y).cast("double")))
-    return fitted.transform(sides[1]).select("date", "ticker", vector_to_array("probability")[1].alias("score"))
+    rows = sides[0].withColumn(y, F.col(y).cast("double"))
+    if n >= least and tail > 0:
+        days = F.sort_array(F.collect_set("date"))
+        cut = train.agg(F.element_at(days, (F.floor(F.size(days) * (1 - tail)) + 1).cast("int")).alias("_cut"))
+        rows = rows.join(F.broadcast(cut), F.lit(True)).withColumn("_tail", F.coalesce(F.col("date") >= F.col("_cut"), F.lit(False)))  # one row
+        model = model.setValidationIndicatorCol("_tail").setParams(validationTol=patience)
+    fitted = model.fit(rows)
+    return fitted.transform(sides[1]).select("date", "ticker", vector_to_array("probability")[1].alias("score"), F.lit(fitted.getNumTrees).alias("trees"))
 
 
 MODELS: dict[str, Fit] = {"logistic": logistic, "fama_macbeth": fama_macbeth, "boosted": boosted}
 
 
 def walk_forward_scores(df: DataFrame, folds: DataFrame, xs: list[str], y: str, model: str = "fama_macbeth") -> DataFrame:
-    """fold, date, ticker, score out of sample: the model fitted on each fold's training rows scores its test rows.
+    """fold, date, ticker, score out of sample: the model fitted on each fold's training rows scores its test rows (boosted trees: and trees).
 
     Premia are one plan for all folds. Other models are fitted one fold after the other, a few dozen at most; what fails raises.
     """
@@ -178,14 +191,14 @@ def walk_forward_scores(df: DataFrame, folds: DataFrame, xs: list[str], y: str,
         train, test = df.where(F.col("date") <= F.lit(f.train_end)), df.where(F.col("date").between(f.test_start, f.test_end))
         out.append(MODELS[model](train, test, xs, y).withColumn("fold", F.lit(f.fold)))
     none = df.sparkSession.createDataFrame([], "date date, ticker string, score double, fold int")
-    return reduce(DataFrame.unionByName, out, none).select("fold", "date", "ticker", "score")
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out, none)
+    return found.select("fold", "date", "ticker", "score", *[c for c in ("trees",) if c in found.columns])
 
 
 def meta_rows(df: DataFrame, score: str = "score", realised: str = "realised") -> DataFrame:
-    """df's rows with a score and a realised return other than 0, with hit (1 where their signs agree) and primary_abs."""
-    leaks = [c for c in df.columns if c not in (score, realised) and (c.lower() in FORBIDDEN or c.startswith("fwd_"))]
-    if leaks:
-        raise ValueError(f"columns {leaks} would leak")
+    """df's rows with a score and a realised return other than 0, with hit (1 where their signs agree) and primary_abs. Other columns
+    are features; a name that would leak is an error (see without_leaks)."""
+    without_leaks(df.columns, score, realised)
     known = df.where(F.col(score).isNotNull() & (F.col(realised) != 0))
     return known.withColumns({"hit": (F.signum(score) == F.signum(realised)).cast("int"), "primary_abs": F.abs(score)})
 
@@ -200,7 +213,8 @@ def meta_gate(df: DataFrame, xs: list[str], *, slices: int = 3, mode: str = "bin
     """date, ticker, score, gate of df (date, ticker, score, realised, xs): scores gated by a model of when they are right.
 
     The first half of the dates passes as it is (gate NULL); the rest is cut into `slices` equal runs of dates, the last
-    one with what remains, each gated by a model of all dates before it. A slice whose past has one class passes as well.
+    one with what remains, each gated by a model of all dates before it. A slice whose past has one class passes as well, and
+    with more slices than dates the last ones are empty.
     """
     dates = [r.date for r in df.select("date").distinct().orderBy("date").collect()]  # bounded by the calendar
     half = max(1, len(dates) // 2)
@@ -212,6 +226,8 @@ def meta_gate(df: DataFrame, xs: list[str], *, slices: int = 3, mode: str = "bin
     for k in range(slices):
         low = half + k * step
         high = low + step if k < slices - 1 else len(dates)
+        if low >= len(dates):
+            break
         part = df.where(F.col("date").between(dates[low], dates[high - 1]))
         known = meta_rows(df.where(F.col("date") < F.lit(dates[low])).select("date", "ticker", "score", "realised", *xs))
         found = MODELS[model](known, part.withColumn("primary_abs", F.abs("score")), [*xs, "primary_abs"], "hit").withColumnRenamed("score", "gate")
@@ -243,3 +259,39 @@ def leak_verdict(as_is: str, shifted: str) -> Column:
     a, b = F.col(as_is), F.col(shifted)
     kept = (F.abs(b) > 0.5 * F.abs(a)) & (F.signum(a) == F.signum(b))
     return F.when(a.isNotNull() & b.isNotNull(), F.when(kept, "OK").when(F.abs(b) < 0.25 * F.abs(a), "SUSPECT").otherwise("PARTIAL"))
+
+
+def _audited(found: DataFrame, *keys: str) -> DataFrame:
+    """keys, as_is, shifted, delta, pct_drop, verdict from ic_ir by keys and `older`: what a day less of a feature costs. The share lost is NULL
+    where there was next to nothing (0.05) to lose."""
+    own = lambda old: F.max(F.when(F.col("older") == old, F.col("ic_ir")))
+    both = found.groupBy(*keys).agg(own(0).alias("as_is"), own(1).alias("shifted")).withColumn("delta", F.col("shifted") - F.col("as_is"))
+    drop = F.when(F.abs("as_is") >= 0.05, -F.col("delta") / F.abs("as_is") * 100)
+    return both.select(*keys, "as_is", "shifted", "delta", drop.alias("pct_drop"), leak_verdict("as_is", "shifted").alias("verdict"))
+
+
+def feature_audits(df: DataFrame, xs: list[str], ys: list[str], days: int = 1) -> DataFrame:
+    """feature, horizon, as_is, shifted, delta, pct_drop, verdict: the information ratio of each of xs with each of ys (returns of several
+    horizons), and that of the feature as it was `days` rows before. All features and horizons are one plan."""
+    old = shifted(df.select("date", "ticker", *xs), xs, days).withColumnsRenamed({x: f"_{x}" for x in xs})
+    both = df.select("date", "ticker", *xs, *ys).join(old, ["date", "ticker"])
+    features = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.lit(k).alias("older"), F.col(c).cast("double").alias("score")) for x in xs for k, c in ((0, x), (1, f"_{x}"))]))
+    horizons = F.explode(F.array(*[F.struct(F.lit(y).alias("horizon"), F.col(y).cast("double").alias("r")) for y in ys]))
+    long = both.select("date", *ys, features.alias("_f")).select("date", "_f.*", horizons.alias("_h")).select("date", "feature", "older", "score", "_h.*")
+    keys = ("feature", "horizon", "older")
+    return _audited(ic_by(information_coefficient(long, keys=(*keys, "date")), *keys), "feature", "horizon")
+
+
+def retrained_audits(df: DataFrame, folds: DataFrame, xs: list[str], y: str, model: str = "fama_macbeth") -> DataFrame:
+    """feature, as_is, shifted, delta, pct_drop, verdict: the information ratio of the model's scores out of sample, and that of the model trained
+    again with the feature a row older for each ticker (rows without the older value go). One model for each feature, dozens at most."""
+    truth = df.select("date", "ticker", F.col(y).alias("r"))
+
+    def ratio_of(rows: DataFrame, feature: str, older: int) -> DataFrame:
+        scored = walk_forward_scores(rows, folds, xs, y, model).select("date", "ticker", "score").join(truth, ["date", "ticker"])
+        return ic_by(information_coefficient(scored)).select(F.lit(feature).alias("feature"), F.lit(older).alias("older"), "ic_ir")
+
+    base = ratio_of(df, "", 0).select(F.explode(F.array(*map(F.lit, xs))).alias("feature"), "older", "ic_ir")
+    own = df.select("date", "ticker", *xs, y)
+    again = [ratio_of(shifted(own, [x]).where(F.col(x).isNotNull()), x, 1) for x in xs]
+    return _audited(reduce(DataFrame.unionByName, again, base), "feature")

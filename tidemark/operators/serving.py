@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.columns import clip, finite
 from .joins import latest
 
 
@@ -130,17 +131,86 @@ def newest_news(news: DataFrame, sentiment: DataFrame, most: int) -> DataFrame:
 def snapshot(scores: DataFrame, weights: DataFrame, horizons: DataFrame) -> DataFrame:
     """date, ticker, score, weight, place, side, per_horizon: what a run stores.
 
-    The place is by falling score within the date; the side follows the weight (long, short or flat, without one 0);
-    per_horizon maps each horizon of horizons (date, ticker, horizon, pred) to its prediction, the horizons of one
+    The place is by falling score within the date; the side follows the weight: long, short, or NULL for 0, which is also the
+    weight of a ticker without one; per_horizon maps each horizon of horizons (date, ticker, horizon, pred) to its prediction, the horizons of one
     ticker and date being few.
     """
     maps = horizons.groupBy("date", "ticker").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("horizon").cast("string"), "pred")))).alias("per_horizon"))
     out = scores.join(weights, ["date", "ticker"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).join(maps, ["date", "ticker"], "left")
     place = F.row_number().over(W.partitionBy("date").orderBy(F.desc("score"), "ticker"))
-    side = F.when(F.col("weight") > 0, "long").when(F.col("weight") < 0, "short").otherwise("flat")
+    side = F.when(F.col("weight") > 0, "long").when(F.col("weight") < 0, "short")
     return out.select("date", "ticker", "score", "weight", place.alias("place"), side.alias("side"), "per_horizon")
 
 
+def equity_curve(daily: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """date, daily_return, cumulative_return, drawdown, turnover, benchmark_return: the equity that a run stores, from a backtest (date, net,
+    turnover) and the prices of a benchmark (date, adj_close).
+
+    A day without a return counts as 0, others are held to [-5, 5]. Drawdowns are from the highest equity of any day so far.
+    The benchmark's return is the log change from its row before within the run's dates, 0 on days without one, and NULL
+    throughout if it has no row within them.
+    """
+    so_far = W.partitionBy(F.lit(0)).orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row a date
+    r = F.coalesce(clip(F.col("net"), -5.0, 5.0), F.lit(0.0))
+    curve = daily.select("date", r.alias("daily_return"), "turnover").withColumn("_e", F.product(1 + F.col("daily_return")).over(so_far))
+    curve = curve.select("date", "daily_return", (F.col("_e") - 1).alias("cumulative_return"), (F.col("_e") / F.max("_e").over(so_far) - 1).alias("drawdown"), "turnover")
+    span = daily.agg(F.min("date").alias("_a"), F.max("date").alias("_b"))  # one row
+    bars = benchmark.where(F.col("adj_close").isNotNull()).join(F.broadcast(span), F.col("date").between(F.col("_a"), F.col("_b")))
+    step = F.ln("adj_close") - F.ln(F.lag("adj_close").over(W.partitionBy(F.lit(0)).orderBy("date")))
+    both = curve.join(bars.select("date", step.alias("_r"), F.lit(1).alias("_bar")), "date", "left")
+    some = F.max("_bar").over(W.partitionBy(F.lit(0)))
+    return both.select(*curve.columns, F.when(some == 1, F.coalesce(finite(F.col("_r")), F.lit(0.0))).alias("benchmark_return"))
+
+
+def ticker_document(facts: DataFrame, prices: DataFrame, predictions: DataFrame, run: DataFrame, ticker: str, days: int) -> DataFrame:
+    """One row of a ticker: the columns of facts, then prices and predictions, arrays of structs by date, of the `days` days up to its last bar.
+
+    prices: date, ticker and its bars' columns; predictions: run_id, date, ticker and theirs, of the resolved run (run_id). A ticker
+    without facts has no row, one without bars or predictions empty arrays.
+    """
+    own = prices.where(F.col("ticker") == ticker).drop("ticker")
+    since = own.agg(F.date_sub(F.max("date"), days).alias("_since"))  # one row
+    nested = lambda df, out: df.agg(F.array_sort(F.collect_list(F.struct("date", *[c for c in df.columns if c != "date"]))).alias(out))
+    bars = own.join(F.broadcast(since), F.col("date") > F.col("_since")).drop("_since")
+    scored = predictions.where(F.col("ticker") == ticker).join(F.broadcast(run.select("run_id")), "run_id").drop("run_id", "ticker")
+    scored = scored.join(F.broadcast(since), F.col("date") > F.col("_since")).drop("_since")
+    return facts.where(F.col("ticker") == ticker).join(nested(bars, "prices"), F.lit(True)).join(nested(scored, "predictions"), F.lit(True))  # one row each
+
+
+# What a trial's row holds beside its parameters, and the figure from which on it isn't a penalty.
+TRIAL_METRICS = ("trial", "value", "hold_sharpe", "hold_ci_lo", "hold_ci_hi", "hold_dd", "hold_hit", "hold_ann_return", "dev_sharpe", "elapsed_s", "error")
+PENALTY = -9.0
+
+
+def best_trial(trials: DataFrame, trial: str = "trial", json_col: str = "row") -> DataFrame:
+    """trial, best_sharpe, best_params (a map of JSON texts): the trial with the highest hold_sharpe over PENALTY, ties to the first, and its row
+    without TRIAL_METRICS; no row where all are penalties or have none."""
+    figure = F.get_json_object(json_col, "$.hold_sharpe").try_cast("double")
+    valid = trials.select(F.col(trial).alias("trial"), figure.alias("best_sharpe"), F.col(json_col).alias("_row")).where(F.col("best_sharpe") > PENALTY)
+    best = valid.orderBy(F.desc("best_sharpe"), "trial").limit(1)
+    params = F.map_filter(F.from_json("_row", "map<string, string>"), lambda k, v: ~k.isin(*TRIAL_METRICS))
+    return best.select("trial", "best_sharpe", params.alias("best_params"))
+
+
+def config_values(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
+    """keys, key, value: each field of JSON objects and its value as JSON text, in which objects have their fields in order and a number
+    that is whole has no fraction."""
+    rows = df.select(*keys, F.try_parse_json(json_col).alias("_c")).where("_c is not null")
+    fields = rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_c").outer())).select(*keys, "key", "value")
+    number = F.try_variant_get("value", "$", "double")
+    plain = F.schema_of_variant("value").rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    whole = plain & (number == F.floor(number)) & (F.abs(number) < float(1 << 53))
+    return fields.select(*keys, "key", F.when(whole, number.cast("long").cast("string")).otherwise(F.to_json("value")).alias("value"))
+
+
+def config_diff(a: DataFrame, b: DataFrame, json_col: str, *keys: str) -> DataFrame:
+    """keys, key, a, b: the fields in which the JSON objects of two tables differ, as JSON texts, NULL for one that an object lacks; a
+    full outer join by the keys and the field."""
+    side = lambda df, out: config_values(df, json_col, *keys).withColumnRenamed("value", out)
+    both = side(a, "a").join(side(b, "b"), [*keys, "key"], "full")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select(*keys, "key", "a", "b")
+
+
 def migrated(*versions: DataFrame) -> DataFrame:
     """Tables of several versions under all their columns; a column that a version lacks is NULL there."""
     out = versions[0]

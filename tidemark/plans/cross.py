@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.columns import clip, finite, starting, tidy
+from ..functions.columns import bucket_of, clip, finite, starting, tidy, without_leaks
 from ..operators import timeaxis as t, xsection as x
 from ..operators.serving import faceted
 from ..sources.panel import market, price_panel, table
@@ -68,11 +68,9 @@ add("f2_blocklist", f"WITH {PANEL} SELECT date, ticker, volume FROM panel", lamb
 add("f3_allow_list", f"WITH {PANEL} SELECT date, ticker, close FROM panel", lambda s, sf: price_panel(s, sf).select("date", "ticker", "close"), None)
 
 
-def leak_safe(df: DataFrame, forbidden: tuple[str, ...] = ("realised", "future")) -> DataFrame:
+def leak_safe(df: DataFrame) -> DataFrame:
     """df without labels; a forbidden name is an error."""
-    if bad := [c for c in df.columns if c in forbidden]:
-        raise ValueError(f"columns {bad} would leak")
-    return df.drop(*starting(df, "fwd_", "tb_"))
+    return df.select(*without_leaks(df.columns, drop_labels=True))
 
 
 add("f4_leak_safe", f"WITH {_FEATURES} SELECT date, ticker, volume, close, volume_rank, CAST(\"sec_ASIA\" AS DOUBLE) AS \"sec_ASIA\" FROM f", lambda s, sf: leak_safe(features(s, sf)), None)
@@ -123,6 +121,9 @@ add("f14_faceted_search", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'B
 add("f15_history_filter", "SELECT o_orderkey FROM orders WHERE CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'failed' ELSE 'other' END = 'failed' AND contains(lower(CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority), '5-l')", lambda s, sf: table(s, sf, "orders").where("case o_orderstatus when 'O' then 'ok' when 'F' then 'failed' else 'other' end = 'failed' and contains(lower(concat(o_orderkey, ' ', o_orderpriority)), '5-l')").select("o_orderkey"))
 
 
+add("f8_hash_buckets", "SELECT CAST(('0x' || substr(sha256(p_name || '|' || p_partkey), 1, 2)) AS INT) AS bucket, count(*) AS n FROM part GROUP BY 1", lambda s, sf: table(s, sf, "part").groupBy(bucket_of(F.concat_ws("|", "p_name", "p_partkey")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+
+
 def config_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Keys whose values differ between two tables (key, value): a full outer join by key."""
     both = a.toDF("key", "a").join(b.toDF("key", "b"), "key", "full")

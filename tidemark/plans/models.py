@@ -96,6 +96,43 @@ def leak_audit(spark: SparkSession, sf: str) -> DataFrame:
 add("m15_leak_audit", f"WITH {RETURNS}, {_ir('as_is', 'volume')}, {_ir('shifted', f'lag(volume) OVER ({T})')} SELECT as_is + 0.0 AS as_is, shifted + 0.0 AS shifted, CASE WHEN abs(shifted) > 0.5 * abs(as_is) AND sign(as_is) = sign(shifted) THEN 'OK' WHEN abs(shifted) < 0.25 * abs(as_is) THEN 'SUSPECT' ELSE 'PARTIAL' END AS verdict FROM as_is, shifted", leak_audit)
 
 
+_TX = "PARTITION BY xy.ticker ORDER BY xy.date"
+_AUDIT = (
+    f"au AS (SELECT xy.date, xy.ticker, x1, x2, lag(x1) OVER ({_TX}) AS o1, lag(x2) OVER ({_TX}) AS o2, y, ln(lead(close, 6) OVER ({_TX})) - ln(lead(close, 1) OVER ({_TX})) AS y5 FROM xy JOIN panel ON panel.date = xy.date AND panel.ticker = xy.ticker), "
+    "lg AS (SELECT date, unnest(['x1', 'x1', 'x2', 'x2']) AS feature, unnest([0, 1, 0, 1]) AS older, unnest([x1, o1, x2, o2]) AS s, y, y5 FROM au), lh AS (SELECT date, feature, older, s, 'y' AS horizon, y AS r FROM lg UNION ALL SELECT date, feature, older, s, 'y5', y5 FROM lg), "
+    "lr AS (SELECT date, feature, older, horizon, rank() OVER (PARTITION BY date, feature, older, horizon ORDER BY s) + (count(*) OVER (PARTITION BY date, feature, older, horizon, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY date, feature, older, horizon ORDER BY r) + (count(*) OVER (PARTITION BY date, feature, older, horizon, r) - 1) / 2.0 AS b FROM lh WHERE s IS NOT NULL AND r IS NOT NULL), "
+    "li AS (SELECT date, feature, older, horizon, CASE WHEN count(*) >= 5 AND isfinite(corr(a, b)) THEN corr(a, b) END AS ic FROM lr GROUP BY ALL), ls AS (SELECT feature, older, horizon, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(252) AS ir FROM li GROUP BY ALL), "
+    "lp AS (SELECT feature, horizon, max(CASE WHEN older = 0 THEN ir END) AS as_is, max(CASE WHEN older = 1 THEN ir END) AS shifted FROM ls GROUP BY 1, 2)"
+)
+
+
+def audited_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """rows with the return of the next row and of the five from there."""
+    df = price_panel(spark, sf)
+    return df.select("date", "ticker", (F.col("volume") / 100).alias("x1"), t.log_return(5).alias("x2"), labels.forward_return(1).alias("y"), labels.forward_return(5).alias("y5"))
+
+
+add(
+    "m15_feature_audits",
+    f"WITH {_XY}, {_AUDIT} SELECT feature, horizon, {r6('as_is', 'as_is', 4)}, {r6('shifted', 'shifted', 4)}, {r6('shifted - as_is', 'delta', 4)}, CASE WHEN abs(as_is) >= 0.05 THEN round((as_is - shifted) / abs(as_is) * 100, 2) + 0.0 END AS pct_drop, CASE WHEN abs(shifted) > 0.5 * abs(as_is) AND sign(as_is) = sign(shifted) THEN 'OK' WHEN abs(shifted) < 0.25 * abs(as_is) THEN 'SUSPECT' ELSE 'PARTIAL' END AS verdict FROM lp",
+    lambda s, sf: m.feature_audits(audited_rows(s, sf), _X, ["y", "y5"]).withColumns({c: F.round(c, d) for c, d in (("as_is", 4), ("shifted", 4), ("delta", 4), ("pct_drop", 2))}),
+    None,
+)
+
+
+@query("m15_retrained_audits")
+def _retrained(spark: SparkSession, sf: str) -> DataFrame:
+    """The premia model trained again with each feature a row older; see the tests for its parts."""
+    return tidy(m.retrained_audits(rows(spark, sf), fold_rows(spark, sf), _X, "y"))
+
+
+@query("m8_early_stopping")
+def _early(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosted trees of each fold with a validation tail: their scores and how many trees each fold kept."""
+    df = rows(spark, sf).withColumn("up", F.when(F.col("y") != 0, (F.col("y") > 0).cast("int")))
+    return tidy(m.walk_forward_scores(df, m.folds_table(price_panel(spark, sf), _FIRST, months=24), _X, "up", "boosted"))
+
+
 def sized_book(spark: SparkSession, sf: str, k: int, gross: float) -> DataFrame:
     """n, held: rows and gross weight of the books of the k best and worst; no k under 1."""
     if k < 1:
@@ -107,7 +144,7 @@ _BOOKS = "pm AS (SELECT * FROM (VALUES (0), (3), (8)) a(k), (VALUES (1.0), (2.0)
 add(
     "m13_sensitivity",
     f"WITH {PANEL}, {_BOOKS} SELECT CAST(k AS BIGINT) AS k, CAST(gross AS DOUBLE) AS gross, CASE WHEN k > 0 THEN CAST(sum(CASE WHEN n >= 2 * k THEN 2 * k ELSE 0 END) AS BIGINT) END AS n, CASE WHEN k > 0 THEN round(CAST(sum(CASE WHEN n >= 2 * k THEN gross ELSE 0 END) AS DOUBLE), 6) END AS held, CASE WHEN k < 1 THEN 'k must be at least 1' END AS error FROM pm, ct GROUP BY k, gross",
-    lambda s, sf: e.parameter_grid(s, {"k": [0, 3, 8], "gross": [1.0, 2.0]}, lambda k, gross: sized_book(s, sf, k, gross)),
+    lambda s, sf: e.parameter_grid({"k": [0, 3, 8], "gross": [1.0, 2.0]}, sized_book, {"spark": s, "sf": sf}),
 )
 
 

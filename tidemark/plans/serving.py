@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import portfolio as p, serving as v
-from ..sources.panel import price_panel, table
+from ..sources import tables as tb
+from ..sources.panel import market, price_panel, table
 from .cross import add, scores
-from .portfolio import predictions
+from .portfolio import BACKTEST, backtest, predictions
 from .sql import PANEL, RETURNS, r6
 
 _RUNS = "runs AS (SELECT o_orderkey AS run_id, CAST(o_orderdate AS DATE) AS started, CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'failed' ELSE 'running' END AS status, o_orderpriority = '1-URGENT' AND o_totalprice > 400000 AS is_active FROM orders)"
@@ -104,7 +105,71 @@ _BOOK5 = "o AS (SELECT date, ticker, volume AS score, row_number() OVER (PARTITI
 add(
     "v18_snapshot",
     f"WITH {RETURNS}, {_HORIZONS}, {_BOOK5}, w AS (SELECT *, CAST(CASE WHEN n < 10 THEN 0 WHEN k > n - 5 THEN 0.1 WHEN k <= 5 THEN -0.1 ELSE 0 END AS DOUBLE) AS weight FROM o) "
-    "SELECT w.date, w.ticker, score, weight, place, CASE WHEN weight > 0 THEN 'long' WHEN weight < 0 THEN 'short' ELSE 'flat' END AS side, h1, h5 FROM w LEFT JOIN (SELECT date, ticker, max(CASE WHEN horizon = 1 THEN pred END) AS h1, max(CASE WHEN horizon = 5 THEN pred END) AS h5 FROM pr GROUP BY 1, 2) m ON m.date = w.date AND m.ticker = w.ticker",
+    "SELECT w.date, w.ticker, score, weight, place, CASE WHEN weight > 0 THEN 'long' WHEN weight < 0 THEN 'short' END AS side, h1, h5 FROM w LEFT JOIN (SELECT date, ticker, max(CASE WHEN horizon = 1 THEN pred END) AS h1, max(CASE WHEN horizon = 5 THEN pred END) AS h5 FROM pr GROUP BY 1, 2) m ON m.date = w.date AND m.ticker = w.ticker",
     lambda s, sf: (lambda sc: v.snapshot(sc.select("date", "ticker", "score"), p.top_bottom(sc, 5, 0.5), predictions(s, sf)).select("date", "ticker", "score", "weight", "place", "side", F.try_element_at("per_horizon", F.lit("1")).alias("h1"), F.try_element_at("per_horizon", F.lit("5")).alias("h5")))(scores(s, sf)),
 )
+add(
+    "v18_equity",
+    f"WITH {BACKTEST}, dy AS (SELECT date, CASE WHEN gross IS NULL THEN 0.0 ELSE least(greatest(gross - turnover * 6 / 1e4, -5), 5) END AS r, turnover FROM bt), eq AS (SELECT *, product(1 + r) OVER (ORDER BY date) AS e FROM dy), be AS (SELECT date, ln(avg(close)) - ln(lag(avg(close)) OVER (ORDER BY date)) AS b FROM panel WHERE day(date) <> 13 GROUP BY 1) "
+    f"SELECT eq.date, {r6('r', 'daily_return', 3)}, {r6('e - 1', 'cumulative_return', 3)}, {r6('e / max(e) OVER (ORDER BY eq.date) - 1', 'drawdown', 3)}, {r6('turnover', 'turnover', 3)}, {r6('coalesce(b, 0)', 'benchmark_return', 3)} FROM eq LEFT JOIN be ON be.date = eq.date",
+    lambda s, sf: v.equity_curve(backtest(s, sf), market(price_panel(s, sf)).where("day(date) <> 13").select("date", F.col("bench").alias("adj_close"))),
+    3,
+)
+
+
+def document(spark: SparkSession, sf: str) -> DataFrame:
+    """The document of one ticker, its nested bars and predictions as text: date:whole volume, and date:score."""
+    panel = price_panel(spark, sf)
+    scored = panel.where("volume > 50").select(F.when(F.col("volume") % 3 == 0, 2).otherwise(1).alias("run_id"), "date", "ticker", F.col("volume").cast("long").alias("score"))
+    found = v.ticker_document(fundamentals(spark, sf), panel.select("date", "ticker", F.col("volume").cast("long").alias("volume")), scored, spark.range(1, 2).select(F.col("id").alias("run_id")), "NATION_7", 365)
+    line = lambda c, x: F.array_join(F.transform(c, lambda e: F.concat_ws(":", e["date"].cast("string"), e[x].cast("string"))), ",")
+    return found.select("ticker", "market_cap", line("prices", "volume").alias("prices"), line("predictions", "score").alias("predictions"))
+
+
+add(
+    "v3_ticker_document",
+    f"WITH {PANEL}, {_FUND}, own AS (SELECT date, CAST(volume AS BIGINT) AS v, volume > 50 AND CAST(volume AS BIGINT) % 3 <> 0 AS scored FROM panel WHERE ticker = 'NATION_7' AND date > (SELECT max(date) - 365 FROM panel WHERE ticker = 'NATION_7')) "
+    "SELECT ticker, market_cap, (SELECT string_agg(CAST(date AS VARCHAR) || ':' || v, ',' ORDER BY date) FROM own) AS prices, (SELECT string_agg(CAST(date AS VARCHAR) || ':' || v, ',' ORDER BY date) FROM own WHERE scored) AS predictions FROM fund WHERE ticker = 'NATION_7'",
+    document,
+)
+
+
+def trial_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as trials: a JSON row of metrics and parameters; those of few events have a penalty, some no figure."""
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("trial")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("m"))
+    sharpe = F.when(F.col("n") % 7 == 0, F.lit("null")).when(F.col("n") < 40, F.lit("-99.0")).otherwise(F.col("m").cast("string"))
+    return e.select("trial", F.format_string('{"trial": %s, "hold_sharpe": %s, "elapsed_s": 3, "error": null, "k": %s, "sizing": "hrp", "horizons": [1, 5]}', F.col("trial").cast("string"), sharpe, F.col("n").cast("string")).alias("row"))
+
+
+add(
+    "a23_best_so_far",
+    "WITH t AS (SELECT user_id AS trial, count(*) AS n, max(value) AS best_sharpe FROM events GROUP BY 1), b AS (SELECT * FROM t WHERE n % 7 <> 0 AND n >= 40 ORDER BY best_sharpe DESC, trial LIMIT 1) SELECT trial, best_sharpe, 'horizons=[1,5];k=' || n || ';sizing=hrp' AS params FROM b",
+    lambda s, sf: v.best_trial(trial_json(s, sf)).select("trial", "best_sharpe", F.array_join(F.transform(F.array_sort(F.map_entries("best_params")), lambda p_: F.concat_ws("=", p_["key"], F.replace(p_["value"], F.lit(" "), F.lit("")))), ";").alias("params")),
+)
+
+
+def configs(spark: SparkSession, sf: str, status: str) -> DataFrame:
+    """Customers with orders of a status: a JSON object of a count, a text, a list and an object with its fields in either order."""
+    o = table(spark, sf, "orders").where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    count = F.when(F.lit(status) == "F", F.concat(F.col("n").cast("string"), F.lit(".0"))).otherwise(F.col("n").cast("string"))
+    nested = F.when(F.lit(status) == "F", F.lit('{"a": 1, "b": "x"}')).otherwise(F.lit('{"b":"x","a":1}'))
+    more = F.when(F.lit(status) == "F", F.lit(', "only": null')).otherwise(F.lit(""))
+    return o.select("k", F.concat(F.lit('{"n": '), count, F.lit(', "t": "'), count, F.lit('", "l": [1, '), F.col("n").cast("string"), F.lit('], "o": '), nested, more, F.lit("}")).alias("c"))
+
+
+add(
+    "f16_json_diff",
+    "WITH f AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), o AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), "
+    "v AS (SELECT k, unnest(['n', 't', 'l', 'o', 'only']) AS key, unnest([CAST(n AS VARCHAR), '\"' || n || '.0\"', '[1,' || n || ']', '{\"a\":1,\"b\":\"x\"}', 'null']) AS a FROM f), w AS (SELECT k, unnest(['n', 't', 'l', 'o']) AS key, unnest([CAST(n AS VARCHAR), '\"' || n || '\"', '[1,' || n || ']', '{\"a\":1,\"b\":\"x\"}']) AS b FROM o) "
+    "SELECT coalesce(v.k, w.k) AS k, coalesce(v.key, w.key) AS key, a, b FROM v FULL JOIN w ON v.k = w.k AND v.key = w.key WHERE a IS DISTINCT FROM b",
+    lambda s, sf: v.config_diff(configs(s, sf, "F"), configs(s, sf, "O"), "c", "k"),
+)
+add(
+    "s26_markdown_report",
+    "WITH t AS (SELECT user_id AS trial, CAST(count(*) AS BIGINT) AS n, max(value) AS m FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY m DESC, trial) AS k FROM t) SELECT -1 AS place, '| Rank | Trial | Sharpe | Events |' AS line UNION ALL SELECT 0, '| --- | --- | --- | --- |' UNION ALL SELECT CAST(k AS INT), '| ' || k || ' | ' || trial || ' | ' || printf('%+.3f', m) || ' | ' || CASE WHEN n % 2 = 0 THEN CAST(n AS VARCHAR) ELSE 'nan' END || ' |' FROM r WHERE k <= 10",
+    lambda s, sf: tb.markdown_table(
+        table(s, sf, "events").groupBy("user_id").agg(F.max("value").alias("m"), F.count(F.lit(1)).alias("n")), [F.desc("m"), F.col("user_id")],
+        {"Trial": F.col("user_id").cast("string"), "Sharpe": F.format_string("%+.3f", "m"), "Events": F.when(F.col("n") % 2 == 0, F.col("n").cast("string"))},
+    ),
+)
 add("v19_additive_columns", "SELECT o_custkey AS k, o_totalprice AS value, NULL AS note FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'O'", lambda s, sf: v.migrated(versions(s, sf, "F").select("k", "value"), table(s, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("value"), F.col("o_orderpriority").alias("note"))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import joins as j
 from ..sources import html as ht, tables as tb, text as tx, tone as tn
-from ..sources.files import archives, shared_folder
+from ..sources.files import archives, shared_folder, write_texts
 from ..sources.ingest import cached_files, ingest_files, named
 from ..sources.panel import price_panel, table
 from .cross import add
@@ -31,16 +31,57 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 add("s2_normalised_prices", f"WITH {PANEL} SELECT date, ticker, close, close AS adj_close, volume FROM panel", lambda s, sf: tb.normalised_prices(price_panel(s, sf).toDF("Date", "Ticker", "Sector", "Close", "Volume")), None)
 _THREE = ("NATION_1", "NATION_2", "NATION_7")
-add("s4_wide_panel", f"WITH {PANEL} SELECT date, " + ", ".join(f"max(CASE WHEN ticker = '{t}' THEN close END) AS \"{t}\"" for t in _THREE) + " FROM panel GROUP BY 1", lambda s, sf: tb.wide(price_panel(s, sf), "close", list(_THREE)), None)
-add("s5_long_panel", f"WITH {PANEL} SELECT date, ticker, close, CASE WHEN ticker <> 'NATION_7' THEN volume END AS volume FROM panel WHERE ticker IN ('NATION_1', 'NATION_2', 'NATION_7')", lambda s, sf: (lambda p: tb.long({t: p.where(F.col("ticker") == t).select("date", "close", *["volume"][: t != "NATION_7"]) for t in _THREE}))(price_panel(s, sf)).select("date", "ticker", "close", "volume"), None)
-add(
-    "s8_rate_series",
-    "WITH a AS (SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN count(*) % 7 <> 0 THEN CAST(count(*) AS DOUBLE) END AS orders FROM orders GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS date, CAST(count(*) AS DOUBLE) AS events FROM events GROUP BY 1) SELECT coalesce(a.date, b.date) AS date, orders, events FROM a FULL JOIN b ON a.date = b.date",
-    lambda s, sf: tb.rate_series({
-        "orders": table(s, sf, "orders").groupBy(F.to_date("o_orderdate").cast("string").alias("DATE")).agg(F.count(F.lit(1)).alias("n")).select("DATE", F.when(F.col("n") % 7 != 0, F.col("n").cast("string")).otherwise(".").alias("v")),
-        "events": events(s, sf).groupBy(F.to_date("ts").cast("string").alias("observation_date")).agg(F.count(F.lit(1)).cast("string").alias("v")),
-    }),
-)
+#: The names that a panel can have: a nation each.
+_ALL = tuple(f"NATION_{k}" for k in range(25))
+add("s4_wide_panel", f"WITH {PANEL} SELECT date, " + ", ".join(f"max(CASE WHEN ticker = '{t}' THEN close END) AS \"{t}\"" for t in _ALL) + " FROM panel GROUP BY 1", lambda s, sf: tb.wide(price_panel(s, sf), "close", list(_ALL)), None)
+
+
+def written_panel(spark: SparkSession, sf: str) -> str:
+    """The folder of the price panel as Parquet by year."""
+    folder = shared_folder(spark, "panel")
+    tb.write_panel(price_panel(spark, sf).select("date", "ticker", "close", "volume"), folder)
+    return folder
+
+
+def long_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """One table of all tickers' own tables; that of one lacks the volume."""
+    folder = written_panel(spark, sf)
+    frames = {t: tb.price_scan(spark, folder, t).select("date", "close", *["volume"][: t != "NATION_7"]) for t in _ALL}
+    return tb.long(frames).select("date", "ticker", "close", "volume")
+
+
+add("s5_long_panel", f"WITH {PANEL} SELECT date, ticker, close, CASE WHEN ticker <> 'NATION_7' THEN volume END AS volume FROM panel", long_panel, None)
+add("s24_written_panel", f"WITH {PANEL} SELECT date, ticker, close, close AS adj_close, volume FROM panel", lambda s, sf: tb.price_scan(s, written_panel(s, sf)), None)
+add("s1_one_ticker", f"WITH {PANEL} SELECT date, ticker, close, close AS adj_close, volume FROM panel WHERE ticker = 'NATION_7'", lambda s, sf: tb.price_scan(s, written_panel(s, sf), "NATION_7"), None)
+
+
+def rate_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rate files (file, place, value): orders and events by day, the value after and before the date, and one of the events' mean value."""
+    orders = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    seen = events(spark, sf).groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("m"))
+    line = lambda file, value: (lambda df: df.select(F.lit(file).alias("file"), F.col("d").cast("string").alias("place"), value.alias("value")))
+    files = [
+        line("ORDERS.csv", F.concat_ws(",", F.col("d").cast("string"), F.when(F.col("n") % 7 != 0, F.col("n").cast("string")).otherwise(".")))(orders),
+        line("EVENTS.csv", F.concat_ws(",", F.col("n").cast("string"), F.lit("x"), F.date_format("d", "M/d/yyyy")))(seen),
+        line("MEANS.csv", F.concat_ws(",", F.date_format("d", "yyyyMMdd"), F.concat(F.lit('"'), F.col("m").cast("string"), F.lit('"'))))(seen),
+    ]
+    heads = spark.createDataFrame([("ORDERS.csv", "", "DATE,ORDERS"), ("EVENTS.csv", "", "EVENTS,note,observation_date"), ("EVENTS.csv", "z", "5,x,never"), ("MEANS.csv", "", '"Observation_Date","MEANS"')], "file string, place string, value string")
+    return heads.unionByName(files[0]).unionByName(files[1]).unionByName(files[2])
+
+
+def text_folder(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """A shared folder with the rows (file, place, value) as text files in it."""
+    folder = shared_folder(spark, name)
+    write_texts(rows, folder).agg(F.count(F.lit(1))).first()
+    return folder
+
+
+_RATES = (
+    "a AS (SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN count(*) % 7 <> 0 THEN CAST(count(*) AS DOUBLE) END AS \"ORDERS\" FROM orders GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS date, CAST(count(*) AS DOUBLE) AS \"EVENTS\", round(avg(value), 4) AS \"MEANS\" FROM events GROUP BY 1), "
+    "r AS (SELECT 'ORDERS' AS series, date, \"ORDERS\" AS value FROM a UNION ALL SELECT 'EVENTS', date, \"EVENTS\" FROM b UNION ALL SELECT 'MEANS', date, \"MEANS\" FROM b)"
+)
+add("s8_rate_series", f"WITH {_RATES} SELECT coalesce(a.date, b.date) AS date, \"ORDERS\" AS orders, \"EVENTS\" AS events FROM a FULL JOIN b ON a.date = b.date", lambda s, sf: tb.rate_series(tb.rate_files(tx.file_lines(s, text_folder(s, rate_lines(s, sf), "rates")), None), "ORDERS", "EVENTS").toDF("date", "orders", "events"))
+add("s8_rate_files", f"WITH {_RATES} SELECT * FROM r WHERE date BETWEEN DATE '1995-03-01' AND DATE '2024-01-20'", lambda s, sf: tb.rate_files(tx.file_lines(s, text_folder(s, rate_lines(s, sf), "rates")), "1995-03-01", dt.date(2024, 1, 20)))
 _CACHED, _FETCHED = "SELECT o_custkey AS k, max(o_orderkey) AS at FROM orders WHERE o_orderstatus = 'F' GROUP BY 1", "SELECT o_custkey AS k, max(o_orderkey) AS at FROM orders WHERE o_orderstatus = 'O' GROUP BY 1"
 
 
@@ -59,16 +100,30 @@ def company_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("s11_companies", f"SELECT 'P' || p_partkey AS ticker, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS cik, {_TITLE} AS title FROM part", lambda s, sf: tx.checked_companies(tx.companies(company_json(s, sf), "j"), 100))
-_HEADER = "Form Type   Company Name                            CIK         Date Filed  File Name"
 
 
 def index_lines(spark: SparkSession, sf: str) -> DataFrame:
-    form = F.when(F.col("event_type") == "error", "8-K").otherwise(F.upper("event_type"))
-    filed = F.when(F.col("event_type") == "error", F.date_format("ts", "yyyy-MM-dd")).otherwise("not a date")
-    return events(spark, sf).select(F.concat(F.rpad(form, 12, " "), F.rpad(F.concat(F.lit("User "), F.col("user_id")), 40, " "), F.rpad(F.col("user_id").cast("string"), 12, " "), F.rpad(filed, 12, " "), F.lit("edgar/data/x.txt")).alias("value"))
+    """Orders as the lines of a filing index for each quarter (file, place, value): columns of several widths, two spellings of the last
+    field, dates of two forms, a preamble, a separator, and lines that are cut off or have no number."""
+    filed = F.to_date("o_orderdate")
+    odd = F.quarter(filed) % 2 == 1
+    file = F.concat(F.year(filed), F.lit("Q"), F.quarter(filed), F.lit(".idx"))
+    form = F.when(F.col("o_orderstatus") == "F", "8-K").when(F.col("o_orderstatus") == "O", "8-K/A").otherwise("10-K")
+    wide = lambda a, b, c, d: F.concat(F.rpad(a, 12, " "), F.when(odd, F.rpad(b, 40, " ")).otherwise(F.rpad(b, 25, " ")), F.when(odd, F.rpad(c, 12, " ")).otherwise(F.rpad(c, 9, " ")), F.rpad(d, 12, " "))
+    day = F.when(odd, F.date_format(filed, "yyyy-MM-dd")).otherwise(F.date_format(filed, "M/d/yyyy"))
+    number = F.when(F.col("o_orderkey") % 9 == 0, "none").otherwise(F.col("o_custkey").cast("string"))
+    rows = table(spark, sf, "orders").select(file.alias("file"), F.col("o_orderkey").alias("place"), F.concat(wide(form, F.concat(F.lit("A  &  B  "), F.col("o_custkey")), number, day), F.lit("edgar/data/x.txt")).alias("value"), odd.alias("odd"))
+    files = rows.groupBy("file").agg(F.first("odd").alias("odd"))
+    head = F.concat(F.rpad(F.lit("Form Type"), 12, " "), F.when(F.col("odd"), F.rpad(F.lit("Company Name"), 40, " ")).otherwise(F.rpad(F.lit("Company Name"), 25, " ")), F.when(F.col("odd"), F.rpad(F.lit("CIK"), 12, " ")).otherwise(F.rpad(F.lit("CIK"), 9, " ")), F.rpad(F.lit("Date Filed"), 12, " "), F.when(F.col("odd"), "File Name").otherwise("Filename"))
+    extra = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("place"), v.alias("value")) for k, v in ((-5, F.lit("Description:  8-K by form")), (-4, F.lit("")), (-3, head), (-2, F.lit("-" * 90)), (1 << 40, F.lit("8-K         cut off")))]))
+    return rows.select("file", "place", "value").unionByName(files.select("file", extra.alias("x")).select("file", "x.place", "x.value"))
 
 
-add("s12_fixed_width_index", "SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS cik, CAST(ts AS DATE) AS filing_date FROM events WHERE event_type = 'error'", lambda s, sf: tx.index_rows(index_lines(s, sf).unionByName(s.createDataFrame([("-" * 80,), ("",), ("8-K  broken",)], "value string")), _HEADER))
+add(
+    "s12_fixed_width_index",
+    "SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) || '.idx' AS file, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CAST(o_orderdate AS DATE) AS filing_date FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 9 <> 0",
+    lambda s, sf: tx.index_rows(tx.file_lines(s, text_folder(s, index_lines(s, sf), "index"))).withColumn("file", F.element_at(F.split("file", "/"), -1)),
+)
 add("s13_wide_gaps", "SELECT event_id, event_type AS a, CAST(user_id AS VARCHAR) AS b FROM events", lambda s, sf: events(s, sf).select("event_id", tx.wide_gaps(F.concat(F.lit("  "), "event_type", F.lit("    "), F.col("user_id"), F.lit("  x y"))).alias("f")).select("event_id", F.get("f", F.lit(0)).alias("a"), F.get("f", F.lit(1)).alias("b")))
 _FIRST, _LAST = dt.date(1995, 2, 10), dt.date(1995, 8, 5)
 add("s15_filings_between", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS filing_date FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-02-10' AND DATE '1995-08-05'", lambda s, sf: tx.filed_between(table(s, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("filing_date")).withColumns({"year": F.year("filing_date"), "quarter": F.quarter("filing_date")}), _FIRST, _LAST).select("o_orderkey", "filing_date"))
@@ -203,6 +258,21 @@ add("s7_index_changes", "SELECT user_id, CAST(ts AS DATE) AS date, CASE WHEN eve
 add("s7_current_members", "SELECT DISTINCT user_id, 'E-' || event_id AS ticker FROM events", lambda s, sf: ht.current_members(ht.html_tables(change_pages(s, sf), "user_id", "html"), "user_id"))
 
 
+def lateral_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of each table of each page by the table function in SQL; page ids repeat, and some are missing."""
+    spark.udtf.register("page_tables", ht.page_tables)
+    pages = change_pages(spark, sf).select(F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 3).alias("page"), "html")
+    return spark.sql("SELECT page, t.table, t.header, CAST(size(t.cells) AS BIGINT) AS width, count(*) AS n FROM {pages} p, LATERAL page_tables(p.html) t GROUP BY ALL", pages=pages)
+
+
+add(
+    "s7_lateral_tables",
+    "WITH p AS (SELECT user_id, CASE WHEN user_id % 5 <> 0 THEN user_id % 3 END AS page, count(*) AS m, count(CASE WHEN event_type IN ('signup', 'error') THEN 1 END) AS c FROM events GROUP BY 1), t AS (SELECT page, 0 AS \"table\", true AS header, 2 AS width, 1 AS n FROM p UNION ALL SELECT page, 0, false, 2, m FROM p UNION ALL SELECT page, 1, true, 5, 2 FROM p UNION ALL SELECT page, 1, false, 5, c FROM p WHERE c > 0 UNION ALL SELECT page, 1, false, 1, 1 FROM p) "
+    "SELECT page, CAST(\"table\" AS INT) AS \"table\", header, CAST(width AS BIGINT) AS width, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY ALL",
+    lateral_tables,
+)
+
+
 def day_rows(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     return events(spark, sf).where(F.col("event_type").isin(*kinds)).groupBy(F.to_date("ts").alias("date"), "user_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,14 @@ def put(folder: str, name: str, content: bytes) -> None:
 def archives(spark: SparkSession, folder: str, pattern: str = "*.zip") -> DataFrame:
     """path, modificationTime, length, content: a row for each file of the folder that fits the pattern."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+
+
+def write_texts(lines: DataFrame, folder: str, file: str = "file", order: str = "place", line: str = "value") -> DataFrame:
+    """Lines as text files, each one group, in the given order: the names of the files written."""
+
+    def pack(key, rows):
+        texts = rows.sort_by(order).column(line).to_pylist()
+        put(folder, key[0].as_py(), "".join(t + "\n" for t in texts if t is not None).encode())
+        return pa.table({"file": [key[0].as_py()]})
+
+    return lines.groupBy(file).applyInArrow(pack, "file string")

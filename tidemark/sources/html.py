@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import udtf
 
-#: Spans beyond this many rows or columns are taken as this many.
-_SPAN = 1000
+from ..functions.columns import any_date
 
+# The largest spans that the HTML standard allows; larger ones count as these.
+_ROWS, _COLUMNS = 65_534, 1_000
 
-def _span(value: str | None) -> int:
-    return min(max(int(value), 1), _SPAN) if value and value.isascii() and value.isdigit() else 1
+
+def _span(value: str | None, most: int) -> int:
+    return min(max(int(value), 1), most) if value and value.isascii() and value.isdigit() else 1
 
 
 class _Tables(HTMLParser):
@@ -31,7 +33,7 @@ class _Tables(HTMLParser):
             self._open[-1].append([])
         elif self._open and self._open[-1] and tag in ("td", "th"):
             a = dict(attrs)
-            self._open[-1][-1].append(([], tag == "th", _span(a.get("rowspan")), _span(a.get("colspan"))))
+            self._open[-1][-1].append(([], tag == "th", _span(a.get("rowspan"), _ROWS), _span(a.get("colspan"), _COLUMNS)))
         elif tag == "br":
             self.handle_data(" ")
 
@@ -71,40 +73,43 @@ def _grid(rows: list) -> Iterator[tuple[bool, list[str]]]:
             yield bool(row) and all(head for _, head, _, _ in row), cells
 
 
+@udtf(returnType="table int, line int, header boolean, cells array<string>, names array<string>")
+class page_tables:  # noqa: N801  (called like a function)
+    """A table function of a page's text: a row for every row of every table, numbered from 0. header: all its cells are headers;
+    names: the header names of its table by column, those of several header lines joined by _. Nothing for a null page."""
+
+    def eval(self, html: str):
+        if html is None:
+            return
+        reader = _Tables()
+        reader.feed(html)
+        reader.close()
+        for t, found in enumerate(reader.found):
+            rows = list(_grid(found))
+            heads = [cells for head, cells in rows if head]
+            names = ["_".join(h[c] for h in heads if c < len(h) and h[c]) for c in range(max(map(len, heads), default=0))]
+            for i, (head, cells) in enumerate(rows):
+                yield t, i, head, cells, names
+
+
 def html_tables(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id_col, table (from 0), line (from 0), header (all its cells are headers), cells: every row of every table of a page.
+    """id_col and the columns of page_tables for every page: a lateral join, so a page is read where it lies and rows of pages that
+    share an id, or have none, never meet.
 
     Pages without a table and null pages give no rows. Pages are read whole, one at a time.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, page in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-                if page is not None:
-                    reader = _Tables()
-                    reader.feed(page)
-                    reader.close()
-                    rows = [(key, t, i, head, cells) for t, rows in enumerate(reader.found) for i, (head, cells) in enumerate(_grid(rows))]
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["id", "table", "line", "header", "cells"])
-
-    pages = df.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
-    schema = f"id {dict(pages.dtypes)['id']}, table int, line int, header boolean, cells array<string>"
-    return pages.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    pages = df.select(F.col(id_col).alias(id_col), F.col(html_col).cast("string").alias("_html"))
+    return pages.lateralJoin(page_tables(F.col("_html").outer())).drop("_html")
 
 
-def _named(rows: DataFrame, id_col: str, table: int) -> DataFrame:
-    """The lines of one table of each page with `names`, the lower-case header names, those of several header lines joined."""
-    one = rows.where(F.col("table") == table)
-    heads = one.where("header").groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "cells"))), lambda s: s["cells"]).alias("heads"))
-    name = lambda i: F.lower(F.concat_ws("_", F.transform("heads", lambda h: F.get(h, i))))
-    heads = heads.select(id_col, F.transform(F.sequence(F.lit(0), F.size(F.col("heads")[0]) - 1), name).alias("names"))
-    return one.where("not header").join(heads, id_col)
+def _named(rows: DataFrame, table: int) -> DataFrame:
+    """The lines of one table of each page below its headers; tables without a header give none."""
+    return rows.where((F.col("table") == table) & ~F.col("header") & (F.size("names") > 0))
 
 
 def _place(*words: str) -> Column:
-    """The place from 0 of the first name that holds all words; -1 without one."""
-    hit = lambda n: sum((F.contains(n, F.lit(w)).cast("int") for w in words), F.lit(0)) == len(words)
+    """The place from 0 of the first name that holds all words in either case; -1 without one."""
+    hit = lambda n: sum((F.contains(F.lower(n), F.lit(w)).cast("int") for w in words), F.lit(0)) == len(words)
     return F.array_position(F.transform("names", hit), F.lit(True)).cast("int") - 1
 
 
@@ -118,17 +123,18 @@ def _ticker(cell: Column) -> Column:
 
 
 def current_members(rows: DataFrame, id_col: str, table: int = 0) -> DataFrame:
-    """id_col, ticker: distinct members of a page's first table, from the column named like "symbol", else the first."""
-    named = _named(rows, id_col, table)
-    return named.select(id_col, _ticker(_cell(F.greatest(_place("symbol"), F.lit(0)))).alias("ticker")).where("ticker is not null").distinct()
+    """id_col, ticker: distinct members of a page's first table, from the column named "Symbol", else the first whose name holds
+    that word, else the first."""
+    exact = F.array_position("names", "Symbol").cast("int") - 1
+    place = F.when(exact >= 0, exact).otherwise(F.greatest(_place("symbol"), F.lit(0)))
+    return _named(rows, table).select(id_col, _ticker(_cell(place)).alias("ticker")).where("ticker is not null").distinct()
 
 
 def index_changes(rows: DataFrame, id_col: str, table: int = 1) -> DataFrame:
     """id_col, date, added, removed of a page's second table, its columns found by words in their headers.
 
-    Lines without a date that can be read go, and so do pages without all three columns; tickers have "-" for ".".
+    Lines without a date that can be read (see any_date) go, and so do tables without all three columns; tickers have "-" for ".".
     """
     date, added, removed = _place("date"), _place("added", "ticker"), _place("removed", "ticker")
-    named = _named(rows, id_col, table).where((date >= 0) & (added >= 0) & (removed >= 0))
-    day = F.coalesce(*[F.try_to_timestamp(_cell(date), F.lit(f)) for f in ("MMMM d, yyyy", "yyyy-MM-dd")]).cast("date")
-    return named.select(id_col, day.alias("date"), _ticker(_cell(added)).alias("added"), _ticker(_cell(removed)).alias("removed")).where("date is not null")
+    named = _named(rows, table).where((date >= 0) & (added >= 0) & (removed >= 0))
+    return named.select(id_col, any_date(_cell(date)).alias("date"), _ticker(_cell(added)).alias("added"), _ticker(_cell(removed)).alias("removed")).where("date is not null")

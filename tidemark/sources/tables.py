@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from ..functions.columns import any_date
+from .text import below_header
 
 PRICE_COLUMNS = ("date", "ticker", "open", "high", "low", "close", "adj_close", "volume")
 
@@ -52,17 +56,30 @@ def sector_map(fundamentals: DataFrame) -> DataFrame:
     return fundamentals.where("sector is not null").select("ticker", "sector").distinct()
 
 
-def rate_series(series: dict[str, DataFrame]) -> DataFrame:
-    """date and a column for each series from its raw rows (two text columns: the date under any name first, then the value).
+# What a rate file calls its date column, in either case.
+_DATE_NAMES = ("DATE", "OBSERVATION_DATE")
+
+
+def rate_files(lines: DataFrame, first: dt.date | str | None = "2000-01-01", last: dt.date | str | None = None) -> DataFrame:
+    """series, date, value from the lines of comma-separated rate files (see text.file_lines), a series each, named by its file.
 
-    Values that aren't numbers ("." for a holiday) are NULL; dates that can't be read go; the dates of all series stay.
+    A file's first line says which column is the date; the first other one is the value. Values that aren't numbers ("." for a holiday)
+    are NULL, lines whose date can't be read go, and of the rest those from first to last, both included, stay. A file without a
+    date column is an error.
     """
-    frames = []
-    for name, df in series.items():
-        d, v = df.columns[:2]
-        date = F.try_to_timestamp(F.col(d), F.lit("yyyy-MM-dd")).cast("date")
-        frames.append(df.select(date.alias("date"), F.col(v).try_cast("double").alias(name)).where("date is not null"))
-    return reduce(lambda a, b: a.join(b, "date", "full"), frames)
+    cells = lambda c: F.transform(F.split(c, ","), lambda v: F.trim(F.replace(v, F.lit('"'), F.lit(""))))
+    rows = below_header(lines, F.trim("value") != "", "no line in the rate file").select("file", cells("value").alias("v"), cells("header").alias("h"))
+    is_date = F.transform("h", lambda h: F.upper(h).isin(*_DATE_NAMES))
+    rows = rows.withColumns({"_d": F.array_position(is_date, F.lit(True)).cast("int"), "series": F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1)})
+    at = F.when(F.col("_d") == 0, F.raise_error(F.concat(F.lit("no date column in "), F.col("file"))).cast("int")).otherwise(F.col("_d"))
+    value = F.try_element_at("v", F.when(at == 1, 2).otherwise(1)).try_cast("double")
+    out = rows.select("series", any_date(F.try_element_at("v", at)).alias("date"), F.when(~F.isnan(value), value).alias("value")).where("date is not null")
+    return out.where(F.lit(True) if first is None else F.col("date") >= F.lit(first).cast("date")).where(F.lit(True) if last is None else F.col("date") <= F.lit(last).cast("date"))
+
+
+def rate_series(rates: DataFrame, *names: str) -> DataFrame:
+    """date and a column for each named series of rate_files, on every date of any."""
+    return rates.where(F.col("series").isin(*names)).groupBy("date").pivot("series", list(names)).agg(F.first("value"))
 
 
 def write_panel(df: DataFrame, path: str) -> None:
@@ -70,11 +87,29 @@ def write_panel(df: DataFrame, path: str) -> None:
     df.withColumn("year", F.year("date")).repartition("year").sortWithinPartitions("ticker", "date").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def markdown_table(df: DataFrame, order: list, columns: dict[str, Column], most: int = 10) -> DataFrame:
+    """place, line: the first rows by the order as the lines of a Markdown table with a rank before the named columns (heading ->
+    text, "nan" where that is NULL); a report's table, so `most` rows."""
+    ranked = df.orderBy(*order).limit(most).withColumn("_k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))  # `most` rows
+    cells = F.concat_ws(" | ", F.col("_k").cast("string"), *[F.coalesce(c, F.lit("nan")) for c in columns.values()])
+    heads = [(-1, "| " + " | ".join(["Rank", *columns]) + " |"), (0, "| " + " | ".join(["---"] * (len(columns) + 1)) + " |")]
+    return df.sparkSession.createDataFrame(heads, "place int, line string").unionByName(ranked.select(F.col("_k").cast("int").alias("place"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line")))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A table as CSV parts with headers."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def _unit(seed: int, *salt) -> Column:
+    """A number in (0, 1) drawn by a hash of the seed and the salt, which are columns or values."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *[c if isinstance(c, Column) else F.lit(c) for c in salt]), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+
+def _normal(seed: int, *salt) -> Column:
+    return F.sqrt(-2 * F.ln(_unit(seed, *salt, "radius"))) * F.cos(2 * F.pi() * _unit(seed, *salt, "angle"))
+
+
 def synthetic_prices(spark: SparkSession, tickers: int, days: int, *, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """Prices of a random walk on weekdays from 2012-01-02: the same rows for the same seed, whatever the partitions."""
     unit = lambda *salt: (F.pmod(F.xxhash64("k", "i", F.lit(seed), *map(F.lit, salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
@@ -87,6 +122,39 @@ def synthetic_prices(spark: SparkSession, tickers: int, days: int, *, seed: int
     return walk.select("date", "ticker", F.col("close").alias("open"), (F.col("close") * 1.005).alias("high"), (F.col("close") * 0.995).alias("low"), "close", F.col("close").alias("adj_close"), "volume")
 
 
+# The range of each figure of a made-up company.
+_FACTS = {"market_cap": (2e9, 2.5e12), "beta": (0.4, 1.9), "trailing_pe": (8.0, 45.0), "forward_pe": (7.0, 38.0), "dividend_yield": (0.0, 0.045), "short_ratio": (0.5, 8.0), "short_percent_of_float": (0.005, 0.12)}
+_SECTORS = ("Energy", "Health", "Industry", "Technology", "Utilities")
+
+
+def synthetic_facts(prices: DataFrame, seed: int = 42) -> DataFrame:
+    """ticker, sector, figures and the 52-week range of made-up companies, one for each ticker of prices, around its last close."""
+    last = prices.groupBy("ticker").agg(F.max_by("close", "date").alias("_c"))
+    t = F.col("ticker")
+    figures = [(F.lit(a) + _unit(seed, t, c) * (b - a)).alias(c) for c, (a, b) in _FACTS.items()]
+    sector = F.element_at(F.array(*map(F.lit, _SECTORS)), (F.floor(_unit(seed, t, "sector") * len(_SECTORS)) + 1).cast("int"))
+    high, low = F.col("_c") * (1.05 + _unit(seed, t, "high") * 0.55), F.col("_c") * (0.5 + _unit(seed, t, "low") * 0.45)
+    return last.select("ticker", sector.alias("sector"), *figures, high.alias("fifty_two_week_high"), low.alias("fifty_two_week_low"))
+
+
+def synthetic_predictions(prices: DataFrame, days: int = 60, horizons: tuple[int, ...] = (1, 5), seed: int = 42) -> DataFrame:
+    """date, ticker, score, rank, side, weight, per_horizon of the last `days` dates of prices: normal scores, the best and worst sixth of a
+    date's tickers as longs and shorts that share half each."""
+    dates = prices.select("date").distinct().orderBy(F.desc("date")).limit(days)
+    rows = prices.select("date", "ticker").join(F.broadcast(dates), "date").withColumn("score", _normal(seed, F.col("date"), F.col("ticker")))
+    own = W.partitionBy("date")
+    rows = rows.withColumns({"rank": F.row_number().over(own.orderBy(F.desc("score"), "ticker")), "_n": F.count(F.lit(1)).over(own)}).withColumn("_m", F.greatest(F.lit(1), F.floor(F.col("_n") / 6)))
+    side = F.when(F.col("rank") <= F.col("_m"), "long").when(F.col("rank") > F.col("_n") - F.col("_m"), "short")
+    weight = F.when(side == "long", 0.5 / F.col("_m")).when(side == "short", -0.5 / F.col("_m")).otherwise(0.0)
+    own_horizons = F.create_map(*[c for h in horizons for c in (F.lit(str(h)), _normal(seed, F.col("date"), F.col("ticker"), h))])
+    return rows.select("date", "ticker", "score", "rank", side.alias("side"), weight.alias("weight"), own_horizons.alias("per_horizon"))
+
+
+def synthetic_daily(prices: DataFrame, seed: int = 42) -> DataFrame:
+    """date, net, turnover of a made-up strategy on every date of prices, which serving.equity_curve makes an equity of."""
+    return prices.select("date").distinct().select("date", (_normal(seed, F.col("date"), "net") * 0.008 - 0.0002).alias("net"), (0.05 + _unit(seed, F.col("date"), "turnover") * 0.2).alias("turnover"))
+
+
 def unheld(wanted: DataFrame, cached: DataFrame, on: str = "date") -> DataFrame:
     """The wanted days that a day cache holds no row of."""
     return wanted.select(on).distinct().join(cached.select(on).distinct(), on, "left_anti")

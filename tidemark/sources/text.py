@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..functions.columns import any_date
 
 # Endings of company names that say nothing about the company.
 SUFFIXES = ("INC.", "INC", "CORPORATION", "CORP.", "CORP", "COMPANY", "CO.", "CO", "LTD.", "LTD", "LIMITED", "LP", "PLC", "HOLDINGS", "HOLDING", "GROUP", "THE")
@@ -39,12 +40,40 @@ def names_to_tickers(rows: DataFrame) -> DataFrame:
     return named.groupBy("name").agg(F.sort_array(F.collect_set("ticker")).alias("tickers"))
 
 
-def fixed_width(df: DataFrame, header: str, *names: str, line: str = "value") -> DataFrame:
-    """The named fields of lines whose columns begin where the header line has their names, trimmed; '' for what a line lacks."""
-    starts = [header.index(n) for n in names]
-    ends = {a: m.end() + a if (m := re.search(r" {2,}(?=\S)", header[a:])) else None for a in starts}  # where the next name begins
-    cut = lambda a: F.substring(line, a + 1, ends[a] - a if ends[a] else 1 << 20)
-    return df.select(*[F.trim(cut(a)).alias(n) for n, a in zip(names, starts, strict=True)])
+# The fields of a filing index in order; the last one is spelled in two ways.
+INDEX_FIELDS = ("Form Type", "Company Name", "CIK", "Date Filed")
+_LAST_FIELDS = ("Filename", "File Name")
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, at (what a line's place in its file is ordered by), value: the lines of text files."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
+
+
+def below_header(lines: DataFrame, is_header: Column, missing: str) -> DataFrame:
+    """lines with `header`, the first line of their file for which is_header holds, below which they are; an error (missing) where a
+    file has none. A row a file decides; lines join it by file."""
+    found = lines.groupBy("file").agg(F.min(F.when(is_header, F.struct("at", "value"))).alias("_h"))
+    header = F.when(F.col("_h").isNull(), F.raise_error(F.concat(F.lit(missing + ": "), F.col("file")))).otherwise(F.col("_h"))
+    heads = found.select("file", header.alias("_h"))
+    return lines.join(heads, "file").where(F.col("at") > F.col("_h.at")).withColumn("header", F.col("_h.value")).drop("_h")
+
+
+def fixed_width(lines: DataFrame, *names: str, header: str = "header", line: str = "value") -> DataFrame:
+    """lines with the named fields, trimmed: each goes from where the header has its name, after the name before it, to where the next
+    one begins, the last one to the end of the line or to one of the spellings of a file's name."""
+    place = lambda name, start: F.call_function("locate", F.lit(name), F.col(header), start)
+    begin = [place(names[0], F.lit(1))]
+    for name in names[1:]:
+        begin.append(place(name, begin[-1] + 1))
+    after = F.greatest(*[place(n, begin[-1] + 1) for n in _LAST_FIELDS])
+    ends = [*begin[1:], F.when(after > 0, after).otherwise(1 << 20)]
+    sound = F.least(*begin) > 0
+    # the first field begins with the line, wherever its name stands
+    cut = lambda k: F.trim(F.substring(F.col(line), F.lit(1) if not k else begin[k], ends[k] - (F.lit(1) if not k else begin[k])))
+    checked = F.when(~sound, F.raise_error(F.concat(F.lit("no header of these fields: "), F.col(header))).cast("string"))
+    return lines.select("*", *[F.coalesce(checked, cut(k)).alias(n) for k, n in enumerate(names)])
 
 
 def wide_gaps(line: Column) -> Column:
@@ -52,13 +81,14 @@ def wide_gaps(line: Column) -> Column:
     return F.split(F.trim(line), " {2,}")
 
 
-def index_rows(lines: DataFrame, header: str, form: str = "8-K") -> DataFrame:
-    """cik (ten digits), filing_date of a fixed-width filing index: lines of one form whose number and date are well formed;
-    separators and malformed lines go."""
-    rows = fixed_width(lines, header, "Form Type", "Company Name", "CIK", "Date Filed")
-    date = F.try_to_timestamp(F.when(F.col("Date Filed").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("Date Filed")), F.lit("yyyy-MM-dd")).cast("date")
-    rows = rows.where((F.col("Form Type") == form) & F.col("CIK").rlike("^[0-9]{1,10}$")).select(F.lpad("CIK", 10, "0").alias("cik"), date.alias("filing_date"))
-    return rows.where("filing_date is not null")
+def index_rows(lines: DataFrame, form: str = "8-K") -> DataFrame:
+    """file, cik (ten digits), filing_date of the lines of fixed-width filing indexes (see file_lines): those of one form whose number and date
+    can be read. Each file's own header, found among its lines, says where the fields are; what stands before it, separators
+    and malformed lines go, and a file without a header is an error."""
+    below = below_header(lines, F.col("value").rlike(r"^\s*Form Type"), "no header line in the filing index")
+    rows = fixed_width(below.where(F.col("value").rlike(r"^[\p{L}\p{N}]")), *INDEX_FIELDS)
+    number, date = F.when(F.col("CIK").rlike("^[0-9]+$"), F.col("CIK").try_cast("long")), any_date(F.col("Date Filed"))
+    return rows.where((F.col("Form Type") == form) & number.isNotNull() & date.isNotNull()).select("file", F.lpad(number.cast("string"), 10, "0").alias("cik"), date.alias("filing_date"))
 
 
 def quarters(first: dt.date, last: dt.date) -> list[tuple[int, int]]:
