@@ -111,9 +111,8 @@ add(
 add(
     "v18_equity",
     f"WITH {BACKTEST}, dy AS (SELECT date, CASE WHEN gross IS NULL THEN 0.0 ELSE least(greatest(gross - turnover * 6 / 1e4, -5), 5) END AS r, turnover FROM bt), eq AS (SELECT *, product(1 + r) OVER (ORDER BY date) AS e FROM dy), be AS (SELECT date, ln(avg(close)) - ln(lag(avg(close)) OVER (ORDER BY date)) AS b FROM panel WHERE day(date) <> 13 GROUP BY 1) "
-    f"SELECT eq.date, {r6('r', 'daily_return', 3)}, {r6('e - 1', 'cumulative_return', 3)}, {r6('e / max(e) OVER (ORDER BY eq.date) - 1', 'drawdown', 3)}, {r6('turnover', 'turnover', 3)}, {r6('coalesce(b, 0)', 'benchmark_return', 3)} FROM eq LEFT JOIN be ON be.date = eq.date",
-    lambda s, sf: v.equity_curve(backtest(s, sf), market(price_panel(s, sf)).where("day(date) <> 13").select("date", F.col("bench").alias("adj_close"))),
-    3,
+    f"SELECT eq.date, {r6('r', 'daily_return')}, {r6('ln(e)', 'log_growth')}, {r6('e / max(e) OVER (ORDER BY eq.date) - 1', 'drawdown')}, {r6('turnover', 'turnover')}, {r6('coalesce(b, 0)', 'benchmark_return')} FROM eq LEFT JOIN be ON be.date = eq.date",
+    lambda s, sf: v.equity_curve(backtest(s, sf), market(price_panel(s, sf)).where("day(date) <> 13").select("date", F.col("bench").alias("adj_close"))).withColumn("log_growth", F.ln(1 + F.col("cumulative_return"))).drop("cumulative_return"),
 )
 
 
