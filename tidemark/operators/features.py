@@ -14,7 +14,7 @@ OF_MARKET = ["beta_60", "idio_vol_60"]
 
 def with_technical(df: DataFrame) -> DataFrame:
     """df (date, ticker, close, volume) with TECHNICAL, price and volume features."""
-    df = t.with_daily_return(t.with_macd(t.with_rsi(df, out="rsi_14")), out="_r")
+    df = t.with_daily_return(t.with_rsi_and_macd(df, out="rsi_14"), out="_r")
     high, low = t.range_distance()
     own = {**{f"ret_{d}d": t.log_return(d) for d in (1, 5, 21, 63, 252)}, **{f"vol_{d}d": t.realised_vol("_r", d) for d in (5, 21, 63)}}
     own |= {"bb_z_20": t.bollinger(), "dist_high_252": high, "dist_low_252": low, "adv_proxy_21": t.dollar_volume(), "skew_21": t.skew("_r"), "kurt_63": t.kurtosis("_r")}

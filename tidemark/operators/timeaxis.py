@@ -161,20 +161,45 @@ def with_ewm(df: DataFrame, x: str, alpha: float, least: int, out: str) -> DataF
     return fold(df, {out: lambda get: smooth(get(x), alpha, least)})
 
 
+def _moves(df: DataFrame, price: str) -> DataFrame:
+    """df with the price's rises and falls, _up and _down."""
+    c = F.col(price) - F.lag(price).over(by_ticker())
+    return df.withColumns({"_up": F.when(c.isNotNull(), F.greatest(c, F.lit(0.0))), "_down": F.when(c.isNotNull(), F.greatest(-c, F.lit(0.0)))})
+
+
+def _strength(days: int) -> dict:
+    return {"_gain": lambda get: smooth(get("_up"), 1 / days, days), "_loss": lambda get: smooth(get("_down"), 1 / days, days)}
+
+
+def _lines(price: str, fast: int, slow: int, signal: int) -> dict:
+    line = lambda get: F.zip_with(smooth(get(price), 2 / (fast + 1), fast), smooth(get(price), 2 / (slow + 1), slow), lambda a, b: a - b)
+    return {"_line": line, "_mean": lambda get: smooth(get("_line"), 2 / (signal + 1), signal)}
+
+
+def _rsi() -> Column:
+    return 1 - 1 / (1 + ratio(F.col("_gain"), F.col("_loss")))
+
+
+def _macd(price: str) -> dict[str, Column]:
+    parts = {"macd": F.col("_line"), "macd_signal": F.col("_mean"), "macd_hist": F.col("_line") - F.col("_mean")}
+    return {k: ratio(v, F.col(price)) for k, v in parts.items()}
+
+
 def with_rsi(df: DataFrame, price: str = "close", days: int = 14, out: str = "rsi") -> DataFrame:
     """Wilder's relative strength in [0, 1]; NULL without losses or before `days` changes."""
-    c = F.col(price) - F.lag(price).over(by_ticker())
-    df = df.withColumns({"_up": F.when(c.isNotNull(), F.greatest(c, F.lit(0.0))), "_down": F.when(c.isNotNull(), F.greatest(-c, F.lit(0.0)))})
-    df = fold(df, {"_gain": lambda get: smooth(get("_up"), 1 / days, days), "_loss": lambda get: smooth(get("_down"), 1 / days, days)})
-    return df.withColumn(out, 1 - 1 / (1 + ratio(F.col("_gain"), F.col("_loss")))).drop("_up", "_down", "_gain", "_loss")
+    df = fold(_moves(df, price), _strength(days))
+    return df.withColumn(out, _rsi()).drop("_up", "_down", "_gain", "_loss")
 
 
 def with_macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd, macd_signal and macd_hist as parts of the price."""
-    line = lambda get: F.zip_with(smooth(get(price), 2 / (fast + 1), fast), smooth(get(price), 2 / (slow + 1), slow), lambda a, b: a - b)
-    df = fold(df, {"_line": line, "_mean": lambda get: smooth(get("_line"), 2 / (signal + 1), signal)})
-    parts = {"macd": F.col("_line"), "macd_signal": F.col("_mean"), "macd_hist": F.col("_line") - F.col("_mean")}
-    return df.withColumns({k: ratio(v, F.col(price)) for k, v in parts.items()}).drop("_line", "_mean")
+    return fold(df, _lines(price, fast, slow, signal)).withColumns(_macd(price)).drop("_line", "_mean")
+
+
+def with_rsi_and_macd(df: DataFrame, price: str = "close", out: str = "rsi") -> DataFrame:
+    """Both, from one fold: a ticker's rows are gathered once."""
+    df = fold(_moves(df, price), {**_strength(14), **_lines(price, 12, 26, 9)})
+    return df.withColumns({out: _rsi(), **_macd(price)}).drop("_up", "_down", "_gain", "_loss", "_line", "_mean")
 
 
 def filled_forward(x: str) -> Column:
