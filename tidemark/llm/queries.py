@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import covertree, exponion, hnsw, langid, minhash, mixing, packing, partcodes, pii, quality, secrets, tokens, warc
+from . import covertree, exponion, hnsw, langid, minhash, mixing, packing, partcodes, pii, quality, secrets, sql, tokens, warc
 from .common import table
 
 
@@ -83,5 +83,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL by query name, where SQL can express the operator."""
-    return {}
+    """DuckDB SQL by query name, where SQL can express the operator's rows."""
+    own = {op3_minhash_near_dedup: sql.OP3, op7_embedding_near_dedup: sql.OP7, op9_exact_top_k: sql.OP9, op11_vector_codes: sql.OP11, op12_centroid_clustering: sql.OP12, op13_warc: sql.OP13}
+    return {f.__name__: text for f, text in own.items()}
