@@ -220,12 +220,19 @@ add("s18_canonical_names", f"SELECT p_partkey, CASE WHEN length({_NAME}) >= 4 TH
 
 
 def news_json(spark: SparkSession, sf: str) -> DataFrame:
-    flat = F.to_json(F.struct(F.col("event_type").alias("title"), F.lit("wire").alias("publisher"), F.lit("https://a.example/x").alias("link"), F.unix_timestamp("ts").alias("providerPublishTime")))
-    deep = F.to_json(F.struct(F.struct(F.col("event_type").alias("title"), F.struct(F.lit("desk").alias("displayName")).alias("provider"), F.struct(F.lit("javascript:x()").alias("url")).alias("canonicalUrl"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pubDate")).alias("content")))
-    return events(spark, sf).select("event_id", F.when(F.col("event_type") == "view", deep).otherwise(flat).alias("j"))
+    key = F.col("event_id").cast("string")
+    flat = F.to_json(F.struct(F.col("event_type").alias("title"), F.lit("wire").alias("publisher"), F.lit("https://a.example/x").alias("link"), F.lit("STORY").alias("type"), key.alias("uuid"), F.unix_timestamp("ts").alias("providerPublishTime")))
+    content = F.struct(F.col("event_type").alias("title"), F.struct(F.lit("desk").alias("displayName")).alias("provider"), F.struct(F.lit("javascript:x()").alias("url")).alias("canonicalUrl"), F.lit("VIDEO").alias("contentType"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pubDate"))
+    deep = F.to_json(F.struct(F.lit("").alias("title"), F.concat(F.lit("n"), key).alias("id"), content.alias("content")))
+    timeless = F.to_json(F.struct(F.lit("soon").alias("providerPublishTime"), content.alias("content")))
+    return events(spark, sf).select("event_id", F.when(F.col("event_type") == "view", deep).when(F.col("event_type") == "click", timeless).otherwise(flat).alias("j"))
 
 
-add("s21_news_items", "SELECT event_id, event_type AS title, CASE WHEN event_type = 'view' THEN 'desk' ELSE 'wire' END AS publisher, CASE WHEN event_type <> 'view' THEN 'https://a.example/x' END AS link, CAST(floor(epoch(ts)) AS BIGINT) AS published FROM events", lambda s, sf: tx.news_items(news_json(s, sf), "event_id", "j").withColumn("published", F.unix_timestamp("published")))
+add(
+    "s21_news_items",
+    "SELECT event_id, event_type AS title, CASE WHEN event_type IN ('view', 'click') THEN 'desk' ELSE 'wire' END AS publisher, CASE WHEN event_type NOT IN ('view', 'click') THEN 'https://a.example/x' END AS link, CASE WHEN event_type IN ('view', 'click') THEN 'VIDEO' ELSE 'STORY' END AS type, CASE event_type WHEN 'view' THEN 'n' || event_id WHEN 'click' THEN NULL ELSE CAST(event_id AS VARCHAR) END AS uuid, CASE WHEN event_type <> 'click' THEN CAST(floor(epoch(ts)) AS BIGINT) END AS published FROM events",
+    lambda s, sf: tx.news_items(news_json(s, sf), "event_id", "j").withColumn("published", F.unix_timestamp("published")),
+)
 _STATE = (
     "e AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date, CASE event_type WHEN 'signup' THEN 1 ELSE -1 END AS kind FROM events WHERE event_type IN ('signup', 'error')), cur AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 50), "
     "m AS (SELECT *, lag(kind) OVER w AS b, lead(kind) OVER w AS nx FROM e WINDOW w AS (PARTITION BY user_id ORDER BY date, kind DESC)), s AS (SELECT *, last_value(CASE WHEN kind = 1 AND b IS DISTINCT FROM 1 THEN date END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY date, kind DESC ROWS UNBOUNDED PRECEDING) AS opened FROM m)"

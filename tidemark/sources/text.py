@@ -115,17 +115,22 @@ def filings(df: DataFrame, id_col: str, json_col: str, forms: tuple[str, ...] =
 
 
 def news_items(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """id_col, title, publisher, link, published of news items in either of the two JSON layouts, flat or under "content".
+    """id_col, title, publisher, link, type, uuid, published of news items in either of the two JSON layouts, flat or under "content"; an empty
+    text of the flat one gives way to the other's.
 
-    A link that isn't http or https becomes NULL; the time is epoch seconds or an ISO time, NULL if neither can be read.
+    A link that isn't http or https becomes NULL; the time is epoch seconds where the item has them, else an ISO time, NULL if that
+    can't be read.
     """
-    at = lambda *paths: F.coalesce(*[F.get_json_object(json_col, "$." + p) for p in paths])
-    link = at("link", "content.canonicalUrl.url")
-    seconds = F.timestamp_seconds(F.get_json_object(json_col, "$.providerPublishTime").try_cast("long"))
+    field = lambda path: F.get_json_object(json_col, "$." + path)
+    either = lambda flat, deep: F.coalesce(F.nullif(field(flat), F.lit("")), field(deep))
+    link, seconds = either("link", "content.canonicalUrl.url"), field("providerPublishTime")
+    read = F.timestamp_seconds(seconds.try_cast("double").cast("long"))
     return df.select(
         id_col,
-        at("title", "content.title").alias("title"),
-        at("publisher", "content.provider.displayName").alias("publisher"),
+        either("title", "content.title").alias("title"),
+        either("publisher", "content.provider.displayName").alias("publisher"),
         F.when(F.startswith(link, F.lit("http://")) | F.startswith(link, F.lit("https://")), link).alias("link"),
-        F.coalesce(seconds, F.try_to_timestamp(F.get_json_object(json_col, "$.content.pubDate"))).alias("published"),
+        either("type", "content.contentType").alias("type"),
+        either("uuid", "id").alias("uuid"),
+        F.when(seconds.isNotNull(), read).otherwise(F.try_to_timestamp(field("content.pubDate"))).alias("published"),
     )
