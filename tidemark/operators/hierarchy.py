@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .portfolio import placed
 
+# The deviation of a name without any, and the variance from which on one can be told.
+_NO_DEVIATION, _LEAST_VARIANCE = 1e-12, 1e-20
+
 
 def shrunk_covariance(x: np.ndarray) -> np.ndarray:
     """Covariance of x (rows x names) shrunk to its mean variance on the diagonal by Ledoit and Wolf's optimal share (2004)."""
@@ -79,13 +82,13 @@ def parity_weights(cov: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.ones(n)
     deviation = np.sqrt(np.diag(cov))
-    deviation[deviation == 0] = 1e-12
+    deviation[deviation == 0] = _NO_DEVIATION
     distance = np.sqrt((1 - np.clip(cov / np.outer(deviation, deviation), -1, 1)) / 2)
     order, weights = cluster_order(distance), np.ones(n)
 
     def variance(names: list[int]) -> float:
         own = cov[np.ix_(names, names)]
-        if not (np.diag(own) > 1e-20).all():
+        if not (np.diag(own) > _LEAST_VARIANCE).all():
             return np.nan
         share = 1 / np.diag(own)
         share /= share.sum()
@@ -97,7 +100,7 @@ def parity_weights(cov: np.ndarray) -> np.ndarray:
         left, right = names[: len(names) // 2], names[len(names) // 2 :]
         if left:
             low, high = variance(left), variance(right)
-            if low + high > 1e-20:
+            if low + high > _LEAST_VARIANCE:
                 weights[left] *= high / (low + high)
                 weights[right] *= low / (low + high)
                 open_ += [left, right]

@@ -253,20 +253,24 @@ def sector_gate(df: DataFrame, xs: list[str], *, least: int = 5, pooled: str = "
     return reduce(DataFrame.unionByName, out)
 
 
+# The share of a figure that has to stay, that below which it is gone, and a figure that is next to nothing.
+_STAYS, _GONE, _NOTHING = 0.5, 0.25, 0.05
+
+
 def leak_verdict(as_is: str, shifted: str) -> Column:
     """OK if the figure keeps its sign and over half its size on features a day older, SUSPECT if under a quarter remains,
     else PARTIAL; NULL where one is missing."""
     a, b = F.col(as_is), F.col(shifted)
-    kept = (F.abs(b) > 0.5 * F.abs(a)) & (F.signum(a) == F.signum(b))
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(kept, "OK").when(F.abs(b) < 0.25 * F.abs(a), "SUSPECT").otherwise("PARTIAL"))
+    kept = (F.abs(b) > _STAYS * F.abs(a)) & (F.signum(a) == F.signum(b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(kept, "OK").when(F.abs(b) < _GONE * F.abs(a), "SUSPECT").otherwise("PARTIAL"))
 
 
 def _audited(found: DataFrame, *keys: str) -> DataFrame:
     """keys, as_is, shifted, delta, pct_drop, verdict from ic_ir by keys and `older`: what a day less of a feature costs. The share lost is NULL
-    where there was next to nothing (0.05) to lose."""
+    where there was next to nothing to lose."""
     own = lambda old: F.max(F.when(F.col("older") == old, F.col("ic_ir")))
     both = found.groupBy(*keys).agg(own(0).alias("as_is"), own(1).alias("shifted")).withColumn("delta", F.col("shifted") - F.col("as_is"))
-    drop = F.when(F.abs("as_is") >= 0.05, -F.col("delta") / F.abs("as_is") * 100)
+    drop = F.when(F.abs("as_is") >= _NOTHING, -F.col("delta") / F.abs("as_is") * 100)
     return both.select(*keys, "as_is", "shifted", "delta", drop.alias("pct_drop"), leak_verdict("as_is", "shifted").alias("verdict"))
 
 

@@ -9,6 +9,10 @@ from .timeaxis import fold, scanned
 from .xsection import places, z_score
 
 
+# A volatility that can be told; a beta that is on its target, sides too alike to move it, and the most that they move.
+_LEAST_VOL, _ON_TARGET, _ALIKE, _MOST = 1e-6, 1e-6, 1e-9, 0.5
+
+
 def placed(df: DataFrame) -> DataFrame:
     """df with _k, the place by score (ties by ticker) among its date's rows, and _n, how many they are."""
     own = W.partitionBy("date")
@@ -30,7 +34,7 @@ def top_bottom(df: DataFrame, k: int | float, leverage: float = 1.0) -> DataFram
 
 def inverse_vol(df: DataFrame, share: float = 0.2, least: int = 10, leverage: float = 1.0) -> DataFrame:
     """date, ticker, weight: the top and bottom share by score, each side weighted by 1 / vol to the leverage."""
-    ranked = placed(df.where("vol > 1e-6")).where(F.col("_n") >= least)
+    ranked = placed(df.where(F.col("vol") > _LEAST_VOL)).where(F.col("_n") >= least)
     ranked = ranked.withColumn("_m", F.least(F.greatest(F.lit(1), F.floor(F.col("_n") * share)), F.floor(F.col("_n") / 2))).where("_k <= _m or _k > _n - _m")
     ranked = ranked.withColumn("_side", F.when(F.col("_k") > F.col("_n") - F.col("_m"), 1).otherwise(-1))
     part = 1 / F.col("vol") / F.sum(1 / F.col("vol")).over(W.partitionBy("date", "_side"))
@@ -64,8 +68,8 @@ def beta_neutral(df: DataFrame, target: float = 0.0) -> DataFrame:
     b = F.col("weight") * F.coalesce("beta", F.lit(1.0))
     df = df.withColumns({"_l": F.sum(F.when(F.col("weight") > 0, b).otherwise(0.0)).over(own), "_s": F.sum(F.when(F.col("weight") < 0, b).otherwise(0.0)).over(own)})
     gap = F.col("_s") - F.col("_l")
-    df = df.withColumn("_a", F.when((F.abs(F.col("_l") + F.col("_s") - target) >= 1e-6) & (F.abs(gap) >= 1e-9), ratio(target - (F.col("_l") + F.col("_s")), F.nullif(gap, F.lit(0.0)))))
-    a = F.when(F.abs("_a") <= 0.5, F.col("_a")).otherwise(0.0)
+    df = df.withColumn("_a", F.when((F.abs(F.col("_l") + F.col("_s") - target) >= _ON_TARGET) & (F.abs(gap) >= _ALIKE), ratio(target - (F.col("_l") + F.col("_s")), F.nullif(gap, F.lit(0.0)))))
+    a = F.when(F.abs("_a") <= _MOST, F.col("_a")).otherwise(0.0)
     return df.withColumn("weight", F.col("weight") * F.when(F.col("weight") > 0, 1 - a).otherwise(1 + a)).drop("_l", "_s", "_a")
 
 

@@ -84,19 +84,20 @@ def _key(x: str, ties: tuple[str, ...] = (), descending: bool = False) -> Column
     return F.struct(F.col(x).isNull().alias("none"), (-F.col(x) if descending else F.col(x)).alias("x"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)])
 
 
-def _ranged(df: DataFrame, key: Column, *groups: str, parts: int = 200, drawn: int = 20) -> DataFrame:
+def _ranged(df: DataFrame, key: Column, *groups: str, parts: int = 200, drawn: int = 1000) -> DataFrame:
     """df with _key and _range, which of at most `parts` ranges of the key's order (within the groups) a row is in.
 
-    Cuts are taken from the parts * drawn keys whose hashes are smallest, in each group, so that they are the same whenever the
-    plan runs; as the key holds the ties, rows that share a value are in many ranges. A row finds its range by bisection.
+    Cuts are taken from the `drawn` keys whose hashes are smallest, in each group, so that they are the same whenever the plan
+    runs; as the key holds the ties, rows that share a value are in many ranges. A row finds its range by bisection. A task
+    passes on no more than `drawn` keys of a group (up to spark.sql.optimizer.windowGroupLimitThreshold, 1000).
     """
     keyed = df.withColumn("_key", key)
     few = W.partitionBy(*(groups or (F.lit(0),))).orderBy("_h")
     sample = keyed.select(*groups, "_key").withColumn("_h", F.xxhash64("_key"))
     if groups:
-        sample = sample.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= parts * drawn)  # kept in each task before its shuffle
+        sample = sample.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= drawn)
     else:
-        sample = sample.orderBy("_h").limit(parts * drawn)
+        sample = sample.orderBy("_h").limit(drawn)
     cuts = sample.groupBy(*groups).agg(F.sort_array(F.collect_set("_key")).alias("_s"))
     places = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.floor(i * F.size("_s") / parts).cast("int"))
     cuts = cuts.select(*groups, F.transform(F.array_distinct(F.filter(places, lambda i: i > 0)), lambda i: F.element_at("_s", i)).alias("_cuts"))
@@ -133,7 +134,8 @@ def _running(counts: DataFrame, *groups: str, parts: int = 200) -> DataFrame:
 def quantiles_of(df: DataFrame, x: str, shares: tuple[float, ...] = (0.5,), *groups: str, parts: int = 200) -> DataFrame:
     """The groups and q, the exact quantiles of x, interpolated linearly: one row, or one for each group that has values.
 
-    From counts by value and their running sums within ranges of the value; without groups and values q holds NULLs.
+    From counts by value and their running sums within ranges of the value; without groups and values q holds NULLs. Rows whose group is
+    NULL are left out.
     """
     run = _running(df.where(F.col(x).isNotNull()).groupBy(*groups, F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c")), *groups, parts=parts)
     inside = lambda place: (F.col("_end") >= place) & (F.col("_end") - F.col("_c") < place)
