@@ -74,7 +74,7 @@ _COMPOSED = (
     "cp AS (SELECT sz.date, sz.ticker, weight * least(1.0, coalesce(0.25 / nullif(sum(abs(weight)) OVER (PARTITION BY sz.date, coalesce(sector, '')), 0), 1.0)) AS w FROM sz LEFT JOIN (SELECT DISTINCT ticker, sector FROM rets WHERE sector <> 'ASIA') USING (ticker)), "
     "gc AS (SELECT t.ticker, d.date, coalesce(w, 0.0) AS w, row_number() OVER (PARTITION BY t.ticker ORDER BY d.date) AS i FROM (SELECT DISTINCT ticker FROM cp) t CROSS JOIN (SELECT DISTINCT date FROM cp) d LEFT JOIN cp ON cp.ticker = t.ticker AND cp.date = d.date), "
     "th AS (SELECT ticker, i, date, w AS weight FROM gc WHERE i = 1 UNION ALL SELECT gc.ticker, gc.i, gc.date, CASE WHEN abs(gc.w - th.weight) >= 0.02 THEN gc.w ELSE th.weight END FROM th JOIN gc ON gc.ticker = th.ticker AND gc.i = th.i + 1), "
-    "be AS (SELECT th.date, th.ticker, weight, coalesce(CASE WHEN rn % 7 <> 0 THEN 0.5 + (rn % 5) / 4.0 END, 1) AS beta FROM th LEFT JOIN rets ON rets.date = th.date AND rets.ticker = th.ticker), "
+    "be AS (SELECT th.date, th.ticker, weight, coalesce(CASE WHEN rn % 7 <> 0 THEN 0.53 + (rn % 5) / 4.3 END, 1) AS beta FROM th LEFT JOIN rets ON rets.date = th.date AND rets.ticker = th.ticker), "
     "ls AS (SELECT *, sum(CASE WHEN weight > 0 THEN weight * beta ELSE 0 END) OVER (PARTITION BY date) AS l, sum(CASE WHEN weight < 0 THEN weight * beta ELSE 0 END) OVER (PARTITION BY date) AS s FROM be), "
     "al AS (SELECT *, CASE WHEN abs(l + s) >= 1e-6 AND abs(s - l) >= 1e-9 AND abs((l + s) / (s - l)) <= 0.5 THEN -(l + s) / (s - l) ELSE 0 END AS a FROM ls) "
     f"SELECT date, ticker, {r6('weight * CASE WHEN weight > 0 THEN 1 - a ELSE 1 + a END', 'weight')} FROM al"
@@ -82,8 +82,9 @@ _COMPOSED = (
 
 
 def composed(spark: SparkSession, sf: str, **how) -> DataFrame:
-    """Books of the volume, in the steps of the weight builder; names of one sector have none."""
-    b = with_beta(spark, sf)
+    """Books of the volume, in the steps of the weight builder; names of one sector have none. No book's figures are on a threshold."""
+    rn = F.row_number().over(t.by_ticker())
+    b = book(spark, sf).withColumn("beta", F.when(rn % 7 != 0, 0.53 + (rn % 5) / 4.3))
     sectors = b.where("sector <> 'ASIA'").select("ticker", "sector").distinct()
     return p.composed(b.select("date", "ticker", "score"), sectors=sectors, cap=0.25, least=0.02, betas=b.select("date", "ticker", "beta"), leverage=0.5, **how)
 
