@@ -120,10 +120,25 @@ add(
 )
 
 
-@query("m15_retrained_audits")
-def _retrained(spark: SparkSession, sf: str) -> DataFrame:
-    """The premia model trained again with each feature a row older; see the tests for its parts."""
-    return tidy(m.retrained_audits(rows(spark, sf), fold_rows(spark, sf), _X, "y"))
+def _retrained_sql(k: int, x1: str, x2: str, kept: str) -> str:
+    """ir{k} (ir): the information ratio out of sample of the premia of x1 and x2, columns of ao, over its rows that are kept."""
+    return (
+        f"xy{k} AS (SELECT date, ticker, {x1} AS x1, {x2} AS x2, y FROM ao WHERE {kept}), fl{k} AS (SELECT date, y, coalesce(x1, median(x1) OVER (PARTITION BY date), 0) AS a, coalesce(x2, median(x2) OVER (PARTITION BY date), 0) AS b FROM xy{k}), "
+        f"sm{k} AS (SELECT date, sum(a * a) + 1e-4 AS aa, sum(a * b) AS ab, sum(b * b) + 1e-4 AS bb, sum(a * y) AS ay, sum(b * y) AS cy FROM fl{k} WHERE y IS NOT NULL GROUP BY 1 HAVING count(*) >= 10), sl{k} AS (SELECT date, (bb * ay - ab * cy) / (aa * bb - ab * ab) AS x1, (aa * cy - ab * ay) / (aa * bb - ab * ab) AS x2 FROM sm{k}), "
+        f"mn{k} AS (SELECT fold, avg(x1) AS b1, avg(x2) AS b2 FROM fo JOIN sl{k} sl ON sl.date <= train_end GROUP BY 1), md{k} AS (SELECT fold, median(x1) AS m1, median(x2) AS m2 FROM fo JOIN xy{k} xy ON xy.date <= train_end GROUP BY 1), "
+        f"sc{k} AS (SELECT xy.date, xy.ticker, coalesce(x1, m1) * b1 + coalesce(x2, m2) * b2 AS s FROM xy{k} xy JOIN fo ON xy.date BETWEEN test_start AND test_end JOIN mn{k} USING (fold) JOIN md{k} USING (fold)), bo{k} AS (SELECT sc{k}.date, s, ao.y AS r FROM sc{k} JOIN ao ON ao.date = sc{k}.date AND ao.ticker = sc{k}.ticker WHERE s IS NOT NULL AND ao.y IS NOT NULL), "
+        f"rk{k} AS (SELECT date, {_RK('s')} AS a, {_RK('r')} AS b FROM bo{k}), ic{k} AS (SELECT date, CASE WHEN count(*) >= 5 AND isfinite(corr(a, b)) THEN corr(a, b) END AS ic FROM rk{k} GROUP BY 1), ir{k} AS (SELECT avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(252) AS ir FROM ic{k})"
+    )
+
+
+add(
+    "m15_retrained_audits",
+    f"WITH RECURSIVE {_XY}, {_FOLDS}, ao AS (SELECT date, ticker, x1, x2, lag(x1) OVER ({T}) AS o1, lag(x2) OVER ({T}) AS o2, y FROM xy), {_retrained_sql(0, 'x1', 'x2', 'true')}, {_retrained_sql(1, 'o1', 'x2', 'o1 IS NOT NULL')}, {_retrained_sql(2, 'x1', 'o2', 'o2 IS NOT NULL')}, "
+    "au AS (SELECT 'x1' AS feature, ir0.ir AS a, ir1.ir AS b FROM ir0, ir1 UNION ALL SELECT 'x2', ir0.ir, ir2.ir FROM ir0, ir2) "
+    f"SELECT feature, {r6('a', 'as_is', 4)}, {r6('b', 'shifted', 4)}, {r6('b - a', 'delta', 4)}, CASE WHEN abs(a) >= 0.05 THEN round((a - b) / abs(a) * 100, 2) + 0.0 END AS pct_drop, CASE WHEN abs(b) > 0.5 * abs(a) AND sign(a) = sign(b) THEN 'OK' WHEN abs(b) < 0.25 * abs(a) THEN 'SUSPECT' ELSE 'PARTIAL' END AS verdict FROM au",
+    lambda s, sf: m.retrained_audits(rows(s, sf), fold_rows(s, sf), _X, "y").withColumns({c: F.round(c, d) for c, d in (("as_is", 4), ("shifted", 4), ("delta", 4), ("pct_drop", 2))}),
+    None,
+)
 
 
 @query("m8_early_stopping")
