@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .portfolio import placed
 
@@ -128,22 +128,28 @@ def parity_book(scores: DataFrame, returns: DataFrame, share: float = 0.15, days
     before the date.
 
     Dates with fewer than 2 * least scores have no rows, nor have names without a weight. returns (date, ticker, r) sets
-    the calendar. A ticker's returns are one array over the calendar, from which only its chosen dates take their past. A
-    group is one side of a date: as many rows as it has names, each with `days` returns.
+    the calendar. A ticker's returns are packed by runs of `days` dates, and a chosen name meets the two runs that hold its past, so
+    returns are gathered for chosen names alone. A group is one side of a date: its names, each with at most two runs.
     """
     chosen = placed(scores.where(F.col("score").isNotNull())).where(F.col("_n") >= 2 * least)
     chosen = chosen.withColumn("_m", F.greatest(F.lit(1), F.least(F.floor(F.col("_n") * share), F.floor(F.col("_n") / 2)))).where("_k <= _m or _k > _n - _m")
     chosen = chosen.select("date", "ticker", F.when(F.col("_k") > F.col("_n") - F.col("_m"), 1.0).otherwise(-1.0).alias("side"))
-    calendar = returns.agg(F.sort_array(F.collect_set("date")).alias("_days"))  # one row, one entry a day
-    series = returns.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("date", "r"))).alias("_r"))
-    series = series.join(F.broadcast(calendar), F.lit(True)).select("ticker", "_days", F.transform("_days", lambda d: F.coalesce(F.try_element_at("_r", d), F.lit(float("nan")))).alias("_r"))
-    asked = chosen.groupBy("ticker").agg(F.collect_list(F.struct("date", "side")).alias("_asked")).join(series, "ticker")
-    at = lambda c: F.array_position("_days", c["date"]).cast("int")
-    past = lambda c: F.slice("_r", F.greatest(at(c) - days, F.lit(1)), F.least(at(c) - 1, F.lit(days)))
-    sides = asked.select("ticker", F.explode(F.transform(F.filter("_asked", lambda c: at(c) > 1), lambda c: F.struct(c["date"].alias("date"), c["side"].alias("side"), past(c).alias("past")))).alias("_c"))
+    dates = returns.select("date", F.lit(1).alias("_cal")).unionByName(scores.select("date", F.lit(0).alias("_cal"))).groupBy("date").agg(F.max("_cal").alias("_cal"))
+    upto = F.sum("_cal").over(W.partitionBy(F.lit(0)).orderBy("date").rowsBetween(W.unboundedPreceding, 0))  # one row a date
+    dates = dates.select("date", upto.alias("_upto"), (upto - F.col("_cal")).alias("_before"))
+    run = lambda at: F.floor((at - 1) / days)
+    packed = returns.join(dates.select("date", "_upto"), "date").withColumn("_run", run(F.col("_upto"))).groupBy("ticker", "_run")
+    packed = packed.agg(F.collect_list(F.struct(F.col("_upto").alias("i"), F.coalesce("r", F.lit(float("nan"))).alias("r"))).alias("_rs"))
+    runs = F.explode(F.array_distinct(F.array(run(F.col("_before") - days + 1), run(F.col("_before")))))
+    asked = chosen.join(dates.select("date", "_before"), "date").where("_before > 0").withColumn("_run", runs).join(packed, ["ticker", "_run"])
+    past = F.filter("_rs", lambda e: e["i"].between(F.col("_before") - days + 1, F.col("_before")))
+    sides = asked.select("date", "side", "ticker", F.transform(past, lambda e: (e["i"] - F.col("_before") + days - 1).cast("int")).alias("at"), past["r"].alias("r"))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ticker")
-        return rows[["date", "ticker"]].assign(weight=rows["side"] * leverage * side_weights(np.stack(rows["past"].tolist()), least)).dropna()
+        names, row = np.unique(rows["ticker"].to_numpy(str), return_inverse=True)
+        past = np.full((len(names), days), np.nan)
+        for k, at, r in zip(row, rows["at"], rows["r"], strict=True):
+            past[k, at] = r
+        return pd.DataFrame({"date": rows["date"].iloc[0], "ticker": names, "weight": rows["side"].iloc[0] * leverage * side_weights(past, least)}).dropna()
 
-    return sides.select("ticker", "_c.*").groupBy("date", "side").applyInPandas(solve, "date date, ticker string, weight double")
+    return sides.groupBy("date", "side").applyInPandas(solve, "date date, ticker string, weight double")
