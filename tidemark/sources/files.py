@@ -21,25 +21,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", top)
-    folder = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    made(spark, folder, passing=True)
-    return folder
+    return made(spark, f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}", passing=True)
 
 
 def made(spark: SparkSession, folder: str, *, passing: bool = False) -> str:
-    """folder, created where it isn't there; a passing one goes when the application ends."""
+    """folder with its file system, as Spark resolves it, created where it isn't there; a passing one goes when the application ends."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(where)
     if passing:
         files.deleteOnExit(where)
-    return folder
+    return where.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
 
 
 def put(folder: str, name: str, content: bytes) -> None:
     """A whole file from inside a task: written under a name of its own, then moved, so that no reader sees a part and a repeated
     task replaces it. pyarrow.fs opens the folder (file, hdfs, s3, gs)."""
-    files, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+    local = folder.startswith("file:")
+    files, at = (fs.LocalFileSystem(), re.sub(r"^file:/+", "/", folder)) if local else fs.FileSystem.from_uri(folder)
     part = posixpath.join(at, f"_{uuid.uuid4().hex}")
     with files.open_output_stream(part, compression=None) as out:
         out.write(content)
