@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import delete, materialize, shared_dir
+from .common import delete, materialize, qualified, shared_dir
 
 #: Payloads of fewer bytes are stored in every record.
 LEAST_REVISIT = 1000
@@ -115,24 +115,24 @@ def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
 
 def split_records(chunks: Iterable[bytes]) -> Iterator[bytes]:
     """The records of an inflated archive, each with the two line ends that close it. Holds one record and one chunk at most."""
-    buffer, source = bytearray(), iter(chunks)
-    need, headed = 0, False
-    for chunk in source:
+    buffer, need = bytearray(), 0  # need: the length of the record that the buffer begins with, 0 while its fields are incomplete
+    for chunk in chunks:
         buffer += chunk
-        while True:
-            if not headed:
-                end = buffer.find(b"\r\n\r\n")
+        at = 0
+        while at < len(buffer):
+            if not need:
+                end = buffer.find(b"\r\n\r\n", at)
                 if end < 0:
                     break
-                length = _LENGTH.search(buffer, 0, end + 2)
-                if not buffer.startswith(b"WARC/") or not length:
-                    raise ValueError(f"no WARC record: {bytes(buffer[:40])!r}")
-                need, headed = end + 8 + int(length[1]), True
-            if len(buffer) < need:
+                length = _LENGTH.search(buffer, at, end + 2)
+                if not buffer.startswith(b"WARC/", at) or not length:
+                    raise ValueError(f"no WARC record: {bytes(buffer[at : at + 40])!r}")
+                need = end - at + 8 + int(length[1])
+            if len(buffer) - at < need:
                 break
-            yield bytes(buffer[:need])
-            del buffer[:need]
-            headed = False
+            yield bytes(buffer[at : at + need])
+            at, need = at + need, 0
+        del buffer[:at]
     if buffer:
         raise ValueError("archive ends within a record")
 
@@ -148,7 +148,9 @@ def member(record: bytes, level: int = 6) -> bytes:
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder that driver and executors share (file, hdfs, s3, gs), and its path there."""
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 class _Archive:
@@ -288,7 +290,7 @@ def round_trip(pages: DataFrame, *, archive_bytes: int = ARCHIVE_BYTES, least: i
     ends; call the steps yourself to keep them elsewhere.
     """
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/tidemark-warc-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{shared_dir(spark)}/tidemark-warc-{uuid.uuid4().hex}")
     delete(spark, folder, on_exit=True)
     records = materialize(write_archives(pages, f"{folder}/raw", archive_bytes=archive_bytes), "warc-records")
     changes = revisits(records, least)
