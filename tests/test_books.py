@@ -169,3 +169,11 @@ def test_quantiles_as_numpy(spark, parts):
     known = [v for vs in values.values() for v in vs if v is not None]
     assert np.allclose(xsection.quantiles_of(df, "x", shares, parts=parts).first().q, np.quantile(known, shares))
     assert xsection.quantiles_of(df.where("x is null"), "x").first().q == [None]
+
+
+def test_equal_shares(spark):
+    rows = spark.createDataFrame([(day(0), f"T{k}", h, float(k * h % 5)) for k in range(6) for h in (1, 5, 21)], "date date, ticker string, horizon int, pred double")
+    assert {(r.horizon, r.share) for r in portfolio.equal_shares(rows).collect()} == {(1, 1 / 3), (5, 1 / 3), (21, 1 / 3)}
+    a = {r.ticker: r.score for r in portfolio.ic_ensemble(rows, portfolio.equal_shares(rows)).collect()}
+    b = {r.ticker: r.score for r in portfolio.ensemble(rows, {1: 1.0, 5: 1.0, 21: 1.0}).collect()}
+    assert a.keys() == b.keys() and all(abs(a[t] - b[t]) < 1e-12 for t in a)

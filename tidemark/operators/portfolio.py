@@ -149,6 +149,12 @@ def ic_ensemble(scores: DataFrame, shares: DataFrame) -> DataFrame:
     return z.groupBy("date", "ticker").agg(F.sum(F.col("_z") * F.coalesce("share", F.lit(0.0))).alias("score"))
 
 
+def equal_shares(scores: DataFrame) -> DataFrame:
+    """horizon, share: every horizon of scores with the same share."""
+    own = scores.select("horizon").distinct()
+    return own.select("horizon", (1 / F.count(F.lit(1)).over(W.partitionBy())).alias("share"))  # one row for each horizon
+
+
 def dense(weights: DataFrame) -> DataFrame:
     """date, ticker, weight for every name of any book on every date of a book, 0 where a book lacks it: dates x names rows."""
     grid = weights.select("ticker").distinct().join(weights.agg(F.sort_array(F.collect_set("date")).alias("_days")), F.lit(True))  # one row, one entry a date

@@ -81,12 +81,12 @@ _COMPOSED = (
 )
 
 
-def composed(spark: SparkSession, sf: str, **how) -> DataFrame:
-    """Books of the volume, in the steps of the weight builder; names of one sector have none. No book's figures are on a threshold."""
+def composed(spark: SparkSession, sf: str, score: DataFrame | None = None, **how) -> DataFrame:
+    """Books of a score, or of the volume, in the steps of the weight builder; names of one sector have none. No book's figures are on a threshold."""
     rn = F.row_number().over(t.by_ticker())
     b = book(spark, sf).withColumn("beta", F.when(rn % 7 != 0, 0.53 + (rn % 5) / 4.3))
     sectors = b.where("sector <> 'ASIA'").select("ticker", "sector").distinct()
-    return p.composed(b.select("date", "ticker", "score"), sectors=sectors, cap=0.25, least=0.02, betas=b.select("date", "ticker", "beta"), leverage=0.5, **how)
+    return p.composed(b.select("date", "ticker", "score") if score is None else score, sectors=sectors, cap=0.25, least=0.02, betas=b.select("date", "ticker", "beta"), leverage=0.5, **how)
 
 
 add("p17_composed_weights", f"WITH RECURSIVE {BOOK}, sz AS (SELECT date, ticker, CAST(CASE WHEN k > n - 4 THEN 0.125 ELSE -0.125 END AS DOUBLE) AS weight FROM o WHERE n >= 8 AND (k <= 4 OR k > n - 4)), {_COMPOSED}", lambda s, sf: composed(s, sf, k=4))
@@ -105,6 +105,14 @@ add(
 )
 
 
+add(
+    "p17_ensemble_weights",
+    f"WITH RECURSIVE {_PREDS}, {_SHARES}, es AS (SELECT date, ticker, round(sum(z * share), 9) AS score FROM zz JOIN sh USING (horizon) GROUP BY 1, 2), eo AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score, ticker) AS k, count(*) OVER (PARTITION BY date) AS n FROM es), "
+    f"sz AS (SELECT date, ticker, CAST(CASE WHEN k > n - 3 THEN 1 / 6.0 ELSE -1 / 6.0 END AS DOUBLE) AS weight FROM eo WHERE n >= 6 AND (k <= 3 OR k > n - 3)), {_COMPOSED}",
+    lambda s, sf: composed(s, sf, p.ic_ensemble(predictions(s, sf), p.ic_weights(horizon_ics(s, sf))).withColumn("score", F.round("score", 9)), k=3),
+)
+
+
 @query("p17_parity_weights")
 def _parity_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Sized by parity; SQL can't cluster, so the tests compare the steps after the sizing and the sizing itself."""
