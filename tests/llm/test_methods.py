@@ -375,3 +375,11 @@ def test_recall_over_several_full_shards(spark):
     found = np.array([got[k] for k in range(len(x))])
     print("links found", found.sum(), "of", want.sum())
     assert (found <= want).all() and found.sum() >= 0.999 * want.sum() and want.sum() > 100_000
+
+
+def test_a_worker_holds_one_object():
+    common.release()
+    first = common.held("a", list)
+    assert common.held("a", dict) is first and common.held("b", dict) == {} and list(common._HELD) == ["b"]
+    common.release()
+    assert not common._HELD

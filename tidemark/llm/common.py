@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps for its next tasks, such as a table of a vocabulary: one at a time, so that the
+    operators which share a worker don't add up theirs."""
+    if name not in _HELD:
+        release()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release() -> None:
+    """Drops what the worker holds, and gives freed memory back to the system: for tasks that need memory of their own."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
 _OPEN: list[list[tuple[SparkSession, str]]] = []
 
 
@@ -68,6 +91,12 @@ def delete(spark: SparkSession, path: str, *, on_exit: bool = False) -> None:
     files.deleteOnExit(where) if on_exit else files.delete(where, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark resolves it: for what opens it without Spark."""
+    files, where = _file_system(spark, path)
+    return where.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
+
+
 def _file_system(spark: SparkSession, path: str) -> tuple:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import release
+
 UNKNOWN = "und"
 
 
@@ -103,6 +105,7 @@ def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
@@ -140,6 +143,7 @@ def identify(documents: DataFrame, model: tuple, id_col: str = "doc_id", text_co
     shared = documents.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logp.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table = shared.value
         for batch in batches:
             texts = [x.as_py() or "" for x in batch.column(1)]

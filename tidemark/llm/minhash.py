@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, release
 from .graph import components
 from .shingles import WordHashes, mix, shingle_set
 
@@ -36,6 +36,7 @@ def _sketch(width: int, positions: int):
     a, b = _multipliers(positions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words = WordHashes()
         shift = np.arange(0, 64, 2, dtype=np.uint64)
         for batch in batches:
@@ -82,6 +83,7 @@ def _keys(chunk: int, errors: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words = WordHashes()
         for batch in batches:
             sets = [shingle_set(raw.as_py() or b"", width, words).view(np.int64) for raw in batch.column(1).cast(pa.binary())]

@@ -15,19 +15,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import IdTable
-from .common import discard, materialize
+from .common import discard, held, materialize
 from .shingles import mix
 
 _LOG = logging.getLogger(__name__)
-_TABLES: dict[str, IdTable] = {}
 _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, place long"
 _PACKED = "place long, length long, unit long, sequence_id long, offset long, full boolean"
 
 
 def _table(path: str) -> IdTable:
-    if path not in _TABLES:
-        _TABLES[path] = IdTable(path)
-    return _TABLES[path]
+    return held(f"ids {path}", lambda: IdTable(path))
 
 
 def _portions(texts: pa.Array, rows: int = 1024, size: int = 4 << 20) -> Iterator[tuple[int, int]]:

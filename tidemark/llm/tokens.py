@@ -10,15 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import PrefixCounts
-
-#: One table for each tokenizer file in a worker process; tasks that the worker runs later find it filled.
-_TABLES: dict[str, PrefixCounts] = {}
+from .common import held
 
 
 def _table(path: str) -> PrefixCounts:
-    if path not in _TABLES:
-        _TABLES[path] = PrefixCounts(path)
-    return _TABLES[path]
+    return held(f"prefixes {path}", lambda: PrefixCounts(path))
 
 
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str | None = None, limit: int = 2048, prefixes: bool = False) -> DataFrame:
