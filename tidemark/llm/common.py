@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -69,6 +70,7 @@ def materialize(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _forget(spark)
     files, where = _file_system(spark, path)
     files.deleteOnExit(where)
     if _OPEN and not keep:
@@ -78,6 +80,18 @@ def materialize(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     return written
 
 
+_FORGOT = [0.0]
+
+
+def _forget(spark: SparkSession, seconds: float = 5.0) -> None:
+    """Has the driver collect its garbage, at most once in so many seconds. Plans behind a written table are garbage, and Spark deletes
+    their shuffle files and broadcasts on the executors only when the driver's collector has found that."""
+    if time.monotonic() - _FORGOT[0] > seconds:
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
+        _FORGOT[0] = time.monotonic()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that no later result reads."""
     for table_ in tables:
