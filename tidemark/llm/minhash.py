@@ -56,6 +56,8 @@ def _sketch(width: int, positions: int):
                 [batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array([x for x, _ in sk], pa.int64()), pa.array([y for _, y in sk], pa.int64())],
                 ["id", "n", "set_key", "sig", "sk1", "sk2"],
             )
+        words.clear()
+        release()
 
     return run
 
@@ -88,6 +90,8 @@ def _sets(width: int):
         for batch in batches:
             sets = [shingle_set(raw.as_py() or b"", width, words).view(np.int64) for raw in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
+        words.clear()
+        release()
 
     return run
 

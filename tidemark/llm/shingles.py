@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for one worker up to a bound on their number."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 150_000):
         self.bound = bound
 
     def __missing__(self, word: bytes) -> int:
