@@ -227,3 +227,44 @@ def test_texts_are_written_whole(spark, tmp_path):
     for _ in range(2):
         assert {r.file for r in files.write_texts(lines, f"file://{tmp_path}").collect()} == {"a", "b"}
     assert sorted((p.name, p.read_text()) for p in tmp_path.iterdir() if not p.name.startswith(".")) == [("a", "one\ntwo\n"), ("b", "x\n")]
+
+
+def join_rows(df):
+    """The most rows that a join of the executed plan gives."""
+    df.collect()
+    nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        kind, metric = node.getClass().getSimpleName(), node.metrics().get("numOutputRows")
+        if kind.endswith("JoinExec") and metric.isDefined():
+            most = max(most, metric.get().value())
+        own = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        nodes += own + [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_lines_do_not_meet_tickers_of_several_names(spark):
+    tickers = {f"T{k:02}": {"ACME", f"NAME {k}", *([f"OTHER {k}"] if k % 3 == 0 else [])} for k in range(40)}
+    names = {}
+    for t, own in tickers.items():
+        for n in own:
+            names.setdefault(n, []).append(t)
+    lines = [(("ACME",) if i % 4 else ()) + (f"NAME {i % 45}",) * (i % 2) + (f"OTHER {i % 45}", "ZZZ") for i in range(200)]
+    rows = tone.mention_rows(tone.split_lines(spark.createDataFrame([(fixed(count=str(i), orgs=";".join(o), value=str(i * i % 17)),) for i, o in enumerate(lines)], "value string")))
+    found = tone.mentions(rows, spark.createDataFrame(sorted(names.items()), "name string, tickers array<string>"))
+    got = {r.ticker: r for r in found.collect()}
+    for t, own in tickers.items():
+        ids = [i for i, o in enumerate(lines) if own & set(o)]
+        values = [i * i % 17 for i in ids]
+        assert (got[t].mention_count, got[t].article_count) == (len(ids), sum(ids))
+        assert abs(got[t].tone_mean - statistics.mean(values)) < 1e-12 and abs(got[t].tone_std - statistics.pstdev(values)) < 1e-12
+    assert join_rows(found) < 400  # and not 150 lines x 40 tickers
+
+
+def test_archives_are_packed_batch_by_batch(spark, tmp_path):
+    lines = spark.range(30000).selectExpr("id % 2 || '.csv.zip' AS file", "IF(id % 2 = 0, 'head', NULL) AS header", "-id AS place", "'line ' || id AS value")
+    assert {r.file for r in tone.write_archives(lines, f"file://{tmp_path}").collect()} == {"0.csv.zip", "1.csv.zip"}
+    for k in (0, 1):
+        with zipfile.ZipFile(tmp_path / f"{k}.csv.zip") as z:
+            assert z.infolist()[0].compress_size < z.infolist()[0].file_size / 2
+            assert z.read(f"{k}.csv").decode().split("\n") == ["head"] * (not k) + [f"line {i}" for i in range(29998 + k, -1, -2)] + [""]

@@ -6,8 +6,12 @@ import posixpath
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +38,15 @@ def made(spark: SparkSession, folder: str, *, passing: bool = False) -> str:
     return where.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
 
 
-def put(folder: str, name: str, content: bytes) -> None:
-    """A whole file from inside a task: written under a name of its own, then moved, so that no reader sees a part and a repeated
+@contextmanager
+def opened(folder: str, name: str) -> Iterator[pa.NativeFile]:
+    """A file to write from inside a task: written under a name of its own, then moved, so that no reader sees a part and a repeated
     task replaces it. pyarrow.fs opens the folder (file, hdfs, s3, gs)."""
     local = folder.startswith("file:")
     files, at = (fs.LocalFileSystem(), re.sub(r"^file:/+", "/", folder)) if local else fs.FileSystem.from_uri(folder)
     part = posixpath.join(at, f"_{uuid.uuid4().hex}")
     with files.open_output_stream(part, compression=None) as out:
-        out.write(content)
+        yield out
     files.move(part, posixpath.join(at, name))
 
 
@@ -50,12 +55,32 @@ def archives(spark: SparkSession, folder: str, pattern: str = "*.zip") -> DataFr
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
 
 
+def write_groups(lines: DataFrame, folder: str, write: Callable[[pa.NativeFile, str, Iterator[pa.RecordBatch]], None], file: str, order: str) -> DataFrame:
+    """A file for each value of a column, by write(out, name, its rows in the given order, batch by batch): the names of the files written.
+
+    Spark sorts the rows and a task holds one batch of them, however long a file is."""
+
+    def pieces(batches):
+        for batch in batches:
+            runs, at = pc.run_end_encode(batch.column(file)), 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                yield name, batch.slice(at, end - at)
+                at = end
+
+    def run(batches):
+        for name, own in groupby(pieces(batches), key=lambda piece: piece[0]):
+            with opened(folder, name) as out:
+                write(out, name, (rows for _, rows in own))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], ["file"])
+
+    return lines.repartition(file).sortWithinPartitions(file, order).mapInArrow(run, "file string")
+
+
 def write_texts(lines: DataFrame, folder: str, file: str = "file", order: str = "place", line: str = "value") -> DataFrame:
-    """Lines as text files, each one group, in the given order: the names of the files written."""
+    """Lines as text files, each with its lines in the given order: the names of the files written."""
 
-    def pack(key, rows):
-        texts = rows.sort_by(order).column(line).to_pylist()
-        put(folder, key[0].as_py(), "".join(t + "\n" for t in texts if t is not None).encode())
-        return pa.table({"file": [key[0].as_py()]})
+    def write(out, name, batches):
+        for rows in batches:
+            out.write("".join(t + "\n" for t in rows.column(line).to_pylist() if t is not None).encode())
 
-    return lines.groupBy(file).applyInArrow(pack, "file string")
+    return write_groups(lines, folder, write, file, order)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .files import put
+from .files import write_groups
 
 # The columns of a tone file without a header, in order.
 FIELDS = ("DATE", "NUMARTS", "COUNTS", "THEMES", "LOCATIONS", "PERSONS", "ORGANIZATIONS", "TONE")
@@ -104,21 +104,30 @@ def _stats() -> list[Column]:
 def mentions(rows: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
     """The keys, date, ticker, mention_count, article_count, tone_mean, tone_std (over lines, of the population) of mention_rows.
 
-    names: name, tickers. A line counts once for a ticker, however many of its names it has. A name whose tickers have no
-    other name is summed by date before its tickers are listed, so that rows grow with days x tickers, not with lines x tickers; only
-    for tickers of several names are lines told apart, by all that mention_rows has of them, equal lines by how many they are.
+    names: name, tickers. A line counts once for a ticker, however many of its names it has. Lines are summed by date and name, and
+    again those that have two of a ticker's names next to each other in order, which were counted once too often; both are
+    merged for each set of names that tickers have, and only then are the tickers listed. So no line meets a ticker: work
+    grows with lines and with the result.
     """
     pairs = names.select("name", F.explode("tickers").alias("ticker")).distinct()
-    known = pairs.groupBy("ticker").agg(F.collect_set("name").alias("own"))  # a ticker's names: a few titles of a company
-    single = known.where(F.size("own") == 1).select(F.col("own")[0].alias("name"), "ticker")
-    several = known.where(F.size("own") > 1).select(F.explode("own").alias("name"), "ticker")
-    spread = rows.select(*keys, "date", "articles", "tone", "names", F.explode("names").alias("name"))
-    by_name = spread.groupBy(*keys, "date", "name").agg(*_stats()).join(single, "name").drop("name")
-    line = [*keys, "date", "articles", "tone", "names", "ticker"]
-    by_line = spread.join(several, "name").groupBy(*line).agg((F.count(F.lit(1)) / F.size(F.collect_set("name"))).cast("int").alias("times"))
-    by_line = by_line.select(*line, F.explode(F.sequence(F.lit(1), "times"))).groupBy(*keys, "date", "ticker").agg(*_stats())
-    both = by_name.select(*by_line.columns).unionByName(by_line)
-    return both.select(*keys, "date", "ticker", "mention_count", "article_count", "tone_mean", F.sqrt("tone_var").alias("tone_std"))
+    known = pairs.groupBy("ticker").agg(F.sort_array(F.collect_set("name")).alias("own"))  # a ticker's names: a few titles of a company
+    sets = known.select("own").distinct()
+    each = rows.select(*keys, "date", "articles", "tone", F.explode("names").alias("name")).groupBy(*keys, "date", "name").agg(*_stats())
+    each = each.join(sets.select("own", F.explode("own").alias("name")), "name").withColumn("sign", F.lit(1))
+    above = lambda a: F.transform(F.filter("own", lambda b: b > a), lambda b: F.struct(a.alias("low"), b.alias("high")))
+    both = sets.where(F.size("own") > 1).select("own", F.explode(F.flatten(F.transform("own", above))).alias("_p")).select("own", "_p.*")
+    line = [*keys, "date", "articles", "tone", "names"]
+    twice = rows.where(F.size("names") > 1).select(*line, F.explode("names").alias("low")).join(both.select("low").distinct(), "low", "left_semi")
+    twice = twice.select(*line, "low", F.explode(F.filter("names", lambda n: n > F.col("low"))).alias("high")).join(both, ["low", "high"])
+    between = F.exists("own", lambda o: (o > F.col("low")) & (o < F.col("high")) & F.array_contains("names", o))
+    twice = twice.where(~between).groupBy(*keys, "date", "own").agg(*_stats()).withColumn("sign", F.lit(-1))
+    n = F.col("sign") * F.col("mention_count")
+    parts = each.select(*twice.columns).unionByName(twice).groupBy(*keys, "date", "own").agg(
+        F.sum(n).alias("mention_count"), F.sum(F.col("sign") * F.col("article_count")).alias("article_count"), (F.sum(n * F.col("tone_mean")) / F.sum(n)).alias("tone_mean"), F.collect_list(F.struct(n.alias("n"), F.col("tone_mean").alias("m"), F.col("tone_var").alias("v"))).alias("_p")
+    )
+    squares = F.aggregate("_p", F.lit(0.0), lambda s, q: s + q["n"] * (q["v"] + (q["m"] - F.col("tone_mean")) * (q["m"] - F.col("tone_mean"))))
+    parts = parts.select(*keys, "date", "own", "mention_count", "article_count", "tone_mean", F.sqrt(F.greatest(squares, F.lit(0.0)) / F.col("mention_count")).alias("tone_std"))
+    return parts.join(known, "own").select(*keys, "date", "ticker", "mention_count", "article_count", "tone_mean", "tone_std")
 
 
 def merged(parts: DataFrame) -> DataFrame:
@@ -130,16 +139,16 @@ def merged(parts: DataFrame) -> DataFrame:
 
 
 def write_archives(lines: DataFrame, folder: str, file: str = "file", header: str = "header", order: str = "place", line: str = "value") -> DataFrame:
-    """Lines as zip archives of one member each: the names of the files written. A file is one group, in the given order, under its
-    header (none if that is NULL)."""
-    def pack(key, rows):
-        rows = rows.sort_by(order)
-        first = rows.column(header)[0].as_py()
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(zipfile.ZipInfo(key[0].as_py().removesuffix(".zip")), "w") as member:
-            for text in ([] if first is None else [first]) + [v.as_py() for v in rows.column(line) if v.is_valid]:
-                member.write(text.encode() + b"\n")
-        put(folder, key[0].as_py(), out.getvalue())
-        return pa.table({"file": [key[0].as_py()]})
-
-    return lines.groupBy(file).applyInArrow(pack, "file string")
+    """Lines as zip archives of one member each, in the given order, under their file's header (none if that is NULL): the names of the
+    files written."""
+
+    def write(out, name, batches):
+        member_ = zipfile.ZipInfo(name.removesuffix(".zip"))
+        member_.compress_type = zipfile.ZIP_DEFLATED
+        with zipfile.ZipFile(out, "w") as archive, archive.open(member_, "w", force_zip64=True) as member:
+            for k, rows in enumerate(batches):
+                first = rows.column(header)[0].as_py() if not k else None
+                texts = ([] if first is None else [first]) + rows.column(line).drop_null().to_pylist()
+                member.write("".join(t + "\n" for t in texts).encode())
+
+    return write_groups(lines, folder, write, file, order)
