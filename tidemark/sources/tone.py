@@ -131,11 +131,17 @@ def mentions(rows: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
 
 
 def merged(parts: DataFrame) -> DataFrame:
-    """One row a date and ticker from mentions of several files: counts add up, tones merge by their means and deviations."""
-    n = F.col("mention_count")
-    own = parts.groupBy("date", "ticker").agg(F.sum(n).alias("_n"), F.sum("article_count").alias("_a"), (F.sum(n * F.col("tone_mean")) / F.sum(n)).alias("_m"), F.collect_list(F.struct("mention_count", "tone_mean", "tone_std")).alias("_p"))
-    spread = F.aggregate("_p", F.lit(0.0), lambda s, q: s + q["mention_count"] * (q["tone_std"] * q["tone_std"] + (q["tone_mean"] - F.col("_m")) * (q["tone_mean"] - F.col("_m"))))
-    return own.select("date", "ticker", F.col("_n").alias("mention_count"), F.col("_a").alias("article_count"), F.col("_m").alias("tone_mean"), F.sqrt(spread / F.col("_n")).alias("tone_std"))
+    """One row a date and ticker from mentions of several files: counts add up, tones merge by their means and deviations.
+
+    The parts are dealt by date and ticker before they are summed, as few of them meet in a task that reads them; sums alone
+    are kept of them. What the means add to the variance is at most what their range allows, and nothing where they are equal.
+    """
+    n, mean = F.col("mention_count"), F.col("tone_mean")
+    own = parts.select("date", "ticker", "mention_count", "article_count", "tone_mean", "tone_std").repartition("date", "ticker").groupBy("date", "ticker").agg(
+        F.sum(n).alias("_n"), F.sum("article_count").alias("_a"), (F.sum(n * mean) / F.sum(n)).alias("_m"), (F.sum(n * mean * mean) / F.sum(n)).alias("_s"), (F.sum(n * F.col("tone_std") * F.col("tone_std")) / F.sum(n)).alias("_v"), ((F.max(mean) - F.min(mean)) / 2).alias("_half")
+    )
+    spread = F.least(F.greatest(F.col("_s") - F.col("_m") * F.col("_m"), F.lit(0.0)), F.col("_half") * F.col("_half"))
+    return own.select("date", "ticker", F.col("_n").alias("mention_count"), F.col("_a").alias("article_count"), F.col("_m").alias("tone_mean"), F.sqrt(F.col("_v") + spread).alias("tone_std"))
 
 
 def write_archives(lines: DataFrame, folder: str, file: str = "file", header: str = "header", order: str = "place", line: str = "value") -> DataFrame:
