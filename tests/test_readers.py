@@ -268,3 +268,25 @@ def test_archives_are_packed_batch_by_batch(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / f"{k}.csv.zip") as z:
             assert z.infolist()[0].compress_size < z.infolist()[0].file_size / 2
             assert z.read(f"{k}.csv").decode().split("\n") == ["head"] * (not k) + [f"line {i}" for i in range(29998 + k, -1, -2)] + [""]
+
+
+def test_ingested_rows_stay_where_they_are(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "20240115.zip").write_bytes(zipped(fixed(orgs=";".join(f"NAME{k}" for k in range(30)))))
+    (tmp_path / "in" / "20240116.zip").write_bytes(zipped(""))
+    ingest.ingest_files(spark, f"{tmp_path}/in", f"{tmp_path}/cache", f"{tmp_path}/progress", lambda f: parse(f).repartition(3), SCHEMA)
+    rows = ingest.cached_files(spark, f"{tmp_path}/cache", SCHEMA).withColumn("part", F.input_file_name()).collect()
+    assert sum(r.ticker is None for r in rows) == 1 and len(rows) == 31
+    assert len({r.part for r in rows if r.ticker}) == 3  # and not dealt anew by file
+
+
+def test_merged_files_keep_sums_alone(spark):
+    parts = [(DAY, f"T{k}", n, 2 * n, m, s) for k in range(3) for n, m, s in ((5, 0.1 + k, 0.0), (7, 0.1 + k, 0.0), (1, 0.1 + k + (k == 2), 0.5 * k))]
+    found = tone.merged(spark.createDataFrame(parts, "date date, ticker string, mention_count long, article_count long, tone_mean double, tone_std double"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {r.ticker: r for r in found.collect()}
+    assert got["T0"].tone_std == 0 and {r.mention_count for r in got.values()} == {13} and {r.article_count for r in got.values()} == {26}
+    assert abs(got["T1"].tone_std - (0.25 / 13) ** 0.5) < 1e-12
+    mean = 2.1 + 1 / 13
+    assert abs(got["T2"].tone_mean - mean) < 1e-12 and abs(got["T2"].tone_std - ((12 * (2.1 - mean) ** 2 + (3.1 - mean) ** 2 + 1) / 13) ** 0.5) < 1e-12

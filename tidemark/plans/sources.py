@@ -203,19 +203,23 @@ _TONE = "file string, date date, ticker string, mention_count long, article_coun
 
 
 def ingested_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Files up to the 20th of a month, then all of them, ingested into one cache: markers included, and how many batches hold a file."""
+    """Files up to the 20th of a month, then all of them, ingested into one cache: its rows, markers included, with their batches."""
     folder, cache, progress = (shared_folder(spark, name) for name in ("arrivals", "cache", "progress"))
     rows, names = tone_files(spark, sf), company_names(spark, sf)
     parse = lambda files: tn.mentions(tn.mention_rows(named(tn.archived_lines(files)), "file"), names, "file")
     early = F.substring("file", 7, 2).cast("int") <= 20
     for arrived in (early, ~early):
         ingest_files(spark, tone_folder(spark, rows.where(arrived), folder), cache, progress, parse, _TONE)
-    held = cached_files(spark, cache, _TONE)
-    return held.join(held.groupBy("file").agg(F.count_distinct("batch").alias("batches")), "file").drop("batch")
+    return cached_files(spark, cache, _TONE)
 
 
-add("s20_resumable_ingest", f"WITH {_MENTIONS}, f AS (SELECT DISTINCT file FROM e) SELECT f.file, date, ticker, CASE WHEN ticker IS NOT NULL THEN mention_count END AS mention_count, article_count, tone_mean, tone_std, 1 AS batches FROM f LEFT JOIN (SELECT file, date, ticker, {_STATS} FROM ln GROUP BY 1, 2, 3) g ON f.file = g.file", ingested_mentions)
-add("s20_merged_mentions", f"WITH {_MENTIONS} SELECT date, ticker, {_STATS} FROM ln GROUP BY 1, 2", lambda s, sf: tn.merged(ingested_mentions(s, sf).where("ticker is not null").drop("batches")))
+def batches_of_files(held: DataFrame) -> DataFrame:
+    """The cache's rows and how many batches hold their file."""
+    return held.join(F.broadcast(held.groupBy("file").agg(F.count_distinct("batch").alias("batches"))), "file").drop("batch")  # a row a file
+
+
+add("s20_resumable_ingest", f"WITH {_MENTIONS}, f AS (SELECT DISTINCT file FROM e) SELECT f.file, date, ticker, CASE WHEN ticker IS NOT NULL THEN mention_count END AS mention_count, article_count, tone_mean, tone_std, 1 AS batches FROM f LEFT JOIN (SELECT file, date, ticker, {_STATS} FROM ln GROUP BY 1, 2, 3) g ON f.file = g.file", lambda s, sf: batches_of_files(ingested_mentions(s, sf)))
+add("s20_merged_mentions", f"WITH {_MENTIONS} SELECT date, ticker, {_STATS} FROM ln GROUP BY 1, 2", lambda s, sf: tn.merged(ingested_mentions(s, sf).where("ticker is not null")))
 add("s18_canonical_names", f"SELECT p_partkey, CASE WHEN length({_NAME}) >= 4 THEN {_NAME} END AS name FROM part", lambda s, sf: titles(s, sf).select("p_partkey", tx.canonical_name(F.col("title")).alias("name")))
 
 
