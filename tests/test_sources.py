@@ -99,3 +99,16 @@ def test_day_cache_marks_empty_days_once(spark):
     assert sorted((tuple(r) for r in once.collect()), key=str) == expected
     assert sorted((tuple(r) for r in tables.day_cache(day("d4"), once, fetched).collect()), key=str) == expected
     assert sorted(r.k for r in tables.held_rows(once, "k").collect()) == [1, 3, 4]
+
+
+def test_trials_are_exact_at_ties(spark, tmp_path):
+    from tidemark.plans import cross
+
+    # 64 values whose mean, 59.5721875, lies between two sixth digits: sums of doubles lie on either side of it, by their order
+    values = [round(17.31 + 1.37 * k % 83.17, 2) for k in range(63)]
+    values.append(round((381262 - sum(round(100 * v) for v in values)) / 100, 2))
+    rows = [(u, values[(i * (2 * u + 1)) % 64]) for u in range(40) for i in range(64)]
+    spark.createDataFrame(rows, "user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.sharpe for r in cross.trials(spark, str(tmp_path)).collect()} == {59.572188}
+    plan = cross.trials(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal" in plan
