@@ -283,3 +283,20 @@ def test_grid_with_base_arguments_is_one_plan(spark):
 
     df = evaluation.parameter_grid({"a": [3, 5]}, run, {"scale": 10})
     assert [tuple(r) for r in df.orderBy("a").collect()] == [(3, 30, None), (5, 50, None)] and seen == [3, 5]
+
+
+def test_gates_and_folds_read_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=d), f"T{k}", f"S{k % 2}", float((d * 7 + k * 3) % 11 - 5), float((d * 5 + k) % 7 - 3), float(d * k % 13)) for d in range(30) for k in range(10)]
+    df = spark.createDataFrame(rows, "date date, ticker string, sector string, score double, realised double, x1 double").withColumn("x1", counted("x1"))
+    assert len(models.sector_gate(df, ["x1"], slices=1, mode="confidence", model="logistic").collect()) == 300 and read.value == 300
+    assert len(models.meta_gate(df, ["x1"], slices=2, model="logistic").collect()) == 300 and read.value == 600
+    folds = models.folds_table(df.select("date"), dt.date(2020, 1, 20), least=5, days=5)
+    up = df.select("date", "ticker", "x1", (F.col("realised") > 0).cast("int").alias("up"))
+    assert models.walk_forward_scores(up, folds, ["x1"], "up", "logistic").count() == 100 and read.value == 900

@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import without_leaks
+from ..sources.files import held
 from .evaluation import ic_by, information_coefficient
 from .portfolio import confident, gated
 from .timeaxis import shifted
@@ -180,13 +181,14 @@ MODELS: dict[str, Fit] = {"logistic": logistic, "fama_macbeth": fama_macbeth, "b
 def walk_forward_scores(df: DataFrame, folds: DataFrame, xs: list[str], y: str, model: str = "fama_macbeth") -> DataFrame:
     """fold, date, ticker, score out of sample: the model fitted on each fold's training rows scores its test rows (boosted trees: and trees).
 
-    Premia are one plan for all folds. Other models are fitted one fold after the other, a few dozen at most; what fails raises.
+    Premia are one plan for all folds. Other models are fitted one fold after the other, a few dozen at most, on rows that are
+    written once; what fails raises.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model: {model!r}")
     if model == "fama_macbeth":
         return premia_folds(df, folds, xs, y)
-    out = []
+    df, out = held(df.select("date", "ticker", *xs, y), "folds"), []
     for f in folds.orderBy("fold").collect():
         train, test = df.where(F.col("date") <= F.lit(f.train_end)), df.where(F.col("date").between(f.test_start, f.test_end))
         out.append(MODELS[model](train, test, xs, y).withColumn("fold", F.lit(f.fold)))
@@ -209,13 +211,15 @@ def _weighed(probability: str, mode: str, threshold: float, floor: float, cap: f
     return gated("score", probability, threshold) if mode == "binary" else confident("score", probability, floor, cap)
 
 
-def meta_gate(df: DataFrame, xs: list[str], *, slices: int = 3, mode: str = "binary", threshold: float = 0.5, floor: float = 0.4, cap: float = 0.85, model: str = "boosted") -> DataFrame:
+def meta_gate(df: DataFrame, xs: list[str], *, slices: int = 3, mode: str = "binary", threshold: float = 0.5, floor: float = 0.4, cap: float = 0.85, model: str = "boosted", written: bool = False) -> DataFrame:
     """date, ticker, score, gate of df (date, ticker, score, realised, xs): scores gated by a model of when they are right.
 
     The first half of the dates passes as it is (gate NULL); the rest is cut into `slices` equal runs of dates, the last
     one with what remains, each gated by a model of all dates before it. A slice whose past has one class passes as well, and
-    with more slices than dates the last ones are empty.
+    with more slices than dates the last ones are empty. df is written once, as each model reads it many times; not so if the caller
+    says that it is a written table (written).
     """
+    df = df if written else held(df.select("date", "ticker", "score", "realised", *xs), "gate")
     dates = [r.date for r in df.select("date").distinct().orderBy("date").collect()]  # bounded by the calendar
     half = max(1, len(dates) // 2)
     step = max(1, (len(dates) - half) // slices)
@@ -240,16 +244,16 @@ def meta_gate(df: DataFrame, xs: list[str], *, slices: int = 3, mode: str = "bin
 def sector_gate(df: DataFrame, xs: list[str], *, least: int = 5, pooled: str = "__OTHER__", **how) -> DataFrame:
     """meta_gate for each sector by itself; rows without a sector are one, and a sector under `least` tickers passes as it is.
 
-    Sectors are few (a loop on the driver), each with its own model; at most 64, more raise.
+    Sectors are few (a loop on the driver), each with its own model; at most 64, more raise. df is written once for all of them.
     """
-    df = df.withColumn("sector", F.coalesce("sector", F.lit(pooled)))
+    df = held(df.select("date", "ticker", F.coalesce("sector", F.lit(pooled)).alias("sector"), "score", "realised", *xs), "gate")
     sizes = df.groupBy("sector").agg(F.countDistinct("ticker").alias("n")).orderBy("sector").limit(65).collect()
     if len(sizes) > 64:
         raise ValueError("more than 64 sectors")
     none = df.sparkSession.createDataFrame([], "date date, ticker string, score double, gate double")
     small = [r.sector for r in sizes if r.n < least]
     out = [none, df.where(F.col("sector").isin(small)).select("date", "ticker", "score", F.lit(None).cast("double").alias("gate"))]
-    out += [meta_gate(df.where(F.col("sector") == r.sector), xs, **how) for r in sizes if r.n >= least]
+    out += [meta_gate(df.where(F.col("sector") == r.sector), xs, written=True, **how) for r in sizes if r.n >= least]
     return reduce(DataFrame.unionByName, out)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import tidy
 from ..operators import evaluation as e, features, hierarchy, labels, models as m, portfolio as p, timeaxis as t
+from ..sources.files import held
 from ..sources.panel import market, price_panel
 from . import registry
 from .cross import add, scores
@@ -58,7 +59,7 @@ def signed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m4_logistic_scores")
 def _logistic(spark: SparkSession, sf: str) -> DataFrame:
-    df = rows(spark, sf).withColumn("up", F.when(F.col("y") != 0, (F.col("y") > 0).cast("int")))
+    df = held(rows(spark, sf).withColumn("up", F.when(F.col("y") != 0, (F.col("y") > 0).cast("int"))), "rows")
     return tidy(m.logistic(df.where("date < '1999-01-01'"), df.where("date >= '1999-01-01'"), _X, "up"))
 
 
@@ -144,8 +145,8 @@ add(
 @query("m8_early_stopping")
 def _early(spark: SparkSession, sf: str) -> DataFrame:
     """Boosted trees of each fold with a validation tail: their scores and how many trees each fold kept."""
-    df = rows(spark, sf).withColumn("up", F.when(F.col("y") != 0, (F.col("y") > 0).cast("int")))
-    return tidy(m.walk_forward_scores(df, m.folds_table(price_panel(spark, sf), _FIRST, months=24), _X, "up", "boosted"))
+    df = held(rows(spark, sf).withColumn("up", F.when(F.col("y") != 0, (F.col("y") > 0).cast("int"))), "rows")
+    return tidy(m.walk_forward_scores(df, m.folds_table(df, _FIRST, months=24), _X, "up", "boosted"))
 
 
 def sized_book(spark: SparkSession, sf: str, k: int, gross: float) -> DataFrame:

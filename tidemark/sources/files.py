@@ -38,6 +38,13 @@ def made(spark: SparkSession, folder: str, *, passing: bool = False) -> str:
     return where.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
 
 
+def held(df: DataFrame, name: str) -> DataFrame:
+    """df, written once into a shared folder as Parquet: for a table that many jobs read, such as those of a fitted model."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 @contextmanager
 def opened(folder: str, name: str) -> Iterator[pa.NativeFile]:
     """A file to write from inside a task: written under a name of its own, then moved, so that no reader sees a part and a repeated
