@@ -290,3 +290,10 @@ def test_merged_files_keep_sums_alone(spark):
     assert abs(got["T1"].tone_std - (0.25 / 13) ** 0.5) < 1e-12
     mean = 2.1 + 1 / 13
     assert abs(got["T2"].tone_mean - mean) < 1e-12 and abs(got["T2"].tone_std - ((12 * (2.1 - mean) ** 2 + (3.1 - mean) ** 2 + 1) / 13) ** 0.5) < 1e-12
+
+
+def test_no_task_holds_a_whole_text(spark, tmp_path):
+    lines = spark.range(25000).selectExpr("'a' AS file", "-id AS place", "'line ' || id AS value")
+    assert "FlatMapGroups" not in files.write_texts(lines, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+    files.write_groups(lines, f"file://{tmp_path}", lambda out, name, own: out.write(str(max(b.num_rows for b in own)).encode()), "file", "place").collect()
+    assert int((tmp_path / "a").read_text()) <= 10000
