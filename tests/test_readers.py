@@ -297,3 +297,24 @@ def test_no_task_holds_a_whole_text(spark, tmp_path):
     assert "FlatMapGroups" not in files.write_texts(lines, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
     files.write_groups(lines, f"file://{tmp_path}", lambda out, name, own: out.write(str(max(b.num_rows for b in own)).encode()), "file", "place").collect()
     assert int((tmp_path / "a").read_text()) <= 10000
+
+
+def test_headers_are_read_once_a_file_and_lines_stay_where_they_are(spark, tmp_path):
+    head = "Form Type Company Name CIK        Date Filed File Name"
+    (tmp_path / "a.idx").write_text("\n".join(["x", head, "8-K       A  &  B      12         2024-03-05 e", "8-K       C            7          3/6/2024   e"]))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for files of any size
+    try:
+        rows = text.index_rows(text.file_lines(spark, str(tmp_path)))
+        assert sorted((r.cik, str(r.filing_date)) for r in rows.collect()) == [("0000000007", "2024-03-06"), ("0000000012", "2024-03-05")]
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan
+        for_lines = plan[: plan.index("FileScan")]  # what lines go through, down to where they are read
+        assert "BroadcastHashJoin" in for_lines and "locate(" not in for_lines
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    lines = spark.createDataFrame([(head, "8-K       A  &  B      12         2024-03-05 e")], "header string, value string")
+    assert text.fixed_width(lines, *text.INDEX_FIELDS).drop("header", "value").collect() == [("8-K", "A  &  B", "12", "2024-03-05")]
+    (tmp_path / "b.idx").write_text("Form Type CIK\n8-K       1\n")
+    with pytest.raises(Exception, match="no header of these fields"):
+        text.index_rows(text.file_lines(spark, str(tmp_path))).collect()

@@ -51,29 +51,38 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
 
 
-def below_header(lines: DataFrame, is_header: Column, missing: str) -> DataFrame:
-    """lines with `header`, the first line of their file for which is_header holds, below which they are; an error (missing) where a
-    file has none. A row a file decides; lines join it by file."""
+def below_header(lines: DataFrame, is_header: Column, missing: str, **of_header: Column) -> DataFrame:
+    """lines with `header`, the first line of their file for which is_header holds, below which they are, and with columns of that header;
+    an error (missing) where a file has none. A row a file decides, and lines meet it by broadcast: they aren't shuffled, however long a
+    file is."""
     found = lines.groupBy("file").agg(F.min(F.when(is_header, F.struct("at", "value"))).alias("_h"))
     header = F.when(F.col("_h").isNull(), F.raise_error(F.concat(F.lit(missing + ": "), F.col("file")))).otherwise(F.col("_h"))
-    heads = found.select("file", header.alias("_h"))
-    return lines.join(heads, "file").where(F.col("at") > F.col("_h.at")).withColumn("header", F.col("_h.value")).drop("_h")
+    heads = found.select("file", header.alias("_h")).select("file", F.col("_h.at").alias("_at"), F.col("_h.value").alias("header")).withColumns(of_header)
+    return lines.join(F.broadcast(heads), "file").where(F.col("at") > F.col("_at")).drop("_at")
 
 
-def fixed_width(lines: DataFrame, *names: str, header: str = "header", line: str = "value") -> DataFrame:
-    """lines with the named fields, trimmed: each goes from where the header has its name, after the name before it, to where the next
-    one begins, the last one to the end of the line or to one of the spellings of a file's name."""
-    place = lambda name, start: F.call_function("locate", F.lit(name), F.col(header), start)
+def field_places(header: Column, *names: str) -> Column:
+    """Where each of the names begins in a header, each after the one before it, and where the last field ends: at one of the spellings of a
+    file's name, or with the line. NULL where a name is missing."""
+    place = lambda name, start: F.call_function("locate", F.lit(name), header, start)
     begin = [place(names[0], F.lit(1))]
     for name in names[1:]:
         begin.append(place(name, begin[-1] + 1))
     after = F.greatest(*[place(n, begin[-1] + 1) for n in _LAST_FIELDS])
-    ends = [*begin[1:], F.when(after > 0, after).otherwise(1 << 20)]
-    sound = F.least(*begin) > 0
+    return F.when(F.least(*begin) > 0, F.array(*begin, F.when(after > 0, after).otherwise(1 << 20)))
+
+
+def fixed_width(lines: DataFrame, *names: str, header: str = "header", line: str = "value", places: str | None = None) -> DataFrame:
+    """lines with the named fields, trimmed: each goes from where the header has its name, after the name before it, to where the next
+    one begins, the last one to the end of the line or to one of the spellings of a file's name. A column of the header's field_places
+    saves finding them for each line."""
+    placed = lines if places else lines.withColumn("_places", field_places(F.col(header), *names))
+    at = F.col(places or "_places")
     # the first field begins with the line, wherever its name stands
-    cut = lambda k: F.trim(F.substring(F.col(line), F.lit(1) if not k else begin[k], ends[k] - (F.lit(1) if not k else begin[k])))
-    checked = F.when(~sound, F.raise_error(F.concat(F.lit("no header of these fields: "), F.col(header))).cast("string"))
-    return lines.select("*", *[F.coalesce(checked, cut(k)).alias(n) for k, n in enumerate(names)])
+    begin = lambda k: F.get(at, F.lit(k)) if k else F.lit(1)
+    cut = lambda k: F.trim(F.substring(F.col(line), begin(k), F.get(at, F.lit(k + 1)) - begin(k)))
+    checked = F.when(at.isNull(), F.raise_error(F.concat(F.lit("no header of these fields: "), F.col(header))).cast("string"))
+    return placed.select(*lines.columns, *[F.coalesce(checked, cut(k)).alias(n) for k, n in enumerate(names)])
 
 
 def wide_gaps(line: Column) -> Column:
@@ -85,9 +94,10 @@ def index_rows(lines: DataFrame, form: str = "8-K") -> DataFrame:
     """file, cik (ten digits), filing_date of the lines of fixed-width filing indexes (see file_lines): those of one form whose number and date
     can be read. Each file's own header, found among its lines, says where the fields are; what stands before it, separators
     and malformed lines go, and a file without a header is an error."""
-    below = below_header(lines, F.col("value").rlike(r"^\s*Form Type"), "no header line in the filing index")
-    rows = fixed_width(below.where(F.col("value").rlike(r"^[\p{L}\p{N}]")), *INDEX_FIELDS)
-    number, date = F.when(F.col("CIK").rlike("^[0-9]+$"), F.col("CIK").try_cast("long")), any_date(F.col("Date Filed"))
+    below = below_header(lines, F.col("value").rlike(r"^\s*Form Type"), "no header line in the filing index", places=field_places(F.col("header"), *INDEX_FIELDS))
+    rows = fixed_width(below.where(F.col("value").rlike(r"^[\p{L}\p{N}]")), *INDEX_FIELDS, places="places")
+    number = F.when(F.col("CIK").rlike("^[0-9]+$"), F.col("CIK").try_cast("long"))
+    date = F.get(F.transform(F.array("Date Filed"), any_date), 0)  # the field is cut out once, not for each form of a date
     return rows.where((F.col("Form Type") == form) & number.isNotNull() & date.isNotNull()).select("file", F.lpad(number.cast("string"), 10, "0").alias("cik"), date.alias("filing_date"))
 
 
